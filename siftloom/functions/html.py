@@ -14,7 +14,7 @@ from siftloom import rules
 from siftloom.functions import urls
 from siftloom.functions.text import collapse, strip, word_count
 
-_VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+_RAW_VALUE = r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 _COMMENT = r"(?s)<!--.*?-->"
 TAG = r"(?is)<([a-z][a-z0-9]*)((?:\s[^<>]*)?)>"
 
@@ -28,36 +28,37 @@ _ENTITIES = [
 
 def unescape(text: Column) -> Column:
     """Decode common named and all numeric character references."""
-    named = text
-    for reference, char in _ENTITIES:
-        named = F.replace(named, F.lit(reference), F.lit(char))
 
-    def decode(acc: Column, ref: Column) -> Column:
+    def decode_one(acc: Column, ref: Column) -> Column:
         digits = F.regexp_extract(ref, r"(?i)^&#x?([0-9a-f]+);$", 1)
-        code = F.conv(digits, 10, 16)
-        point = F.when(ref.rlike(r"^&#[xX]"), digits).otherwise(code)
-        char = F.decode(F.unhex(F.lpad(point, 8, "0")), "UTF-32")
-        return F.replace(acc, ref, char)
-
-    references = F.array_distinct(
-        F.regexp_extract_all(named, F.lit(r"(&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,5});)"), 1)
+        point = F.when(ref.rlike(r"^&#[xX]"), digits).otherwise(F.conv(digits, 10, 16))
+        return F.replace(acc, ref, F.decode(F.unhex(F.lpad(point, 8, "0")), "UTF-32"))
+
+    def numeric(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(r"(&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,5});)"), 1)
+        return F.when(t.contains("&#"), F.aggregate(F.array_distinct(found), t, decode_one)).otherwise(t)
+
+    def named(t: Column) -> Column:
+        out = t
+        for reference, char in _ENTITIES:
+            out = F.replace(out, F.lit(reference), F.lit(char))
+        return out
+
+    return urls.let(
+        text,
+        lambda t: F.when(
+            t.contains("&"), F.replace(urls.let(named(t), numeric), F.lit("&amp;"), F.lit("&"))
+        ).otherwise(t),
     )
-    numeric = F.when(named.contains("&#"), F.aggregate(references, named, decode)).otherwise(named)
-    return F.when(
-        text.contains("&"), F.replace(numeric, F.lit("&amp;"), F.lit("&"))
-    ).otherwise(text)
+
+
+def unquote(value: Column) -> Column:
+    return unescape(F.regexp_replace(value, r"^[\"']|[\"']$", ""))
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Decoded value of one attribute inside a start tag; '' when absent."""
-    pattern = rf"(?is)\s{name}{_VALUE}"
-    return unescape(
-        F.concat(
-            F.regexp_extract(tag, pattern, 1),
-            F.regexp_extract(tag, pattern, 2),
-            F.regexp_extract(tag, pattern, 3),
-        )
-    )
+    return unquote(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{_RAW_VALUE}", 1))
 
 
 def strip_tags(fragment: Column) -> Column:
@@ -79,9 +80,7 @@ def _meta_tags(html: Column, key: str, names: list[str]) -> Column:
 
 
 def _meta(html: Column, key: str, names: list[str]) -> Column:
-    tag = _meta_tags(html, key, names)
-    # the pattern above may stop at the key's own closing bracket, so the tag is whole
-    return F.nullif(strip(attribute(tag, "content")), F.lit(""))
+    return urls.filled(strip(attribute(_meta_tags(html, key, names), "content")))
 
 
 def title(html: Column) -> Column:
@@ -89,21 +88,25 @@ def title(html: Column) -> Column:
     return F.coalesce(
         _meta(html, "property", ["og:title"]),
         _meta(html, "name", ["DC.title", "citation_title"]),
-        F.nullif(strip(unescape(head)), F.lit("")),
+        urls.filled(strip(unescape(head))),
     )
 
 
 def html_metadata(html: Column) -> Column:
     """struct(title, author, description, language); absent members are NULL."""
-    root = F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0)
-    return F.struct(
-        title(html).alias("title"),
-        _meta(html, "name", ["author", r"DC.creator", "citation_author"]).alias("author"),
-        F.coalesce(
-            _meta(html, "name", ["description"]), _meta(html, "property", ["og:description"])
-        ).alias("description"),
-        F.nullif(strip(attribute(root, "lang")), F.lit("")).alias("language"),
-    )
+
+    def read(h: Column) -> Column:
+        root = F.regexp_extract(h, r"(?is)<html\b[^>]*>", 0)
+        return F.struct(
+            title(h).alias("title"),
+            _meta(h, "name", ["author", r"DC.creator", "citation_author"]).alias("author"),
+            F.coalesce(
+                _meta(h, "name", ["description"]), _meta(h, "property", ["og:description"])
+            ).alias("description"),
+            urls.filled(strip(attribute(root, "lang"))).alias("language"),
+        )
+
+    return urls.let(html, read)
 
 
 def headings(html: Column) -> Column:
@@ -136,8 +139,8 @@ def _container(html: Column) -> Column:
             opener = rf"(?is)<[a-z][^>]*\sid\s*=\s*[\"']?{name}[\"'\s>][^>]*>?(.*)$"
         else:
             opener = rf"(?is)<[a-z][^>]*{_class_test([name])}[^>]*>(.*)$"
-        found.append(F.nullif(F.regexp_extract(html, opener, 1), F.lit("")))
-    body = F.nullif(F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)(?:</body\s*>|$)", 1), F.lit(""))
+        found.append(urls.filled(F.regexp_extract(html, opener, 1)))
+    body = urls.filled(F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)(?:</body\s*>|$)", 1))
     # pages without a <body> tag: everything after the head
     bare = F.regexp_replace(html, r"(?is)<head\b.*?</head\s*>", "")
     return F.coalesce(*found, body, bare)
@@ -150,7 +153,7 @@ def page_lines(html: Column, distinct: bool = True) -> Column:
         body, rf"(?is)<([a-z][a-z0-9]*)\b[^>]*{_class_test(rules.FURNITURE_CLASSES)}[^>]*>.*?</\1\s*>", ""
     )
     inner = F.regexp_replace(
-        _container(body), r"(?is)<(?:option|button)\b[^>]*>.*?</(?:option|button)\s*>", "\n"
+        urls.let(body, _container), r"(?is)<(?:option|button)\b[^>]*>.*?</(?:option|button)\s*>", "\n"
     )
     pieces = F.split(F.regexp_replace(inner, r"(?s)<[^>]*>", "\u0001"), "\u0001")
     lines = F.filter(F.transform(pieces, lambda p: collapse(unescape(p))), lambda p: p != "")
@@ -166,30 +169,44 @@ def page_text(html: Column) -> Column:
 
 def page_quality(text: Column, page_title: Column, heading_count: Column) -> Column:
     """Verdict on readable text: status, reason and the counts behind it."""
-    words, chars = word_count(text), F.length(text)
-    all_lines = F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(text, r"\n$", ""), "\n")
+    none = F.array().cast("array<string>")
+    lines = F.when(text == "", none).otherwise(F.split(F.regexp_replace(text, r"\n$", ""), "\n"))
+    facts = F.struct(
+        word_count(text).alias("words"),
+        F.length(text).alias("chars"),
+        urls.let(
+            lines,
+            lambda x: F.struct(
+                F.size(F.filter(x, lambda line: line.rlike(r"(?U)\S"))).alias("filled"),
+                F.size(F.array_distinct(x)).alias("unique"),
+            ),
+        ).alias("lines"),
+        F.lower(collapse(text)).rlike(urls.alternation(rules.GATE_PHRASES)).alias("gate"),
+        (strip(F.coalesce(page_title, F.lit(""))) != "").alias("has_title"),
+        heading_count.alias("headings"),
     )
-    filled = F.size(F.filter(all_lines, lambda line: strip(line) != ""))
-    repeated = F.when(filled > 0, 1.0 - F.size(F.array_distinct(all_lines)) / filled).otherwise(0.0)
-    has_title = strip(F.coalesce(page_title, F.lit(""))) != ""
-    phrases = F.lower(collapse(text)).rlike(urls.alternation(rules.GATE_PHRASES))
+    return urls.let(facts, _verdict)
+
+
+def _verdict(x: Column) -> Column:
+    filled = x["lines"]["filled"]
+    repeated = F.when(filled > 0, 1.0 - x["lines"]["unique"] / filled).otherwise(0.0)
     reason = (
-        F.when((words < 8) | (chars < 50), "too_short")
-        .when(phrases, "low_information_error_or_gate_page")
+        F.when((x["words"] < 8) | (x["chars"] < 50), "too_short")
+        .when(x["gate"], "low_information_error_or_gate_page")
         .when(repeated > 0.35, "repetitive_boilerplate")
-        .when(~has_title & (heading_count == 0), "missing_page_identity")
+        .when(~x["has_title"] & (x["headings"] == 0), "missing_page_identity")
         .otherwise("accepted")
     )
     return F.struct(
         F.when(reason == "accepted", "accepted").otherwise("rejected").alias("status"),
         reason.alias("reason"),
-        words.alias("word_count"),
-        chars.alias("character_count"),
+        x["words"].alias("word_count"),
+        x["chars"].alias("character_count"),
         filled.alias("line_count"),
         F.bround(repeated, 4).alias("repeated_line_ratio"),
-        has_title.alias("has_title"),
-        heading_count.alias("heading_count"),
+        x["has_title"].alias("has_title"),
+        x["headings"].alias("heading_count"),
     )
 
 
@@ -228,7 +245,6 @@ def sections(html: Column) -> Column:
     Each piece carries the nearest heading and accordion label that starts at or
     before it, so links can be given context without comparing rows.
     """
-    pieces = F.split(F.regexp_replace(html, _COMMENT, ""), _marker())
     accordion = (
         r"(?is)^<(?:summary[\s>]|[a-z][a-z0-9]*\s[^>]*(?:"
         + _class_test(rules.ACCORDION_CLASSES)
@@ -239,36 +255,42 @@ def sections(html: Column) -> Column:
         + _class_test(rules.HEADING_CLASSES)
         + ")"
     )
-    label = F.transform(
-        pieces,
-        lambda p: strip(
-            strip_tags(F.regexp_extract(p, r"(?is)^<([a-z][a-z0-9]*)[^>]*>(.*?)</\1\s*>", 2))
-        ),
-    )
-    marked = F.zip_with(
-        pieces,
-        label,
-        lambda p, t: F.struct(
-            p.alias("html"),
-            F.when(p.rlike(heading) & (F.length(t) > 2), t).alias("h"),
-            F.when(p.rlike(accordion) & (F.length(t) > 2), t).alias("a"),
-        ),
-    )
-    with_h = F.filter(F.sequence(F.lit(0), F.size(marked) - 1), lambda i: marked[i]["h"].isNotNull())
-    with_a = F.filter(F.sequence(F.lit(0), F.size(marked) - 1), lambda i: marked[i]["a"].isNotNull())
-
-    def nearest(hits: Column, i: Column, field: str) -> Column:
-        at = F.try_element_at(F.filter(hits, lambda j: j <= i), F.lit(-1))
-        return F.coalesce(F.get(marked, at)[field], F.lit(""))
-
-    return F.transform(
-        marked,
-        lambda m, i: F.struct(
-            m["html"].alias("html"),
-            nearest(with_h, i, "h").alias("heading"),
-            nearest(with_a, i, "a").alias("accordion_group"),
-        ),
-    )
+
+    def mark(p: Column) -> Column:
+        label = strip(strip_tags(F.regexp_extract(p, r"(?is)^<([a-z][a-z0-9]*)[^>]*>(.*?)</\1\s*>", 2)))
+        return urls.let(
+            F.when(p.startswith("<"), label),
+            lambda t: F.struct(
+                p.alias("html"),
+                F.when((F.length(t) > 2) & p.rlike(heading), t).alias("h"),
+                F.when((F.length(t) > 2) & p.rlike(accordion), t).alias("a"),
+            ),
+        )
+
+    def index(m: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(m) - 1)
+        return F.struct(
+            m.alias("m"),
+            F.filter(at, lambda i: F.get(m, i)["h"].isNotNull()).alias("h"),
+            F.filter(at, lambda i: F.get(m, i)["a"].isNotNull()).alias("a"),
+        )
+
+    def nearest(x: Column, i: Column, field: str) -> Column:
+        at = F.try_element_at(F.filter(x[field], lambda j: j <= i), F.lit(-1))
+        return F.coalesce(F.get(x["m"], at)[field], F.lit(""))
+
+    def label(x: Column) -> Column:
+        return F.transform(
+            x["m"],
+            lambda m, i: F.struct(
+                m["html"].alias("html"),
+                nearest(x, i, "h").alias("heading"),
+                nearest(x, i, "a").alias("accordion_group"),
+            ),
+        )
+
+    pieces = F.split(F.regexp_replace(html, _COMMENT, ""), _marker())
+    return urls.let(urls.let(F.transform(pieces, mark), index), label)
 
 
 ANCHOR = r"(?is)(<a\s[^>]*>.*?</a\s*>)"
@@ -290,15 +312,11 @@ def tag_name(tag: Column) -> Column:
 
 def tag_attributes(tag: Column) -> Column:
     """array<struct<name,value>> of one start tag."""
-    pattern = rf"(?is)\s([a-z][a-z0-9:_-]*){_VALUE}"
-    names = F.regexp_extract_all(tag, F.lit(pattern), 1)
-    raw = F.regexp_extract_all(tag, F.lit(rf"(?is)\s[a-z][a-z0-9:_-]*\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), 1)
+    pattern = rf"(?is)\s([a-z][a-z0-9:_-]*)\s*=\s*{_RAW_VALUE}"
     return F.zip_with(
-        names,
-        raw,
-        lambda n, v: F.struct(
-            F.lower(n).alias("name"), unescape(F.regexp_replace(v, r"^[\"']|[\"']$", "")).alias("value")
-        ),
+        F.regexp_extract_all(tag, F.lit(pattern), 1),
+        F.regexp_extract_all(tag, F.lit(pattern), 2),
+        lambda n, v: F.struct(F.lower(n).alias("name"), unquote(v).alias("value")),
     )
 
 
@@ -388,5 +406,6 @@ def json_urls(text: Column, base: Column) -> Column:
         return F.when(keep, F.array(document, by_key))
 
     hits = F.flatten(F.filter(F.transform(decoded, found), lambda a: a.isNotNull()))
-    valid = F.try_parse_json(text).isNotNull()
-    return F.array_distinct(F.filter(F.when(valid, hits), lambda u: u.isNotNull()))
+    valid = text.rlike(r"[{\[]") & F.try_parse_json(text).isNotNull()
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.filter(F.when(valid, hits).otherwise(none), lambda u: u.isNotNull()))

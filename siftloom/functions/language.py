@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftloom import rules
 from siftloom.functions.text import class_count, strip
+from siftloom.functions.urls import let
 
 SCRIPTS = {
     "arabic": rules.ARABIC_CLASS,
@@ -18,17 +19,22 @@ SCRIPTS = {
 
 def script_profile(text: Column) -> Column:
     """struct of script ratios and the dominant script of the trimmed text."""
-    clean = strip(F.coalesce(text, F.lit("")))
-    total = F.greatest(F.length(clean), F.lit(1))
-    ratio = {name: class_count(clean, pattern) / total for name, pattern in SCRIPTS.items()}
-    dominant = F.when(clean == "", "unknown")
-    for name in SCRIPTS:
-        dominant = dominant.when(ratio[name] > 0.3, name)
-    dominant = dominant.when((ratio["arabic"] > 0.1) & (ratio["latin"] > 0.1), "mixed")
-    return F.struct(
-        *[value.alias(f"{name}_ratio") for name, value in ratio.items()],
-        dominant.otherwise("unknown").alias("script"),
-    )
+
+    def ratios(clean: Column) -> Column:
+        total = F.greatest(F.length(clean), F.lit(1))
+        return F.struct(
+            clean.alias("clean"),
+            *[(class_count(clean, c) / total).alias(name) for name, c in SCRIPTS.items()],
+        )
+
+    def dominant(x: Column) -> Column:
+        script = F.when(x["clean"] == "", "unknown")
+        for name in SCRIPTS:
+            script = script.when(x[name] > 0.3, name)
+        script = script.when((x["arabic"] > 0.1) & (x["latin"] > 0.1), "mixed").otherwise("unknown")
+        return F.struct(*[x[n].alias(f"{n}_ratio") for n in SCRIPTS], script.alias("script"))
+
+    return let(let(strip(F.coalesce(text, F.lit(""))), ratios), dominant)
 
 
 def kurdish_letter_class(strict: bool = False) -> str:
@@ -57,10 +63,17 @@ def detect_language(
     proposed by an n-gram profile, or NULL; it refines Arabic, Latin and Cyrillic
     text and is ignored elsewhere.
     """
-    clean = strip(F.coalesce(text, F.lit("")))
     guess = F.lit(None).cast("string") if guess is None else guess
+    facts = F.struct(
+        strip(F.coalesce(text, F.lit(""))).alias("clean"), profile["script"].alias("script"),
+        profile["arabic_ratio"].alias("arabic"), guess.alias("guess"),
+    )
+    kurdish = kurdish_letter_class(strict_alphabet)
+    return let(facts, lambda x: _language(x["clean"], x["script"], x["arabic"], x["guess"], kurdish))
+
+
+def _language(clean: Column, script: Column, arabic: Column, guess: Column, kurdish: str) -> Column:
     known = guess.isin(list(rules.LANGUAGE_NAMES))
-    script, arabic = profile["script"], profile["arabic_ratio"]
 
     def verdict(code, confidence, name, rtl) -> Column:
         code = code if isinstance(code, Column) else F.lit(code)
@@ -78,10 +91,7 @@ def detect_language(
     boosted = F.when(guess.isin("ar", "ckb", "fa", "ur") & (arabic > 0.3), 0.85).otherwise(0.75)
     return (
         F.when(clean == "", verdict("unknown", 0.0, "unknown", False))
-        .when(
-            arabic_side & clean.rlike(kurdish_letter_class(strict_alphabet)),
-            verdict("ckb", 0.85, "arabic", True),
-        )
+        .when(arabic_side & clean.rlike(kurdish), verdict("ckb", 0.85, "arabic", True))
         .when(arabic_side & known, verdict(guess, boosted, "arabic", True))
         .when(arabic_side, verdict("ar", 0.7, "arabic", True))
         .when((script == "latin") & known, verdict(guess, 0.8, "latin", False))

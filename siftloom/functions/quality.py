@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 
 from siftloom import rules
 from siftloom.functions.text import class_count
+from siftloom.functions.urls import let
 
-LEGACY_CLASS = r"[\x{e0}-\x{ff}]"
 CONTROL_CLASS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 UNPRINTABLE_CLASS = r"[\p{C}\p{Z}&&[^ \n\r\t]]"
 
 
 def mojibake_ratio(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    bad = (
-        class_count(text, LEGACY_CLASS)
-        + class_count(text, r"\x{fffd}")
-        + class_count(text, CONTROL_CLASS)
-    )
-    for pattern in rules.MOJIBAKE_PATTERNS:
-        bad = bad + F.regexp_count(text, F.lit(pattern))
+    """Share of characters that speak of a wrong encoding, at most 1."""
     # every pattern holds one of these characters, so clean text stops at one scan
-    suspect = text.rlike(r"[\x{c2}\x{c3}\x{e0}-\x{ff}\x{fffd}\x00-\x08\x0B\x0C\x0E-\x1F]")
-    return F.when(
-        suspect, F.least(F.lit(1.0), bad / F.greatest(F.length(text), F.lit(1)))
-    ).otherwise(0.0)
+    suspect = r"[\x{c2}\x{c3}\x{e0}-\x{ff}\x{fffd}\x00-\x08\x0B\x0C\x0E-\x1F]"
+
+    def ratio(t: Column) -> Column:
+        bad = class_count(t, r"[\x{e0}-\x{ff}\x{fffd}\x00-\x08\x0B\x0C\x0E-\x1F]")
+        for pattern in rules.MOJIBAKE_PATTERNS:
+            bad = bad + F.regexp_count(t, F.lit(pattern))
+        return F.when(
+            t.rlike(suspect), F.least(F.lit(1.0), bad / F.greatest(F.length(t), F.lit(1)))
+        ).otherwise(0.0)
+
+    return let(F.coalesce(text, F.lit("")), ratio)
 
 
 def printable_ratio(text: Column) -> Column:
@@ -85,21 +85,27 @@ def quality_score(
     """struct(score, text_density, printable_ratio, encoding_quality, ...)."""
     pages = F.lit(None).cast("int") if page_count is None else page_count
     density = text_density(F.length(F.coalesce(text, F.lit(""))), pages, file_size)
-    factors = {
-        "text_density": density_score(density, is_pdf),
-        "printable_ratio": printable_ratio(text),
-        "encoding_quality": 1.0 - mojibake_ratio(text),
-        "metadata_completeness": completeness,
-        "file_integrity": integrity_score(file_size, is_pdf, header),
-    }
-    total = sum((factors[k] * F.lit(w) for k, w in rules.QUALITY_WEIGHTS.items()), F.lit(0.0))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(total * 100).cast("int")))
-    return F.struct(
-        score.alias("score"),
-        F.bround(density, 3).alias("text_density"),
-        F.bround(factors["text_density"], 3).alias("density_score"),
-        *[
-            F.bround(factors[k], 3).alias(k)
-            for k in ("printable_ratio", "encoding_quality", "metadata_completeness", "file_integrity")
-        ],
+    facts = F.struct(
+        density.alias("density"),
+        printable_ratio(text).alias("printable_ratio"),
+        (1.0 - mojibake_ratio(text)).alias("encoding_quality"),
+        completeness.cast("double").alias("metadata_completeness"),
+        integrity_score(file_size, is_pdf, header).cast("double").alias("file_integrity"),
+        is_pdf.alias("pdf"),
     )
+
+    def combine(x: Column) -> Column:
+        factors = {
+            "text_density": density_score(x["density"], x["pdf"]),
+            **{k: x[k] for k in rules.QUALITY_WEIGHTS if k != "text_density"},
+        }
+        total = sum((factors[k] * F.lit(w) for k, w in rules.QUALITY_WEIGHTS.items()), F.lit(0.0))
+        score = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(total * 100).cast("int")))
+        return F.struct(
+            score.alias("score"),
+            F.bround(x["density"], 3).alias("text_density"),
+            F.bround(factors["text_density"], 3).alias("density_score"),
+            *[F.bround(x[k], 3).alias(k) for k in rules.QUALITY_WEIGHTS if k != "text_density"],
+        )
+
+    return let(facts, combine)

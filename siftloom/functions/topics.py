@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftloom import rules
 from siftloom.functions.text import occurrences, strip
+from siftloom.functions.urls import let
 
 Keywords = Mapping[str, tuple[Sequence[str], Sequence[str]]]
 
@@ -33,31 +34,40 @@ def topic_scores(text: Column, keywords: Keywords = rules.TOPIC_KEYWORDS) -> Col
     divisor is at least 1.  A document meets every keyword inside its own row, so
     documents are neither multiplied nor shuffled.
     """
-    clean = strip(F.coalesce(text, F.lit("")))
-    per_thousand = F.greatest(F.lit(1.0), F.length(clean) / 1000)
-    scored = []
-    for name, (primary, secondary) in keywords.items():
-        words = F.array(*[F.lit(w) for w in [*primary, *secondary]])
-        raw = (_hits(clean, primary) * 2.0 + _hits(clean, secondary) * 1.0) / per_thousand
-        scored.append(
-            F.struct(
-                F.lit(name).alias("category"),
-                F.least(F.lit(1.0), raw).alias("score"),
-                F.slice(F.filter(words, lambda w: F.contains(clean, w)), 1, 10).alias("found"),
+
+    def score(clean: Column) -> Column:
+        per_thousand = F.greatest(F.lit(1.0), F.length(clean) / 1000)
+        scored = []
+        for name, (primary, secondary) in keywords.items():
+            words = F.array(*[F.lit(w) for w in [*primary, *secondary]])
+            raw = (_hits(clean, primary) * 2.0 + _hits(clean, secondary) * 1.0) / per_thousand
+            scored.append(
+                F.struct(
+                    F.lit(name).alias("category"),
+                    F.least(F.lit(1.0), raw).alias("score"),
+                    F.slice(F.filter(words, lambda w: F.contains(clean, w)), 1, 10).alias("found"),
+                )
             )
-        )
-    return F.array(*scored)
+        return F.array(*scored)
+
+    return let(strip(F.coalesce(text, F.lit(""))), score)
 
 
 def best_topic(scores: Column, text: Column, min_confidence: float = 0.3) -> Column:
     """struct(category, confidence): highest score, ties by dictionary order."""
-    top = F.array_max(F.transform(scores, lambda s: s["score"]))
-    first = F.element_at(F.filter(scores, lambda s: s["score"] == top), 1)
-    blank = strip(F.coalesce(text, F.lit(""))) == ""
-    return F.struct(
-        F.when(blank, "unknown")
-        .when(first["score"] < min_confidence, "general")
-        .otherwise(first["category"])
-        .alias("category"),
-        F.when(blank, 0.0).otherwise(first["score"]).alias("confidence"),
-    )
+    def choose(x: Column) -> Column:
+        top = F.array_max(F.transform(x["scores"], lambda s: s["score"]))
+        first = let(top, lambda t: F.get(F.filter(x["scores"], lambda s: s["score"] == t), F.lit(0)))
+        return let(
+            first,
+            lambda f: F.struct(
+                F.when(x["blank"], "unknown")
+                .when(f["score"] < min_confidence, "general")
+                .otherwise(f["category"])
+                .alias("category"),
+                F.when(x["blank"], 0.0).otherwise(f["score"]).alias("confidence"),
+            ),
+        )
+
+    blank = ~F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
+    return let(F.struct(scores.alias("scores"), blank.alias("blank")), choose)

@@ -26,6 +26,20 @@ def alternation(values: Sequence[str]) -> str:
     return "|".join(re.escape(v) for v in values)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.
+
+    Without this, nested functions that name their argument several times would
+    repeat whole sub-trees.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def filled(value: Column) -> Column:
+    """NULL for an empty string."""
+    return let(value, lambda v: F.when(v != "", v))
+
+
 def ends_with_any(column: Column, suffixes: Sequence[str]) -> Column:
     """One pass over the string instead of one comparison per suffix."""
     return column.rlike(f"(?:{alternation(suffixes)})$")
@@ -76,12 +90,14 @@ def port(url: Column) -> Column:
 
 def percent_decode(text: Column, plus_as_space: bool = False) -> Column:
     """Decode ``%XX`` as UTF-8; stray percent signs stay as they are."""
-    safe = F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25")
-    if not plus_as_space:
-        safe = F.replace(safe, F.lit("+"), F.lit("%2B"))
-    return F.when(
-        text.contains("%") | text.contains("+"), F.coalesce(F.try_url_decode(safe), text)
-    ).otherwise(text)
+
+    def decode(t: Column) -> Column:
+        safe = F.regexp_replace(t, r"%(?![0-9A-Fa-f]{2})", "%25")
+        if not plus_as_space:
+            safe = F.replace(safe, F.lit("+"), F.lit("%2B"))
+        return F.when(t.rlike(r"[%+]"), F.coalesce(F.try_url_decode(safe), t)).otherwise(t)
+
+    return let(text, decode)
 
 
 def _encode(text: Column, keep: str, space: str) -> Column:
@@ -96,11 +112,16 @@ def _encode(text: Column, keep: str, space: str) -> Column:
 def percent_encode_path(text: Column) -> Column:
     """Encode a decoded path, keeping the characters a path may hold."""
     plain = r"^[A-Za-z0-9/:~%+=&;$@,\-_.]*$"
-    return F.when(text.rlike(plain), text).otherwise(_encode(text, "/:~%+=&;$@,", "%20"))
+    return let(
+        text, lambda t: F.when(t.rlike(plain), t).otherwise(_encode(t, "/:~%+=&;$@,", "%20"))
+    )
 
 
 def form_encode(text: Column) -> Column:
-    return F.when(text.rlike(r"^[A-Za-z0-9_.~\-]*$"), text).otherwise(_encode(text, "~", "+"))
+    return let(
+        text,
+        lambda t: F.when(t.rlike(r"^[A-Za-z0-9_.~\-]*$"), t).otherwise(_encode(t, "~", "+")),
+    )
 
 
 # --- resolution and normal form ---------------------------------------------
@@ -120,41 +141,48 @@ def _drop_dot_segments(segments: Column) -> Column:
 
 
 def resolve_relative(base: Column, ref: Column) -> Column:
-    """Absolute URL of ``ref`` seen from ``base``."""
-    ref_path, base_path = path(ref), path(base)
-    origin = F.concat(F.regexp_extract(base, SPLIT, 1), F.lit("://"), authority(base))
-    base_segments = F.split(F.when(base_path == "", "/").otherwise(base_path), "/")
-    joined = F.concat(
-        F.slice(base_segments, 1, F.greatest(F.size(base_segments) - 1, F.lit(0))),
-        F.split(ref_path, "/"),
-    )
-    inner = F.filter(F.slice(joined, 2, F.greatest(F.size(joined) - 2, F.lit(0))), lambda s: s != "")
-    relative = F.concat(F.slice(joined, 1, 1), inner, F.slice(joined, -1, 1))
-    segments = F.when(ref_path.startswith("/"), F.split(ref_path, "/")).otherwise(relative)
-    simple = ref_path.startswith("/") & ~ref_path.rlike(r"(?:^|/)\.\.?(?:/|$)")
-    target = F.when(simple, ref_path).otherwise(F.array_join(_drop_dot_segments(segments), "/"))
-    target = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
-    ref_query, ref_fragment = F.regexp_extract(ref, SPLIT, 4), F.regexp_extract(ref, SPLIT, 5)
-    base_query = F.regexp_extract(base, SPLIT, 4)
+    """Absolute URL of ``ref`` seen from ``base``.
+
+    Absolute and plain root-relative targets, nearly all of a page's links, are
+    answered by the first branches without splitting a path.
+    """
+    return let(F.struct(base.alias("base"), ref.alias("ref")), lambda x: _resolve(x["base"], x["ref"]))
+
+
+def _resolve(base: Column, ref: Column) -> Column:
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    rest = F.regexp_extract(ref, r"(?s)^[^?#]*(.*)$", 1)
     return (
         F.when(ref == "", base)
         .when(ref.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), ref)
         .when(ref.startswith("//"), F.concat(F.regexp_extract(base, SPLIT, 1), F.lit(":"), ref))
-        .when(
-            ref_path == "",
-            F.concat(
-                origin,
-                base_path,
-                F.when(ref_query == "", base_query).otherwise(ref_query),
-                ref_fragment,
-            ),
+        .when(ref.rlike(r"^/(?!.*?\.)|^/(?!.*?/\.\.?(?:[/?#]|$))(?!\.\.?(?:[/?#]|$))"), F.concat(origin, ref))
+        .when(ref.rlike("^[?#]"), F.concat(origin, path(base), _query_and_fragment(base, ref)))
+        .otherwise(F.concat(origin, _join_paths(path(base), path(ref)), rest))
+    )
+
+
+def _query_and_fragment(base: Column, ref: Column) -> Column:
+    own = F.regexp_extract(ref, SPLIT, 4)
+    return F.concat(
+        F.when(own == "", F.regexp_extract(base, SPLIT, 4)).otherwise(own),
+        F.regexp_extract(ref, SPLIT, 5),
+    )
+
+
+def _join_paths(base_path: Column, ref_path: Column) -> Column:
+    folder = F.regexp_extract(base_path, r"^(.*/)", 1)
+    merged = F.when(ref_path.startswith("/"), ref_path).otherwise(
+        # a relative join also drops empty segments inside the path
+        F.regexp_replace(
+            F.concat(F.when(folder == "", "/").otherwise(folder), ref_path), r"/{2,}", "/"
         )
-        .otherwise(F.concat(origin, target, ref_query, ref_fragment))
     )
+    target = let(F.split(merged, "/"), lambda s: F.array_join(_drop_dot_segments(s), "/"))
+    return let(target, lambda t: F.when(t.startswith("/"), t).otherwise(F.concat(F.lit("/"), t)))
 
 
-def _clean_query(url: Column, tracking: Sequence[str]) -> Column:
-    raw = query(url)
+def _clean_query(raw: Column, tracking: Sequence[str]) -> Column:
     pairs = F.transform(
         F.filter(F.split(raw, "&"), lambda p: p != ""),
         lambda p: F.struct(
@@ -178,46 +206,62 @@ def normalize_url(
     Scheme and host are lower-cased; default port, fragment, ``;params``, user-info
     and tracking parameters go; the rest of the query is sorted.
     """
-    text = clean(url)
-    if base is not None:
-        text = F.when(text == "", F.lit(None)).otherwise(resolve_relative(base, text))
-    kind, name, digits = scheme(text), host(text), port(text)
-    number = digits.try_cast("int")
-    default = F.when(kind == "http", 80).otherwise(443)
+    if base is None:
+        return let(clean(url), lambda text: _normal(text, tracking))
+
+    def absolute(text: Column) -> Column:
+        return F.when(text == "", F.lit(None)).otherwise(resolve_relative(base, text))
+
+    return let(let(clean(url), absolute), lambda text: _normal(text, tracking))
+
+
+#: URLs that are their own normal form: no port, query, fragment or end slash
+_NORMAL = r"^https?://[a-z0-9.\-]+(?:/|(?:/[A-Za-z0-9._~\-]+)+)$"
+
+
+def _normal(text: Column, tracking: Sequence[str]) -> Column:
+    parts = F.struct(
+        scheme(text).alias("kind"), host(text).alias("name"), port(text).alias("digits"),
+        F.regexp_replace(path(text), r";[^/]*$", "").alias("path"), query(text).alias("query"),
+    )
+    return F.when(text.rlike(_NORMAL), text).otherwise(let(parts, lambda p: _assemble(p, tracking)))
+
+
+def _assemble(p: Column, tracking: Sequence[str]) -> Column:
+    number = p["digits"].try_cast("int")
+    default = F.when(p["kind"] == "http", 80).otherwise(443)
     netloc = F.when(
         number.isNotNull() & (number != 0) & (number != default),
-        F.concat(name, F.lit(":"), number.cast("string")),
-    ).otherwise(name)
-    raw_path = F.regexp_replace(path(text), r";[^/]*$", "")
-    coded = percent_encode_path(percent_decode(F.when(raw_path == "", "/").otherwise(raw_path)))
-    trimmed = F.regexp_replace(coded, r"/+$", "")
-    final_path = F.when(trimmed == "", "/").otherwise(trimmed)
-    args = _clean_query(text, tracking)
-    valid = (
-        kind.isin("http", "https")
-        & (name != "")
-        & ((digits == "") | (digits.rlike(r"^[0-9]{1,5}$") & (number <= 65535)))
+        F.concat(p["name"], F.lit(":"), number.cast("string")),
+    ).otherwise(p["name"])
+    trimmed = F.regexp_replace(percent_encode_path(percent_decode(p["path"])), r"/+$", "")
+    route = let(trimmed, lambda t: F.when(t == "", "/").otherwise(t))
+    args = let(
+        _clean_query(p["query"], tracking),
+        lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)),
     )
-    return F.when(
-        valid,
-        F.concat(
-            kind, F.lit("://"), netloc, final_path,
-            F.when(args == "", "").otherwise(F.concat(F.lit("?"), args)),
-        ),
+    valid = (
+        p["kind"].isin("http", "https")
+        & (p["name"] != "")
+        & ((p["digits"] == "") | (p["digits"].rlike(r"^[0-9]{1,5}$") & (number <= 65535)))
     )
+    return F.when(valid, F.concat(p["kind"], F.lit("://"), netloc, route, args))
 
 
 def split_host(url: Column) -> Column:
     """struct(domain, subdomain, route): last two labels, the rest, path or '/'."""
-    labels = F.split(host(url), r"\.")
+    return let(F.struct(host(url).alias("h"), path(url).alias("p")), _host_parts)
+
+
+def _host_parts(x: Column) -> Column:
+    labels = F.split(x["h"], r"\.")
     count = F.size(labels)
-    route = path(url)
     return F.struct(
-        F.when(count >= 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(host(url)).alias("domain"),
+        F.when(count >= 2, F.substring_index(x["h"], ".", -2)).otherwise(x["h"]).alias("domain"),
         F.when(
             count > 2, F.array_join(F.slice(labels, 1, F.greatest(count - 2, F.lit(0))), ".")
         ).otherwise("").alias("subdomain"),
-        F.when(route == "", "/").otherwise(route).alias("route"),
+        F.when(x["p"] == "", "/").otherwise(x["p"]).alias("route"),
     )
 
 
@@ -242,12 +286,13 @@ def allowed_domain(url: Column, domains: Sequence[str]) -> Column:
     """Host matches a listed domain by suffix, in either direction; no list allows all."""
     if not domains:
         return F.lit(True)
-    name = without_www(host(url))
     wanted = [_bare(d) for d in domains]
-    return (host(url) != "") & (
-        name.isin(wanted)
-        | any_of([name.endswith("." + d) for d in wanted])
-        | any_of([F.endswith(F.lit(d), F.concat(F.lit("."), name)) for d in wanted])
+    # the parents of a listed domain are allowed too
+    above = {d.split(".", i)[-1] for d in wanted for i in range(1, d.count(".") + 1)}
+    return let(
+        without_www(host(url)),
+        lambda name: (name != "")
+        & (name.rlike(f"(?:^|\\.)(?:{alternation(wanted)})$") | name.isin(sorted(above))),
     )
 
 
@@ -291,17 +336,23 @@ def ipv4_number(hostname: Column) -> Column:
 
 def private_host(url: Column, blocked: Sequence[str] = rules.BLOCKED_HOSTS) -> Column:
     """Literal check against internal targets; names are never matched by prefix."""
-    name = host(url)
-    number = ipv4_number(name)
-    ranges = []
-    for start, bits in _PRIVATE_BLOCKS:
-        first = reduce(lambda acc, o: acc * 256 + int(o), start.split("."), 0)
-        ranges.append((number >= first) & (number < first + (1 << (32 - bits))))
+    return let(host(url), lambda name: _private_name(name, blocked))
+
+
+def _private_name(name: Column, blocked: Sequence[str]) -> Column:
+    def in_blocks(number: Column) -> Column:
+        ranges = []
+        for start, bits in _PRIVATE_BLOCKS:
+            first = reduce(lambda acc, o: acc * 256 + int(o), start.split("."), 0)
+            ranges.append((number >= first) & (number < first + (1 << (32 - bits))))
+        return any_of(ranges)
+
     v6 = name.contains(":") & name.rlike(
         r"^(?:::1?|(?:0{1,4}:){7}0{0,3}[01]|f[cd][0-9a-f]{0,2}:.*|fe[89ab][0-9a-f]?:.*"
         r"|2001:db8:.*|::ffff:(?:127|10|192\.168|169\.254)\..*)$"
     )
-    return (name == "") | name.isin(list(blocked)) | F.coalesce(any_of(ranges), F.lit(False)) | v6
+    literal = F.when(name.rlike(_IPV4), let(ipv4_number(name), in_blocks)).otherwise(F.lit(False))
+    return (name == "") | name.isin(list(blocked)) | literal | v6
 
 
 # --- pattern and file rules --------------------------------------------------
@@ -322,23 +373,30 @@ def is_downloadable_url(url: Column, extensions: Sequence[str] = ()) -> Column:
     dotted = [e.lower() if e.startswith(".") else "." + e.lower() for e in extensions]
     targets = dotted or rules.DOWNLOADABLE_EXTENSIONS
     names = alternation([t.lstrip(".") for t in targets])
-    route, args = F.lower(path(url)), F.lower(query(url))
-    by_query = args.rlike(rf"(?:\.|format=|type=|file=|ext=)(?:{names})")
-    if not custom:
-        by_query = by_query | args.rlike(r"export=download|dl=1|download=true")
-    tests = [
-        ends_with_any(route, targets),
-        by_query,
-        route.rlike(rf"/(?:{names})(?:/|$)"),
-        (url.contains("usrfiles.com") | url.contains("wixstatic.com/docs"))
-        & (route.rlike(alternation(targets)) | args.rlike(alternation(targets))),
-    ]
-    if not custom or set(targets) & set(rules.DRIVE_EXTENSIONS):
-        tests.append(
-            (url.contains("drive.google.com") | url.contains("docs.google.com"))
-            & (args.contains("export=download") | route.contains("/file/d/") | route.contains("/uc"))
-        )
-    return ~ends_with_any(route, rules.THEME_ASSET_EXTENSIONS) & any_of(tests)
+    parts = F.struct(
+        url.alias("url"), F.lower(path(url)).alias("route"), F.lower(query(url)).alias("args")
+    )
+
+    def test(p: Column) -> Column:
+        u, route, args = p["url"], p["route"], p["args"]
+        by_query = args.rlike(rf"(?:\.|format=|type=|file=|ext=)(?:{names})")
+        if not custom:
+            by_query = by_query | args.rlike(r"export=download|dl=1|download=true")
+        tests = [
+            ends_with_any(route, targets),
+            by_query,
+            route.rlike(rf"/(?:{names})(?:/|$)"),
+            u.rlike(r"usrfiles\.com|wixstatic\.com/docs")
+            & (route.rlike(alternation(targets)) | args.rlike(alternation(targets))),
+        ]
+        if not custom or set(targets) & set(rules.DRIVE_EXTENSIONS):
+            tests.append(
+                u.rlike(r"(?:drive|docs)\.google\.com")
+                & (args.contains("export=download") | route.rlike("/file/d/|/uc"))
+            )
+        return ~ends_with_any(route, rules.THEME_ASSET_EXTENSIONS) & any_of(tests)
+
+    return let(parts, test)
 
 
 def cloud_share_to_direct(url: Column) -> Column:

@@ -20,10 +20,9 @@ from siftloom.operators.skew import top_per_group
 
 
 def _trigrams(text: Column) -> Column:
+    """All overlapping trigrams, in one pass of a zero-width match."""
     flat = F.lower(F.regexp_replace(text, r"(?U)\s+", " "))
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(flat) - 2, F.lit(1))), lambda i: F.substring(flat, i, 3)
-    )
+    return F.regexp_extract_all(flat, F.lit(r"(?s)(?=(...))"), 1)
 
 
 def train_language_profiles(
@@ -38,7 +37,6 @@ def train_language_profiles(
     grams = (
         labelled.where(F.col("lang").isin(list(languages)))
         .select("lang", F.explode(_trigrams(F.col("text"))).alias("gram"))
-        .where(F.length("gram") == 3)
         .groupBy("lang", "gram")
         .count()
     )

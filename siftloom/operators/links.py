@@ -28,11 +28,10 @@ def _anchor_links(html: Column) -> Column:
     def of_section(section: Column, s: Column) -> Column:
         def of_anchor(a: Column, i: Column) -> Column:
             tag = F.regexp_extract(a, r"(?s)^<[^>]*>", 0)
-            label = H.attribute(tag, "title")
+            label = F.coalesce(urls.filled(H.attribute(tag, "title")), H.attribute(tag, "aria-label"))
             return _link(
                 H.attribute(tag, "href"), "anchor", 0, s.cast("long") * 1_000_000 + i,
-                text=strip(H.strip_tags(a)),
-                title_attr=strip(F.when(label != "", label).otherwise(H.attribute(tag, "aria-label"))),
+                text=strip(H.strip_tags(a)), title_attr=strip(label),
                 heading=section["heading"], accordion_group=section["accordion_group"],
             )
 
@@ -44,20 +43,25 @@ def _anchor_links(html: Column) -> Column:
 def _attribute_links(html: Column) -> Column:
     """Links in data attributes, with the text that directly follows the tag."""
     found = []
+    none = F.array().cast(
+        "array<struct<href:string,kind:string,at:struct<rank:int,pos:bigint>,text:string,"
+        "title_attr:string,heading:string,accordion_group:string>>"
+    )
     for rank, name in enumerate(rules.LINK_ATTRIBUTES, start=1):
         tags = F.regexp_extract_all(
             html, F.lit(rf"(?is)(<[a-z][a-z0-9]*\s[^<>]*\b{name}\s*=[^<>]*>[^<]*)"), 1
         )
-        found.append(
-            F.transform(
-                tags,
-                lambda t, i, rank=rank, name=name: _link(
-                    urls.expand_document_id(H.attribute(t, name)), "attribute", rank, i,
-                    text=strip(H.strip_tags(t)),
-                ),
-            )
-        )
-    return F.concat(*found)
+        found.append(F.transform(tags, _attribute_link(name, rank)))
+    # one cheap test spares most pages the scans below
+    return F.when(html.rlike(r"(?i)\sdata-(?:href|url|link|document-url|uri)\s*="), F.concat(*found)).otherwise(none)
+
+
+def _attribute_link(name: str, rank: int):
+    def build(tag: Column, i: Column) -> Column:
+        target = urls.expand_document_id(H.attribute(tag, name))
+        return _link(target, "attribute", rank, i, text=strip(H.strip_tags(tag)))
+
+    return build
 
 
 def _tag_links(html: Column, pattern: str, attr: str, kind: str, rank: int) -> Column:
@@ -67,14 +71,17 @@ def _tag_links(html: Column, pattern: str, attr: str, kind: str, rank: int) -> C
 
 def all_links(html: Column) -> Column:
     """Every link of a page with its raw target, in order of precedence."""
-    clean = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    links = F.concat(
-        _anchor_links(clean),
-        _attribute_links(clean),
-        _tag_links(clean, "form", "action", "form", 10),
-        _tag_links(clean, "iframe|embed|frame", "src", "frame", 11),
-    )
-    return F.filter(links, lambda link: urls.is_navigational(link["href"]))
+
+    def collect(clean: Column) -> Column:
+        links = F.concat(
+            _anchor_links(clean),
+            _attribute_links(clean),
+            _tag_links(clean, "form", "action", "form", 10),
+            _tag_links(clean, "iframe|embed|frame", "src", "frame", 11),
+        )
+        return F.filter(links, lambda link: urls.is_navigational(link["href"]))
+
+    return urls.let(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), collect)
 
 
 def _best_name(text: Column, title_attr: Column, heading: Column, page_title: Column) -> Column:
@@ -144,25 +151,31 @@ def _tag_resources(html: Column) -> Column:
     metas = [rf"\s{key}\s*=\s*[\"']{name}[\"']" for key, name in rules.RESOURCE_META_KEYS]
 
     def of_tag(tag: Column) -> Column:
-        name = H.tag_name(tag)
-        rel = F.lower(strip(H.attribute(tag, "rel")))
-        wanted_link = rel.isin(rules.ENCLOSURE_RELS) | rel.contains("image_src") | F.lower(
-            strip(H.attribute(tag, "as"))
-        ).isin(rules.ENCLOSURE_AS)
-        wanted_meta = tag.rlike("(?i)" + "|".join(metas))
-        image_input = tag.rlike(r"(?i)\stype\s*=\s*[\"']?image[\"'\s/>]")
-
-        def wanted(a: Column) -> Column:
+        def wanted(x: Column, a: Column) -> Column:
             return (
-                F.concat(name, F.lit(" "), a["name"]).isin(pairs)
+                F.concat(x["name"], F.lit(" "), a["name"]).isin(pairs)
                 | a["name"].isin(rules.RESOURCE_DATA_ATTRIBUTES)
-                | ((name == "link") & (a["name"] == "href") & wanted_link)
-                | ((name == "meta") & (a["name"] == "content") & wanted_meta)
-                | ((name == "input") & (a["name"] == "src") & image_input)
+                | ((x["name"] == "link") & (a["name"] == "href") & x["link"])
+                | ((x["name"] == "meta") & (a["name"] == "content") & x["meta"])
+                | ((x["name"] == "input") & (a["name"] == "src") & x["image"])
             )
 
-        kept = F.filter(H.tag_attributes(tag), lambda a: wanted(a) & ~a["value"].startswith("data:"))
-        return F.flatten(F.transform(kept, lambda a: H.srcset_urls(a["value"])))
+        def pick(x: Column) -> Column:
+            kept = F.filter(x["attrs"], lambda a: wanted(x, a) & ~a["value"].startswith("data:"))
+            return F.flatten(F.transform(kept, lambda a: H.srcset_urls(a["value"])))
+
+        rel = F.lower(strip(H.attribute(tag, "rel")))
+        facts = F.struct(
+            H.tag_name(tag).alias("name"),
+            H.tag_attributes(tag).alias("attrs"),
+            (
+                urls.let(rel, lambda r: r.isin(rules.ENCLOSURE_RELS) | r.contains("image_src"))
+                | F.lower(strip(H.attribute(tag, "as"))).isin(rules.ENCLOSURE_AS)
+            ).alias("link"),
+            tag.rlike("(?i)" + "|".join(metas)).alias("meta"),
+            tag.rlike(r"(?i)\stype\s*=\s*[\"']?image[\"'\s/>]").alias("image"),
+        )
+        return urls.let(facts, pick)
 
     # tags that cannot hold a resource are skipped before their attributes are read
     candidates = F.filter(
@@ -178,18 +191,18 @@ def resource_urls(pages: DataFrame) -> DataFrame:
     """Distinct (page_id, url) of everything a page points to besides plain anchors."""
     html, base = F.col("html"), F.col("page_url")
     styles = F.regexp_extract_all(
-        html, F.lit(r"(?is)<[a-z][a-z0-9]*\s[^>]*?\sstyle\s*=\s*(\"[^\"]*url[^\"]*\"|'[^']*url[^']*')"), 1
+        html, F.lit(r"(?is)<[a-z][a-z0-9]*\s(?:[^>]*?\s)?style\s*=\s*(\"[^\"]*url[^\"]*\"|'[^']*url[^']*')"), 1
     )
-    bodies = H.script_bodies(html)
     relative = F.concat(
         F.transform(_tag_resources(html), urls.expand_document_id),
         F.flatten(
-            F.transform(styles, lambda s: H.style_urls(H.unescape(F.regexp_replace(s, r"^[\"']|[\"']$", ""))))
+            F.transform(styles, lambda s: H.style_urls(H.unquote(s)))
         ),
     )
     absolute = F.flatten(
         F.transform(
-            bodies, lambda b: F.concat(H.inline_urls(b), H.inline_document_ids(b), H.json_urls(b, base))
+            H.script_bodies(html),
+            lambda b: F.concat(H.inline_urls(b), H.inline_document_ids(b), H.json_urls(b, base)),
         )
     )
     found = F.array_distinct(
@@ -249,8 +262,10 @@ def interactive_links(pages: DataFrame) -> DataFrame:
 
 def _downloadables(page_url: Column, page_title: Column, html: Column) -> Column:
     """Downloadable links of a page, first occurrence per URL, inside the row."""
+    kinds = urls.alternation(rules.PAGE_DOWNLOAD_EXTENSIONS)
+    candidates = F.filter(all_links(html), lambda link: link["href"].rlike(rf"(?i)(?:{kinds})(?:[?#]|$)"))
     named = F.transform(
-        all_links(html),
+        candidates,
         lambda link: F.struct(
             urls.resolve_relative(page_url, link["href"]).alias("url"),
             F.when(
@@ -266,14 +281,17 @@ def _downloadables(page_url: Column, page_title: Column, html: Column) -> Column
             link["accordion_group"].alias("accordion_group"),
         ),
     )
+    # the raw target decides most cases before anything is resolved or named
     wanted = F.filter(
         named,
         lambda link: urls.ends_with_any(
             F.lower(F.regexp_extract(link["url"], r"^([^?#]*)", 1)), rules.PAGE_DOWNLOAD_EXTENSIONS
         ),
     )
-    targets = F.transform(wanted, lambda link: link["url"])
-    return F.filter(wanted, lambda link, i: F.array_position(targets, link["url"]) == i + 1)
+    return urls.let(
+        F.struct(wanted.alias("w"), F.transform(wanted, lambda link: link["url"]).alias("u")),
+        lambda x: F.filter(x["w"], lambda link, i: F.array_position(x["u"], link["url"]) == i + 1),
+    )
 
 
 def page_downloads(pages: DataFrame) -> DataFrame:

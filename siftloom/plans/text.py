@@ -1 +1,304 @@
-"""Queries."""
+"""Text, language, quality and topic queries over ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftloom import rules
+from siftloom.functions import language as L
+from siftloom.functions import quality as Q
+from siftloom.functions import textnorm as N
+from siftloom.functions import topics as T
+from siftloom.functions.text import collapse, paragraphs, word_count
+from siftloom.operators import documents as D
+from siftloom.plans import tables as t
+from siftloom.plans.registry import query
+from siftloom.plans.tables import read, with_tables
+
+# paragraphs: the test texts have single line breaks only, so every fifth becomes a blank line
+BLOCKS = "replace(text, '.' || chr(10), '.' || chr(10) || ' ' || chr(10))"
+
+
+@query("X16_paragraphs", f"""WITH b AS (SELECT doc_id, [trim(regexp_replace(x, '\\s+', ' ', 'g')) for x in string_split_regex({BLOCKS}, '\\n\\s*\\n+')] AS p FROM documents),
+c AS (SELECT doc_id, [x for x in p if x <> ''] AS p FROM b)
+SELECT doc_id, len(list_distinct(p)) AS paragraphs, md5(array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), chr(10))) AS digest FROM c""")
+def x16(spark, d):
+    doc = read(spark, d, "documents").select("doc_id", paragraphs(F.expr(BLOCKS)).alias("p"))
+    return doc.select("doc_id", F.size("p").alias("paragraphs"), F.md5(F.array_join("p", "\n")).alias("digest"))
+
+
+ARABIC_TEXT = "replace(replace(text, 'k', 'ك'), 'y', 'ي')"
+
+
+@query("X17_unicode_normalise", f"SELECT doc_id, md5(translate(nfc_normalize({ARABIC_TEXT}), '{rules.ARABIC_FORMS}', '{rules.KURDISH_FORMS}')) AS digest FROM documents")
+def x17(spark, d):
+    doc = read(spark, d, "documents")
+    return doc.select("doc_id", F.md5(N.normalize_text(F.expr(ARABIC_TEXT))).alias("digest"))
+
+
+LEGACY_COUNT = f"(length(text) - length(translate(text, '{rules.LEGACY_LETTERS}', '')))"
+
+
+@query("X18_legacy_font_decode", f"""SELECT doc_id, CAST({LEGACY_COUNT} AS BIGINT) AS letters, {LEGACY_COUNT} / CAST(greatest(length(text), 1) AS DOUBLE) > 0.05 AS is_legacy,
+  md5(CASE WHEN {LEGACY_COUNT} / CAST(greatest(length(text), 1) AS DOUBLE) > 0.05 THEN translate(text, '{rules.LEGACY_LETTERS}', '{rules.LEGACY_TARGETS}') ELSE text END) AS digest FROM documents""")
+def x18(spark, d):
+    doc = read(spark, d, "documents")
+    text = F.col("text")
+    ratio = N.legacy_letter_count(text) / F.greatest(F.length(text), F.lit(1))
+    return doc.select(
+        "doc_id", N.legacy_letter_count(text).cast("long").alias("letters"), (ratio > 0.05).alias("is_legacy"),
+        F.md5(F.when(ratio > 0.05, N.decode_legacy_font(text)).otherwise(text)).alias("digest"),
+    )
+
+
+# words to repair are planted between the Latin words of the documents
+PLANTED = "replace(replace(text, ' the ', ' ئگر '), ' de ', ' تایبت ')"
+
+
+@query("X19_word_repair")
+def x19(spark, d):
+    doc = read(spark, d, "documents").select("doc_id", F.expr(PLANTED).alias("text"))
+    return N.repair_words(doc, "text", "fixed", "repairs").select("doc_id", "repairs", F.md5("fixed").alias("digest"))
+
+
+@query("X20_decode_verdict", f"""WITH r AS (SELECT doc_id, text, {LEGACY_COUNT} / CAST(greatest(length(text), 1) AS DOUBLE) > 0.05 AS legacy FROM documents)
+SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN legacy THEN 'ali_kurdish_legacy' ELSE 'clean_unicode' END AS encoding_type, legacy AS is_legacy_encoded, CAST(1 AS DOUBLE) AS confidence,
+  CAST(len(CASE WHEN trim(text) = '' THEN '' WHEN legacy THEN translate(text, '{rules.LEGACY_LETTERS}', '{rules.LEGACY_TARGETS}') ELSE text END) >= length(text) AS BOOLEAN) AS whole FROM r""")
+def x20(spark, d):
+    doc = N.decode_kurdish(read(spark, d, "documents"), "text")
+    return doc.select(
+        "doc_id", "decoded.encoding_type", "decoded.is_legacy_encoded", "decoded.confidence",
+        (F.length("decoded.text") >= F.length("text")).alias("whole"),
+    )
+
+
+def _count(pattern: str) -> str:
+    return f"(length(c) - length(regexp_replace(c, '{pattern}', '', 'g')))"
+
+
+RATIO_SQL = f"""c AS (SELECT doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS c FROM scripted),
+r AS (SELECT doc_id, c, {_count(rules.ARABIC_CLASS)} / CAST(length(c) AS DOUBLE) AS ar, {_count(rules.LATIN_CLASS)} / CAST(length(c) AS DOUBLE) AS la,
+  {_count(rules.CYRILLIC_CLASS)} / CAST(length(c) AS DOUBLE) AS cy FROM c WHERE c <> ''),
+s AS (SELECT *, CASE WHEN ar > 0.3 THEN 'arabic' WHEN la > 0.3 THEN 'latin' WHEN cy > 0.3 THEN 'cyrillic' WHEN ar > 0.1 AND la > 0.1 THEN 'mixed' ELSE 'unknown' END AS script FROM r)"""
+
+
+@query("X21_script_ratios", with_tables(f"WITH {RATIO_SQL} SELECT doc_id, round(ar, 9) AS arabic_ratio, round(la, 9) AS latin_ratio, round(cy, 9) AS cyrillic_ratio, script FROM s", "scripted"))
+def x21(spark, d):
+    p = t.scripted(spark, d).where(F.trim("text") != "").select("doc_id", L.script_profile(F.col("text")).alias("p"))
+    return p.select("doc_id", *[F.round(f"p.{c}", 9).alias(c) for c in ("arabic_ratio", "latin_ratio", "cyrillic_ratio")], "p.script")
+
+
+@query("X22_language_rules", with_tables(f"""WITH {RATIO_SQL}, v AS (SELECT *, CASE WHEN ar > 0.2 OR script = 'arabic' THEN CASE WHEN regexp_matches(c, '[{rules.KURDISH_LETTERS}]') THEN 'ckb' ELSE 'ar' END
+  WHEN script = 'latin' THEN 'en' ELSE 'unknown' END AS language FROM s)
+SELECT doc_id, language, CASE language WHEN 'ckb' THEN 0.85::DOUBLE WHEN 'ar' THEN 0.7::DOUBLE WHEN 'en' THEN 0.6::DOUBLE ELSE 0::DOUBLE END AS confidence,
+  CASE WHEN language IN ('ckb', 'ar') THEN 'arabic' WHEN language = 'unknown' AND script = 'unknown' THEN 'mixed' ELSE script END AS script, language IN ('ckb', 'ar') AS is_rtl,
+  CASE language WHEN 'ckb' THEN 'Central Kurdish (Sorani)' WHEN 'ar' THEN 'Arabic' WHEN 'en' THEN 'English' ELSE 'Unknown' END AS language_name FROM v""", "scripted"))
+def x22(spark, d):
+    docs = t.scripted(spark, d).where(F.trim("text") != "")
+    return D.detect_languages(docs).select("doc_id", "language.*")
+
+
+LANGUAGES = ["de", "en", "es", "fr"]
+GRAMS_SQL = """f AS (SELECT doc_id, lang, string_split(lower(regexp_replace(text, '\\s+', ' ', 'g')), '') AS l FROM documents),
+g AS (SELECT doc_id, lang, unnest([l[i] || l[i + 1] || l[i + 2] for i in range(1, len(l) - 1)]) AS gram FROM f),
+c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY ALL),
+p AS (SELECT lang, gram, 301 - row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS weight FROM c QUALIFY weight > 0)"""
+
+
+@query("X23_language_profiles", f"WITH {GRAMS_SQL} SELECT lang, gram, weight FROM p")
+def x23a(spark, d):
+    return D.train_language_profiles(read(spark, d, "documents"), LANGUAGES)
+
+
+@query("X23_guess_language", f"""WITH {GRAMS_SQL}, s AS (SELECT g.doc_id, p.lang, sum(weight) AS total FROM g JOIN p ON g.gram = p.gram GROUP BY ALL)
+SELECT doc_id, lang AS guess, CAST(total AS BIGINT) AS total FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, lang) = 1""")
+def x23b(spark, d):
+    docs = read(spark, d, "documents")
+    return D.guess_language(docs, D.train_language_profiles(docs, LANGUAGES))
+
+
+BAD = "(len(regexp_extract_all(text, '[\\x{e0}-\\x{ff}\\x{fffd}]')) + len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]'))" + "".join(
+    f" + len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}'))" for p in rules.MOJIBAKE_PATTERNS) + ")"
+SPOILED = "replace(text, 'a', CASE doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN chr(195) || chr(169) ELSE chr(65533) || chr(65533) END)"
+
+
+@query("X24_mojibake_ratio", f"WITH m AS (SELECT doc_id, {SPOILED} AS text FROM documents) SELECT doc_id, round(least(1.0::DOUBLE, {BAD} / CAST(greatest(length(text), 1) AS DOUBLE)), 9) AS ratio FROM m")
+def x24(spark, d):
+    # chr() of Spark stops at 255, so the same text is spelled with literals
+    spoiled = F.expr("replace(text, 'a', CASE doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'Ã©' ELSE '��' END)")
+    return read(spark, d, "documents").select("doc_id", F.round(Q.mojibake_ratio(spoiled), 9).alias("ratio"))
+
+
+HIDDEN = "replace(text, 'e', CASE WHEN doc_id % 2 = 0 THEN 'e' ELSE chr(1) END)"
+
+
+@query("X25_printable_ratio", f"""WITH m AS (SELECT doc_id, {HIDDEN} AS text FROM documents)
+SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE round((length(text) - len(regexp_extract_all(text, '[\\x01\\x{{80}}-\\x{{a0}}\\x{{ad}}]'))) / CAST(length(text) AS DOUBLE), 9) END AS ratio,
+  length(text) - len(regexp_extract_all(text, '\\x01')) AS control_free FROM m""")
+def x25(spark, d):
+    text = F.expr(HIDDEN)
+    return read(spark, d, "documents").select(
+        "doc_id", F.round(Q.printable_ratio(text), 9).alias("ratio"), Q.control_free_count(text).alias("control_free")
+    )
+
+
+BYTES = "CAST(octet_length(encode(text)) AS BIGINT)"
+
+
+@query("X26_text_density", f"""WITH m AS (SELECT doc_id, length(text) AS n, {BYTES} AS size FROM documents), k AS (SELECT doc_id, doc_id % 2 = 0 AS pdf, CASE WHEN doc_id % 3 = 0 THEN n / CAST(doc_id % 7 + 1 AS DOUBLE) WHEN size > 0 THEN n / (size / 1024.0::DOUBLE) ELSE n END AS density FROM m)
+SELECT doc_id, round(density, 6) AS density, CAST(CASE WHEN pdf THEN CASE WHEN density >= 150 THEN 1.0 WHEN density >= 100 THEN 0.85 WHEN density >= 50 THEN 0.6 WHEN density >= 20 THEN 0.3 ELSE 0.1 END
+  ELSE CASE WHEN density >= 500 THEN 1.0 WHEN density >= 300 THEN 0.85 WHEN density >= 100 THEN 0.6 WHEN density >= 30 THEN 0.3 ELSE 0.1 END END AS DOUBLE) AS score FROM k""")
+def x26(spark, d):
+    doc = read(spark, d, "documents")
+    pages = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 7 + 1)
+    density = Q.text_density(F.length("text"), pages, F.octet_length("text").cast("long"))
+    return doc.select("doc_id", F.round(density, 6).alias("density"), Q.density_score(density, F.col("doc_id") % 2 == 0).alias("score"))
+
+
+@query("X27_metadata_completeness", """SELECT d.doc_id, ((CASE WHEN source <> '' THEN 1 ELSE 0 END) + 1 + (CASE WHEN l.doc_id IS NOT NULL THEN 1 ELSE 0 END)) / 6.0::DOUBLE AS completeness
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def x27(spark, d):
+    doc = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
+    none = F.lit(None).cast("string")
+    c = Q.metadata_completeness(F.col("source"), none, F.lit(""), F.col("lang"), F.col("quality"), none)
+    return doc.select("doc_id", c.alias("completeness"))
+
+
+@query("X28_integrity_score", f"""WITH m AS (SELECT doc_id, doc_id % 2 = 0 AS pdf, CASE doc_id % 4 WHEN 0 THEN '%PDF-' ELSE substring(text, 1, 5) END AS head, {BYTES} AS size FROM documents)
+SELECT doc_id, round(CASE WHEN size = 0 THEN 0::DOUBLE ELSE (CASE WHEN size < 100 THEN 0.5::DOUBLE ELSE 1::DOUBLE END) * (CASE WHEN pdf AND head <> '%PDF-' THEN 0.3::DOUBLE ELSE 1::DOUBLE END) END, 6) AS score FROM m""")
+def x28(spark, d):
+    doc = read(spark, d, "documents")
+    head = F.when(F.col("doc_id") % 4 == 0, "%PDF-").otherwise(F.substring("text", 1, 5))
+    score = Q.integrity_score(F.octet_length("text").cast("long"), F.col("doc_id") % 2 == 0, head)
+    return doc.select("doc_id", F.round(score, 6).alias("score"))
+
+
+@query("X29_quality_score", f"""WITH m AS (SELECT doc_id, text, length(text) AS n, {BYTES} AS size FROM documents),
+f AS (SELECT doc_id, CASE WHEN size > 0 THEN n / (size / 1024.0::DOUBLE) ELSE n END AS density,
+  CASE WHEN n = 0 THEN 0 ELSE (n - len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7f\\x{{80}}-\\x{{a0}}\\x{{ad}}]'))) / CAST(n AS DOUBLE) END AS pr,
+  1.0::DOUBLE - least(1.0::DOUBLE, {BAD} / CAST(greatest(n, 1) AS DOUBLE)) AS enc, CASE WHEN size = 0 THEN 0::DOUBLE WHEN size < 100 THEN 0.5::DOUBLE ELSE 1::DOUBLE END AS integ FROM m),
+g AS (SELECT *, CAST(CASE WHEN density >= 500 THEN 1.0 WHEN density >= 300 THEN 0.85 WHEN density >= 100 THEN 0.6 WHEN density >= 30 THEN 0.3 ELSE 0.1 END AS DOUBLE) AS ds FROM f)
+SELECT doc_id, CAST(greatest(0, least(100, round_even((0.0::DOUBLE + ds * 0.25::DOUBLE + pr * 0.15::DOUBLE + enc * 0.3::DOUBLE + (1 / 6.0::DOUBLE) * 0.15::DOUBLE + integ * 0.15::DOUBLE) * 100, 0))) AS INTEGER) AS score,
+  round_even(enc, 3) AS encoding_quality, round_even(pr, 3) AS printable_ratio FROM g""")
+def x29(spark, d):
+    doc = read(spark, d, "documents")
+    q = Q.quality_score(
+        F.col("text"), F.octet_length("text").cast("long"), F.lit(False), F.lit(""), Q.metadata_completeness(F.col("lang"))
+    )
+    return doc.select("doc_id", q.alias("q")).select("doc_id", "q.score", "q.encoding_quality", "q.printable_ratio")
+
+
+YEARS = "text || ' in ' || (1290 + doc_id % 20) || ' and ' || (2020 + doc_id % 15) || ', ' || (2020 + doc_id % 15)"
+
+
+@query("X30_year_tags", f"""WITH y AS (SELECT doc_id, regexp_extract_all({YEARS}, '\\b(1[3-9][0-9]{{2}}|20[0-2][0-9])\\b', 1) AS l FROM documents)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:20], ',') AS tags FROM y""")
+def x30(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.array_join(T.year_tags(F.expr(YEARS)), ",").alias("tags"))
+
+
+#: a Latin-script dictionary for the Latin test texts
+LATIN_TOPICS = {
+    "alpha": (["the", "tion"], ["ing", "and"]),
+    "beta": (["les", "que", "eau"], ["ent"]),
+    "gamma": (["sch", "der"], ["ung", "ein"]),
+    "delta": (["xyzzy"], ["plugh"]),
+}
+
+
+def _hits_sql(words) -> str:
+    return "(" + " + ".join(f"(length(c) - length(replace(c, '{w}', ''))) // {len(w)}" for w in words) + ")"
+
+
+def _topic_sql(table: str, topics) -> str:
+    scores = ", ".join(
+        f"{{'category': '{n}', 'ord': {i}, 'score': least(1.0::DOUBLE, ({_hits_sql(p)} * 2.0::DOUBLE + {_hits_sql(s)} * 1.0::DOUBLE) / greatest(1.0::DOUBLE, length(c) / 1000.0::DOUBLE))}}"
+        for i, (n, (p, s)) in enumerate(topics.items()))
+    return f"""c AS (SELECT doc_id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS c FROM {table}), s AS (SELECT doc_id, c, unnest([{scores}], recursive := true) FROM c),
+b AS (SELECT doc_id, c, category, score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1)
+SELECT doc_id, CASE WHEN c = '' THEN 'unknown' WHEN score < 0.3 THEN 'general' ELSE category END AS category, CASE WHEN c = '' THEN 0 ELSE round(score, 9) END AS confidence FROM b"""
+
+
+def _topics(docs, topics):
+    scored = docs.select("doc_id", "text", T.topic_scores(F.col("text"), topics).alias("s"))
+    best = scored.select("doc_id", T.best_topic(F.col("s"), F.col("text")).alias("b"))
+    return best.select("doc_id", "b.category", F.round("b.confidence", 9).alias("confidence"))
+
+
+@query("X31_topics", f"WITH {_topic_sql('documents', LATIN_TOPICS)}")
+def x31(spark, d):
+    return _topics(read(spark, d, "documents"), LATIN_TOPICS)
+
+
+@query("X31_topics_kurdish", with_tables(f"WITH {_topic_sql('scripted', rules.TOPIC_KEYWORDS)}", "scripted"))
+def x31b(spark, d):
+    return _topics(t.scripted(spark, d), rules.TOPIC_KEYWORDS)
+
+
+@query("X31_keywords_found", "SELECT doc_id, array_to_string([w for w in ['the', 'tion', 'ing', 'and'] if contains(text, w)], ',') AS found FROM documents")
+def x31c(spark, d):
+    s = read(spark, d, "documents").select("doc_id", T.topic_scores(F.col("text"), LATIN_TOPICS).alias("s"))
+    return s.select("doc_id", F.array_join(F.col("s")[0]["found"], ",").alias("found"))
+
+
+def _structured(spark, d):
+    docs = t.text_files(spark, d).select(
+        F.col("sha256").alias("id"), F.col("source_id").alias("publisher"), F.col("source_url").alias("url"),
+        F.col("storage_key").alias("file_path"), F.col("file_name").alias("title"), "text",
+    )
+    return D.structured_documents(docs)
+
+
+@query("X32_structured_documents")
+def x32(spark, d):
+    s = _structured(spark, d)
+    return s.select("schema_version", "id", *[F.to_json(c).alias(c) for c in ("source", "document", "text", "conversion", "structure", "quality")])
+
+
+@query("X32_structured_fields", with_tables("""SELECT sha256 AS id, source_id AS publisher, 'example.com' AS domain, source_id AS subdomain, regexp_extract(source_url, '://[^/]+(.*)$', 1) AS route, file_name AS title,
+  length(text) AS char_count, len([x for x in string_split_regex(text, '\\s+') if x <> '']) AS word_count, CASE WHEN text = '' THEN 'rejected' ELSE 'verified' END AS text_quality FROM text_files""", "text_files"))
+def x32b(spark, d):
+    return _structured(spark, d).select(
+        "id", "source.publisher", "source.domain", "source.subdomain", "source.route", "document.title",
+        "structure.char_count", "structure.word_count", "quality.text_quality",
+    )
+
+
+@query("X35_text_helpers", r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, len([x for x in string_split_regex(text, '\s+') if x <> '']) AS words, length(text) AS chars FROM documents")
+def x35(spark, d):
+    return read(spark, d, "documents").select(
+        "doc_id", F.md5(collapse(F.col("text"))).alias("collapsed"), word_count(F.col("text")).alias("words"), F.length("text").alias("chars")
+    )
+
+
+# --- page tables: documents cut into pages of 700 characters -----------------
+
+PAGE = 700
+
+
+def doc_pages(spark, d):
+    doc = read(spark, d, "documents")
+    count = F.greatest(F.ceil(F.length("text") / PAGE).cast("int"), F.lit(1))
+    pages = doc.select("doc_id", "text", F.explode(F.sequence(F.lit(1), count)).alias("page_no"))
+    cut = F.substring(F.col("text"), (F.col("page_no") - 1) * PAGE + 1, F.lit(PAGE))
+    return pages.select(
+        "doc_id", "page_no", F.when(F.col("doc_id") % 11 == 0, "").when(F.col("doc_id") % 11 == 1, F.substring(cut, 1, 20)).otherwise(cut).alias("text"),
+        (F.col("page_no") % 5 == 0).alias("has_images"),
+    )
+
+
+@query("A15_document_rollup", f"""WITH p AS (SELECT doc_id, text AS t, unnest(range(1, CAST(greatest(ceil(length(text) / {PAGE}.0), 1) AS INTEGER) + 1)) AS page_no FROM documents),
+q AS (SELECT doc_id, page_no, CASE doc_id % 11 WHEN 0 THEN '' WHEN 1 THEN substring(substring(t, CAST((page_no - 1) * {PAGE} + 1 AS INTEGER), {PAGE}), 1, 20) ELSE substring(t, CAST((page_no - 1) * {PAGE} + 1 AS INTEGER), {PAGE}) END AS text FROM p),
+j AS (SELECT doc_id, count(*) AS page_count, CAST(sum(length(text)) AS BIGINT) AS total, max(page_no) >= 5 AS has_images, trim(string_agg(CASE WHEN trim(text, ' ' || chr(10)) <> '' THEN text END, chr(10) ORDER BY page_no), ' ' || chr(10)) AS joined,
+  CAST(sum({LEGACY_COUNT}) AS BIGINT) AS legacy FROM q GROUP BY doc_id),
+k AS (SELECT *, total / CAST(page_count AS DOUBLE) AS density, coalesce(legacy / CAST(greatest(length(joined), 1) AS DOUBLE) > 0.05, false) AS is_legacy FROM j)
+SELECT doc_id, CASE WHEN total > 0 AND density >= 40 THEN 'digital' ELSE 'ocr' END AS classification, CASE WHEN total > 0 AND density >= 40 THEN 'pdf/digital' ELSE 'pdf/ocr' END AS folder_path,
+  page_count, CAST(coalesce(length(joined), 0) AS BIGINT) AS extracted_text_length, round_even(density, 2) AS text_density, has_images,
+  CASE WHEN total = 0 THEN 'scanned_image_no_text_found' WHEN density < 40 THEN 'low_text_density_' || printf('%.1f', round_even(density, 1)) || '_chars_per_page'
+    WHEN is_legacy THEN 'kurdish_legacy_font_decoded_ali_kurdish_legacy' ELSE 'clean_native_text_extracted' END AS reason,
+  trim(substring(coalesce(joined, ''), 1, 500), ' ' || chr(10)) AS raw_text_sample FROM k""")
+def a15(spark, d):
+    return D.classify_documents(doc_pages(spark, d)).select(
+        "doc_id", "classification", "folder_path", "page_count", "extracted_text_length", "text_density", "has_images",
+        "reason", "raw_text_sample",
+    )

@@ -184,14 +184,14 @@ def p14(spark, d):
 
 
 NAME_URL = "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'https://a.example.com/dl.php?file=vol%20' || page_id || '.pdf&x=1' WHEN 2 THEN 'https://a.example.com/d/b%20' || page_id || '.epub' WHEN 3 THEN 'https://a.example.com' ELSE 'https://a.example.com/doc' END"
-DISPOSITION = "CASE page_id % 6 WHEN 4 THEN 'attachment; filename=\"r ' || page_id || '.pdf\"' WHEN 5 THEN 'attachment; filename*=UTF-8''''%D9%88' || page_id || '.pdf' END"
+DISPOSITION = "CASE page_id % 6 WHEN 4 THEN 'attachment; filename=\"r ' || page_id || '.pdf\"' WHEN 5 THEN 'attachment; filename*=UTF-8' || chr(39) || chr(39) || '%D9%88' || page_id || '.pdf' END"
 
 
 @query("P15_filename_from_url", """SELECT page_id, CASE page_id % 6 WHEN 1 THEN 'vol ' || page_id || '.pdf' WHEN 2 THEN 'b ' || page_id || '.epub' WHEN 3 THEN 'unknown'
   WHEN 4 THEN 'r ' || page_id || '.pdf' WHEN 5 THEN 'و' || page_id || '.pdf'
   ELSE CASE WHEN regexp_extract(url, '://[^/?#]+[^?#]*/([^/?#]*)', 1) = '' THEN 'unknown' ELSE regexp_extract(url, '://[^/?#]+[^?#]*/([^/?#]*)', 1) END END AS name FROM pages""")
 def p15(spark, d):
-    disposition = F.expr(DISPOSITION.replace("''''", "\\'\\'"))
+    disposition = F.expr(DISPOSITION)
     return read(spark, d, "pages").select("page_id", U.filename_from_url(F.expr(NAME_URL), disposition).alias("name"))
 
 
@@ -204,16 +204,15 @@ RICH = """'<html lang="ckb"><head><meta property="og:title" content=" Vol &amp;
  || '<script type="application/ld+json">{"@type": "Book", "url": "https://books.example.com/b' || page_id || '", "nested": [{"documentUrl": "ugd/j' || page_id || '.pdf", "skip": "x"}, {"file": "rel' || page_id || '.epub"}]}</script></head>'
  || '<body><h1>Top &lt;' || page_id || '&gt;</h1><a href="/one.html">One ' || page_id || '</a><h2>Sub</h2><a title="T2" href="/two' || page_id || '.pdf">.</a>'
  || '<summary>Group A</summary><a href="three.zip?v=' || page_id || '">x</a><a href="#top">top</a><a href="/one.html">again</a>'
- || '<div data-href="/data' || page_id || '">Data link</div><button value="/btn' || page_id || '" onclick="go(''/click' || page_id || ''')">b</button>'
+ || '<div data-href="/data' || page_id || '">Data link</div><button value="/btn' || page_id || '" onclick="go(' || chr(39) || '/click' || page_id || chr(39) || ')">b</button>'
  || '<form action="/form"><input type="image" src="/i.png"></form><iframe src="https://v.example.com/e' || page_id || '"></iframe>'
- || '<img src="/p' || page_id || '.jpg" srcset="/p1.jpg 1x, /p2.jpg 2x" data-src="/lazy.png"><div style="background-image:url(''/bg' || page_id || '.png'')"></div>'
+ || '<img src="/p' || page_id || '.jpg" srcset="/p1.jpg 1x, /p2.jpg 2x" data-src="/lazy.png"><div style="background-image:url(' || chr(39) || '/bg' || page_id || '.png' || chr(39) || ')"></div>'
  || '<main><p>First line.</p><p>First line.</p><p>Second line of page ' || page_id || '</p></main></body></html>'"""
 SITE = "'https://site' || (page_id % 50) || '.example.com/dir/page.html'"
 
 
 def rich(spark, d):
-    expr = RICH.replace("''", "\\'")
-    return read(spark, d, "pages").select("page_id", F.expr(SITE).alias("url"), F.expr(expr).alias("html"))
+    return read(spark, d, "pages").select("page_id", F.expr(SITE).alias("url"), F.expr(RICH).alias("html"))
 
 
 ORIGIN = "'https://site' || (page_id % 50) || '.example.com'"

@@ -29,7 +29,9 @@ def dotted(extension: Column) -> Column:
 
 def stem_of(name: Column) -> Column:
     """Name without its suffix."""
-    return F.substring(name, F.lit(1), F.length(name) - F.length(urls.extension_of(name)))
+    return urls.let(
+        name, lambda n: F.substring(n, F.lit(1), F.length(n) - F.length(urls.extension_of(n)))
+    )
 
 
 # --- names -------------------------------------------------------------------
@@ -37,16 +39,21 @@ def stem_of(name: Column) -> Column:
 
 def sanitize_filename(name: Column, max_length: int = 150) -> Column:
     """Collector form: separators to '_', ends trimmed, extension lower-cased."""
-    stem = F.regexp_replace(stem_of(name), UNSAFE, "_")
-    stem = F.regexp_replace(F.regexp_replace(stem, r"(?U)[\s\-_]+", "_"), r"^[ ._]+|[ ._]+$", "")
-    stem = F.when(
-        F.length(stem) > max_length, F.regexp_replace(F.substring(stem, 1, max_length), r"_+$", "")
-    ).otherwise(stem)
-    stem = F.when(stem == "", "unnamed").otherwise(stem)
-    ext = F.regexp_replace(
-        F.regexp_replace(urls.extension_of(name), UNSAFE, ""), r"^[ ._]+|[ ._]+$", ""
-    )
-    return F.when(ext == "", stem).otherwise(F.concat(stem, F.lit("."), F.lower(ext)))
+
+    def cut(stem: Column) -> Column:
+        short = F.regexp_replace(F.substring(stem, 1, max_length), r"_+$", "")
+        return F.when(stem == "", "unnamed").when(F.length(stem) > max_length, short).otherwise(stem)
+
+    def clean(n: Column) -> Column:
+        joined = F.regexp_replace(F.regexp_replace(stem_of(n), UNSAFE, "_"), r"(?U)[\s\-_]+", "_")
+        ext = F.regexp_replace(urls.extension_of(n), UNSAFE, "")
+        suffix = urls.let(
+            F.lower(F.regexp_replace(ext, r"^[ ._]+|[ ._]+$", "")),
+            lambda e: F.when(e == "", "").otherwise(F.concat(F.lit("."), e)),
+        )
+        return F.concat(urls.let(F.regexp_replace(joined, r"^[ ._]+|[ ._]+$", ""), cut), suffix)
+
+    return urls.let(name, clean)
 
 
 def sanitize_catalog_name(name: Column, max_length: int = 200) -> Column:
@@ -70,8 +77,10 @@ def canonical_filename(original: Column, file_id: Column, extension: Column) ->
 
 
 def is_generic_title(title: Column) -> Column:
-    clean = strip(F.coalesce(title, F.lit("")))
-    return (F.length(clean) < 3) | F.lower(clean).rlike(urls.alternation(rules.GENERIC_TITLES))
+    return urls.let(
+        strip(F.coalesce(title, F.lit(""))),
+        lambda t: (F.length(t) < 3) | F.lower(t).rlike(urls.alternation(rules.GENERIC_TITLES)),
+    )
 
 
 def display_name(
@@ -81,8 +90,10 @@ def display_name(
     ext = F.coalesce(extension, F.lit(""))
 
     def named(title: Column) -> Column:
-        safe = sanitize_filename(title)
-        return F.when(safe != "unnamed", F.concat(stem_of(safe), ext)).otherwise(url_name)
+        return urls.let(
+            sanitize_filename(title),
+            lambda safe: F.when(safe != "unnamed", F.concat(stem_of(safe), ext)).otherwise(url_name),
+        )
 
     return (
         F.when(embedded.isNotNull() & ~is_generic_title(embedded), named(embedded))

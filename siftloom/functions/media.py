@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftloom.functions import urls
@@ -79,3 +79,22 @@ def transcript_parts(stt: DataFrame, part_size: int = 500) -> DataFrame:
             F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"),
         )
     )
+
+
+def chain_segments(segments: DataFrame, block: int = 1000) -> DataFrame:
+    """Start and end of each segment from the durations before it.
+
+    Durations are summed per block of ``block`` chunks first; offsets inside a
+    block then need that block only.  The window over blocks is ``block`` times
+    shorter than one over segments.
+    """
+    blocked = segments.withColumn("_b", F.floor(F.col("chunk_index") / block).cast("long"))
+    sums = blocked.groupBy("medium_id", "_b").agg(F.sum("duration_s").alias("_sum"))
+    before = Window.partitionBy("medium_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        "medium_id", "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_offset")
+    )
+    inside = Window.partitionBy("medium_id", "_b").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
+    placed = blocked.withColumn("_run", F.sum("duration_s").over(inside)).join(offsets, ["medium_id", "_b"])
+    end = F.col("_offset") + F.col("_run")
+    return placed.withColumns({"start_s": end - F.col("duration_s"), "end_s": end}).drop("_b", "_run", "_offset")

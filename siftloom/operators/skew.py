@@ -43,7 +43,7 @@ def attach_per_key(
     scattered = F.when(
         F.col("_hot").isNull() & F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull(),
         F.lit(0).cast("long"),
-    ).otherwise(F.xxhash64(*spread) | F.lit(1))
+    ).otherwise(F.xxhash64(*spread).bitwiseOR(F.lit(1).cast("long")))
     cold = lookup.select(
         *[F.col(k).alias(f"_c_{k}") for k in keys],
         F.lit(0).cast("long").alias("_c_salt"),

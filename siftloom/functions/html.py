@@ -233,9 +233,9 @@ def _marker() -> str:
 
 def _marker_start() -> str:
     return (
-        r"(?=<h[1-6][\s>])|(?=<strong[\s>])|(?=<summary[\s>])|(?=<[a-z][a-z0-9]*\s[^>]*"
+        r"(?=<h[1-6][\s>])|(?=<strong[\s>])|(?=<summary[\s>])|(?=<[a-z][a-z0-9]*\b[^>]*"
         + _class_test(rules.HEADING_CLASSES + rules.ACCORDION_CLASSES)
-        + r")|(?=<[a-z][a-z0-9]*\s[^>]*\sdata-(?:bs-)?toggle\s*=\s*[\"']collapse[\"'])"
+        + r")|(?=<[a-z][a-z0-9]*\b[^>]*\sdata-(?:bs-)?toggle\s*=\s*[\"']collapse[\"'])"
     )
 
 
@@ -246,12 +246,12 @@ def sections(html: Column) -> Column:
     before it, so links can be given context without comparing rows.
     """
     accordion = (
-        r"(?is)^<(?:summary[\s>]|[a-z][a-z0-9]*\s[^>]*(?:"
+        r"(?is)^<(?:summary[\s>]|[a-z][a-z0-9]*\b[^>]*(?:"
         + _class_test(rules.ACCORDION_CLASSES)
         + r"|\sdata-(?:bs-)?toggle\s*=\s*[\"']collapse[\"']))"
     )
     heading = (
-        r"(?is)^<(?:h[1-6][\s>]|strong[\s>]|[a-z][a-z0-9]*\s[^>]*"
+        r"(?is)^<(?:h[1-6][\s>]|strong[\s>]|[a-z][a-z0-9]*\b[^>]*"
         + _class_test(rules.HEADING_CLASSES)
         + ")"
     )

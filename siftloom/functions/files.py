@@ -58,22 +58,34 @@ def sanitize_filename(name: Column, max_length: int = 150) -> Column:
 
 def sanitize_catalog_name(name: Column, max_length: int = 200) -> Column:
     """Catalog form: no '..', blanks to '_', unsafe runs to '_', ends trimmed."""
-    text = strip(F.regexp_replace(name, r"\.\.+", "."))
-    text = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", "_"), UNSAFE + "+", "_")
-    text = F.regexp_replace(F.regexp_replace(text, r"[_-]{2,}", "_"), r"^[._-]+|[._-]+$", "")
-    return F.substring(F.when(text == "", "file").otherwise(text), 1, max_length)
+    # names of letters, digits and single separators need no rewriting
+    plain = rf"(?U)^[\p{{L}}\p{{N}}](?:[._-]?[\p{{L}}\p{{N}}])*+$"
+
+    def clean(n: Column) -> Column:
+        text = strip(F.regexp_replace(n, r"\.\.+", "."))
+        text = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", "_"), UNSAFE + "+", "_")
+        text = F.regexp_replace(F.regexp_replace(text, r"[_-]{2,}", "_"), r"^[._-]+|[._-]+$", "")
+        return urls.let(text, lambda t: F.when(t == "", "file").otherwise(F.substring(t, 1, max_length)))
+
+    return urls.let(name, lambda n: F.when((F.length(n) <= max_length) & n.rlike(plain), n).otherwise(clean(n)))
 
 
 def canonical_filename(original: Column, file_id: Column, extension: Column) -> Column:
     """{safe base}-{file id}{safe extension}."""
+
+    def build(x: Column) -> Column:
+        base = F.substring(x["name"], F.lit(1), F.length(x["name"]) - F.length(x["suffix"]))
+        ext = F.when(F.coalesce(x["ext"], F.lit("")) != "", x["ext"]).otherwise(x["suffix"])
+        bare = F.regexp_replace(F.regexp_replace(ext, r"\.\.+", "."), r"^\.", "")
+        safe = F.concat(F.lit("."), F.regexp_replace(bare, UNSAFE + "+", ""))
+        suffix = F.when(ext.rlike(r"^\.[A-Za-z0-9]+$") | (ext == ""), ext).otherwise(safe)
+        return F.concat(sanitize_catalog_name(base), F.lit("-"), x["id"], suffix)
+
     suffix = F.regexp_extract(original, r"(?s)^.+(\.[^.]*)$", 1)
-    base = F.substring(original, F.lit(1), F.length(original) - F.length(suffix))
-    ext = F.when(F.coalesce(extension, F.lit("")) != "", extension).otherwise(suffix)
-    bare = F.regexp_replace(F.regexp_replace(ext, r"\.\.+", "."), r"^\.", "")
-    safe_ext = F.when(ext == "", "").otherwise(
-        F.concat(F.lit("."), F.regexp_replace(bare, UNSAFE + "+", ""))
+    return urls.let(
+        F.struct(original.alias("name"), suffix.alias("suffix"), extension.alias("ext"), file_id.alias("id")),
+        build,
     )
-    return F.concat(sanitize_catalog_name(base), F.lit("-"), file_id, safe_ext)
 
 
 def is_generic_title(title: Column) -> Column:
@@ -308,21 +320,27 @@ def error_code(kind: Column) -> Column:
 
 def metadata_accessors(metadata: Column) -> Column:
     """struct(language_code, language_name, quality_score, topic, topic_confidence)."""
-    code = F.get_json_object(metadata, "$.language.language")
-    name = F.get_json_object(metadata, "$.language.language_name")
-    both = (F.coalesce(code, F.lit("")) != "") & (F.coalesce(name, F.lit("")) != "")
-    topic = F.get_json_object(metadata, "$.kurdish_category.category")
-    named = ~F.coalesce(topic, F.lit("")).isin("", "unknown", "general")
-    score = F.get_json_object(metadata, "$.quality.score").try_cast("double")
-    confidence = F.get_json_object(metadata, "$.kurdish_category.confidence").try_cast("double")
-    return F.struct(
-        F.when(both, code).alias("language_code"),
-        F.when(both, name).alias("language_name"),
-        F.nullif(score, F.lit(0.0)).alias("quality_score"),
-        F.when(named, topic).alias("topic"),
-        F.when(named, F.coalesce(confidence, F.lit(0.0))).alias("topic_confidence"),
+    known = (
+        "language struct<language:string,language_name:string>, quality struct<score:string>, "
+        "kurdish_category struct<category:string,confidence:string>"
     )
 
+    def read(m: Column) -> Column:
+        lang, topic = m["language"], m["kurdish_category"]
+        both = (F.coalesce(lang["language"], F.lit("")) != "") & (F.coalesce(lang["language_name"], F.lit("")) != "")
+        named = ~F.coalesce(topic["category"], F.lit("")).isin("", "unknown", "general")
+        score = m["quality"]["score"].try_cast("double")
+        confidence = F.coalesce(topic["confidence"].try_cast("double"), F.lit(0.0))
+        return F.struct(
+            F.when(both, lang["language"]).alias("language_code"),
+            F.when(both, lang["language_name"]).alias("language_name"),
+            F.when(score != 0, score).alias("quality_score"),
+            F.when(named, topic["category"]).alias("topic"),
+            F.when(named, confidence).alias("topic_confidence"),
+        )
+
+    return urls.let(F.from_json(metadata, known), read)
+
 
 def article_view(record: Column, file_name: Column | None = None) -> Column:
     """struct(title, url, body, paragraphs, word_count, language, quality_score)."""

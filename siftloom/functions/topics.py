@@ -19,11 +19,17 @@ def year_tags(text: Column, limit: int = 20) -> Column:
     return F.slice(F.array_distinct(years), 1, limit)
 
 
-def _hits(text: Column, words: Sequence[str]) -> Column:
-    """Occurrences of all words.  The list is one literal array, so the plan stays small."""
-    array = F.array(*[F.lit(w) for w in words])
-    return F.aggregate(
-        array, F.lit(0).cast("long"), lambda acc, w: acc + occurrences(text, w)
+def _counted(text: Column, words: Sequence[str], weight: float) -> Column:
+    """array<struct<w,n>> of the words that occur, with their weighted occurrences.
+
+    The list is one literal array, so the plan stays small.
+    """
+    return F.filter(
+        F.transform(
+            F.array(*[F.lit(w) for w in words]),
+            lambda w: F.struct(w.alias("w"), (occurrences(text, w) * weight).alias("n")),
+        ),
+        lambda x: x["n"] > 0,
     )
 
 
@@ -38,16 +44,20 @@ def topic_scores(text: Column, keywords: Keywords = rules.TOPIC_KEYWORDS) -> Col
     def score(clean: Column) -> Column:
         per_thousand = F.greatest(F.lit(1.0), F.length(clean) / 1000)
         scored = []
-        for name, (primary, secondary) in keywords.items():
-            words = F.array(*[F.lit(w) for w in [*primary, *secondary]])
-            raw = (_hits(clean, primary) * 2.0 + _hits(clean, secondary) * 1.0) / per_thousand
-            scored.append(
-                F.struct(
+
+        def entry(name: str):
+            def build(hits: Column) -> Column:
+                raw = F.aggregate(hits, F.lit(0.0), lambda acc, h: acc + h["n"]) / per_thousand
+                return F.struct(
                     F.lit(name).alias("category"),
                     F.least(F.lit(1.0), raw).alias("score"),
-                    F.slice(F.filter(words, lambda w: F.contains(clean, w)), 1, 10).alias("found"),
+                    F.slice(F.transform(hits, lambda h: h["w"]), 1, 10).alias("found"),
                 )
-            )
+
+            return build
+
+        for name, (primary, secondary) in keywords.items():
+            scored.append(let(F.concat(_counted(clean, primary, 2.0), _counted(clean, secondary, 1.0)), entry(name)))
         return F.array(*scored)
 
     return let(strip(F.coalesce(text, F.lit(""))), score)

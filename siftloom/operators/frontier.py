@@ -143,16 +143,15 @@ def robots_allowed(
     counts = hosted.groupBy("_host").agg(F.count("*").alias("_n"))
     table = robots_rules(robots, agent).withColumnRenamed("host", "_host").join(counts, "_host")
     joined = attach_per_key(hosted, table, ["_host"], [url])
-    target = F.concat(
-        F.when(urls.path(F.col(url)) == "", "/").otherwise(
-            urls.percent_encode_path(urls.percent_decode(urls.path(F.col(url))))
-        ),
-        F.regexp_extract(F.col(url), urls.SPLIT, 4),
+    full = F.concat(
+        F.coalesce(urls.filled(urls.path(F.col(url))), F.lit("/")), F.regexp_extract(F.col(url), urls.SPLIT, 4)
     )
+    joined = joined.withColumn("_target", urls.percent_encode_path(urls.percent_decode(full)))
+    target = F.col("_target")
     first = F.try_element_at(
         F.filter("rules", lambda r: (r["path"] == "*") | F.startswith(target, r["path"])), F.lit(1)
     )
-    return joined.withColumn("robots_allowed", F.coalesce(first["allow"], F.lit(True))).drop("_host", "rules")
+    return joined.withColumn("robots_allowed", F.coalesce(first["allow"], F.lit(True))).drop("_host", "rules", "_target")
 
 
 def sitemaps_for(hosts: DataFrame, robots: DataFrame) -> DataFrame:
@@ -231,9 +230,9 @@ def expand_frontier(
     """Breadth-first walk of a link table: (pages: url, depth; files: url, depth, page_url).
 
     No URL is taken twice and files do not recurse.  Each round is one join of the
-    frontier with the edges and one anti join with the pages seen so far; both are
-    checkpointed in the shared folder, so the plan does not grow and lost executors
-    do not restart the walk.  Page and file budgets are filled in URL order within
+    frontier with the edges and one anti join with the pages seen so far.  A round's
+    result is written to the shared folder, so the next plan reads files and lost
+    executors do not restart the walk.  Page and file budgets are filled in URL order within
     a round.
     """
     edges = cut_lineage(prepare_edges(links, domains, include, exclude, extensions))
@@ -258,7 +257,7 @@ def expand_frontier(
         if size == 0:
             break
         taken += size
-        pages = cut_lineage(pages.unionByName(frontier))
+        pages = pages.unionByName(frontier)
     sources = pages.where(F.col("depth") < max_depth).select(F.col("url").alias("src"), "depth")
     files = (
         edges.where("is_file")

@@ -96,7 +96,7 @@ def with_positions(df: DataFrame, order: Sequence[Column], name: str = "position
     """Number all rows 1..n in a total order, without a one-task window.
 
     Rows are range-partitioned and sorted; each partition numbers its own rows and
-    adds the rows of the partitions before it.  The sorted rows are checkpointed,
+    adds the rows of the partitions before it.  The sorted rows are written once,
     because partition boundaries are sampled and must not change between the two
     reads.
     """

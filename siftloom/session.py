@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,15 +34,25 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+
+    A temporary one is used only when that setting is absent, as in local tests.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder of the session.
+    """Write ``df`` to a table in the shared folder and read it back.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; a temporary one is
-    used only when that setting is absent, as in local tests.
+    The rows are computed once, the plan restarts from files, and lost executors
+    re-read instead of recomputing.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/siftloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -39,10 +39,11 @@ def unescape(text: Column) -> Column:
         return F.when(t.contains("&#"), F.aggregate(F.array_distinct(found), t, decode_one)).otherwise(t)
 
     def named(t: Column) -> Column:
-        out = t
-        for reference, char in _ENTITIES:
-            out = F.replace(out, F.lit(reference), F.lit(char))
-        return out
+        pairs = F.arrays_zip(
+            urls.literal_array([r for r, _ in _ENTITIES]).alias("r"),
+            urls.literal_array([c for _, c in _ENTITIES]).alias("c"),
+        )
+        return F.aggregate(pairs, t, lambda acc, e: F.replace(acc, e["r"], e["c"]))
 
     return urls.let(
         text,
@@ -53,16 +54,24 @@ def unescape(text: Column) -> Column:
 
 
 def unquote(value: Column) -> Column:
-    return unescape(F.regexp_replace(value, r"^[\"']|[\"']$", ""))
+    return F.regexp_replace(value, r"^[\"']|[\"']$", "")
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Decoded value of one attribute inside a start tag; '' when absent."""
+def raw_attribute(tag: Column, name: str) -> Column:
+    """Value of one attribute inside a start tag, references not decoded; '' when absent."""
     return unquote(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{_RAW_VALUE}", 1))
 
 
+def attribute(tag: Column, name: str) -> Column:
+    return unescape(raw_attribute(tag, name))
+
+
+def without_tags(fragment: Column) -> Column:
+    return F.regexp_replace(fragment, r"(?s)<[^>]*>", "")
+
+
 def strip_tags(fragment: Column) -> Column:
-    return unescape(F.regexp_replace(fragment, r"(?s)<[^>]*>", ""))
+    return unescape(without_tags(fragment))
 
 
 def without_furniture_tags(html: Column) -> Column:
@@ -311,7 +320,7 @@ def tag_name(tag: Column) -> Column:
 
 
 def tag_attributes(tag: Column) -> Column:
-    """array<struct<name,value>> of one start tag."""
+    """array<struct<name,value>> of one start tag, references not decoded."""
     pattern = rf"(?is)\s([a-z][a-z0-9:_-]*)\s*=\s*{_RAW_VALUE}"
     return F.zip_with(
         F.regexp_extract_all(tag, F.lit(pattern), 1),

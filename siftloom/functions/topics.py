@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftloom import rules
 from siftloom.functions.text import occurrences, strip
-from siftloom.functions.urls import let
+from siftloom.functions.urls import let, literal_array
 
 Keywords = Mapping[str, tuple[Sequence[str], Sequence[str]]]
 
@@ -26,7 +26,7 @@ def _counted(text: Column, words: Sequence[str], weight: float) -> Column:
     """
     return F.filter(
         F.transform(
-            F.array(*[F.lit(w) for w in words]),
+            literal_array(words),
             lambda w: F.struct(w.alias("w"), (occurrences(text, w) * weight).alias("n")),
         ),
         lambda x: x["n"] > 0,

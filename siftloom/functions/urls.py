@@ -26,6 +26,12 @@ def alternation(values: Sequence[str]) -> str:
     return "|".join(re.escape(v) for v in values)
 
 
+def literal_array(values: Sequence[str]) -> Column:
+    """Constant array of strings, built in one step."""
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({quoted})")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body names it.
 
@@ -101,12 +107,14 @@ def percent_decode(text: Column, plus_as_space: bool = False) -> Column:
 
 
 def _encode(text: Column, keep: str, space: str) -> Column:
-    coded = F.replace(F.url_encode(text), F.lit("+"), F.lit(space))
-    coded = F.replace(coded, F.lit("*"), F.lit("%2A"))
-    for char in keep:
-        if char != "%":
-            coded = F.replace(coded, F.lit(f"%{ord(char):02X}"), F.lit(char))
-    return F.replace(coded, F.lit("%25"), F.lit("%")) if "%" in keep else coded
+    """Form-encode, then restore the kept characters; an encoded percent sign comes last."""
+    pairs = [("+", space), ("*", "%2A")]
+    pairs += [(f"%{ord(c):02X}", c) for c in keep if c != "%"]
+    pairs += [("%25", "%")] if "%" in keep else []
+    found = literal_array([a for a, _ in pairs])
+    put = literal_array([b for _, b in pairs])
+    steps = F.arrays_zip(found.alias("a"), put.alias("b"))
+    return F.aggregate(steps, F.url_encode(text), lambda acc, x: F.replace(acc, x["a"], x["b"]))
 
 
 def percent_encode_path(text: Column) -> Column:
@@ -190,7 +198,7 @@ def _clean_query(raw: Column, tracking: Sequence[str]) -> Column:
             percent_decode(F.regexp_extract(p, r"^[^=]*=(.*)$", 1), True).alias("v"),
         ),
     )
-    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(list(tracking))))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.array_contains(literal_array(tracking), F.lower(p["k"]))))
     text = F.array_join(
         F.transform(kept, lambda p: F.concat(form_encode(p["k"]), F.lit("="), form_encode(p["v"]))),
         "&",

@@ -14,12 +14,12 @@ from siftloom.functions import urls
 from siftloom.functions.text import strip, word_count
 
 
-def _link(href: Column, kind: str, rank: int, pos: Column, **context: Column) -> Column:
+def _link(href: Column, kind: Column, rank: Column, pos: Column, **context: Column) -> Column:
     empty = F.lit("")
     return F.struct(
         href.alias("href"),
-        F.lit(kind).alias("kind"),
-        F.struct(F.lit(rank).alias("rank"), pos.cast("long").alias("pos")).alias("at"),
+        kind.alias("kind"),
+        F.struct(rank.alias("rank"), pos.cast("long").alias("pos")).alias("at"),
         *[context.get(n, empty).alias(n) for n in ("text", "title_attr", "heading", "accordion_group")],
     )
 
@@ -28,10 +28,10 @@ def _anchor_links(html: Column) -> Column:
     def of_section(section: Column, s: Column) -> Column:
         def of_anchor(a: Column, i: Column) -> Column:
             tag = F.regexp_extract(a, r"(?s)^<[^>]*>", 0)
-            label = F.coalesce(urls.filled(H.attribute(tag, "title")), H.attribute(tag, "aria-label"))
+            label = F.coalesce(urls.filled(H.raw_attribute(tag, "title")), H.raw_attribute(tag, "aria-label"))
             return _link(
-                H.attribute(tag, "href"), "anchor", 0, s.cast("long") * 1_000_000 + i,
-                text=strip(H.strip_tags(a)), title_attr=strip(label),
+                H.raw_attribute(tag, "href"), F.lit("anchor"), F.lit(0), s.cast("long") * 1_000_000 + i,
+                text=H.without_tags(a), title_attr=label,
                 heading=section["heading"], accordion_group=section["accordion_group"],
             )
 
@@ -42,44 +42,52 @@ def _anchor_links(html: Column) -> Column:
 
 def _attribute_links(html: Column) -> Column:
     """Links in data attributes, with the text that directly follows the tag."""
-    found = []
-    none = F.array().cast(
-        "array<struct<href:string,kind:string,at:struct<rank:int,pos:bigint>,text:string,"
-        "title_attr:string,heading:string,accordion_group:string>>"
-    )
-    for rank, name in enumerate(rules.LINK_ATTRIBUTES, start=1):
-        tags = F.regexp_extract_all(
-            html, F.lit(rf"(?is)(<[a-z][a-z0-9]*\s[^<>]*\b{name}\s*=[^<>]*>[^<]*)"), 1
+    names = "|".join(rules.LINK_ATTRIBUTES)
+    known = urls.literal_array(rules.LINK_ATTRIBUTES)
+    tags = F.regexp_extract_all(html, F.lit(rf"(?is)(<[a-z][a-z0-9]*\s[^<>]*\b(?:{names})\s*=[^<>]*>[^<]*)"), 1)
+
+    def of_tag(t: Column, i: Column) -> Column:
+        found = F.filter(H.tag_attributes(t), lambda a: F.array_contains(known, a["name"]))
+        return F.transform(
+            found,
+            lambda a: _link(
+                urls.expand_document_id(a["value"]), F.lit("attribute"),
+                F.array_position(known, a["name"]).cast("int"), i, text=H.without_tags(t),
+            ),
         )
-        found.append(F.transform(tags, _attribute_link(name, rank)))
-    # one cheap test spares most pages the scans below
-    return F.when(html.rlike(r"(?i)\sdata-(?:href|url|link|document-url|uri)\s*="), F.concat(*found)).otherwise(none)
-
-
-def _attribute_link(name: str, rank: int):
-    def build(tag: Column, i: Column) -> Column:
-        target = urls.expand_document_id(H.attribute(tag, name))
-        return _link(target, "attribute", rank, i, text=strip(H.strip_tags(tag)))
 
-    return build
+    return F.flatten(F.transform(tags, of_tag))
 
 
-def _tag_links(html: Column, pattern: str, attr: str, kind: str, rank: int) -> Column:
-    tags = F.regexp_extract_all(html, F.lit(rf"(?is)(<(?:{pattern})\s[^>]*>)"), 1)
-    return F.transform(tags, lambda t, i: _link(H.attribute(t, attr), kind, rank, i))
+def _tag_links(html: Column) -> Column:
+    """Form targets and frame sources."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:form|iframe|embed|frame)\s[^>]*>)"), 1)
+    form = lambda t: t.rlike("(?i)^<form")
+    return F.transform(
+        tags,
+        lambda t, i: _link(
+            H.unquote(
+                F.regexp_extract(t, r"(?is)(?:^<form\s(?:[^>]*?\s)?action|^<(?!form)[a-z]+\s(?:[^>]*?\s)?src)\s*=\s*" + H._RAW_VALUE, 1)
+            ),
+            F.when(form(t), "form").otherwise("frame"), F.when(form(t), 10).otherwise(11), i,
+        ),
+    )
 
 
 def all_links(html: Column) -> Column:
-    """Every link of a page with its raw target, in order of precedence."""
+    """Every link of a page with its target as written, in order of precedence."""
 
     def collect(clean: Column) -> Column:
-        links = F.concat(
-            _anchor_links(clean),
-            _attribute_links(clean),
-            _tag_links(clean, "form", "action", "form", 10),
-            _tag_links(clean, "iframe|embed|frame", "src", "frame", 11),
+        links = F.concat(_anchor_links(clean), _attribute_links(clean), _tag_links(clean))
+        return F.filter(F.transform(links, decode), lambda link: urls.is_navigational(link["href"]))
+
+    def decode(link: Column) -> Column:
+        plain = lambda name: strip(H.unescape(link[name])).alias(name)
+        return F.struct(
+            H.unescape(link["href"]).alias("href"), link["kind"].alias("kind"), link["at"].alias("at"),
+            plain("text"), plain("title_attr"), link["heading"].alias("heading"),
+            link["accordion_group"].alias("accordion_group"),
         )
-        return F.filter(links, lambda link: urls.is_navigational(link["href"]))
 
     return urls.let(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), collect)
 
@@ -147,14 +155,15 @@ def nearest_heading(tokens: DataFrame) -> DataFrame:
 
 
 def _tag_resources(html: Column) -> Column:
-    pairs = [f"{tag} {attr}" for tag, attr in rules.RESOURCE_TAG_ATTRIBUTES]
+    pairs = urls.literal_array([f"{tag} {attr}" for tag, attr in rules.RESOURCE_TAG_ATTRIBUTES])
+    data_names = urls.literal_array(rules.RESOURCE_DATA_ATTRIBUTES)
     metas = [rf"\s{key}\s*=\s*[\"']{name}[\"']" for key, name in rules.RESOURCE_META_KEYS]
 
     def of_tag(tag: Column) -> Column:
         def wanted(x: Column, a: Column) -> Column:
             return (
-                F.concat(x["name"], F.lit(" "), a["name"]).isin(pairs)
-                | a["name"].isin(rules.RESOURCE_DATA_ATTRIBUTES)
+                F.array_contains(pairs, F.concat(x["name"], F.lit(" "), a["name"]))
+                | F.array_contains(data_names, a["name"])
                 | ((x["name"] == "link") & (a["name"] == "href") & x["link"])
                 | ((x["name"] == "meta") & (a["name"] == "content") & x["meta"])
                 | ((x["name"] == "input") & (a["name"] == "src") & x["image"])
@@ -162,15 +171,15 @@ def _tag_resources(html: Column) -> Column:
 
         def pick(x: Column) -> Column:
             kept = F.filter(x["attrs"], lambda a: wanted(x, a) & ~a["value"].startswith("data:"))
-            return F.flatten(F.transform(kept, lambda a: H.srcset_urls(a["value"])))
+            return F.flatten(F.transform(kept, lambda a: H.srcset_urls(H.unescape(a["value"]))))
 
-        rel = F.lower(strip(H.attribute(tag, "rel")))
+        rel = F.lower(strip(H.raw_attribute(tag, "rel")))
         facts = F.struct(
             H.tag_name(tag).alias("name"),
             H.tag_attributes(tag).alias("attrs"),
             (
                 urls.let(rel, lambda r: r.isin(rules.ENCLOSURE_RELS) | r.contains("image_src"))
-                | F.lower(strip(H.attribute(tag, "as"))).isin(rules.ENCLOSURE_AS)
+                | F.lower(strip(H.raw_attribute(tag, "as"))).isin(rules.ENCLOSURE_AS)
             ).alias("link"),
             tag.rlike("(?i)" + "|".join(metas)).alias("meta"),
             tag.rlike(r"(?i)\stype\s*=\s*[\"']?image[\"'\s/>]").alias("image"),
@@ -196,7 +205,7 @@ def resource_urls(pages: DataFrame) -> DataFrame:
     relative = F.concat(
         F.transform(_tag_resources(html), urls.expand_document_id),
         F.flatten(
-            F.transform(styles, lambda s: H.style_urls(H.unquote(s)))
+            F.transform(styles, lambda s: H.style_urls(H.unescape(H.unquote(s))))
         ),
     )
     absolute = F.flatten(
@@ -243,8 +252,8 @@ def interactive_links(pages: DataFrame) -> DataFrame:
         )
         clicks = F.filter(attrs, lambda a: a["name"] == "onclick")
         return F.concat(
-            F.transform(direct, lambda a: a["value"]),
-            F.flatten(F.transform(clicks, lambda a: H.onclick_urls(a["value"]))),
+            F.transform(direct, lambda a: H.unescape(a["value"])),
+            F.flatten(F.transform(clicks, lambda a: H.onclick_urls(H.unescape(a["value"])))),
         )
 
     raw = F.array_distinct(F.flatten(F.transform(H.start_tags(html), values)))

@@ -220,7 +220,7 @@ ORIGIN = "'https://site' || (page_id % 50) || '.example.com'"
 
 def _per_page(*values: str) -> str:
     """SQL rows (page_id, url) for the listed URL expressions."""
-    return f"SELECT page_id, unnest([{', '.join(values)}]) AS url FROM pages"
+    return f"SELECT DISTINCT page_id, unnest([{', '.join(values)}]) AS url FROM pages"
 
 
 @query("X1_html_metadata", """SELECT page_id, 'Vol & ' || page_id AS title, 'Writer ' || (page_id % 7) AS author, 'About ' || page_id AS description, 'ckb' AS language FROM pages""")

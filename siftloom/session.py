@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -39,11 +40,12 @@ def shared_folder(spark: SparkSession) -> str:
 
     A temporary one is used only when that setting is absent, as in local tests.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

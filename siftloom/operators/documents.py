@@ -204,21 +204,28 @@ def classify_documents(
     )
     page = N.repair_words(page, "_normal", "_fixed", "_repairs")
     at = lambda c: F.when(F.col("_filled"), c)
-    lead = F.length(F.regexp_extract("text", r"(?U)^(\s*)", 1))
-    tail = F.length(F.regexp_extract("text", r"(?U)(\s*)$", 1))
-    stats = page.groupBy("doc_id").agg(
+    # numbers only from here on: no text is sorted or shuffled for the counts
+    measured = page.select(
+        "doc_id", "page_no", "_len", "_filled", "_repairs",
+        F.col("has_images").cast("int").alias("_img"),
+        Q.control_free_count(F.col("text")).alias("_clean"),
+        N.legacy_letter_count(F.col("text")).alias("_letters"),
+        F.length(F.regexp_extract("text", r"(?U)^(\s*)", 1)).alias("_lead"),
+        F.length(F.regexp_extract("text", r"(?U)(\s*)$", 1)).alias("_tail"),
+    )
+    stats = measured.groupBy("doc_id").agg(
         F.count("*").alias("page_count"),
         F.sum("_len").alias("total_chars"),
-        F.sum(Q.control_free_count(F.col("text"))).alias("clean_chars"),
-        F.max(F.col("has_images").cast("int")).alias("_images"),
+        F.sum("_clean").alias("clean_chars"),
+        F.max("_img").alias("_images"),
         F.sum(at(F.col("_len") + 1)).alias("_joined"),
-        F.sum(N.legacy_letter_count(F.col("text"))).alias("_legacy"),
+        F.sum("_letters").alias("_legacy"),
         F.sum("_repairs").alias("_repairs"),
-        F.min(at(F.struct("page_no", lead.alias("ws")))).alias("_first"),
-        F.max(at(F.struct("page_no", tail.alias("ws")))).alias("_last"),
+        F.min_by("_lead", at(F.col("page_no"))).alias("_first"),
+        F.max_by("_tail", at(F.col("page_no"))).alias("_last"),
     )
     length = F.coalesce(
-        F.col("_joined") - 1 - F.col("_first.ws") - F.col("_last.ws"), F.lit(0)
+        F.col("_joined") - 1 - F.col("_first") - F.col("_last"), F.lit(0)
     )
     starts = top_per_group(
         page.where("_filled").select(

@@ -16,7 +16,6 @@ from siftloom.functions.text import collapse, strip, word_count
 
 _RAW_VALUE = r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 _COMMENT = r"(?s)<!--.*?-->"
-TAG = r"(?is)<([a-z][a-z0-9]*)((?:\s[^<>]*)?)>"
 
 #: named references decoded in text and attributes; the ampersand comes last
 _ENTITIES = [

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftloom import rules
 from siftloom.functions import urls
 from siftloom.operators.skew import attach_per_key
 from siftloom.session import cut_lineage

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from siftloom import rules
 from siftloom.functions import conformance as C
 from siftloom.functions import files as FN
-from siftloom.functions import urls as U
 from siftloom.operators import catalog as CT
 from siftloom.operators import dedup as DD
 from siftloom.operators import integrity as IG

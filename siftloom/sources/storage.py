@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftloom import rules
 from siftloom.functions import files as FN
 from siftloom.functions import urls
 from siftloom.sources import schemas

@@ -420,13 +420,15 @@ def f6(spark, d):
     return LK.usable_pages(LK.web_page_records(read(spark, d, "pages"))).select("page_id", "word_count")
 
 
-@query("S12_record_names", f"""WITH {QUALITY_SQL}, s AS (SELECT page_id, sha256(text) AS digest, regexp_replace(regexp_replace(regexp_replace({UNESC.format('title')}, '[\\\\/:*?"<>|]', '_', 'g'), '[\\s\\-_]+', '_', 'g'), '^[ ._]+|[ ._]+$', '', 'g') AS c, {UNESC.format('title')} AS t FROM q)
-SELECT page_id, substring(c, 1, 80) || '_' || substring(digest, 1, 8) || '.json' AS name FROM s WHERE NOT contains(t, '.')""")
+@query("S12_record_names", f"""WITH {QUALITY_SQL}, s AS (SELECT page_id, sha256(text) AS digest, {UNESC.format('title')} AS t FROM q),
+e AS (SELECT *, regexp_extract(t, '(?s)^\\.*[^.].*?(\\.[^.]*)$', 1) AS ext FROM s),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(substring(t, 1, length(t) - length(ext)), '[\\\\/:*?"<>|]', '_', 'g'), '[\\s\\-_]+', '_', 'g'), '^[ ._]+|[ ._]+$', '', 'g') AS stem,
+  lower(regexp_replace(regexp_replace(ext, '[\\\\/:*?"<>|]', '', 'g'), '^[ ._]+|[ ._]+$', '', 'g')) AS suffix FROM e)
+SELECT page_id, substring(CASE WHEN stem = '' THEN 'unnamed' ELSE stem END || CASE WHEN suffix = '' THEN '' ELSE '.' || suffix END, 1, 80) || '_' || substring(digest, 1, 8) || '.json' AS name FROM c""")
 def s12(spark, d):
     html = F.col("html")
     p = read(spark, d, "pages").select("page_id", H.title(html).alias("t"), F.sha2(H.page_text(html), 256).alias("digest"))
-    # names with a dot have a suffix rule of their own, covered by P19
-    return p.where(~F.col("t").contains(".")).select("page_id", FN.record_name(F.col("t"), F.col("digest")).alias("name"))
+    return p.select("page_id", FN.record_name(F.col("t"), F.col("digest")).alias("name"))
 
 
 @query("page_quality_by_domain", f"""WITH {QUALITY_SQL}

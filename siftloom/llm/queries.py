@@ -1,4 +1,4 @@
 """All queries of this package."""
 
-from siftloom.llm import byte_bpe, merkle, packing, quality, reputation, toxicity, warc  # noqa: F401  (register their queries)
+from siftloom.llm import byte_bpe, merkle, packing, quality, reputation, substrings, suffixes, toxicity, warc  # noqa: F401  (register their queries)
 from siftloom.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -23,16 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm.registry import query, table
-from siftloom.llm.repeats import WORDS, Units, apply_hits, group_count, repeated
-
-
-def merged_runs(least: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(from, to, value) of the runs of equal values."""
-    at = 0
-    for value, run in groupby(least):
-        n = sum(1 for _ in run)
-        yield at, at + n - 1, value
-        at += n
+from siftloom.llm.repeats import WORDS, Units, apply_hits, group_count, merged_runs, repeated
 
 
 def sort_windows(m: np.ndarray, packed: list[bytes], first: np.ndarray, units: Units) -> Iterator[tuple[int, int, int, int]]:

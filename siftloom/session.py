@@ -48,7 +48,7 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     The rows are computed once, the plan restarts from files, and lost executors
@@ -56,5 +56,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/siftloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,18 +2,21 @@
 
 A capture is three records: the response (or a revisit of an equal payload), the request
 and a metadata record, the last two naming the first in ``WARC-Concurrent-To``.  Spark's
-text writer writes the archives, a record a line whose separator is the end of the
+text writer writes the archives (gzip), a record a line whose separator is the end of the
 record; they are read as binary files and cut by ``Content-Length``, so payloads may hold
 anything.  A file is one task's work: writers bound it by rows and by partition size.
+Record ids are derived from the capture, so a lost task writes the same ids again.
 
 Defined results: a null payload is empty; payloads under ``SMALL`` bytes are never
 revisits; of rows that share the smallest id all are responses; a null id is larger than
-any other; a null URL leaves out the target header; repeated rows are captures of their
-own; an empty table gives no archive and no rows; extra columns are not read.
+any other; a null URL leaves out the target header; rows repeated in all three columns
+share their record ids, and their assembled row counts them in ``copies``; an empty table
+gives no records and no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -49,6 +52,13 @@ def _record(kind: Column, record_id: Column, url: Column, media: str, block: Col
         _header("Content-Length", F.octet_length(block).cast("string")), F.lit(CRLF), block, F.lit(CRLF))
 
 
+def _identifier(kind: str, *parts: Column) -> Column:
+    """Name-based record id."""
+    digest = F.md5(F.concat_ws("\x01", F.lit(kind), *[F.coalesce(F.concat(F.lit("="), p), F.lit("-")) for p in parts]))
+    groups = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *groups), F.lit(">"))
+
+
 def with_revisits(captures: DataFrame) -> DataFrame:
     """Add ``refers_to`` (record id of the equal payload with the least ``page_id``) and ``first``.
 
@@ -71,10 +81,9 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(
         F.col(key).alias("page_id"), F.col(url).alias("url"), body.alias("payload"),
-        F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")).alias("record_id"),
         F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("bytes"))
-    # random ids are drawn once: the rows are read for the first payloads and for writing
-    rows = with_revisits(cut_lineage(rows))
+    named = [F.col("page_id").cast("string"), F.col("url"), F.col("digest")]
+    rows = with_revisits(rows.withColumn("record_id", _identifier("answer", *named)))
     revisit = F.col("refers_to").isNotNull()
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"),
                     _header("Content-Length", F.col("bytes").cast("string")), F.lit(CRLF))
@@ -84,15 +93,14 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
         [_header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), _header("WARC-Refers-To", F.col("refers_to")),
          F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}{CRLF}")).otherwise("")])
     with_it = _header("WARC-Concurrent-To", F.col("record_id"))
-    new_id = F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))
     rest = F.regexp_extract("url", "(?s)^[^/]*//[^/?#]*([^#]*)", 1)
     asked = F.concat(F.lit("GET "), F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), F.coalesce(rest, F.lit("")))), F.lit(f" HTTP/1.1{CRLF}"),
                      _header("Host", F.regexp_extract("url", "(?s)^[^/]*//([^/?#]*)", 1)), F.lit(CRLF))
-    request = _record(F.lit("request"), new_id, F.col("url"), "application/http; msgtype=request", asked, [with_it])
-    metadata = _record(F.lit("metadata"), new_id, F.col("url"), "application/warc-fields",
+    request = _record(F.lit("request"), _identifier("request", *named), F.col("url"), "application/http; msgtype=request", asked, [with_it])
+    metadata = _record(F.lit("metadata"), _identifier("metadata", *named), F.col("url"), "application/warc-fields",
                        _header("page-id", F.col("page_id").cast("string")), [with_it])
     (rows.select(F.explode(F.array(answer, request, metadata)).alias("value"))
-     .write.option("lineSep", CRLF).option("maxRecordsPerFile", FILE_ROWS).text(path))
+     .write.option("lineSep", CRLF).option("maxRecordsPerFile", FILE_ROWS).option("compression", "gzip").text(path))
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -103,6 +111,8 @@ def _fields(head: bytes) -> dict[str, str]:
 def parse(content: memoryview | bytes) -> Iterator[dict]:
     """Records of one archive file; ValueError where the file is no WARC."""
     content, at = bytes(content), 0
+    if content.startswith(b"\x1f\x8b"):
+        content = gzip.decompress(content)
     while at < len(content):
         if not content.startswith(b"WARC/", at):
             raise ValueError(f"no WARC record at byte {at}")
@@ -158,7 +168,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: capture_id and the structs ``answer``, ``request``, ``metadata``.
+    """One row per capture: capture_id, copies and the structs ``answer``, ``request``, ``metadata``.
 
     Records meet by the identifier they are concurrent to; the answer by its own.  Of
     several of a kind the one with the least record id is taken; a missing one is null.
@@ -172,7 +182,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
     capture = F.when(own, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
     grouped = records.groupBy(capture.alias("capture_id")).agg(
-        one(own, "answer"), one(kind == "request", "request"), one(kind == "metadata", "metadata"))
+        F.count_if(own).alias("copies"), one(own, "answer"), one(kind == "request", "request"), one(kind == "metadata", "metadata"))
     return grouped
 
 
@@ -181,12 +191,14 @@ def op2(spark, sf_dir):
     path = f"{shared_folder(spark)}/siftloom-warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     captures = assemble(read(spark, path, payload=False)).select(
-        "capture_id", F.col("metadata.fields")["page-id"].cast("long").alias("page_id"), F.col("answer.payload_bytes").alias("payload_bytes"),
+        "capture_id", "copies", F.col("metadata.fields")["page-id"].cast("long").alias("page_id"), F.col("answer.payload_bytes").alias("payload_bytes"),
         F.col("answer.payload_digest").alias("payload_digest"), F.col("answer.record_type").alias("record_type"),
         F.col("answer.refers_to").alias("_target"), F.col("request.target_uri").alias("url"))
     captures = cut_lineage(captures)
+    each = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    rows = captures.select("*", each.alias("_")).drop("_")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
-    stored = captures.where("_target is null").withColumn("refers_to", F.lit(None).cast("long")).select(*names)
+    stored = rows.where("_target is null").withColumn("refers_to", F.lit(None).cast("long")).select(*names)
     origin = captures.where("record_type = 'response'").select(F.col("capture_id").alias("_id"), F.col("page_id").alias("refers_to"))
-    again = captures.where("_target is not null").join(origin, F.col("_target") == F.col("_id"), "left").select(*names)
+    again = rows.where("_target is not null").join(origin, F.col("_target") == F.col("_id"), "left").select(*names)
     return stored.unionByName(again)

@@ -2,20 +2,58 @@
 
 from __future__ import annotations
 
-from siftloom.llm import quality
+from pyspark.sql import DataFrame, SparkSession
+
+from siftloom.llm import near_dedup, packing, quality, suffixes, toxicity
+from siftloom.session import cut_lineage
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the fences of their language and source."""
+    return quality.quality_filter(docs)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic, by a model fitted on labelled ones among them."""
+    return toxicity.toxicity_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup.near_dedup(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that start in a document before them."""
+    return suffixes.dedup_texts(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
 
 #: Stages in order; each takes (spark, docs, sf_dir) and returns a DataFrame.
 STAGES = [
-    ("quality_rules", lambda spark, docs, sf_dir: quality.quality_filter(docs)),
+    ("quality_rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("packing", pack),
 ]
 
-#: Quantile sketches, a trained classifier and a tokenizer have no SQL form.
+#: Quantile sketches, a trained classifier and a tokenizer have no SQL form; the tests
+#: compare the stages with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The rows of the last stage over ``documents``."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``; each stage is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at + 1 < len(STAGES):
+            docs = cut_lineage(docs)
     return docs

@@ -138,7 +138,7 @@ def packed(docs: DataFrame, groups: int, columns: list[str]) -> DataFrame:
             for part in np.split(order, cuts):
                 if len(part):
                     sink = io.BytesIO()
-                    with pa.ipc.new_stream(sink, body.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    with pa.ipc.new_stream(sink, body.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                         out.write_batch(body.take(pa.array(part)))
                     numbers.append(int(group[part[0]]))
                     blobs.append(sink.getvalue())
@@ -301,8 +301,9 @@ def repeated(docs: DataFrame, units: Units, resolve: Resolve, key: str, text: st
     their least ids and yields (string, from, to, id) for runs of windows of a string.
     """
     blobs = packed(docs, groups, columns)
-    found = cut_lineage(occurrences(blobs, key, text, units, groups).withColumn("sid", F.xxhash64("s")))
-    many = found.select("m", "sid").distinct().groupBy("m").count().where(F.col("count") > hot).select("m")
+    found = cut_lineage(occurrences(blobs, key, text, units, groups).withColumn("sid", F.xxhash64("s")), "zstd")
+    # written, so the planner knows its size: few such minimisers are broadcast and the strings stay where they are
+    many = cut_lineage(found.select("m", "sid").distinct().groupBy("m").count().where(F.col("count") > hot).select("m"))
     split = _single_windows(found.join(many, "m", "left_semi").drop("sid"), units).withColumn("sid", F.xxhash64("s"))
     found = found.join(many, "m", "left_anti").unionByName(split)
     different = found.groupBy("m", "sid", "s").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))

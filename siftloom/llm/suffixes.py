@@ -8,9 +8,9 @@ order of all groups at once: in ascending order, each placed suffix lets the cha
 suffixes to its left, along the same pointers, take the next places of their groups.
 Nothing is renamed or sorted recursively.
 
-Documents are not joined into one text: packed strings that can share a 50-byte window
-meet in buckets (see ``repeats``), and a suffix array is built over those that overlap in
-part; windows of neighbouring suffixes with a common prefix of 50 bytes are equal.
+Documents are not joined into one text: runs of windows that can be equal meet in buckets
+(see ``overlaps``), and a suffix array is built over those that overlap in part; windows
+of neighbouring suffixes with a common prefix of 50 bytes are equal.
 
 Defined results: a null text is empty; texts under 50 bytes have no window; windows
 within one document, or in rows with the same id, do not count against each other; a null
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from siftloom.llm.arrays import ragged
 from siftloom.llm.registry import query, table
-from siftloom.llm.repeats import BYTES, Units, apply_hits, group_count, merged_runs, repeated
+from siftloom.llm.overlaps import repeated
+from siftloom.llm.repeats import BYTES, Units, group_count, merged_runs
 from siftloom.llm.words import gram_hashes
 
 #: Bytes of overlapping strings in one suffix array; strings of one minimiser stay together.
@@ -241,9 +242,9 @@ def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         return pa.table({key: rows.column(key)} | {k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
     columns = [key, text]
-    blobs, hits = repeated(docs.select(*columns), BYTES, group_suffixes, key, text, group_count(docs, text), columns)
     kind = docs.schema[key].dataType.simpleString()
-    return apply_hits(blobs, hits, BYTES, key, text, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", make)
+    schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return repeated(docs.select(*columns), BYTES, group_suffixes, key, text, group_count(docs, text), columns, schema, make)
 
 
 def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -267,9 +268,8 @@ def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length
             out[length] = pa.array(map(len, texts), rows.schema.field(length).type)
         return pa.table(out)
 
-    blobs, hits = repeated(docs, BYTES, group_suffixes, key, text, group_count(docs, text), names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return apply_hits(blobs, hits, BYTES, key, text, schema, make)
+    return repeated(docs, BYTES, group_suffixes, key, text, group_count(docs, text), names, schema, make)
 
 
 @query("op10_suffix_array_dedup")

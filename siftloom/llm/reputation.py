@@ -2,8 +2,8 @@
 
 Labelled page outcomes are counted per host and shrunk from the top down with
 beta-binomial priors: suffix -> registered domain -> host.  The prior of a level has the
-mean of the level above and a strength fitted by moments over that level's members.  A
-host is blocked when the lower credible bound of its bad rate exceeds ``BLOCK_ABOVE``.
+mean of the level above and a strength fitted by moments over that level's members, but
+never more than the pages that the mean itself rests on.  A host is blocked when the lower credible bound of its bad rate exceeds ``BLOCK_ABOVE``.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no
 rule and is allowed; repeated rows get one verdict each; labels that are null or name no
@@ -67,9 +67,9 @@ def _levels(host: Column) -> tuple[Column, Column]:
     return domain, F.element_at(labels, -1)
 
 
-def _shrunk(rows: DataFrame, mean: str, name: str) -> DataFrame:
-    """Add the prior strength of a level, from columns n, bad and the prior mean of each member."""
-    m = F.col(mean)
+def _shrunk(rows: DataFrame, above: str, name: str) -> DataFrame:
+    """Add rate and weight (in pages) of each member, from its n and bad and those of the level above."""
+    m = F.col(f"rate_{above}")
     between = F.pow(F.col("bad") / F.col("n") - m, 2)
     fit = rows.where("n > 0").agg(
         F.sum(F.col("n") * between).alias("spread"), F.sum(m * (1 - m)).alias("noise"),
@@ -78,8 +78,10 @@ def _shrunk(rows: DataFrame, mean: str, name: str) -> DataFrame:
     over = (F.col("spread") - F.col("noise")) / (F.col("full") - F.col("noise"))
     strength = F.when(over > 0, F.least(F.greatest(1 / over - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])))
     fit = fit.select(F.coalesce(strength, F.lit(STRENGTH[1])).alias(f"s_{name}"))  # one row
-    return rows.join(F.broadcast(fit)).withColumn(
-        f"rate_{name}", (F.col("bad") + F.col(f"s_{name}") * m) / (F.col("n") + F.col(f"s_{name}")))
+    rows = rows.join(F.broadcast(fit)).withColumn(f"s_{name}", F.least(f"s_{name}", f"weight_{above}"))
+    return rows.withColumns({
+        f"rate_{name}": (F.col("bad") + F.col(f"s_{name}") * m) / (F.col("n") + F.col(f"s_{name}")),
+        f"weight_{name}": F.col("n") + F.col(f"s_{name}")})
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
@@ -90,11 +92,11 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    top = suffixes.agg(F.coalesce(F.sum("bad") / F.sum("n"), F.lit(DEFAULT_RATE)).alias("rate_all"))
-    suffixes = _shrunk(suffixes.join(F.broadcast(top)), "rate_all", "suffix").select("suffix", "rate_suffix")
-    domains = _shrunk(domains.join(suffixes, "suffix"), "rate_suffix", "domain").select("domain", "rate_domain")
-    posterior = _shrunk(hosts.join(domains, "domain"), "rate_domain", "host")
-    rate, weight = F.col("rate_host"), F.col("n") + F.col("s_host")
+    top = suffixes.agg(F.coalesce(F.sum("bad") / F.sum("n"), F.lit(DEFAULT_RATE)).alias("rate_all"), F.sum("n").alias("weight_all"))
+    suffixes = _shrunk(suffixes.join(F.broadcast(top)), "all", "suffix").select("suffix", "rate_suffix", "weight_suffix")
+    domains = _shrunk(domains.join(suffixes, "suffix"), "suffix", "domain").select("domain", "rate_domain", "weight_domain")
+    posterior = _shrunk(hosts.join(domains, "domain"), "domain", "host")
+    rate, weight = F.col("rate_host"), F.col("weight_host")
     bound = rate - Z * F.sqrt(rate * (1 - rate) / (weight + 1))
     return posterior.select("host", "n", "bad", rate.alias("rate"), bound.alias("bound"))
 
@@ -123,18 +125,18 @@ o AS (SELECT host, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1
 hs AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM o),
 ds AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hs GROUP BY ALL),
 ss AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM ds GROUP BY ALL),
-s1 AS (SELECT *, (SELECT coalesce(sum(bad) / sum(n), {DEFAULT_RATE}) FROM ss) AS m FROM ss),
+s1 AS (SELECT *, (SELECT coalesce(sum(bad) / sum(n), {DEFAULT_RATE}) FROM ss) AS m, (SELECT sum(n) FROM ss) AS w FROM ss),
 f1 AS (SELECT (sum(n * (bad / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * n) - sum(m * (1 - m)), 0) AS v FROM s1),
 k1 AS (SELECT coalesce(CASE WHEN v > 0 THEN least(greatest(1 / v - 1, {STRENGTH[0]}), {STRENGTH[1]}) END, {STRENGTH[1]}) AS s FROM f1),
-r1 AS (SELECT suffix, (bad + s * m) / (n + s) AS m FROM s1, k1),
-s2 AS (SELECT ds.*, m FROM ds JOIN r1 USING (suffix)),
+r1 AS (SELECT suffix, (bad + least(s, w) * m) / (n + least(s, w)) AS m, n + least(s, w) AS w FROM s1, k1),
+s2 AS (SELECT ds.*, m, w FROM ds JOIN r1 USING (suffix)),
 f2 AS (SELECT (sum(n * (bad / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * n) - sum(m * (1 - m)), 0) AS v FROM s2),
 k2 AS (SELECT coalesce(CASE WHEN v > 0 THEN least(greatest(1 / v - 1, {STRENGTH[0]}), {STRENGTH[1]}) END, {STRENGTH[1]}) AS s FROM f2),
-r2 AS (SELECT domain, (bad + s * m) / (n + s) AS m FROM s2, k2),
-s3 AS (SELECT hs.*, m FROM hs JOIN r2 USING (domain)),
+r2 AS (SELECT domain, (bad + least(s, w) * m) / (n + least(s, w)) AS m, n + least(s, w) AS w FROM s2, k2),
+s3 AS (SELECT hs.*, m, w FROM hs JOIN r2 USING (domain)),
 f3 AS (SELECT (sum(n * (bad / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * n) - sum(m * (1 - m)), 0) AS v FROM s3),
 k3 AS (SELECT coalesce(CASE WHEN v > 0 THEN least(greatest(1 / v - 1, {STRENGTH[0]}), {STRENGTH[1]}) END, {STRENGTH[1]}) AS s FROM f3),
-r3 AS (SELECT host, (bad + s * m) / (n + s) AS rate, n + s AS w FROM s3, k3),
+r3 AS (SELECT host, (bad + least(s, w) * m) / (n + least(s, w)) AS rate, n + least(s, w) AS w FROM s3, k3),
 b AS (SELECT host AS bad_host FROM r3 WHERE rate - {Z} * sqrt(rate * (1 - rate) / (w + 1)) > {BLOCK_ABOVE}),
 rules(v, rh, rp) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}),
 won AS (SELECT DISTINCT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM (SELECT DISTINCT host, path FROM h)

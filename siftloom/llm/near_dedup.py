@@ -2,17 +2,17 @@
 
 Sets of word shingles are collapsed to classes of equal sets and signed with ``BANDS`` x
 ``ROWS`` minimum hashes, so a pair at similarity 0.8 misses every band with probability
-(1 - 0.8**5)**40 = 1.2e-7.  Candidates are settled in two passes, so that no bucket is
-spelled out into pairs:
-
-1. Each member of a band bucket is compared with the bucket's least id.  Signatures are
-   compared ``BATCH`` hashes at a time and a pair is dropped as soon as the posterior
-   probability of a similarity of 0.8 falls below ``MISS``; survivors are verified on the
-   full sets.
-2. In buckets whose members are still in different components, members of different
-   components are compared inside the task, in blocks.  Pairs are dropped by set size, by
-   the triangle inequality over the known distances to the bucket's least id, and by the
-   posterior as before; only survivors leave the task, to be verified on the full sets.
+(1 - 0.8**5)**40 = 1.2e-7.  Classes that share a band bucket are gathered under the
+bucket's least id, once however many bands they share, with signatures and full sets.
+
+A task settles such a gathering without spelling out its pairs.  It starts with the
+member that agrees most with all others and goes on with the rest; each is compared only
+with members that are not linked to it yet.  Signatures are compared ``BATCH`` hashes at a
+time, and a pair is dropped as soon as the posterior probability of a similarity of 0.8
+falls below ``MISS``; pairs are also dropped by set size, and by the triangle inequality
+over exact distances to the first member.  Survivors are verified on the full sets, and
+only links that join two parts leave the task.  Large gatherings are dealt as pairs of
+blocks.
 
 Links make components; the least id of each is kept.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.arrays import steps, text_buffers
+from siftloom.llm.arrays import ragged, steps, text_buffers
 from siftloom.llm.components import components
 from siftloom.llm.registry import query, table
 from siftloom.llm.words import blanks, gram_hashes, lower_ascii, mix, run_hashes, word_hashes, words_of
@@ -45,10 +45,9 @@ PERCENT = 80
 BATCH, MISS = 40, 1e-6
 #: Bytes of text in one vectorised step.
 CHUNK = 512 << 10
-#: Members of a bucket that one task compares with one another; larger buckets are dealt as pairs of blocks.
-BLOCK = 4000
-#: Member rows per task of the second pass.
-TASK_ROWS = 50_000
+#: Members of a gathering that one task compares with one another, and member rows per task.
+BLOCK = 2000
+TASK_ROWS = 4000
 
 
 @functools.cache
@@ -168,60 +167,75 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[at[0]: at[-1]].reshape(len(column), ROWS * BANDS)
 
 
-def _screened(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The pairs (x, y) that pass the sequential test, with their set sizes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = pa.array(plausible(_matrix(batch.column("sx")), _matrix(batch.column("sy"))))
-            yield batch.select(["x", "y", "nx", "ny"]).take(keep)
-
-    side = {s: signatures.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"s{s}")) for s in "xy"}
-    ready = pairs.join(side["x"], "x").join(side["y"], "y").where(
-        f"100 * least(nx, ny) >= {PERCENT} * greatest(nx, ny)").select("x", "y", "nx", "ny", "sx", "sy")
-    return ready.mapInArrow(run, "x long, y long, nx long, ny long")
-
-
-def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """(x, y, both, either): exact sizes of intersection and union of screened pairs."""
-    x, y = (full.select(F.col("id").alias(s), F.col("set").alias(f"set{s}")) for s in "xy")
-    both = F.size(F.array_intersect("setx", "sety")).cast("long")
-    return pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", both.alias("both")).select(
-        "x", "y", "both", (F.col("nx") + F.col("ny") - F.col("both")).alias("either"))
-
-
-def _linked(verified: DataFrame) -> DataFrame:
-    return verified.where(f"100 * both >= {PERCENT} * either").select("x", "y")
-
-
-def _cross(bucket: pa.Table) -> pa.Table:
-    """Plausible pairs of members of different components, for every bucket of a task."""
-    bucket = bucket.sort_by([("key", "ascending"), ("b1", "ascending"), ("b2", "ascending"), ("id", "ascending")]).combine_chunks()
-    col = {c: bucket.column(c).to_numpy() for c in ("key", "b1", "b2", "block", "id", "component", "n", "leader")}
-    far = bucket.column("distance").to_numpy()  # to the bucket's least id; NaN: unknown
-    sig = _matrix(bucket.column("sig"))
-    change = (col["key"][1:] != col["key"][:-1]) | (col["b1"][1:] != col["b1"][:-1]) | (col["b2"][1:] != col["b2"][:-1])
-    edges = np.concatenate([[0], np.flatnonzero(change) + 1, [len(change) + 1]])
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+class _Members:
+    """Members of a task: ids, set sizes, signatures and sets."""
+
+    def __init__(self, rows: pa.Table):
+        self.id, self.n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
+        self.block = rows.column("block").to_numpy()
+        self.sig = _matrix(rows.column("sig"))
+        sets_ = rows.column("set").combine_chunks()
+        if isinstance(sets_, pa.ChunkedArray):
+            sets_ = pa.concat_arrays(sets_.chunks) if sets_.num_chunks else pa.array([], pa.list_(pa.int64()))
+        self.first = sets_.offsets.to_numpy().astype(np.int64)
+        self.flat = sets_.values.to_numpy().view(np.uint64)
+
+    def similar(self, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact sizes of intersection and union of the set of ``i`` with each of ``j``."""
+        own = self.flat[self.first[i]: self.first[i + 1]]
+        size = self.first[j + 1] - self.first[j]
+        values = self.flat[ragged(self.first[j], size)]
+        at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+        both = np.add.reduceat((own[at] == values).astype(np.int64), np.cumsum(size) - size)
+        return both, len(own) + size - both
+
+    def central(self, a: int, z: int) -> int:
+        """The member that agrees most with the commonest byte of each hash."""
+        sig = self.sig[a:z]
+        width = sig.shape[1]
+        votes = np.bincount((sig + 256 * np.arange(width)).ravel(), minlength=256 * width).reshape(width, 256)
+        return a + int((sig == votes.argmax(axis=1)).sum(axis=1).argmax())
+
+
+def _links(rows: pa.Table) -> pa.Table:
+    """Links that join the gatherings of a task; pairs of blocks compare across only."""
+    rows = rows.sort_by([(c, "ascending") for c in ("leader", "b1", "b2", "id")]).combine_chunks()
+    members = _Members(rows)
+    leader, b1, b2 = (rows.column(c).to_numpy() for c in ("leader", "b1", "b2"))
+    change = (leader[1:] != leader[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])
+    edges = np.concatenate([[0], np.flatnonzero(change) + 1, [len(rows)]])
     slack = 1 - PERCENT / 100 + 1e-9
-    for a, z in zip(edges[:-1], edges[1:], strict=True):
-        same_block = col["b1"][a] == col["b2"][a]
-        for i in range(a, z - 1):
-            if col["id"][i] == col["leader"][i]:
+    x, y = [], []
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        order = np.arange(a, z)
+        if z - a > 2:
+            hub = members.central(a, z)
+            order = np.concatenate([[hub], order[order != hub]])
+        part = np.arange(z - a)  # of member k at part[k - a]
+        far = np.full(z - a, np.nan)  # exact distance to the first member, where it was verified
+        far[order[0] - a] = 0
+        for at, i in enumerate(order[:-1].tolist()):
+            j = order[at + 1:]
+            j = j[part[j - a] != part[i - a]]
+            if b1[a] != b2[a]:
+                j = j[members.block[j] != members.block[i]]
+            n = members.n
+            j = j[100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i])]
+            j = j[~(np.abs(far[j - a] - far[i - a]) > slack)]
+            if not len(j):
+                continue
+            j = j[plausible(np.broadcast_to(members.sig[i], (len(j), members.sig.shape[1])), members.sig[j])]
+            if not len(j):
                 continue
-            j = np.arange(i + 1, z)
-            n, c = col["n"], col["component"]
-            ok = (c[j] != c[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i])) & (col["id"][j] != col["leader"][i])
-            ok &= ~(np.abs(far[j] - far[i]) > slack)
-            if not same_block:
-                ok &= col["block"][j] != col["block"][i]
-            j = j[ok]
-            if len(j):
-                j = j[plausible(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j])]
-                xs.append(np.minimum(col["id"][i], col["id"][j]))
-                ys.append(np.maximum(col["id"][i], col["id"][j]))
-    pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0)
-    return pa.table({"x": pa.array(pairs[:, 0]), "y": pa.array(pairs[:, 1])})
+            both, either = members.similar(i, j)
+            if at == 0:
+                far[j - a] = 1 - both / either
+            for k in j[100 * both >= PERCENT * either].tolist():
+                if part[k - a] != part[i - a]:
+                    part[part == part[k - a]] = part[i - a]
+                    x.append(members.id[i])
+                    y.append(members.id[k])
+    return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
 
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
@@ -238,30 +252,17 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     # the full sets of candidates only; every other text is left where it is
     full = cut_lineage(sets(docs.join(candidates, F.col(key) == F.col("id"), "left_semi"), key, text, width).dropDuplicates(["id"]))
 
-    stars = members.where("id <> leader").select(F.col("leader").alias("x"), F.col("id").alias("y")).distinct()
-    stars = cut_lineage(_verified(_screened(stars, signatures), full))
-    first = components(_linked(stars))
-
-    placed = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = cut_lineage(placed)
-    mixed = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .where("low < high").select("key"))
-    known = stars.select(F.col("x").alias("leader"), F.col("y").alias("id"), (1 - F.col("both") / F.col("either")).alias("distance"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    crowd = (placed.where("members > 2").join(mixed, "key", "left_semi").join(known, ["leader", "id"], "left").join(signatures, "id")
-             .withColumn("distance", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.coalesce("distance", F.lit(float("nan")))))
+    gathered = members.select("leader", "id").distinct()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    crowd = (gathered.join(gathered.groupBy("leader").agg(F.count("*").alias("size")), "leader")
              .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")}))
-    tasks = max(1, -(-placed.count() // TASK_ROWS))
-    pairs = (crowd.select("key", "b1", "b2", "block", "id", "component", "n", "leader", "distance", "sig",
-                          F.pmod(F.xxhash64("key", "b1", "b2"), F.lit(tasks)).alias("_t"))
-             .groupBy("_t").applyInArrow(_cross, "x long, y long").distinct())
-    sizes = signatures.select("id", "n")
-    pairs = pairs.join(sizes.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x").join(
-        sizes.select(F.col("id").alias("y"), F.col("n").alias("ny")), "y")
-    more = _linked(_verified(pairs, full))
-    final = components(first.select(F.col("id").alias("x"), F.col("component").alias("y")).unionByName(more))
+             .select("leader", "id", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")))
+    tasks = max(1, -(-gathered.count() // TASK_ROWS))
+    links = (crowd.join(signatures, "id").join(full, "id")
+             .withColumn("_t", F.pmod(F.xxhash64("leader", "b1", "b2"), F.lit(tasks)))
+             .groupBy("_t").applyInArrow(_links, "x long, y long"))
+    final = components(links)
 
     settled = classes.select("h1", "h2", "n", "id").join(final, "id", "left").select(
         F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("n").alias("_n"), F.coalesce("component", "id").alias("_c"))

@@ -71,12 +71,9 @@ def filter_files(files: DataFrame, f: FileFilter, runs: DataFrame | None = None)
         if runs is None:
             out = out.where(F.col("run_pk") == f.run)
         else:
-            named = runs.where((F.col("run_pk") == f.run) | (F.col("run_id") == f.run)).select("run_pk")
-            wanted = named.limit(1).union(
-                # an unknown key still selects files that carry it
-                files.sparkSession.createDataFrame([(f.run,)], "run_pk string")
-            ).distinct()
-            out = out.join(wanted, "run_pk", "left_semi")
+            named = runs.where((F.col("run_pk") == f.run) | (F.col("run_id") == f.run)).agg(F.min("run_pk"))
+            # an unknown key still selects files that carry it
+            out = out.where((F.col("run_pk") == f.run) | (F.col("run_pk") == named.scalar()))
     for column, value in (
         ("source_id", f.source_id), ("status", f.status), ("approval_status", f.approval_status),
         ("source_url", f.source_url), ("sha256", f.sha256),

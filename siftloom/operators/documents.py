@@ -227,13 +227,20 @@ def classify_documents(
     length = F.coalesce(
         F.col("_joined") - 1 - F.col("_first") - F.col("_last"), F.lit(0)
     )
+    # a filled page and its line break are two characters at least, so half as many pages
+    # always fill the sample; only the first page's leading blanks are not part of it
+    bare = F.regexp_replace("text", r"(?U)^\s+", "")
     starts = top_per_group(
         page.where("_filled").select(
-            "doc_id", "page_no", F.substring("text", 1, 4 * sample_length).alias("text")
+            "doc_id", "page_no", F.substring("text", 1, 4 * sample_length).alias("text"),
+            F.substring(bare, 1, 4 * sample_length).alias("bare"),
         ),
-        ["doc_id"], [F.col("page_no")], min(2 * sample_length, 1000),
+        ["doc_id"], [F.col("page_no")], 2 * sample_length,
+    )
+    pieces = F.transform(
+        F.array_sort(F.collect_list(F.struct("page_no", "text", "bare"))),
+        lambda p, i: F.when(i == 0, p["bare"]).otherwise(p["text"]),
     )
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"])
     heads = starts.groupBy("doc_id").agg(
         F.substring(strip(F.array_join(pieces, "\n")), 1, 4 * sample_length).alias("_head")
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftloom.functions import urls
-from siftloom.operators.skew import attach_per_key
+from siftloom.operators.skew import attach_per_key, with_positions
 from siftloom.session import cut_lineage
 
 
@@ -47,20 +48,15 @@ def filter_allowed_hosts(
     return hosted.join(ok, "host", "left_semi").select(*rows.columns)
 
 
-def pattern_list(patterns: DataFrame, limit: int = 5000) -> list[str]:
-    """Patterns of a configuration table.  Its size is checked: it becomes part of the plan."""
-    found = [r[0] for r in patterns.select("pattern").limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} URL patterns")
-    return sorted(found)
-
-
 def matching_patterns(rows: DataFrame, patterns: DataFrame, url: str = "url") -> DataFrame:
-    """Rows whose URL matches any pattern of the table."""
-    found = pattern_list(patterns)
-    if not found:
-        return rows.where(F.lit(False))
-    return rows.where(F.col(url).rlike("|".join(f"(?:{p})" for p in found)))
+    """Rows whose URL matches any pattern of the table.
+
+    The distinct patterns become one alternation, computed by the plan itself; an empty
+    table makes it NULL and selects nothing.
+    """
+    one = F.concat(F.lit("(?:"), F.col("pattern"), F.lit(")"))
+    every = patterns.agg(F.array_join(F.array_sort(F.collect_set(one)), "|").alias("p"))
+    return rows.where(F.rlike(F.col(url), F.nullif(every.scalar(), F.lit(""))))
 
 
 # --- robots ------------------------------------------------------------------
@@ -215,6 +211,11 @@ def prepare_edges(
     return edges.where(as_file | as_page).distinct()
 
 
+def _leading(rows: DataFrame, order: Sequence[str], count: int) -> DataFrame:
+    """First ``count`` rows in order, whatever the count, without one task that holds them."""
+    return with_positions(rows, [F.col(c) for c in order], "_at_").where(F.col("_at_") <= count).drop("_at_")
+
+
 def expand_frontier(
     links: DataFrame,
     start: DataFrame,
@@ -222,26 +223,27 @@ def expand_frontier(
     include: Sequence[str] = (),
     exclude: Sequence[str] = (),
     extensions: Sequence[str] = (),
-    max_depth: int = 5,
-    max_pages: int | None = 10000,
-    max_files: int | None = 10000,
+    max_depth: int | None = None,
+    max_pages: int | None = None,
+    max_files: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Breadth-first walk of a link table: (pages: url, depth; files: url, depth, page_url).
 
     No URL is taken twice and files do not recurse.  Each round is one join of the
     frontier with the edges and one anti join with the pages seen so far.  A round's
     result is written to the shared folder, so the next plan reads files and lost
-    executors do not restart the walk.  Page and file budgets are filled in URL order within
-    a round.
+    executors do not restart the walk.  Without ``max_depth`` the walk ends when a round finds
+    nothing new.  Page and file budgets are filled in URL order within a round, by positions
+    that many tasks number.
     """
     edges = cut_lineage(prepare_edges(links, domains, include, exclude, extensions))
     first = start.select(urls.normalize_url(F.col("url")).alias("url")).where("url IS NOT NULL").distinct()
     if max_pages is not None:
-        first = first.orderBy("url").limit(max_pages)
+        first = _leading(first, ["url"], max_pages)
     frontier = cut_lineage(first.withColumn("depth", F.lit(0)))
     pages = frontier
     taken = frontier.count() if max_pages is not None else 0
-    for depth in range(max_depth):
+    for depth in itertools.count() if max_depth is None else range(max_depth):
         step = (
             edges.where(~F.col("is_file"))
             .join(frontier.select(F.col("url").alias("src")), "src", "left_semi")
@@ -250,14 +252,15 @@ def expand_frontier(
             .join(pages.select("url"), "url", "left_anti")
         )
         if max_pages is not None:
-            step = step.orderBy("url").limit(max_pages - taken)
+            step = _leading(step, ["url"], max_pages - taken)
         frontier = cut_lineage(step.withColumn("depth", F.lit(depth + 1)))
         size = frontier.count()
         if size == 0:
             break
         taken += size
         pages = pages.unionByName(frontier)
-    sources = pages.where(F.col("depth") < max_depth).select(F.col("url").alias("src"), "depth")
+    reached = pages if max_depth is None else pages.where(F.col("depth") < max_depth)
+    sources = reached.select(F.col("url").alias("src"), "depth")
     files = (
         edges.where("is_file")
         .join(sources, "src")
@@ -266,5 +269,5 @@ def expand_frontier(
         .select("url", "at.depth", "at.page_url")
     )
     if max_files is not None:
-        files = files.orderBy("depth", "url").limit(max_files)
+        files = _leading(files, ["depth", "url"], max_files)
     return pages, files

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from siftloom.session import cut_lineage
 
-#: Spark pre-limits a window before its shuffle up to this many rows per group.
-GROUP_LIMIT = 1000
+#: Rows that one task numbers.
+TASK_ROWS = 1_000_000
 #: Hottest keys that are resolved by broadcast instead of by shuffle.
 HOT_KEYS = 1000
 
@@ -66,15 +66,13 @@ def top_per_group(
 ) -> DataFrame:
     """First ``k`` rows of each group in a total order.
 
-    Up to ``GROUP_LIMIT`` rows Spark itself drops the rest before the shuffle.
-    Beyond that, groups are first cut within salted slices, so a hot group is
-    shared by ``salts`` tasks.
+    A single first row is found map-side.  Otherwise groups are first cut within salted
+    slices (by ``spread``, else by the order columns), so a hot group is shared by
+    ``salts`` tasks and at most ``salts * k`` of its rows meet.
     """
     column = rank or "_rank"
-    if k > GROUP_LIMIT:
-        if spread is None:
-            raise ValueError("a spread column is needed beyond the group limit")
-        slice_no = F.pmod(F.xxhash64(spread), F.lit(salts))
+    if k > 1:
+        slice_no = F.pmod(F.xxhash64(*([spread] if spread is not None else _bare(df, order))), F.lit(salts))
         narrow = Window.partitionBy(*keys, "_slice").orderBy(*order)
         df = (
             df.withColumn("_slice", slice_no)
@@ -87,6 +85,13 @@ def top_per_group(
     return kept if rank else kept.drop(column)
 
 
+def _bare(df: DataFrame, order: Sequence[Column]) -> list[Column]:
+    """Columns of the frame that an order names; all of them if it names none."""
+    text = " ".join(str(c) for c in order)
+    named = [F.col(c) for c in df.columns if c in text]
+    return named or [F.col(c) for c, kind in df.dtypes if not kind.startswith("map")]
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each group.  Rows that cannot win are dropped before the shuffle."""
     return top_per_group(df, keys, order, 1)
@@ -100,7 +105,7 @@ def with_positions(df: DataFrame, order: Sequence[Column], name: str = "position
     because partition boundaries are sampled and must not change between the two
     reads.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
     ordered = cut_lineage(
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
@@ -127,9 +132,8 @@ def with_positions_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position"
 ) -> DataFrame:
     """Number the rows of every key 1..n; a hot key is numbered by many tasks."""
-    numbered = cut_lineage(
-        with_positions(df, [*[F.col(k) for k in keys], *order], "_overall")
-    )
+    # its rows are written already and numbered by a narrow join, so both reads agree
+    numbered = with_positions(df, [*[F.col(k) for k in keys], *order], "_overall")
     starts = numbered.groupBy(*keys).agg(
         F.min("_overall").alias("_start"), F.count("*").alias("_n")
     )

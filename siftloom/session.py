@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -38,14 +41,41 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    A temporary one is used only when that setting is absent, as in local tests.
+    Without that setting a temporary folder is used, and only by a local master, whose
+    executors are this process; a cluster must name the folder.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not is_local(spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder()
+
+
+def is_local(master: str) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
 
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+#: Folders written by ``cut_lineage`` and not removed yet.
+_WRITTEN: list[str] = []
+
+
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete what ``cut_lineage`` wrote; call it when results that read it are stored."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        count += path.getFileSystem(conf).delete(path, True)
+    return count
 
 
 def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
@@ -57,4 +87,5 @@ def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/siftloom-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -128,9 +128,18 @@ def read_storage(spark: SparkSession, root: str) -> DataFrame:
 TEXT_EXTENSIONS = [".txt", ".md", ".rst", ".csv", ".tsv", ".json", ".jsonl", ".xml", ".html", ".htm"]
 
 
-def plain_text(content: Column, chars: int | None = 5000) -> Column:
-    """Body as text; bad bytes are left out.  ``chars=None`` keeps the whole text."""
-    text = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+#: Stands for a replacement character of the file itself while bad bytes are left out.
+_OWN_REPLACEMENT = "\0\1own\1\0"
+
+
+def plain_text(content: Column, chars: int | None = None) -> Column:
+    """Body as text; bad bytes are left out, replacement characters of the file stay.
+
+    ``chars`` cuts the text for a preview.
+    """
+    raw = F.replace(content.cast("string"), F.lit("�"), F.lit(_OWN_REPLACEMENT))
+    text = F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit(""))
+    text = F.replace(text, F.lit(_OWN_REPLACEMENT), F.lit("�"))
     return text if chars is None else F.substring(text, 1, chars)
 
 
@@ -170,7 +179,7 @@ def _read_archive(extension: str, content: bytes, chars: int | None) -> tuple[st
     return text[:chars], (title or "").strip() or None
 
 
-def archive_texts(objects: DataFrame, chars: int | None = 5000) -> DataFrame:
+def archive_texts(objects: DataFrame, chars: int | None = None) -> DataFrame:
     """(key, text, title) of EPUB and DOCX objects (key, content).
 
     Unpacking is a codec step that no column function covers; it runs per Arrow
@@ -189,7 +198,7 @@ def archive_texts(objects: DataFrame, chars: int | None = 5000) -> DataFrame:
     return wanted.mapInPandas(unpack, "key string, text string, title string")
 
 
-def extract_texts(objects: DataFrame, chars: int | None = 5000) -> DataFrame:
+def extract_texts(objects: DataFrame, chars: int | None = None) -> DataFrame:
     """(key, text, title) of text files, EPUBs and DOCX files."""
     ext = F.lower(urls.extension_of(F.col("key")))
     plain = objects.where(ext.isin(TEXT_EXTENSIONS)).select(

@@ -17,6 +17,7 @@ from siftloom import rules
 from siftloom.operators.dedup import new_content, new_urls
 from siftloom.operators.links import usable_pages, web_page_records
 from siftloom.operators.reports import run_counters
+from siftloom.session import cut_lineage
 
 #: states a progress report may not overwrite
 PROTECTED = ("CANCEL_REQUESTED", "CANCELLED", "COMPLETED", "FAILED", "PAUSED")
@@ -81,10 +82,13 @@ def final_status(
     level = numbered.groupBy("run_id", F.floor((F.col("n") - 1) / block).alias("at")).agg(
         _compose("n", "f").alias("f"), F.count("*").alias("moves")
     )
-    # each round divides the longest run by ``block``; four rounds cover 10^15 moves
-    for _ in range(4):
-        level = level.groupBy("run_id", F.floor(F.col("at") / block).alias("at")).agg(
-            _compose("at", "f").alias("f"), F.sum("moves").alias("moves")
+    level = cut_lineage(level)
+    # each round divides the longest run by ``block``, until every run is one row
+    while (level.agg(F.max("at").alias("last")).first().last or 0) > 0:
+        level = cut_lineage(
+            level.groupBy("run_id", F.floor(F.col("at") / block).alias("at")).agg(
+                _compose("at", "f").alias("f"), F.sum("moves").alias("moves")
+            )
         )
     first = _STATES.index(start) + 1
     state = F.substring("f", first, 1).cast("int") + 1
@@ -118,6 +122,9 @@ def _compose(order: str, name: str) -> Column:
 class RunStateMachine(StatefulProcessor):
     """Keeps the status of one run; emits one row per move, refused moves included."""
 
+    #: answers of one yielded frame
+    chunk = 50_000
+
     def __init__(self, protected: Sequence[str] = PROTECTED, start: str = "PENDING") -> None:
         self.protected = tuple(protected)
         self.start = start
@@ -127,15 +134,19 @@ class RunStateMachine(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         current = self.status.get()[0] if self.status.exists() else self.start
-        # rows of one run and one batch; the order inside the batch is by time
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, move in zip(batch["event_id"], batch["move"]):
-            before = current
-            current, accepted = next_status(current, move, self.protected)
-            out.append((key[0], int(event_id), move, before, current, accepted))
+        # the order inside the batch is by time: only ids, times and moves of a run are
+        # held to be sorted, the answers leave in chunks
+        kept = [frame[["ts", "event_id", "move"]].astype({"move": "category"}) for frame in rows]
+        batch = pd.concat([k.astype({"move": "string"}) for k in kept]).sort_values(["ts", "event_id"])
+        for start in range(0, len(batch), self.chunk):
+            out = []
+            part = batch.iloc[start: start + self.chunk]
+            for event_id, move in zip(part["event_id"], part["move"]):
+                before = current
+                current, accepted = next_status(current, move, self.protected)
+                out.append((key[0], int(event_id), move, before, current, accepted))
+            yield pd.DataFrame(out, columns=["run_id", "event_id", "move", "before", "status", "accepted"])
         self.status.update((current,))
-        yield pd.DataFrame(out, columns=["run_id", "event_id", "move", "before", "status", "accepted"])
 
     def close(self) -> None:
         pass
@@ -189,7 +200,10 @@ def start_known_file_skip(
 
     def admit(batch: DataFrame, batch_id: int) -> None:
         catalog = read_catalog()
-        fresh = new_content(new_urls(batch, catalog), catalog)
+        # the batch is small: the catalog is cut to its keys before anything is made distinct
+        same_url = catalog.join(batch.select("source_id", "source_url").distinct(), ["source_id", "source_url"], "left_semi")
+        same_hash = catalog.join(batch.select("sha256").distinct(), "sha256", "left_semi")
+        fresh = new_content(new_urls(batch, same_url), same_hash)
         fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (

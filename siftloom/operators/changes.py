@@ -15,6 +15,8 @@ from siftloom import rules
 from siftloom.functions import files as FN
 from siftloom.functions import urls
 from siftloom.operators.dedup import allocate_file_ids, mark_duplicates
+from siftloom.operators.skew import join_present
+from siftloom.session import cut_lineage
 
 
 def _next(df: DataFrame, changed: dict[str, Column]) -> DataFrame:
@@ -111,6 +113,7 @@ def match_files(incoming: DataFrame, files: DataFrame) -> DataFrame:
     """Incoming rows with ``match_pk``: the catalog row of the same hash or key.
 
     The two conditions are two equality joins; if they disagree, the smaller key wins.
+    Rows without a hash or key are scattered by ``seq``.
     """
     by_hash = (
         files.where(F.coalesce("sha256", F.lit("")) != "")
@@ -121,20 +124,43 @@ def match_files(incoming: DataFrame, files: DataFrame) -> DataFrame:
         .groupBy("storage_key").agg(F.min("file_pk").alias("_by_key"))
     )
     return (
-        incoming.join(by_hash, "sha256", "left")
-        .join(by_key, "storage_key", "left")
+        join_present(join_present(incoming, by_hash, "sha256", "seq"), by_key, "storage_key", "seq")
         .withColumn("match_pk", F.least("_by_hash", "_by_key"))
         .drop("_by_hash", "_by_key")
     )
 
 
+def _inserted_once(fresh: DataFrame, fields: list[str]) -> DataFrame:
+    """New rows after the repeats among them: the first row of each, with the last row's ``fields``.
+
+    A row leads to the first row with its hash or its key; such pointers go backwards, so
+    they are followed until each names a row that is inserted.
+    """
+    def first(key: str) -> DataFrame:
+        named = fresh.where(F.coalesce(key, F.lit("")) != "")
+        return named.groupBy(key).agg(F.min("seq").alias(f"_first_{key}"))
+
+    pointed = join_present(join_present(fresh, first("sha256"), "sha256", "seq"), first("storage_key"), "storage_key", "seq")
+    leader = F.coalesce(F.least("_first_sha256", "_first_storage_key"), F.col("seq"))
+    chain = cut_lineage(pointed.select(F.col("seq").alias("_row"), leader.alias("_to")))
+    while chain.where("_row <> _to").join(chain.where("_row <> _to").select(F.col("_row").alias("_to")), "_to", "left_semi").take(1):
+        onward = chain.select(F.col("_row").alias("_to"), F.col("_to").alias("_next"))
+        chain = cut_lineage(chain.join(onward, "_to").select("_row", F.col("_next").alias("_to")))
+    rows = fresh.join(chain, F.col("seq") == F.col("_row")).drop("_row")
+    last = rows.groupBy("_to").agg(F.max_by(F.struct(*fields), "seq").alias("_last"))
+    own = rows.where(F.col("seq") == F.col("_to")).join(last, "_to")
+    return own.select(*[F.col(f"_last.{c}").alias(c) if c in fields else F.col(c) for c in fresh.columns])
+
+
 def upsert_files(files: DataFrame, incoming: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Next file table after recording ``incoming``.
 
     A row that matches by hash or key updates run, source, status, key and
     metadata of its match; of several such rows the last (by ``seq``) counts.
     Others are inserted with new ids, and so are reports of a duplicate: the
-    stored original keeps its status.  A missing hash stays missing.
+    stored original keeps its status.  A missing hash stays missing.  Rows of one batch
+    see each other in order: of new rows with one hash or key the first is inserted, and
+    the last gives the five fields.
     """
     matched = match_files(incoming, files)
     fields = ["run_pk", "source_id", "status", "storage_key", "metadata"]
@@ -148,6 +174,9 @@ def upsert_files(files: DataFrame, incoming: DataFrame, order: list[Column] | No
     new = {f: F.coalesce(F.col(f"_u.{f}"), F.col(f)) for f in fields}
     updated = _next(joined, new).select(*files.columns)
     fresh = matched.where(~is_update).drop("match_pk")
+    report = F.coalesce(F.col("status") == "DUPLICATE", F.lit(False))
+    once = _inserted_once(fresh.where(~report), fields)
+    fresh = fresh.where(report).unionByName(once)
     numbered = allocate_file_ids(fresh.drop("file_id"), files, order or [F.col("seq")])
     ext = F.coalesce("extension", F.nullif(F.lower(urls.extension_of(F.col("file_name"))), F.lit("")))
     inserted = _next(
@@ -163,13 +192,19 @@ def upsert_files(files: DataFrame, incoming: DataFrame, order: list[Column] | No
 
 
 def manual_uploads(uploads: DataFrame, files: DataFrame, sources: DataFrame, order: list[Column]) -> DataFrame:
-    """New file rows for uploads: a known hash of any status makes a DUPLICATE without a key."""
+    """New file rows for uploads: a known hash of any status makes a DUPLICATE without a key.
+
+    Of uploads with one new hash the first in ``order`` is stored, the others repeat it.
+    """
     seen = files.where("sha256 IS NOT NULL").select("sha256").distinct().withColumn("_seen", F.lit(True))
     numbered = allocate_file_ids(uploads, files, order)
-    rows = numbered.join(seen, "sha256", "left").join(sources.select("source_id", "slug"), "source_id")
+    number = FN.parse_file_id(F.col("file_id"))
+    firsts = numbered.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min(number).alias("_first"))
+    known = firsts.join(seen, "sha256", "left")
+    rows = join_present(numbered, known, "sha256", "file_id").join(sources.select("source_id", "slug"), "source_id")
     ext = F.nullif(F.regexp_extract("file_name", r"(?s)(\.[^.]*)$", 1), F.lit(""))
     canonical = FN.canonical_filename(F.col("file_name"), F.col("file_id"), ext)
-    repeated = F.coalesce("_seen", F.lit(False))
+    repeated = F.coalesce("_seen", number > F.col("_first"), F.lit(False))
     category = FN.categorize_file(F.col("mime_type"), ext, "api")
     key = F.concat(F.lit("00_raw/manual/"), "slug", F.lit("/"), category, F.lit("/"), canonical)
     return _next(
@@ -182,7 +217,7 @@ def manual_uploads(uploads: DataFrame, files: DataFrame, sources: DataFrame, ord
             "status": F.when(repeated, "DUPLICATE").otherwise("UPLOADED"),
             "origin": F.lit("MANUAL_UPLOAD"),
         },
-    ).drop("_seen", "slug")
+    ).drop("_seen", "_first", "slug")
 
 
 def manual_entries(entries: DataFrame, files: DataFrame, order: list[Column]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftloom.functions import files as FN
 from siftloom.functions import urls
-from siftloom.operators.skew import top_per_group
+from siftloom.operators.skew import attach_per_key, top_per_group
 
 #: fragments of a media type and the extension they stand for, in order (fixed values)
 MIME_FRAGMENTS = [
@@ -89,8 +89,8 @@ def message_artifacts(
 def resolve_replies(messages: DataFrame) -> DataFrame:
     """Messages with the text and sender of the message they answer.
 
-    The key (channel, message id) is unique on the right, so a hot channel spreads
-    over its message ids.
+    The key (channel, message id) is unique on the right, so a hot channel spreads over
+    its message ids; replies to one very popular message are met by broadcast.
     """
     target = messages.select(
         "channel", F.col("message_id").alias("reply_to_id"),
@@ -99,7 +99,9 @@ def resolve_replies(messages: DataFrame) -> DataFrame:
     open_rows = messages.where("reply_to_id IS NULL").withColumns(
         {"reply_text": F.lit(None).cast("string"), "reply_sender": F.lit(None).cast(messages.schema["sender_id"].dataType)}
     )
-    answered = messages.where("reply_to_id IS NOT NULL").join(target, ["channel", "reply_to_id"], "left")
+    replies = messages.where("reply_to_id IS NOT NULL")
+    counts = replies.groupBy("channel", "reply_to_id").agg(F.count("*").alias("_n"))
+    answered = attach_per_key(replies, target.join(counts, ["channel", "reply_to_id"]), ["channel", "reply_to_id"], ["message_id"])
     return answered.select(*messages.columns, "reply_text", "reply_sender").unionByName(open_rows)
 
 

@@ -60,6 +60,14 @@ def attach_per_key(
     )
 
 
+def join_present(rows: DataFrame, lookup: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join by a key that many rows lack: those rows match nothing and are scattered by ``spread``."""
+    absent = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
+    salted = F.when(absent, F.concat(F.lit("\0"), F.xxhash64(spread).cast("string"))).otherwise(F.col(key).cast("string"))
+    other = lookup.select(F.col(key).cast("string").alias("_present"), *[c for c in lookup.columns if c != key])
+    return rows.withColumn("_salted", salted).join(other, F.col("_salted") == F.col("_present"), "left").drop("_salted", "_present")
+
+
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread: Column | None = None,
     rank: str | None = None, salts: int = 64,

@@ -93,6 +93,11 @@ def w9(spark, d):
     return RN.final_status(t.status_events(spark, d), block=4)
 
 
+@query("W9_one_run", with_tables(f"WITH RECURSIVE {_FOLD.replace('PARTITION BY run_id ', '').replace('SELECT run_id, move', "SELECT 'all' AS run_id, move")} SELECT run_id, status, n AS moves FROM st ORDER BY n DESC LIMIT 1", "status_events").replace("WITH status_events", "WITH RECURSIVE status_events").replace(", RECURSIVE ", ", "))
+def w9_one(spark, d):
+    return RN.final_status(t.status_events(spark, d).withColumn("run_id", F.lit("all")), block=4)
+
+
 @query("T5_error_log", with_tables("SELECT 'err-' || event_id AS error_id, run_id AS run_pk FROM run_events WHERE kind = 'failed'", "run_events"))
 def t5(spark, d):
     return RN.error_log(t.run_events(spark, d)).select("error_id", "run_pk")

@@ -78,19 +78,20 @@ i AS (SELECT doc_id AS seq, sha256, CASE WHEN doc_id % 3 = 0 THEN '00_raw/web/'
 h AS (SELECT sha256, min(file_pk) AS pk FROM c GROUP BY sha256), k AS (SELECT storage_key, min(file_pk) AS pk FROM c GROUP BY storage_key),
 m AS (SELECT i.*, CASE WHEN h.pk IS NULL THEN k.pk WHEN k.pk IS NULL THEN h.pk ELSE least(h.pk, k.pk) END AS pk FROM i LEFT JOIN h ON i.sha256 = h.sha256 LEFT JOIN k ON i.key = k.storage_key),
 u AS (SELECT pk, max(seq) AS seq FROM m WHERE pk IS NOT NULL AND status <> 'DUPLICATE' GROUP BY pk),
-f AS (SELECT seq, status, row_number() OVER (ORDER BY seq) AS r FROM m WHERE pk IS NULL OR status = 'DUPLICATE'),
+g AS (SELECT seq, seq AS last, status FROM m WHERE status = 'DUPLICATE' UNION ALL SELECT min(seq), max(seq), 'UPLOADED' FROM m WHERE pk IS NULL AND status <> 'DUPLICATE' GROUP BY sha256),
+f AS (SELECT last, status, row_number() OVER (ORDER BY seq) AS r FROM g),
 nxt AS (SELECT greatest(max(doc_id), count(*)) AS n FROM c)
 SELECT printf('RAW-%09d', c.doc_id) AS file_id, CASE WHEN u.seq IS NULL THEN 'FAILED' ELSE 'UPLOADED' END AS status, coalesce('new ' || u.seq, 'old') AS metadata FROM c LEFT JOIN u ON c.file_pk = u.pk
-UNION ALL SELECT printf('RAW-%09d', r + n), status, 'new ' || seq FROM f, nxt""", "text_files"))
+UNION ALL SELECT printf('RAW-%09d', r + n), status, 'new ' || last FROM f, nxt""", "text_files"))
 def m2(spark, d):
     catalog, incoming = _upsert_tables(spark, d)
     return CH.upsert_files(catalog, incoming).select("file_id", "status", "metadata")
 
 
-@query("M3_manual_upload", with_tables(f"""WITH u AS (SELECT *, row_number() OVER (ORDER BY file_pk) AS r FROM files WHERE line = 6), c AS (SELECT * FROM files WHERE line < 3),
+@query("M3_manual_upload", with_tables(f"""WITH u AS (SELECT *, row_number() OVER (ORDER BY file_pk) AS r, row_number() OVER (PARTITION BY sha256 ORDER BY file_pk) > 1 AS again FROM files WHERE line = 6), c AS (SELECT * FROM files WHERE line < 3),
 n AS (SELECT greatest(max(part), count(*)) AS n FROM c)
-SELECT file_pk, printf('RAW-%09d', r + n) AS file_id, CASE WHEN sha256 IN (SELECT sha256 FROM c) THEN 'DUPLICATE' ELSE 'UPLOADED' END AS status,
-  CASE WHEN sha256 NOT IN (SELECT sha256 FROM c) THEN '00_raw/manual/nation_' || substring(source_id, 5) || '/' || {sql_pick(['pdf', 'documents', 'ebooks', 'text', 'data', 'images', 'video', 'text', 'text', 'archives'], 'part % 10')} || '/Report_' || part || '_6-' || printf('RAW-%09d', r + n) || extension END AS storage_key FROM u, n""", "files"))
+SELECT file_pk, printf('RAW-%09d', r + n) AS file_id, CASE WHEN again OR sha256 IN (SELECT sha256 FROM c) THEN 'DUPLICATE' ELSE 'UPLOADED' END AS status,
+  CASE WHEN NOT again AND sha256 NOT IN (SELECT sha256 FROM c) THEN '00_raw/manual/nation_' || substring(source_id, 5) || '/' || {sql_pick(['pdf', 'documents', 'ebooks', 'text', 'data', 'images', 'video', 'text', 'text', 'archives'], 'part % 10')} || '/Report_' || part || '_6-' || printf('RAW-%09d', r + n) || extension END AS storage_key FROM u, n""", "files"))
 def m3(spark, d):
     f = t.files(spark, d).withColumn("file_id", FN.format_file_id(F.col("part")))
     uploads = f.where("line = 6").select("file_pk", "source_id", "file_name", "mime_type", "file_size", "sha256")

@@ -270,10 +270,11 @@ def attach_manifest_keys(runs: DataFrame, manifests: DataFrame) -> DataFrame:
         F.coalesce(F.get_json_object("text", "$.run_id"), FN.storage_key_parts(F.col("key"))["run_key"]).alias("run_id"),
         "key",
     ).groupBy("run_id").agg(F.min_by("key", F.struct(F.length("key"), F.col("key"))).alias("_key"))
-    joined = runs.join(own, "run_id", "left")
-    return joined.withColumn(
-        "manifest_key", F.coalesce(F.nullif("manifest_key", F.lit("")), "_key")
-    ).select(*runs.columns)
+    # only runs without a key need the join
+    lacks = F.coalesce("manifest_key", F.lit("")) == ""
+    found = runs.where(lacks).join(own, "run_id", "left")
+    filled = found.withColumn("manifest_key", F.col("_key")).select(*runs.columns)
+    return runs.where(~lacks).unionByName(filled)
 
 
 def files_from_metadata(lines: DataFrame) -> DataFrame:
@@ -353,6 +354,7 @@ def attach_orphans(files: DataFrame, runs: DataFrame) -> DataFrame:
     known = runs.select(F.lower("run_id").alias("_k"), F.col("run_pk").alias("_run")).union(
         runs.select(F.lower("run_pk"), "run_pk")
     ).groupBy("_k").agg(F.min("_run").alias("_run"))
-    named = F.when(F.col("run_pk").isNull(), F.lower(FN.storage_key_parts(F.col("storage_key"))["run_key"]))
-    joined = files.withColumn("_k", named).join(known, "_k", "left")
-    return joined.withColumn("run_pk", F.coalesce("run_pk", "_run")).select(*files.columns)
+    # only the orphans are joined; files that have a run stay where they are
+    named = F.lower(FN.storage_key_parts(F.col("storage_key"))["run_key"])
+    orphans = files.where("run_pk IS NULL").withColumn("_k", named).join(known, "_k", "left")
+    return files.where("run_pk IS NOT NULL").unionByName(orphans.withColumn("run_pk", F.col("_run")).select(*files.columns))

@@ -7,6 +7,8 @@ bodies go first and text is split at every tag.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,16 +19,15 @@ from siftloom.functions.text import collapse, strip, word_count
 _RAW_VALUE = r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 _COMMENT = r"(?s)<!--.*?-->"
 
-#: named references decoded in text and attributes; the ampersand comes last
-_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&nbsp;", " "), ("&zwnj;", "‌"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&hellip;", "…"), ("&copy;", "©"),
-]
+#: Named references of HTML 4 by the standard library's table, as one constant map; the
+#: ampersand is decoded last and stays out.
+_NAMED = ",".join(
+    f"{name}:{chr(point)}" for name, point in sorted({**name2codepoint, "apos": 39}.items()) if name != "amp"
+)
 
 
 def unescape(text: Column) -> Column:
-    """Decode common named and all numeric character references."""
+    """Decode the named references of HTML 4 and all numeric character references."""
 
     def decode_one(acc: Column, ref: Column) -> Column:
         digits = F.regexp_extract(ref, r"(?i)^&#x?([0-9a-f]+);$", 1)
@@ -38,11 +39,15 @@ def unescape(text: Column) -> Column:
         return F.when(t.contains("&#"), F.aggregate(F.array_distinct(found), t, decode_one)).otherwise(t)
 
     def named(t: Column) -> Column:
-        pairs = F.arrays_zip(
-            urls.literal_array([r for r, _ in _ENTITIES]).alias("r"),
-            urls.literal_array([c for _, c in _ENTITIES]).alias("c"),
-        )
-        return F.aggregate(pairs, t, lambda acc, e: F.replace(acc, e["r"], e["c"]))
+        table = F.str_to_map(F.lit(_NAMED), F.lit(","), F.lit(":"))
+
+        def piece(p: Column, i: Column) -> Column:
+            name = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1)
+            known = F.when(name != "", F.try_element_at(table, name))
+            decoded = F.concat(known, F.regexp_replace(p, "^[A-Za-z0-9]+;", ""))
+            return F.when(i == 0, p).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), p)))
+
+        return F.array_join(F.transform(F.split(t, "&"), piece), "")
 
     return urls.let(
         text,
@@ -73,12 +78,6 @@ def strip_tags(fragment: Column) -> Column:
     return unescape(without_tags(fragment))
 
 
-def without_furniture_tags(html: Column) -> Column:
-    tags = "|".join(rules.FURNITURE_TAGS)
-    body = F.regexp_replace(F.regexp_replace(html, _COMMENT, ""), r"(?is)<script\b.*?</script\s*>", "")
-    return F.regexp_replace(body, rf"(?is)<({tags})\b[^>]*>.*?</\1\s*>", "")
-
-
 # --- metadata, headings, text ------------------------------------------------
 
 
@@ -137,34 +136,96 @@ def _class_test(names: list[str]) -> str:
     return rf"\sclass\s*=\s*[\"'](?:[^\"']*\s)?(?:{wanted})(?:\s[^\"']*)?[\"']"
 
 
-def _container(html: Column) -> Column:
-    """Inside of the first preferred text container, else of the body, else all."""
+_VOID = "area base br col embed hr img input link meta source track wbr".split()
+
+
+def _pieces(html: Column) -> Column:
+    """Tags and texts of a page in order: array<struct<t, name, step, skip>>.
+
+    ``step`` is 1 for a start tag, -1 for an end tag and 0 otherwise; ``skip`` marks start
+    tags of page furniture, options and buttons.  Comments, scripts and styles are left out.
+    """
+    body = F.regexp_replace(F.regexp_replace(html, _COMMENT, ""), r"(?is)<(script|style)\b.*?</\1\s*>", "")
+    cut = F.regexp_extract_all(body, F.lit(r"(?s)(<[a-zA-Z/!?][^>]*>|[^<]+|<)"), 1)
+    furniture = urls.literal_array([*rules.FURNITURE_TAGS, "option", "button"])
+
+    def describe(t: Column) -> Column:
+        name = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+
+        def with_name(n: Column) -> Column:
+            step = (
+                F.when((n == "") | n.isin(_VOID) | F.endswith(t, F.lit("/>")), 0)
+                .when(F.startswith(t, F.lit("</")), -1).otherwise(1)
+            )
+            skip = (step == 1) & (F.array_contains(furniture, n) | t.rlike(rf"(?is){_class_test(rules.FURNITURE_CLASSES)}"))
+            return F.struct(t.alias("t"), n.alias("name"), step.alias("step"), skip.alias("skip"))
+
+        return urls.let(name, with_name)
+
+    return F.transform(cut, describe)
+
+
+def _without_skipped(pieces: Column) -> Column:
+    """Pieces outside skipped elements; an element ends at its own end tag, however deep.
+
+    One pass writes a mark per piece; an element that is never closed reaches to the end.
+    """
+    start = F.struct(F.lit("").alias("marks"), F.lit("").alias("inside"), F.lit(0).alias("depth"))
+
+    def step(acc: Column, x: Column) -> Column:
+        depth = F.when(acc["inside"] == "", F.when(x["skip"], 1).otherwise(0)).otherwise(
+            acc["depth"] + F.when(x["name"] == acc["inside"], x["step"]).otherwise(0)
+        )
+        return F.struct(
+            F.concat(acc["marks"], F.when((acc["inside"] == "") & ~x["skip"], "1").otherwise("0")).alias("marks"),
+            F.when(depth <= 0, "").when(acc["inside"] == "", x["name"]).otherwise(acc["inside"]).alias("inside"),
+            F.greatest(depth, F.lit(0)).alias("depth"),
+        )
+
+    marks = F.split(F.aggregate(pieces, start, step)["marks"], "")
+    return F.filter(F.transform(F.arrays_zip(pieces.alias("p"), marks.alias("m")), lambda z: F.when(z["m"] == "1", z["p"])), lambda p: p.isNotNull())
+
+
+def _inside(pieces: Column, at: Column) -> Column:
+    """Pieces between the start tag at position ``at`` (from 1) and its own end tag, or the end."""
+    name = F.get(pieces, at - 1)["name"]
+    rest = F.slice(pieces, at + 1, F.greatest(F.size(pieces), F.lit(1)))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("count"))
+
+    def step(acc: Column, x: Column) -> Column:
+        depth = acc["depth"] + F.when(x["name"] == name, x["step"]).otherwise(0)
+        return F.when(acc["depth"] <= 0, acc).otherwise(
+            F.struct(depth.alias("depth"), (acc["count"] + F.when(depth > 0, 1).otherwise(0)).alias("count"))
+        )
+
+    return F.slice(rest, F.lit(1), F.aggregate(rest, start, step)["count"])
+
+
+def _container(pieces: Column) -> Column:
+    """Pieces inside the first preferred text container, else the body, else after the head."""
+
+    def place(test) -> Column:
+        return F.nullif(F.array_position(F.transform(pieces, lambda x: (x["step"] == 1) & test(x)), True), F.lit(0))
+
     found = []
     for kind, name in rules.MAIN_CONTAINERS:
         if kind == "tag":
-            opener = rf"(?is)<{name}(?:\s[^>]*)?>(.*?)(?:</{name}\s*>|$)"
+            found.append(place(lambda x, n=name: x["name"] == n))
         elif kind == "id":
-            opener = rf"(?is)<[a-z][^>]*\sid\s*=\s*[\"']?{name}[\"'\s>][^>]*>?(.*)$"
+            found.append(place(lambda x, n=name: x["t"].rlike(rf"(?is)\sid\s*=\s*[\"']?{n}[\"'\s>]")))
         else:
-            opener = rf"(?is)<[a-z][^>]*{_class_test([name])}[^>]*>(.*)$"
-        found.append(urls.filled(F.regexp_extract(html, opener, 1)))
-    body = urls.filled(F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)(?:</body\s*>|$)", 1))
-    # pages without a <body> tag: everything after the head
-    bare = F.regexp_replace(html, r"(?is)<head\b.*?</head\s*>", "")
-    return F.coalesce(*found, body, bare)
+            found.append(place(lambda x, n=name: x["t"].rlike(rf"(?is){_class_test([n])}")))
+    at = F.coalesce(*found, place(lambda x: x["name"] == "body")).cast("int")
+    head = F.array_position(F.transform(pieces, lambda x: (x["step"] == -1) & (x["name"] == "head")), True).cast("int")
+    bare = F.slice(pieces, head + 1, F.greatest(F.size(pieces), F.lit(1)))
+    return urls.let(at, lambda i: F.when(i.isNull(), bare).otherwise(_inside(pieces, i)))
 
 
 def page_lines(html: Column, distinct: bool = True) -> Column:
     """Readable lines of a page; one per stretch of text between tags."""
-    body = without_furniture_tags(html)
-    body = F.regexp_replace(
-        body, rf"(?is)<([a-z][a-z0-9]*)\b[^>]*{_class_test(rules.FURNITURE_CLASSES)}[^>]*>.*?</\1\s*>", ""
-    )
-    inner = F.regexp_replace(
-        urls.let(body, _container), r"(?is)<(?:option|button)\b[^>]*>.*?</(?:option|button)\s*>", "\n"
-    )
-    pieces = F.split(F.regexp_replace(inner, r"(?s)<[^>]*>", "\u0001"), "\u0001")
-    lines = F.filter(F.transform(pieces, lambda p: collapse(unescape(p))), lambda p: p != "")
+    inner = urls.let(urls.let(_pieces(html), _without_skipped), _container)
+    texts = F.filter(inner, lambda x: ~F.startswith(x["t"], F.lit("<")))
+    lines = F.filter(F.transform(texts, lambda x: collapse(unescape(x["t"]))), lambda p: p != "")
     return F.array_distinct(lines) if distinct else lines
 
 

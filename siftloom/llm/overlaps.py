@@ -68,20 +68,20 @@ class _Group:
         ids = self.rows.column(key).combine_chunks() if isinstance(self.rows.column(key), pa.ChunkedArray) else self.rows.column(key)
         self.ids = pa.compute.fill_null(ids.cast(pa.int64()), NULL_ID).to_numpy(zero_copy_only=False)
 
-    def parts(self, split: Callable[[np.ndarray], np.ndarray] | None = None):
-        """(first row, units, runs, codes, class hashes) of each slice; ``split`` marks hot codes."""
-        w = self.units.window
-        for at, part in chunks(self.rows, self.text, self.units):
-            runs = runs_of(part, self.units)
-            codes = _codes(runs.key, self.buckets)
-            if split is not None and len(codes) and (hot := split(codes)).any():
-                size = runs.size[hot]
-                first = ragged(runs.first[hot], size)
-                single = Runs(np.repeat(runs.row[hot], size), first, np.ones(len(first), np.int64), gram_hashes(part.values, w)[first])
-                runs = Runs(*(np.concatenate([a[~hot], b]) for a, b in zip(runs, single, strict=True)))
-                codes = _codes(runs.key, self.buckets)
-            sid = mix(run_hashes(part.values, runs.first, runs.first + runs.size + w - 1) ^ runs.size.astype(np.uint64))
-            yield at, part, runs, codes, sid
+        self.base = []  # (first row, runs, codes) of each slice
+        for at, part in self.slices():
+            runs = runs_of(part, units)
+            self.base.append((at, runs, _codes(runs.key, buckets)))
+
+    def slices(self):
+        return chunks(self.rows, self.text, self.units)
+
+    def windows(self, part: Text, runs: Runs, hot: np.ndarray) -> Runs:
+        """The runs with the ``hot`` ones cut into single windows that are their own minimisers."""
+        size = runs.size[hot]
+        first = ragged(runs.first[hot], size)
+        single = Runs(np.repeat(runs.row[hot], size), first, np.ones(len(first), np.int64), gram_hashes(part.values, self.units.window)[first])
+        return Runs(*(np.concatenate([a[~hot], b]) for a, b in zip(runs, single, strict=True)))
 
 
 def _answers(side: pa.Table, kind: int) -> pa.Table:
@@ -94,38 +94,36 @@ def _bits(side: pa.Table, column: str) -> np.ndarray:
 
 
 class _Known:
-    """What a group knows after the first answers: its minimisers met elsewhere or in two documents here, and the hot ones."""
+    """What a group knows after the first answers.
+
+    ``classes`` has (first row, runs, codes, class hashes) of each slice, for the runs whose
+    minimiser is met in another group or in two documents of this one.
+    """
 
     def __init__(self, group: _Group, side: pa.Table):
-        codes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for at, _, runs, code, _ in group.parts():
-            codes.append(code)
-            docs.append(group.ids[at + runs.row])
-        codes, docs = np.concatenate(codes), np.concatenate(docs)
-        self.codes, inverse = np.unique(codes, return_inverse=True)
+        codes = np.concatenate([np.zeros(0, np.uint64), *[c for _, _, c in group.base]])
+        docs = np.concatenate([np.zeros(0, np.int64), *[group.ids[at + runs.row] for at, runs, _ in group.base]])
+        distinct, inverse = np.unique(codes, return_inverse=True)
         answers = _answers(side, 0)
-        low, high = np.full(len(self.codes), NULL_ID), np.full(len(self.codes), -NULL_ID)
+        low, high = np.full(len(distinct), NULL_ID), np.full(len(distinct), -NULL_ID)
         np.minimum.at(low, inverse, docs)
         np.maximum.at(high, inverse, docs)
-        self.hot = _bits(answers, "y")
-        # runs are looked at if their minimiser is met twice
-        self.wanted = self.codes[(_bits(answers, "x") | (low < high)) & ~self.hot]
-        self.hot = self.codes[self.hot]
-
-    def is_hot(self, codes: np.ndarray) -> np.ndarray:
-        return np.isin(codes, self.hot)
-
-    def classes(self, group: _Group):
-        """Slices with the runs to look at: (first row, units, runs, codes, class hashes)."""
-        for at, part, runs, codes, sid in group.parts(self.is_hot if len(self.hot) else None):
-            if not len(codes):
-                continue
-            place = np.minimum(np.searchsorted(self.wanted, codes), max(0, len(self.wanted) - 1))
-            keep = (self.wanted[place] == codes) if len(self.wanted) else np.zeros(len(codes), bool)
-            if len(self.hot):
-                keep |= runs.size == 1  # windows of hot runs; a cold run of one window is looked at in vain
-            keep = np.flatnonzero(keep)
-            yield at, part, Runs(*(v[keep] for v in runs)), codes[keep], sid[keep]
+        hot = _bits(answers, "y")
+        wanted = (_bits(answers, "x") | (low < high)) & ~hot
+        self.classes, done, w = [], 0, group.units.window
+        for (at, part), (_, runs, codes) in zip(group.slices(), group.base, strict=True):
+            of = inverse[done: done + len(codes)]
+            done += len(codes)
+            take = wanted[of]
+            if hot.any() and hot[of].any():
+                split = hot[of]
+                runs = group.windows(part, Runs(*(v[take | split] for v in runs)), split[take | split])
+                codes = _codes(runs.key, group.buckets)
+            else:
+                runs, codes = Runs(*(v[take] for v in runs)), codes[take]
+            if len(codes):
+                sid = mix(run_hashes(part.values, runs.first, runs.first + runs.size + w - 1) ^ runs.size.astype(np.uint64))
+                self.classes.append((at, runs, codes, sid))
 
 
 def _class_table(codes: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +137,7 @@ def _class_table(codes: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _gathered(known: _Known, group: _Group):
-    found = [(at + runs.row, codes, sid) for at, _, runs, codes, sid in known.classes(group)]
+    found = [(at + runs.row, codes, sid) for at, runs, codes, sid in known.classes]
     rows = np.concatenate([np.zeros(0, np.int64), *[f[0] for f in found]])
     codes = np.concatenate([np.zeros(0, np.uint64), *[f[1] for f in found]])
     sid = np.concatenate([np.zeros(0, np.uint64), *[f[2] for f in found]])
@@ -169,7 +167,7 @@ def repeated(docs: DataFrame, units: Units, resolve, key: str, text: str, groups
 
     def send_keys(table: pa.Table) -> pa.Table:
         group = load(table)
-        codes = np.unique(np.concatenate([np.zeros(0, np.uint64), *[c for _, _, _, c, _ in group.parts()]]))
+        codes = np.unique(np.concatenate([np.zeros(0, np.uint64), *[c for _, _, c in group.base]]))
         bucket = (codes >> np.uint64(40)).astype(np.int64)
         first = _cut(bucket)
         ends = np.append(first, len(codes))
@@ -223,23 +221,32 @@ def repeated(docs: DataFrame, units: Units, resolve, key: str, text: str, groups
         least = np.frombuffer(b"".join(answers.column("x").to_pylist()), "<i8")
         return known, codes, sid, least, _bits(answers, "y"), inverse
 
+    def by_slice(known: _Known, inverse: np.ndarray) -> dict[int, tuple[Runs, np.ndarray]]:
+        """Runs to look at, with their classes, by the first row of their slice."""
+        out, done = {}, 0
+        for at, runs, _, _ in known.classes:
+            out[at] = (runs, inverse[done: done + len(runs.row)])
+            done += len(runs.row)
+        return out
+
     def send_strings(table: pa.Table, side: pa.Table) -> pa.Table:
         out = [pa.table({"_g": pa.array([], pa.int32()), "m": pa.array([], pa.int64()), "sid": pa.array([], pa.int64()), "s": pa.array([], pa.binary()), "first": pa.array([], pa.int64())})]
         if len(table):
             group = load(table)
             known, codes, sid, least, several, inverse = settled(group, side)
             sent = ~several
-            done = 0
-            for _, part, runs, _, _ in known.classes(group):
-                of = inverse[done: done + len(runs.row)]
-                done += len(of)
-                new, at = np.unique(of, return_index=True)
-                at, new = at[~sent[new]], new[~sent[new]]
+            slices = by_slice(known, inverse)
+            for at, part in group.slices():
+                if at not in slices:
+                    continue
+                runs, of = slices[at]
+                new, pick = np.unique(of, return_index=True)
+                pick, new = pick[~sent[new]], new[~sent[new]]
                 sent[new] = True
-                a = part.start[runs.first[at]]
-                z = part.end[runs.first[at] + runs.size[at] + units.window - 2]
+                a = part.start[runs.first[pick]]
+                z = part.end[runs.first[pick] + runs.size[pick] + units.window - 2]
                 out.append(pa.table({
-                    "_g": pa.array(np.full(len(at), group.number, np.int32)), "m": pa.array(codes[new].view(np.int64)), "sid": pa.array(sid[new].view(np.int64)),
+                    "_g": pa.array(np.full(len(pick), group.number, np.int32)), "m": pa.array(codes[new].view(np.int64)), "sid": pa.array(sid[new].view(np.int64)),
                     "s": strings(part.data[ragged(a, z - a)], np.concatenate([[0], np.cumsum(z - a)]), pa.binary()), "first": pa.array(least[new])}))
         return pa.concat_tables(out)
 
@@ -271,14 +278,10 @@ def repeated(docs: DataFrame, units: Units, resolve, key: str, text: str, groups
         mine = np.flatnonzero(several)
         start[mine], size[mine] = edge, np.diff(np.append(edge, len(wm)))
 
-        slices: dict[int, tuple] = {}
-        done = 0
-        for at, _, runs, _, _ in known.classes(group):
-            slices[at] = (runs, inverse[done: done + len(runs.row)])
-            done += len(runs.row)
+        slices = by_slice(known, inverse)
 
         def parts():
-            for at, part in chunks(group.rows, text, units):
+            for at, part in group.slices():
                 change = np.zeros(len(part.values) + 1, np.int64)
                 if at in slices:
                     runs, of = slices[at]

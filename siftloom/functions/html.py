@@ -344,22 +344,30 @@ def sections(html: Column) -> Column:
             F.filter(at, lambda i: F.get(m, i)["a"].isNotNull()).alias("a"),
         )
 
-    def nearest(x: Column, i: Column, field: str) -> Column:
-        at = F.try_element_at(F.filter(x[field], lambda j: j <= i), F.lit(-1))
-        return F.coalesce(F.get(x["m"], at)[field], F.lit(""))
+    def carried(x: Column, field: str) -> Column:
+        """Last label at or before each piece: every label is repeated up to the next one."""
+        ends = F.size(x["m"])
+        before = F.array_repeat(F.lit(""), F.coalesce(F.get(x[field], F.lit(0)), ends))
+        runs = F.transform(
+            x[field], lambda j, k: F.array_repeat(F.get(x["m"], j)[field], F.coalesce(F.get(x[field], k + 1), ends) - j)
+        )
+        return F.concat(before, F.flatten(runs))
+
+    def spread(x: Column) -> Column:
+        return F.struct(x["m"].alias("m"), carried(x, "h").alias("h"), carried(x, "a").alias("a"))
 
     def label(x: Column) -> Column:
         return F.transform(
             x["m"],
             lambda m, i: F.struct(
                 m["html"].alias("html"),
-                nearest(x, i, "h").alias("heading"),
-                nearest(x, i, "a").alias("accordion_group"),
+                F.get(x["h"], i).alias("heading"),
+                F.get(x["a"], i).alias("accordion_group"),
             ),
         )
 
     pieces = F.split(F.regexp_replace(html, _COMMENT, ""), _marker())
-    return urls.let(urls.let(F.transform(pieces, mark), index), label)
+    return urls.let(urls.let(urls.let(F.transform(pieces, mark), index), spread), label)
 
 
 ANCHOR = r"(?is)(<a\s[^>]*>.*?</a\s*>)"

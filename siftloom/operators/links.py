@@ -297,10 +297,18 @@ def _downloadables(page_url: Column, page_title: Column, html: Column) -> Column
             F.lower(F.regexp_extract(link["url"], r"^([^?#]*)", 1)), rules.PAGE_DOWNLOAD_EXTENSIONS
         ),
     )
-    return urls.let(
-        F.struct(wanted.alias("w"), F.transform(wanted, lambda link: link["url"]).alias("u")),
-        lambda x: F.filter(x["w"], lambda link, i: F.array_position(x["u"], link["url"]) == i + 1),
-    )
+    return urls.let(wanted, _first_of_each_url)
+
+
+def _first_of_each_url(links: Column) -> Column:
+    """Links without repeats of a URL, in their order; sorted once instead of compared pairwise."""
+    ordered = F.array_sort(F.transform(links, lambda link, i: F.struct(link["url"].alias("url"), i.alias("i"))))
+
+    def firsts(x: Column) -> Column:
+        new = F.filter(x, lambda p, k: (k == 0) | ~p["url"].eqNullSafe(F.get(x, k - 1)["url"]))
+        return F.array_sort(F.transform(new, lambda p: p["i"]))
+
+    return F.transform(urls.let(ordered, firsts), lambda i: F.get(links, i))
 
 
 def page_downloads(pages: DataFrame) -> DataFrame:

@@ -72,6 +72,15 @@ def detect_language(
     return let(facts, lambda x: _language(x["clean"], x["script"], x["arabic"], x["guess"], kurdish))
 
 
+def refined_language(profile: Column, guess: Column) -> Column:
+    """The verdict of :func:`detect_language` where :func:`needs_profile` holds, without the text.
+
+    Such a text is not blank, and it has no Kurdish letter if it is Arabic.
+    """
+    facts = F.struct(profile["script"].alias("script"), profile["arabic_ratio"].alias("arabic"), guess.alias("guess"))
+    return let(facts, lambda x: _language(F.lit("-"), x["script"], x["arabic"], x["guess"], kurdish_letter_class()))
+
+
 def _language(clean: Column, script: Column, arabic: Column, guess: Column, kurdish: str) -> Column:
     known = guess.isin(list(rules.LANGUAGE_NAMES))
 

@@ -15,6 +15,7 @@ from siftloom.functions import topics as T
 from siftloom.functions import urls
 from siftloom.functions.text import paragraphs, strip, word_count
 from siftloom.operators.skew import top_per_group
+from siftloom.session import cut_lineage
 
 # --- language profiles -------------------------------------------------------
 
@@ -47,13 +48,14 @@ def train_language_profiles(
 def guess_language(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """(doc_id, guess, total): language with the largest summed trigram weight.
 
-    ``profiles`` is bounded by its training, so it is broadcast.  Trigrams are
-    matched and summed inside the task that reads the document; what is shuffled
-    is one row per document and language.
+    Every document has a row; one without a profile trigram has no guess and total 0.
+    ``profiles`` is written first, so the planner knows its size and broadcasts it only if
+    it is small.  Trigrams are matched and summed inside the task that reads the document;
+    what is shuffled is one row per document and language.
     """
-    grams = docs.select("doc_id", F.explode(_trigrams(F.col("text"))).alias("gram"))
+    grams = docs.select("doc_id", F.explode_outer(_trigrams(F.col("text"))).alias("gram"))
     scored = (
-        grams.join(F.broadcast(profiles), "gram")
+        grams.join(cut_lineage(profiles), "gram", "left")
         .groupBy("doc_id", "lang")
         .agg(F.sum("weight").alias("total"))
     )
@@ -62,34 +64,34 @@ def guess_language(docs: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def _argmax(scored: DataFrame) -> DataFrame:
     """Largest total per document; ties go to the first language code."""
-    best = F.min(F.struct((-F.col("total")).alias("loss"), F.col("lang")))
+    best = F.min(F.when(F.col("lang").isNotNull(), F.struct((-F.col("total")).alias("loss"), F.col("lang"))))
     return (
         scored.groupBy("doc_id")
         .agg(best.alias("b"))
-        .select("doc_id", F.col("b.lang").alias("guess"), (-F.col("b.loss")).alias("total"))
+        .select("doc_id", F.col("b.lang").alias("guess"), F.coalesce(-F.col("b.loss"), F.lit(0)).alias("total"))
     )
 
 
-def detect_languages(
-    docs: DataFrame, profiles: DataFrame | None = None, strict_alphabet: bool = False
-) -> DataFrame:
-    """Documents with a ``language`` struct.
+def detect_languages(docs: DataFrame, strict_alphabet: bool = False) -> DataFrame:
+    """Documents with a ``language`` struct from their script alone: a narrow projection."""
+    profiled = docs.withColumn("_profile", L.script_profile(F.col("text")))
+    verdict = L.detect_language(F.col("text"), F.col("_profile"), None, strict_alphabet)
+    return profiled.withColumn("language", verdict).drop("_profile")
+
 
-    Without profiles this is a narrow projection.  With them, only the documents
-    that the script leaves undecided are scored.
+def document_languages(docs: DataFrame, profiles: DataFrame, strict_alphabet: bool = False) -> DataFrame:
+    """(doc_id, language): script rules, refined by trigram profiles where the script leaves the case open.
+
+    Only open cases are scored.  Facts and guesses meet by ``doc_id`` without the text,
+    which stays in the tasks that read it.
     """
-    profiled = docs.withColumn("_profile", L.script_profile(F.col("text")))
-    guess = None
-    if profiles is not None:
-        open_cases = profiled.where(
-            L.needs_profile(F.col("text"), F.col("_profile"), strict_alphabet)
-        ).select("doc_id", "text")
-        profiled = profiled.join(guess_language(open_cases, profiles).drop("total"), "doc_id", "left")
-        guess = F.col("guess")
-    out = profiled.withColumn(
-        "language", L.detect_language(F.col("text"), F.col("_profile"), guess, strict_alphabet)
-    )
-    return out.drop("_profile", "guess")
+    text = F.col("text")
+    profiled = docs.select("doc_id", "text", L.script_profile(text).alias("_p"))
+    profiled = profiled.withColumn("_open", L.needs_profile(text, F.col("_p"), strict_alphabet))
+    facts = profiled.select("doc_id", "_p", "_open", L.detect_language(text, F.col("_p"), None, strict_alphabet).alias("_script"))
+    guesses = guess_language(profiled.where("_open").select("doc_id", "text"), profiles).drop("total")
+    refined = F.when(F.col("_open"), L.refined_language(F.col("_p"), F.col("guess"))).otherwise(F.col("_script"))
+    return facts.join(guesses, "doc_id", "left").select("doc_id", refined.alias("language"))
 
 
 # --- structured documents ----------------------------------------------------

@@ -111,12 +111,27 @@ def x23a(spark, d):
 
 
 @query("X23_guess_language", f"""WITH {GRAMS_SQL}, s AS (SELECT g.doc_id, p.lang, sum(weight) AS total FROM g JOIN p ON g.gram = p.gram GROUP BY ALL)
-SELECT doc_id, lang AS guess, CAST(total AS BIGINT) AS total FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, lang) = 1""")
+SELECT doc_id, guess, coalesce(total, 0) AS total FROM documents LEFT JOIN (SELECT doc_id, lang AS guess, CAST(total AS BIGINT) AS total FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, lang) = 1) USING (doc_id)""")
 def x23b(spark, d):
     docs = read(spark, d, "documents")
     return D.guess_language(docs, D.train_language_profiles(docs, LANGUAGES))
 
 
+NAMED_SQL = "CASE {} " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in rules.LANGUAGE_NAMES.items()) + " ELSE {} END"
+
+
+@query("X22_language_with_profiles", f"""WITH {GRAMS_SQL}, w AS (SELECT g.doc_id, p.lang, sum(weight) AS total FROM g JOIN p ON g.gram = p.gram GROUP BY ALL),
+q AS (SELECT doc_id, CASE WHEN {NAMED_SQL.format('lang', 'NULL')} IS NOT NULL THEN lang END AS guess FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, lang) = 1),
+{RATIO_SQL.replace('scripted', 'documents').replace('c AS (', 'rc AS (').replace('FROM c ', 'FROM rc ')}, v AS (SELECT documents.doc_id, CASE WHEN script = 'latin' THEN coalesce(guess, 'en') ELSE 'unknown' END AS language,
+  CASE WHEN script = 'latin' THEN CASE WHEN guess IS NULL THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END ELSE 0::DOUBLE END AS confidence,
+  CASE WHEN script IS NULL THEN 'unknown' WHEN script = 'unknown' THEN 'mixed' ELSE script END AS script, FALSE AS is_rtl
+  FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN q USING (doc_id))
+SELECT *, {NAMED_SQL.format('language', 'language')} AS language_name FROM v""")
+def x22p(spark, d):
+    docs = read(spark, d, "documents")
+    return D.document_languages(docs, D.train_language_profiles(docs, LANGUAGES)).select("doc_id", "language.*")
+
+
 BAD = "(len(regexp_extract_all(text, '[\\x{e0}-\\x{ff}\\x{fffd}]')) + len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]'))" + "".join(
     f" + len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}'))" for p in rules.MOJIBAKE_PATTERNS) + ")"
 SPOILED = "replace(text, 'a', CASE doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN chr(195) || chr(169) ELSE chr(65533) || chr(65533) END)"

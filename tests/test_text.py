@@ -60,7 +60,7 @@ def test_guess_refines_undecided_text_only(spark):
     train = spark.createDataFrame([("the cat and the dog", "en"), ("kedi ve bir köpek", "tr")], "text string, lang string")
     profiles = D.train_language_profiles(train, ["en", "tr"])
     docs = spark.createDataFrame([(1, "bir kedi ve"), (2, "ئەمە دەقێکی"), (3, "the dog")], "doc_id long, text string")
-    got = {r.doc_id: r.language for r in D.detect_languages(docs, profiles).collect()}
+    got = {r.doc_id: r.language for r in D.document_languages(docs, profiles).collect()}
     assert got[1].language == "tr" and got[1].confidence == 0.8 and got[2].language == "ckb" and got[3].language == "en"
 
 

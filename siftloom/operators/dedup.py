@@ -34,6 +34,18 @@ def new_content(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
     return incoming.join(_stored(catalog, "sha256"), "sha256", "left_anti")
 
 
+def admitted(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Incoming rows that are new by URL and by content.
+
+    ``incoming`` is the small side: the catalog is cut to its keys before anything is made
+    distinct.
+    """
+    pair = ["source_id", "source_url"]
+    same_url = catalog.join(incoming.select(*pair).distinct(), pair, "left_semi")
+    same_hash = catalog.join(incoming.select("sha256").distinct(), "sha256", "left_semi")
+    return new_content(new_urls(incoming, same_url), same_hash)
+
+
 def mark_duplicates(files: DataFrame) -> DataFrame:
     """Files with ``first_pk`` and ``is_duplicate``: later rows of the same hash.
 

@@ -18,25 +18,36 @@ def key_category(key: Column, run_folder: Column) -> Column:
     ).otherwise(folder)
 
 
+#: Tasks that share a folder, and rows of one file.
+SPREAD = 8
+FILE_ROWS = 1_000_000
+
+
+def _by_folder(rows: DataFrame, *keys: str):
+    """Writer of one folder per key combination, with at most ``SPREAD`` tasks writing to a folder."""
+    salt = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(SPREAD))
+    placed = rows.repartition(*[F.col(k) for k in keys], salt)
+    return placed.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy(*keys)
+
+
 def write_metadata(files: DataFrame, out: str, run: str = "run_pk", category: str = "category") -> None:
     """One JSON line per file, once per run and once per category folder.
 
-    Rows are written by the tasks that hold them; a large run or category becomes
-    several part files in its folder.
+    Rows are gathered by run, so a folder gets a few part files however many tasks read
+    the table.
     """
     columns = [c for c in files.columns if c != category]
-    by_run = files.select(*columns, F.col(run).alias("run")).write.mode("overwrite")
-    by_run.partitionBy("run").json(f"{out}/runs")
+    _by_folder(files.select(*columns, F.col(run).alias("run")), "run").json(f"{out}/runs")
     by_category = files.select(
         *columns, F.col(run).alias("run"), F.replace(F.col(category), F.lit("/"), F.lit("__")).alias("category")
     )
-    by_category.where("category <> ''").write.mode("overwrite").partitionBy("run", "category").json(f"{out}/categories")
+    _by_folder(by_category.where("category <> ''"), "run", "category").json(f"{out}/categories")
 
 
 def write_manifests(manifests: DataFrame, out: str) -> None:
     """Run manifests as JSON text, one folder per run."""
     rows = manifests.select(F.to_json(F.struct(*manifests.columns)).alias("value"), F.col("run_id").alias("run"))
-    rows.write.mode("overwrite").partitionBy("run").text(f"{out}/runs")
+    _by_folder(rows, "run").text(f"{out}/runs")
 
 
 def write_category_manifests(summary: DataFrame, parts: DataFrame, out: str) -> None:
@@ -46,7 +57,7 @@ def write_category_manifests(summary: DataFrame, parts: DataFrame, out: str) ->
     )
     for name, table in (("summary", summary), ("files", parts)):
         rows = folder(table).select(F.to_json(F.struct(*table.columns)).alias("value"), "run", "cat")
-        rows.write.mode("overwrite").partitionBy("run", "cat").text(f"{out}/{name}")
+        _by_folder(rows, "run", "cat").text(f"{out}/{name}")
 
 
 def record_keys(records: DataFrame, run_folder: Column) -> DataFrame:
@@ -61,15 +72,15 @@ def record_keys(records: DataFrame, run_folder: Column) -> DataFrame:
 def write_records(records: DataFrame, out: str, fmt: str = "json") -> None:
     """Structured records, one folder per source domain."""
     rows = records.withColumn("domain", F.col("source_domain"))
-    rows.write.mode("overwrite").partitionBy("domain").format(fmt).save(f"{out}/data/web_content")
+    _by_folder(rows, "domain").format(fmt).save(f"{out}/data/web_content")
 
 
 def write_speech_datasets(segments: DataFrame, out: str) -> None:
     """STT and TTS JSON lines and the transcript text of every medium."""
     stt = media.stt_records(segments)
-    stt.drop("chunk_index").write.mode("overwrite").partitionBy("medium_id").json(f"{out}/stt")
+    _by_folder(stt.drop("chunk_index"), "medium_id").json(f"{out}/stt")
     media.tts_records(stt).write.mode("overwrite").json(f"{out}/tts")
     parts = media.transcript_parts(stt)
     header = F.concat(F.lit("Source: "), "title", F.lit("\nURL: "), "source_url", F.lit("\n\n"))
     text = parts.withColumn("value", F.when(F.col("part_no") == 0, F.concat(header, "text")).otherwise(F.col("text")))
-    text.select("value", "medium_id", "part_no").write.mode("overwrite").partitionBy("medium_id", "part_no").text(f"{out}/transcript")
+    _by_folder(text.select("value", "medium_id", "part_no"), "medium_id", "part_no").text(f"{out}/transcript")

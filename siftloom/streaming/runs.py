@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from siftloom import rules
-from siftloom.operators.dedup import new_content, new_urls
+from siftloom.operators.dedup import admitted
 from siftloom.operators.links import usable_pages, web_page_records
 from siftloom.operators.reports import run_counters
 from siftloom.session import cut_lineage
@@ -199,12 +199,7 @@ def start_known_file_skip(
         stream = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["sha256"])
 
     def admit(batch: DataFrame, batch_id: int) -> None:
-        catalog = read_catalog()
-        # the batch is small: the catalog is cut to its keys before anything is made distinct
-        same_url = catalog.join(batch.select("source_id", "source_url").distinct(), ["source_id", "source_url"], "left_semi")
-        same_hash = catalog.join(batch.select("sha256").distinct(), "sha256", "left_semi")
-        fresh = new_content(new_urls(batch, same_url), same_hash)
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        admitted(batch, read_catalog()).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(admit).start()

@@ -97,11 +97,11 @@ def document_languages(docs: DataFrame, profiles: DataFrame, strict_alphabet: bo
 # --- structured documents ----------------------------------------------------
 
 
-def structured_documents(docs: DataFrame, strict_alphabet: bool = False) -> DataFrame:
+def structured_documents(docs: DataFrame, strict_alphabet: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """``structured_document.v1`` records from (id, publisher, url, file_path, title, text).
 
     Optional columns ``language``, ``quality``, ``conversion`` and ``document_type``
-    are used when present.
+    are used when present; columns in ``keep`` are carried along.
     """
     staged = docs.withColumn("raw_text", F.coalesce("text", F.lit("")))
     if "language" not in docs.columns:
@@ -160,28 +160,55 @@ def structured_documents(docs: DataFrame, strict_alphabet: bool = False) -> Data
             F.length("normalized").alias("char_count"),
         ).alias("structure"),
         verification.alias("quality"),
+        *keep,
     )
 
 
 def enrich_text_files(
     files: DataFrame, keywords: T.Keywords = rules.TOPIC_KEYWORDS, strict_alphabet: bool = False
 ) -> DataFrame:
-    """Files with language, quality and topic members: one narrow pass over the text."""
+    """Files with language, quality and topic members: one narrow pass over the text.
+
+    ``files`` has text and file_size; extension or mime_type tell a PDF, ``header`` holds its
+    first bytes, ``page_count`` its pages, and the descriptive fields present among
+    ``rules.METADATA_FIELDS`` give the completeness.  Missing columns count as absent.
+    """
     text, size = F.col("text"), F.col("file_size")
-    pdf = F.lit(False)
+    given = lambda name: F.col(name) if name in files.columns else F.lit(None).cast("string")
+    pdf = F.coalesce(F.lower(given("extension")) == ".pdf", F.lit(False)) | F.coalesce(
+        F.lower(given("mime_type")) == "application/pdf", F.lit(False))
+    pages = F.col("page_count").cast("int") if "page_count" in files.columns else None
     staged = files.withColumns({"_p": L.script_profile(text), "topic_scores": T.topic_scores(text, keywords)})
     return staged.withColumns(
         {
             "language": L.detect_language(text, F.col("_p"), None, strict_alphabet),
-            "quality": Q.quality_score(
-                text, size, pdf, F.lit(""), Q.metadata_completeness(F.lit("x"))
+            "quality_facts": Q.quality_score(
+                text, size, pdf, given("header"), Q.metadata_completeness(*[given(f) for f in rules.METADATA_FIELDS]), pages
             ),
-            "topic": T.best_topic(F.col("topic_scores"), text),
+            "best_topic": T.best_topic(F.col("topic_scores"), text),
             "tags": T.year_tags(strip(text)),
         }
     ).drop("_p")
 
 
+def process_text_files(files: DataFrame, keywords: T.Keywords = rules.TOPIC_KEYWORDS, strict_alphabet: bool = False) -> DataFrame:
+    """The whole per-file pass: facts of :func:`enrich_text_files` and the structured record.
+
+    ``files`` needs sha256, source_id, source_url, storage_key and file_name as well.
+    Returns file_pk, language, quality_facts, best_topic, tags and ``record``; no shuffle.
+    """
+    rich = enrich_text_files(files, keywords, strict_alphabet)
+    facts = ["file_pk", "quality_facts", "best_topic", "tags"]
+    named = rich.select(
+        F.col("sha256").alias("id"), F.col("source_id").alias("publisher"), F.col("source_url").alias("url"),
+        F.col("storage_key").alias("file_path"), F.col("file_name").alias("title"), "text", "language",
+        F.struct(*facts).alias("_facts"),
+    )
+    record = structured_documents(named, strict_alphabet, keep=["_facts", "language"])
+    own = [c for c in record.columns if c not in ("_facts", "language")]
+    return record.select("_facts.*", "language", F.struct(*own).alias("record"))
+
+
 # --- roll-up of page text ----------------------------------------------------
 
 

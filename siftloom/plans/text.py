@@ -290,6 +290,31 @@ def x35(spark, d):
     )
 
 
+_SCORE_SQL = f"""WITH m AS (SELECT doc_id, text, doc_id % 2 = 0 AS pdf, CASE WHEN doc_id % 4 = 0 THEN '%PDF-' ELSE substring(text, 1, 5) END AS head, length(text) AS n, {BYTES} AS size FROM documents),
+f AS (SELECT doc_id, pdf, CASE WHEN size > 0 THEN n / (size / 1024.0::DOUBLE) ELSE n END AS density,
+  CASE WHEN n = 0 THEN 0 ELSE (n - len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7f\\x{{80}}-\\x{{a0}}\\x{{ad}}]'))) / CAST(n AS DOUBLE) END AS pr,
+  1.0::DOUBLE - least(1.0::DOUBLE, {BAD} / CAST(greatest(n, 1) AS DOUBLE)) AS enc,
+  CASE WHEN size = 0 THEN 0::DOUBLE ELSE (CASE WHEN size < 100 THEN 0.5::DOUBLE ELSE 1::DOUBLE END) * (CASE WHEN pdf AND head <> '%PDF-' THEN 0.3::DOUBLE ELSE 1::DOUBLE END) END AS integ FROM m),
+g AS (SELECT *, CAST(CASE WHEN pdf THEN CASE WHEN density >= 150 THEN 1.0 WHEN density >= 100 THEN 0.85 WHEN density >= 50 THEN 0.6 WHEN density >= 20 THEN 0.3 ELSE 0.1 END
+  ELSE CASE WHEN density >= 500 THEN 1.0 WHEN density >= 300 THEN 0.85 WHEN density >= 100 THEN 0.6 WHEN density >= 30 THEN 0.3 ELSE 0.1 END END AS DOUBLE) AS ds FROM f)
+SELECT doc_id, CAST(greatest(0, least(100, round_even((0.0::DOUBLE + ds * 0.25::DOUBLE + pr * 0.15::DOUBLE + enc * 0.3::DOUBLE + (3 / 6.0::DOUBLE) * 0.15::DOUBLE + integ * 0.15::DOUBLE) * 100, 0))) AS INTEGER) AS score FROM g"""
+
+
+@query("X32_text_file_pipeline", with_tables(f"""SELECT 'doc-' || doc_id AS file_pk, CASE WHEN script = 'latin' THEN 'en' ELSE 'unknown' END AS language, score, category, confidence, sha256 AS id, md5(text) AS raw_digest,
+  len([x for x in string_split_regex(text, '\\s+') if x <> '']) AS word_count, CASE WHEN text = '' THEN 'rejected' ELSE 'verified' END AS text_quality
+FROM text_files JOIN (WITH {RATIO_SQL.replace('scripted', 'documents')} SELECT doc_id, script FROM s) USING (doc_id) JOIN (WITH {_topic_sql('documents', LATIN_TOPICS)}) USING (doc_id) JOIN ({_SCORE_SQL}) USING (doc_id)""", "text_files"))
+def x32p(spark, d):
+    files = t.text_files(spark, d).withColumns({
+        "extension": F.when(F.col("doc_id") % 2 == 0, ".pdf").otherwise(".txt"),
+        "header": F.when(F.col("doc_id") % 4 == 0, "%PDF-").otherwise(F.substring("text", 1, 5)),
+        "title": F.col("file_name"), "author": F.col("source_id"), "date": F.lit("2024"), "subject": F.lit(""),
+    })
+    out = D.process_text_files(files, LATIN_TOPICS)
+    return out.select(
+        "file_pk", "language.language", "quality_facts.score", "best_topic.category", F.round("best_topic.confidence", 9).alias("confidence"),
+        "record.id", F.md5("record.text.raw_text").alias("raw_digest"), "record.structure.word_count", "record.quality.text_quality")
+
+
 # --- page tables: documents cut into pages of 700 characters -----------------
 
 PAGE = 700

@@ -268,10 +268,18 @@ def _structured(spark, d):
     return D.structured_documents(docs)
 
 
-@query("X32_structured_documents")
+@query("X32_structured_documents", with_tables(f"""WITH v AS (WITH {RATIO_SQL.replace('scripted', 'documents')} SELECT * FROM s)
+SELECT 'structured_document.v1' AS schema_version, sha256 AS id, source_id AS publisher, source_url AS url, storage_key AS file_path, file_name AS title, 'document' AS document_type,
+  CASE WHEN script = 'latin' THEN 'en' ELSE 'unknown' END AS language, 'unknown' AS dialect, CASE WHEN script IS NULL THEN 'unknown' WHEN script = 'unknown' THEN 'mixed' ELSE script END AS script, 'ltr' AS direction,
+  md5(text) AS raw_digest, md5(text) AS converted_digest, md5(text) AS normalized_digest, md5(text) AS primary_digest, 'normalized_text' AS primary_text_source,
+  'unicode_normalized' AS encoding_type, 1.0::DOUBLE AS conversion_confidence, 'unicode_nfc' AS normalization,
+  text <> '' AS conversion_verified, FALSE AS language_verified, trim(text) <> '' AS structure_verified
+FROM text_files LEFT JOIN v USING (doc_id)""", "text_files"))
 def x32(spark, d):
-    s = _structured(spark, d)
-    return s.select("schema_version", "id", *[F.to_json(c).alias(c) for c in ("source", "document", "text", "conversion", "structure", "quality")])
+    digests = [F.md5(f"text.{c}_text").alias(f"{c}_digest") for c in ("raw", "converted", "normalized", "primary")]
+    return _structured(spark, d).select(
+        "schema_version", "id", "source.publisher", "source.url", "source.file_path", "document.*", *digests, "text.primary_text_source",
+        "conversion.*", "quality.conversion_verified", "quality.language_verified", "quality.structure_verified")
 
 
 @query("X32_structured_fields", with_tables("""SELECT sha256 AS id, source_id AS publisher, 'example.com' AS domain, source_id AS subdomain, regexp_extract(source_url, '://[^/]+(.*)$', 1) AS route, file_name AS title,

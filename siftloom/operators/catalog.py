@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftloom import rules
 from siftloom.functions import files as FN
 from siftloom.functions import urls
-from siftloom.operators.skew import top_per_group
+from siftloom.operators.skew import attach_dimension, top_per_group
 
 # --- filters -----------------------------------------------------------------
 
@@ -147,12 +147,32 @@ def list_page(
     df: DataFrame, page: object = None, page_size: object = None,
     created: str = "created_at", key: str = "file_pk",
 ) -> DataFrame:
-    """One page, newest first.  Offset and limit run as a top-k, not as a full sort."""
+    """One page, newest first.  Offset and limit run as a top-k, not as a full sort.
+
+    For deep pages use :func:`list_after`, which does not hold the rows before the page.
+    """
     number, size = page_numbers(page, page_size)
     ordered = df.orderBy(F.desc(created), F.col(key))
     return ordered.offset((number - 1) * size).limit(size)
 
 
+def list_after(
+    df: DataFrame, after: tuple[object, object] | None = None, page_size: object = None,
+    created: str = "created_at", key: str = "file_pk",
+) -> DataFrame:
+    """The page after the row (created, key), newest first.
+
+    A deep page costs as much as the first: rows before it are filtered at the scan, and
+    only one page is kept per task.
+    """
+    _, size = page_numbers(1, page_size)
+    rows = df
+    if after is not None:
+        at, last = F.lit(after[0]), F.lit(after[1])
+        rows = df.where((F.col(created) < at) | ((F.col(created) == at) & (F.col(key) > last)))
+    return rows.orderBy(F.desc(created), F.col(key)).limit(size)
+
+
 def page_envelope(df: DataFrame, page: object = None, page_size: object = None) -> DataFrame:
     """Totals that go with a page."""
     number, size = page_numbers(page, page_size)
@@ -196,10 +216,9 @@ def run_list(runs: DataFrame, collectors: DataFrame, sources: DataFrame, users:
 
 
 def file_details(files: DataFrame, runs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Files with their run and source."""
-    return files.join(
-        runs.select("run_pk", "run_id", F.col("status").alias("run_status")), "run_pk", "left"
-    ).join(
+    """Files with their run and source; a run with very many files is met by broadcast."""
+    named = attach_dimension(files, runs.select("run_pk", "run_id", F.col("status").alias("run_status")), "run_pk", "file_pk")
+    return named.join(
         sources.select("source_id", F.col("name").alias("source_name"), F.col("slug").alias("source_slug")),
         "source_id", "left",
     )

@@ -11,8 +11,10 @@ from siftloom.session import cut_lineage
 
 #: Rows that one task numbers.
 TASK_ROWS = 1_000_000
-#: Hottest keys that are resolved by broadcast instead of by shuffle.
+#: Hottest keys that are resolved by broadcast instead of by shuffle, and bytes of the
+#: values of one such key: together they bound the broadcast.
 HOT_KEYS = 1000
+HOT_BYTES = 8192
 
 
 def attach_per_key(
@@ -29,11 +31,12 @@ def attach_per_key(
     most ``HOT_KEYS`` keys with ``hot_rows`` rows or more are broadcast (so the
     broadcast is bounded whatever the data) and their rows are scattered over the
     shuffle by ``spread``, where they match nothing; any other key holds a small
-    share of the rows and meets its partner by an ordinary shuffle join.
+    share of the rows, or values too large to be broadcast, and meets its partner by an
+    ordinary shuffle join, whose skewed partitions adaptive execution splits.
     """
     values = [c for c in lookup.columns if c not in keys and c != count]
     hot = (
-        lookup.where(F.col(count) >= hot_rows)
+        lookup.where((F.col(count) >= hot_rows) & (F.octet_length(F.to_json(F.struct(*values))) <= HOT_BYTES))
         .orderBy(F.desc(count), *keys)
         .limit(HOT_KEYS)
         .select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.struct(*values).alias("_hot"))
@@ -60,6 +63,12 @@ def attach_per_key(
     )
 
 
+def attach_dimension(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join to a table with one row per key, whatever the share of one key."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return attach_per_key(rows, table.join(counts, key), [key], [spread])
+
+
 def join_present(rows: DataFrame, lookup: DataFrame, key: str, spread: str) -> DataFrame:
     """Left join by a key that many rows lack: those rows match nothing and are scattered by ``spread``."""
     absent = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from siftloom import rules
@@ -464,6 +466,12 @@ def l1(spark, d):
     return page.select("file_pk", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
+@query("L1_keyset_page", with_tables("SELECT file_pk, created_at::VARCHAR AS created FROM files WHERE created_at < TIMESTAMP '1996-01-01' OR (created_at = TIMESTAMP '1996-01-01' AND file_pk > 'm') ORDER BY created_at DESC, file_pk LIMIT 50", "files"))
+def l1k(spark, d):
+    page = CT.list_after(t.files(spark, d), (datetime(1996, 1, 1), "m"), "50")
+    return page.select("file_pk", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
+
+
 @query("L1_page_envelope", with_tables("SELECT count(*) AS total, 1 AS page, 20 AS page_size, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM files WHERE status = 'UPLOADED'", "files"))
 def l1b(spark, d):
     return CT.page_envelope(t.files(spark, d).where("status = 'UPLOADED'"), "abc", None)

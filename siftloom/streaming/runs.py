@@ -136,8 +136,7 @@ class RunStateMachine(StatefulProcessor):
         current = self.status.get()[0] if self.status.exists() else self.start
         # the order inside the batch is by time: only ids, times and moves of a run are
         # held to be sorted, the answers leave in chunks
-        kept = [frame[["ts", "event_id", "move"]].astype({"move": "category"}) for frame in rows]
-        batch = pd.concat([k.astype({"move": "string"}) for k in kept]).sort_values(["ts", "event_id"])
+        batch = pd.concat([frame[["ts", "event_id", "move"]] for frame in rows]).sort_values(["ts", "event_id"])
         for start in range(0, len(batch), self.chunk):
             out = []
             part = batch.iloc[start: start + self.chunk]

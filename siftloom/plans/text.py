@@ -67,12 +67,13 @@ def x19(spark, d):
 
 @query("X20_decode_verdict", f"""WITH r AS (SELECT doc_id, text, {LEGACY_COUNT} / CAST(greatest(length(text), 1) AS DOUBLE) > 0.05 AS legacy FROM documents)
 SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN legacy THEN 'ali_kurdish_legacy' ELSE 'clean_unicode' END AS encoding_type, legacy AS is_legacy_encoded, CAST(1 AS DOUBLE) AS confidence,
-  CAST(len(CASE WHEN trim(text) = '' THEN '' WHEN legacy THEN translate(text, '{rules.LEGACY_LETTERS}', '{rules.LEGACY_TARGETS}') ELSE text END) >= length(text) AS BOOLEAN) AS whole FROM r""")
+  CASE WHEN NOT legacy AND trim(text) <> '' THEN md5(text) END AS digest FROM r""")
 def x20(spark, d):
     doc = N.decode_kurdish(read(spark, d, "documents"), "text")
     return doc.select(
         "doc_id", "decoded.encoding_type", "decoded.is_legacy_encoded", "decoded.confidence",
-        (F.length("decoded.text") >= F.length("text")).alias("whole"),
+        # legacy letters have targets of several letters, which X18 compares
+        F.when(F.col("decoded.encoding_type") == "clean_unicode", F.md5("decoded.text")).alias("digest"),
     )
 
 
@@ -86,20 +87,19 @@ r AS (SELECT doc_id, c, {_count(rules.ARABIC_CLASS)} / CAST(length(c) AS DOUBLE)
 s AS (SELECT *, CASE WHEN ar > 0.3 THEN 'arabic' WHEN la > 0.3 THEN 'latin' WHEN cy > 0.3 THEN 'cyrillic' WHEN ar > 0.1 AND la > 0.1 THEN 'mixed' ELSE 'unknown' END AS script FROM r)"""
 
 
-@query("X21_script_ratios", with_tables(f"WITH {RATIO_SQL} SELECT doc_id, round(ar, 9) AS arabic_ratio, round(la, 9) AS latin_ratio, round(cy, 9) AS cyrillic_ratio, script FROM s", "scripted"))
+@query("X21_script_ratios", with_tables(f"WITH {RATIO_SQL} SELECT doc_id, coalesce(round(ar, 9), 0) AS arabic_ratio, coalesce(round(la, 9), 0) AS latin_ratio, coalesce(round(cy, 9), 0) AS cyrillic_ratio, coalesce(script, 'unknown') AS script FROM scripted LEFT JOIN s USING (doc_id)", "scripted"))
 def x21(spark, d):
-    p = t.scripted(spark, d).where(F.trim("text") != "").select("doc_id", L.script_profile(F.col("text")).alias("p"))
+    p = t.scripted(spark, d).select("doc_id", L.script_profile(F.col("text")).alias("p"))
     return p.select("doc_id", *[F.round(f"p.{c}", 9).alias(c) for c in ("arabic_ratio", "latin_ratio", "cyrillic_ratio")], "p.script")
 
 
 @query("X22_language_rules", with_tables(f"""WITH {RATIO_SQL}, v AS (SELECT *, CASE WHEN ar > 0.2 OR script = 'arabic' THEN CASE WHEN regexp_matches(c, '[{rules.KURDISH_LETTERS}]') THEN 'ckb' ELSE 'ar' END
-  WHEN script = 'latin' THEN 'en' ELSE 'unknown' END AS language FROM s)
+  WHEN script = 'latin' THEN 'en' ELSE 'unknown' END AS language FROM (SELECT scripted.doc_id, c, ar, script FROM scripted LEFT JOIN s USING (doc_id)))
 SELECT doc_id, language, CASE language WHEN 'ckb' THEN 0.85::DOUBLE WHEN 'ar' THEN 0.7::DOUBLE WHEN 'en' THEN 0.6::DOUBLE ELSE 0::DOUBLE END AS confidence,
-  CASE WHEN language IN ('ckb', 'ar') THEN 'arabic' WHEN language = 'unknown' AND script = 'unknown' THEN 'mixed' ELSE script END AS script, language IN ('ckb', 'ar') AS is_rtl,
+  CASE WHEN language IN ('ckb', 'ar') THEN 'arabic' WHEN script IS NULL THEN 'unknown' WHEN language = 'unknown' AND script = 'unknown' THEN 'mixed' ELSE script END AS script, language IN ('ckb', 'ar') AS is_rtl,
   CASE language WHEN 'ckb' THEN 'Central Kurdish (Sorani)' WHEN 'ar' THEN 'Arabic' WHEN 'en' THEN 'English' ELSE 'Unknown' END AS language_name FROM v""", "scripted"))
 def x22(spark, d):
-    docs = t.scripted(spark, d).where(F.trim("text") != "")
-    return D.detect_languages(docs).select("doc_id", "language.*")
+    return D.detect_languages(t.scripted(spark, d)).select("doc_id", "language.*")
 
 
 LANGUAGES = ["de", "en", "es", "fr"]

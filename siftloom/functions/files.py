@@ -137,10 +137,6 @@ def format_run_id(day: Column, number: Column) -> Column:
 # --- categories and types ----------------------------------------------------
 
 
-def _extension_categories() -> dict[str, str]:
-    return {e: name for name, exts in rules.CATEGORY_EXTENSIONS.items() for e in exts}
-
-
 def _has(text: Column, parts: Sequence[str]) -> Column:
     return text.rlike(urls.alternation(parts))
 
@@ -163,7 +159,7 @@ def _worker_category(mime: Column, ext: Column) -> Column:
     )
     is_pdf = F.coalesce(mime == "application/pdf", F.lit(False)) | (ext == ".pdf")
     return F.when(is_pdf, "pdf/digital").otherwise(
-        F.coalesce(lookup(_extension_categories(), ext), by_mime, F.lit("files"))
+        F.coalesce(lookup(rules.EXTENSION_CATEGORIES, ext), by_mime, F.lit("files"))
     )
 
 
@@ -176,7 +172,7 @@ def _api_category(mime: Column, ext: Column) -> Column:
         .when(m.startswith("image/"), "images")
         .when(m.startswith("text/"), "text")
         .when(_has(m, ["zip", "rar", "compressed"]), "archives")
-        .otherwise(F.coalesce(lookup(_extension_categories(), ext), F.lit("other")))
+        .otherwise(F.coalesce(lookup(rules.EXTENSION_CATEGORIES, ext), F.lit("other")))
     )
 
 
@@ -438,10 +434,10 @@ def source_metadata(slug: Column, name: Column, base_url: Column) -> Column:
         lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30))),
     )
     known = F.when(F.lit(False), "")
-    for parts, label in rules.KNOWN_SOURCE_NAMES:
+    for kind, parts, label in rules.KNOWN_SOURCE_NAMES:
         test = F.lit(True)
         for part in parts:
-            test = test & (clean == part[1:] if part.startswith("=") else clean.contains(part))
+            test = test & (clean == part if kind == "equals" else clean.contains(part))
         known = known.when(test, label)
     fixed_name = F.when(mangled, F.coalesce(known, F.array_join(words, " "))).otherwise(given)
     bad_url = (

@@ -379,11 +379,10 @@ def a20(spark, d):
     return CT.reconciliation_summary(CT.reconcile(t.files(spark, d), _objects(spark, d)))
 
 
-@query("D13_category_lookup", with_tables(f"""WITH m AS (SELECT unnest([{', '.join(f"'{e}'" for v in rules.CATEGORY_EXTENSIONS.values() for e in v)}]) AS extension, unnest([{', '.join(f"'{k}'" for k, v in rules.CATEGORY_EXTENSIONS.items() for _ in v)}]) AS category)
+@query("D13_category_lookup", with_tables(f"""WITH m AS (SELECT unnest([{', '.join(f"'{e}'" for e in rules.EXTENSION_CATEGORIES)}]) AS extension, unnest([{', '.join(f"'{c}'" for c in rules.EXTENSION_CATEGORIES.values())}]) AS category)
 SELECT category, count(*) AS files FROM files f LEFT JOIN m ON f.extension = m.extension GROUP BY category""", "files"))
 def d13(spark, d):
-    rows = [(e, c) for c, exts in rules.CATEGORY_EXTENSIONS.items() for e in exts]
-    table = spark.createDataFrame(rows, "extension string, category string")
+    table = spark.createDataFrame(list(rules.EXTENSION_CATEGORIES.items()), "extension string, category string")
     return CT.attach_extension_category(t.files(spark, d), table).groupBy("category").agg(F.count("*").alias("files"))
 
 

@@ -106,20 +106,30 @@ GATE_PHRASES = [
 
 # --- Files (fixed values) ----------------------------------------------------
 
-CATEGORY_EXTENSIONS = {
-    "pdf": [".pdf"],
-    "documents": [".doc", ".docx", ".odt", ".rtf", ".pages"],
-    "spreadsheets": [".xls", ".xlsx", ".ods", ".csv", ".tsv"],
-    "presentations": [".ppt", ".pptx", ".odp"],
-    "archives": [".zip", ".rar", ".7z", ".tar", ".gz", ".bz2", ".xz", ".iso"],
-    "text": [".txt", ".md", ".rst"],
-    "ebooks": [".epub", ".mobi", ".azw3", ".fb2", ".djvu", ".cbz", ".cbr", ".chm"],
-    "audio": [".mp3", ".m4a", ".wav", ".flac", ".ogg", ".opus", ".aac", ".wma"],
-    "video": [".mp4", ".mkv", ".avi", ".mov", ".webm", ".flv", ".wmv", ".m4v"],
-    "images": [".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".bmp", ".ico"],
-    "subtitles": [".srt", ".vtt"],
-    "data": [".json", ".jsonl", ".xml", ".parquet", ".arrow", ".feather"],
-    "code": [".py", ".js", ".ts", ".html", ".css", ".sql", ".yaml", ".yml"],
+#: extension -> category
+EXTENSION_CATEGORIES = {
+    ".pdf": "pdf",
+    ".doc": "documents", ".docx": "documents", ".odt": "documents", ".rtf": "documents",
+    ".pages": "documents",
+    ".xls": "spreadsheets", ".xlsx": "spreadsheets", ".ods": "spreadsheets", ".csv": "spreadsheets",
+    ".tsv": "spreadsheets",
+    ".ppt": "presentations", ".pptx": "presentations", ".odp": "presentations",
+    ".zip": "archives", ".rar": "archives", ".7z": "archives", ".tar": "archives", ".gz": "archives",
+    ".bz2": "archives", ".xz": "archives", ".iso": "archives",
+    ".txt": "text", ".md": "text", ".rst": "text",
+    ".epub": "ebooks", ".mobi": "ebooks", ".azw3": "ebooks", ".fb2": "ebooks", ".djvu": "ebooks",
+    ".cbz": "ebooks", ".cbr": "ebooks", ".chm": "ebooks",
+    ".mp3": "audio", ".m4a": "audio", ".wav": "audio", ".flac": "audio", ".ogg": "audio", ".opus": "audio",
+    ".aac": "audio", ".wma": "audio",
+    ".mp4": "video", ".mkv": "video", ".avi": "video", ".mov": "video", ".webm": "video", ".flv": "video",
+    ".wmv": "video", ".m4v": "video",
+    ".jpg": "images", ".jpeg": "images", ".png": "images", ".gif": "images", ".webp": "images",
+    ".svg": "images", ".bmp": "images", ".ico": "images",
+    ".srt": "subtitles", ".vtt": "subtitles",
+    ".json": "data", ".jsonl": "data", ".xml": "data", ".parquet": "data", ".arrow": "data",
+    ".feather": "data",
+    ".py": "code", ".js": "code", ".ts": "code", ".html": "code", ".css": "code", ".sql": "code",
+    ".yaml": "code", ".yml": "code",
 }
 
 BROWSER_CATEGORY_EXTENSIONS = {
@@ -254,14 +264,15 @@ EXTENSION_PRESETS = {
 }
 
 #: slug fragment(s) -> display name, first match wins
+#: (test, parts of a slug, name): the slug contains all parts, or equals the one part
 KNOWN_SOURCE_NAMES = [
-    (["basnews"], "BasNews"),
-    (["kurdishcentral"], "Kurdish Central"),
-    (["diyako", "yageyziman"], "Diyako (Yagey Ziman)"),
-    (["yageyziman"], "Yagey Ziman"),
-    (["=gov-krd"], "Gov.krd (Kurdistan Regional Government)"),
-    (["=gov.krd"], "Gov.krd (Kurdistan Regional Government)"),
-    (["rudaw"], "Rudaw"),
+    ("contains", ["basnews"], "BasNews"),
+    ("contains", ["kurdishcentral"], "Kurdish Central"),
+    ("contains", ["diyako", "yageyziman"], "Diyako (Yagey Ziman)"),
+    ("contains", ["yageyziman"], "Yagey Ziman"),
+    ("equals", ["gov-krd"], "Gov.krd (Kurdistan Regional Government)"),
+    ("equals", ["gov.krd"], "Gov.krd (Kurdistan Regional Government)"),
+    ("contains", ["rudaw"], "Rudaw"),
 ]
 SLUG_TLDS = ["com", "org", "net", "krd", "iq", "edu", "info", "io", "ai", "me", "tv"]
 

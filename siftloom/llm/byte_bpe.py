@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm.arrays import ragged, steps, text_buffers
-from siftloom.llm.pretokens import Memo, character_classes, encode_texts
+from siftloom.llm.pretokens import TOKEN_BYTES, Memo, character_classes, encode_texts
 from siftloom.llm.registry import query, table
 
 
@@ -139,7 +139,7 @@ def digests(df: DataFrame, ranks_path: str, key: str, text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path)
         for whole in batches:
-            for batch in steps(whole, text):
+            for batch in steps(whole, text, TOKEN_BYTES):
                 ids, first = bpe.encode(*text_buffers(batch.column(text)))
                 back = bpe.decode(ids)
                 edges = np.concatenate([[0], np.cumsum(bpe.size[ids])])[first]

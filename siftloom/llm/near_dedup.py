@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.arrays import ragged, steps, text_buffers
+from siftloom.llm.arrays import ragged, release, steps, text_buffers
 from siftloom.llm.components import components
 from siftloom.llm.registry import query, table
 from siftloom.llm.words import blanks, gram_hashes, lower_ascii, mix, run_hashes, word_hashes, words_of
@@ -235,6 +235,7 @@ def _links(rows: pa.Table) -> pa.Table:
                     part[part == part[k - a]] = part[i - a]
                     x.append(members.id[i])
                     y.append(members.id[k])
+    release()
     return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.arrays import ragged, strings
+from siftloom.llm.arrays import ragged, release, strings
 from siftloom.llm.repeats import NULL_ID, Runs, Text, Units, _binary, _codes, chunks, packed, runs_of, unpacked
 from siftloom.llm.words import gram_hashes, mix, run_hashes
 
@@ -163,6 +163,7 @@ def repeated(docs: DataFrame, units: Units, resolve, key: str, text: str, groups
     by_group = blobs.groupBy("_g")
 
     def load(group: pa.Table) -> _Group:
+        release()  # of the group before
         return _Group(group, key, text, units, groups)
 
     def send_keys(table: pa.Table) -> pa.Table:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftloom.llm.arrays import steps, text_buffers
 from siftloom.llm.byte_bpe import byte_table
-from siftloom.llm.pretokens import LETTER, NUMBER, OTHER, Memo, character_classes, encode_texts
+from siftloom.llm.pretokens import LETTER, NUMBER, OTHER, TOKEN_BYTES, Memo, character_classes, encode_texts
 from siftloom.llm.registry import query, table
 from siftloom.session import cut_lineage
 
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(tokenizer_path)
         for whole in batches:
-            for batch in steps(whole, text):
+            for batch in steps(whole, text, TOKEN_BYTES):
                 ids, first = bpe.encode(batch.column(text))
                 ids = np.insert(ids.astype("<u4"), first[1:], END_ID)
                 first = first + np.arange(len(first))

@@ -15,7 +15,9 @@ import numpy as np
 from siftloom.llm.arrays import ragged, strings
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-MEMO = 300_000
+MEMO = 200_000
+#: Bytes of text that are cut and encoded in one step.
+TOKEN_BYTES = 3 << 20
 
 
 @functools.cache
@@ -24,11 +26,13 @@ def character_classes() -> np.ndarray:
     import regex
 
     table = np.zeros(0x110000, np.uint8)
-    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, points):
-            first, last = ord(points[m.start()]), ord(points[m.end() - 1])
-            table[first: last + 1] = kind
+    for block in range(0, 0x110000, 0x800):
+        if 0xD800 <= block < 0xE000:  # surrogates
+            continue
+        points = "".join(map(chr, range(block, block + 0x800)))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+            for m in regex.finditer(pattern, points):
+                table[block + m.start(): block + m.end()] = kind
     return table
 
 

@@ -37,7 +37,8 @@ from siftloom.llm.arrays import ragged, strings, text_buffers
 from siftloom.llm.words import Words, blanks, gram_hashes, word_hashes, words_of
 from siftloom.session import cut_lineage
 
-GROUP_BYTES = 12 << 20
+#: (bounds the memory of a task; larger groups send fewer, longer messages)
+GROUP_BYTES = 6 << 20
 #: Bytes of text that one vectorised step works on.
 CHUNK = 512 << 10
 #: Different strings of one minimiser that a bucket may gather.

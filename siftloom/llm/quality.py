@@ -23,7 +23,7 @@ from siftloom.session import cut_lineage
 SPREAD = 6.0
 MIN_GROUP = 100
 #: Measure -> slack added to its fence: a group whose documents all agree has no spread.
-SLACK = {"symbols_per_word": 0.1, "dup_line_share": 0.34, "repeat_share": 0.3, "word_length": 2.0}
+SLACK = {"symbols_per_word": 0.1, "dup_line_share": 0.34, "repeat_share": 0.45, "word_length": 2.0}
 #: Prefix of the columns added here.
 P = "_qr_"
 

@@ -1,10 +1,11 @@
 """Toxicity by cumulative-link ordinal regression on sparse word features.
 
 ``P(grade <= k) = sigmoid(threshold_k - w . x)``: the word weights are shared by all
-thresholds, which are kept in order.  The labels only tell clean from toxic, so training
-grades a toxic document 1, 2 or 3 by the density of words typical of toxic documents.
+thresholds, which are kept in order.  Features are words and beginnings of words.  The
+labels only tell clean from toxic, so training grades a toxic document 1, 2 or 3 by the
+amount of features in it that are typical of toxic documents.
 The model is fitted on a bounded sample of labelled documents (at most ``SAMPLE`` of
-each class); every document is scored by its whole text.  The score is the expected
+the classes); every document is scored by its whole text.  The score is the expected
 grade, 0 to 3; a document is toxic if grade 0 has a probability below one half.
 
 Defined results: a null text or one without words has no feature and is scored by the
@@ -25,14 +26,16 @@ from pyspark.sql import functions as F
 
 from siftloom.llm.arrays import steps, text_buffers
 from siftloom.llm.registry import query, table
-from siftloom.llm.words import lower_ascii, non_letters, word_hashes, words_of
+from siftloom.llm.words import lower_ascii, mix, non_letters, run_hashes, word_hashes, words_of
 from siftloom.session import cut_lineage
 
-#: Labelled documents of each class that are fitted on, at most.
-SAMPLE = 2500
-#: Words that get a weight, at most, and documents of the sample that a word must occur in.
+#: Labelled documents that are fitted on, at most: clean and toxic.
+SAMPLE = (6000, 3000)
+#: Bytes of the word beginnings that are features beside the words.
+PREFIXES = (4, 5)
+#: Features that get a weight, at most, and the share of the toxic sample that one must occur in.
 FEATURES = 512
-SUPPORT = 12
+SUPPORT = 0.004
 #: Log-odds from which a word is typical of toxic documents.
 TYPICAL = 1.5
 GRADES = 4
@@ -51,13 +54,21 @@ class Model(NamedTuple):
 
 
 def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text and of the longer words' first bytes, and their number."""
     data = lower_ascii(data)
     words = words_of(data, offsets, non_letters())
-    return word_hashes(data, words), np.diff(words.first)
+    n = np.diff(words.first)
+    h, row = [word_hashes(data, words)], [np.repeat(np.arange(len(n)), n)]
+    for size in PREFIXES:
+        long = np.flatnonzero(words.end - words.start > size)
+        h.append(mix(run_hashes(data, words.start[long], words.start[long] + size) ^ np.uint64(size)))
+        row.append(row[0][long])
+    h, row = np.concatenate(h), np.concatenate(row)
+    return h[np.argsort(row, kind="stable")], np.bincount(row, minlength=len(n))
 
 
 def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` with word hash ``h``, its count ``tf`` and the words of the text ``n``: a row per distinct word."""
+    """Columns ``keep`` with a feature's hash ``h``, its count ``tf`` and the features of the text ``n``: a row per distinct feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -79,7 +90,7 @@ def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 def _descend(row: np.ndarray, col: np.ndarray, value: np.ndarray, grade: np.ndarray, weight: np.ndarray, width: int):
     """Weights and thresholds by accelerated gradient descent with soft thresholding (L1)."""
-    rows, rounds, rate, l1, l2 = len(grade), 400, 0.05, 2e-4, 1e-5
+    rows, rounds, rate, l1, l2 = len(grade), 1500, 0.05, 1e-4, 1e-6
     share = np.cumsum([weight[grade == g].sum() for g in range(GRADES)]) / weight.sum()
     share = np.clip(share[:-1], 1e-3, 1 - 1e-3)
     # thresholds = first, then first plus positive gaps, so they stay in order
@@ -120,9 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return None
     picked = None
     for y in (0, 1):
-        some = marks.where(F.col("_y") == y).orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE)
+        some = marks.where(F.col("_y") == y).orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE[y])
         picked = some if picked is None else picked.unionByName(some)
-    # the sample is at most 2 * SAMPLE keys, so it can be broadcast
+    # the sample has sum(SAMPLE) keys at most, so it can be broadcast
     texts = docs.select(key, text).join(F.broadcast(picked), F.col(key) == F.col("_key"))
     rows = cut_lineage(features(texts, ["_key", "_y"], text))
     sizes = {r._y: r.n for r in rows.groupBy("_y").agg(F.countDistinct("_key").alias("n")).collect()}
@@ -132,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     seen = rows.groupBy("h").agg(F.sum("_y").cast("double").alias("a"), F.sum(1 - F.col("_y")).cast("double").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
     gain = F.pow(F.col("a") / toxic - F.col("b") / clean, 2) / (F.col("a") + F.col("b"))
-    chosen = (seen.where(F.col("a") + F.col("b") >= SUPPORT).select("h", odds.alias("odds"), gain.alias("gain"))
+    chosen = (seen.where(F.col("a") >= max(3.0, SUPPORT * toxic)).select("h", odds.alias("odds"), gain.alias("gain"))
               .orderBy(F.desc("gain"), "h").limit(FEATURES))
     top = chosen.toPandas()  # FEATURES rows at most
     if not len(top):
@@ -147,15 +158,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     col = np.searchsorted(words, table_.h.to_numpy().view(np.uint64))
     tf = table_.tf.to_numpy()
     y = everyone["_y"].to_numpy()
-    density = np.bincount(row, typical[col] * tf, len(y)) / everyone.n.to_numpy()
-    cuts = np.quantile(density[y == 1], [1 / 3, 2 / 3])
-    grade = np.where(y == 1, 1 + (density > cuts[0]) + (density > cuts[1]), 0)
-    # each class weighs as much as it does among all labels
-    every = sum(counts.values())
-    weight = np.where(y == 1, counts[1] / every / toxic, counts[0] / every / clean)
+    amount = np.bincount(row, typical[col] * np.log1p(tf), len(y))
+    cuts = np.quantile(amount[y == 1], [1 / 3, 2 / 3])
+    grade = np.where(y == 1, 1 + (amount > cuts[0]) + (amount > cuts[1]), 0)
+    # both classes weigh the same while fitting; then the thresholds move to the share of each among all labels
+    weight = np.where(y == 1, 0.5 / toxic, 0.5 / clean)
     w, thresholds = _descend(row, col, np.log1p(tf), grade, weight, len(words))
     used = w != 0
-    return Model(words[used], w[used], thresholds)
+    return Model(words[used], w[used], thresholds + np.log(counts[0] / counts[1]))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siftloom import rules
 from siftloom.functions import conformance as C
 from siftloom.functions import files as FN
+from siftloom.functions import html as H
 from siftloom.operators import catalog as CT
 from siftloom.operators import dedup as DD
 from siftloom.operators import integrity as IG
@@ -303,15 +304,24 @@ def w1(spark, d):
     return DD.mark_duplicates(t.files(spark, d)).select("file_pk", "first_pk", "is_duplicate")
 
 
-@query("W2_in_run_fingerprint", "SELECT min(page_id) AS page_id, page_id % 4 AS run, url AS fingerprint FROM (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS url FROM pages) GROUP BY page_id % 4, url")
+_PRINTED = "WITH p AS (SELECT doc_id AS page_id, doc_id % 4 AS run, sha256(lower(lang) || chr(10) || text || chr(10) || '[]') AS f FROM documents)"
+
+
+def _printed(spark, d):
+    """Documents as page records; their exact copies share a fingerprint."""
+    none = F.array().cast("array<struct<tag:string,text:string>>")
+    doc = read(spark, d, "documents")
+    return doc.select(F.col("doc_id").alias("page_id"), (F.col("doc_id") % 4).alias("run_pk"), H.content_fingerprint(F.col("lang"), F.col("text"), none).alias("content_fingerprint"))
+
+
+@query("W2_in_run_fingerprint", f"{_PRINTED} SELECT min(page_id) AS page_id, run, f AS fingerprint FROM p GROUP BY run, f")
 def w2(spark, d):
-    p = read(spark, d, "pages").select("page_id", (F.col("page_id") % 4).alias("run_pk"), F.regexp_extract("url", "://([^/]+)", 1).alias("content_fingerprint"))
-    return DD.dedup_in_run(p).select("page_id", F.col("run_pk").alias("run"), F.col("content_fingerprint").alias("fingerprint"))
+    return DD.dedup_in_run(_printed(spark, d)).select("page_id", F.col("run_pk").alias("run"), F.col("content_fingerprint").alias("fingerprint"))
 
 
-@query("W2_across_runs", "WITH p AS (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS f FROM pages) SELECT page_id FROM p WHERE page_id % 2 = 1 AND f NOT IN (SELECT f FROM p WHERE page_id % 2 = 0)")
+@query("W2_across_runs", f"{_PRINTED} SELECT page_id FROM p WHERE page_id % 2 = 1 AND f NOT IN (SELECT f FROM p WHERE page_id % 2 = 0)")
 def w2b(spark, d):
-    p = read(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("content_fingerprint"))
+    p = _printed(spark, d)
     return DD.dedup_across_runs(p.where("page_id % 2 = 1"), p.where("page_id % 2 = 0")).select("page_id")
 
 

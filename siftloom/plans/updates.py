@@ -161,16 +161,17 @@ def m9(spark, d):
 
 @query("M12_cascade_delete_source", with_tables("""WITH k AS (SELECT source_id FROM sources WHERE source_id IN ('src-2', 'src-5', 'src-9') AND source_id NOT IN (SELECT source_id FROM runs WHERE status = 'RUNNING' AND n % 4 = 0)),
 r AS (SELECT * FROM runs WHERE n % 4 <> 0 OR status <> 'RUNNING' OR source_id = 'src-5')
-SELECT 'sources' AS what, count(*) AS n FROM sources WHERE source_id NOT IN (SELECT g FROM gone) UNION ALL SELECT 'collectors', count(*) FROM collectors WHERE source_id NOT IN (SELECT g FROM gone)
-UNION ALL SELECT 'runs', count(*) FROM rr WHERE source_id NOT IN (SELECT g FROM gone) UNION ALL SELECT 'files', count(*) FROM files WHERE source_id NOT IN (SELECT g FROM gone) AND run_pk NOT IN (SELECT run_pk FROM rr WHERE source_id IN (SELECT g FROM gone))
-UNION ALL SELECT 'errors', count(*) FROM errors WHERE run_pk NOT IN (SELECT run_pk FROM rr WHERE source_id IN (SELECT g FROM gone))""".replace(
+SELECT 'sources' AS what, source_id AS pk FROM sources WHERE source_id NOT IN (SELECT g FROM gone) UNION ALL SELECT 'collectors', collector_id FROM collectors WHERE source_id NOT IN (SELECT g FROM gone)
+UNION ALL SELECT 'runs', run_pk FROM rr WHERE source_id NOT IN (SELECT g FROM gone) UNION ALL SELECT 'files', file_pk FROM files WHERE source_id NOT IN (SELECT g FROM gone) AND run_pk NOT IN (SELECT run_pk FROM rr WHERE source_id IN (SELECT g FROM gone))
+UNION ALL SELECT 'errors', error_id FROM errors WHERE run_pk NOT IN (SELECT run_pk FROM rr WHERE source_id IN (SELECT g FROM gone))""".replace(
     "WITH k AS", "WITH rr AS (SELECT * FROM runs WHERE status <> 'RUNNING' OR source_id = 'src-5'), gone AS (SELECT unnest(['src-2', 'src-9']) AS g), k AS"), "sources", "collectors", "runs", "files", "errors"))
 def m12(spark, d):
     keys = t.sources(spark, d).where(F.col("source_id").isin("src-2", "src-5", "src-9")).select("source_id")
     # only src-5 has runs in progress, so only it is protected
     runs = t.runs(spark, d).where("status <> 'RUNNING' OR source_id = 'src-5'")
     out = CH.cascade_delete_source(keys, t.sources(spark, d), t.collectors(spark, d), runs, t.files(spark, d), t.errors(spark, d))
-    rows = [df.agg(F.lit(name).alias("what"), F.count("*").alias("n")) for name, df in out.items()]
+    keys = {"sources": "source_id", "collectors": "collector_id", "runs": "run_pk", "files": "file_pk", "errors": "error_id"}
+    rows = [df.select(F.lit(name).alias("what"), F.col(keys[name]).alias("pk")) for name, df in out.items()]
     total = rows[0]
     for row in rows[1:]:
         total = total.union(row)
@@ -184,12 +185,12 @@ def m12b(spark, d):
 
 
 @query("M12_cascade_delete_runs", with_tables("""WITH g AS (SELECT run_pk FROM runs WHERE n % 5 = 0 AND status <> 'RUNNING')
-SELECT 'runs' AS what, count(*) AS n FROM runs WHERE run_pk NOT IN (SELECT * FROM g) UNION ALL SELECT 'files', count(*) FROM files WHERE run_pk NOT IN (SELECT * FROM g) UNION ALL SELECT 'errors', count(*) FROM errors WHERE run_pk NOT IN (SELECT * FROM g)""", "runs", "files", "errors"))
+SELECT 'runs' AS what, run_pk AS pk FROM runs WHERE run_pk NOT IN (SELECT * FROM g) UNION ALL SELECT 'files', file_pk FROM files WHERE run_pk NOT IN (SELECT * FROM g) UNION ALL SELECT 'errors', error_id FROM errors WHERE run_pk NOT IN (SELECT * FROM g)""", "runs", "files", "errors"))
 def m12c(spark, d):
     runs = t.runs(spark, d)
     out = CH.cascade_delete_runs(runs.where("n % 5 = 0").select("run_pk"), runs, t.files(spark, d), t.errors(spark, d))
-    n = lambda name: out[name].agg(F.lit(name).alias("what"), F.count("*").alias("n"))
-    return n("runs").union(n("files")).union(n("errors"))
+    n = lambda name, key: out[name].select(F.lit(name).alias("what"), F.col(key).alias("pk"))
+    return n("runs", "run_pk").union(n("files", "file_pk")).union(n("errors", "error_id"))
 
 
 @query("M15_recover_sources", with_tables("""SELECT slug, CASE WHEN n_nationkey % 2 = 0 THEN 'Nation ' || n_nationkey ELSE 'Proper Name' END AS name FROM (SELECT n_nationkey, lower(n_name) AS slug FROM nation)

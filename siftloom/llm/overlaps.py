@@ -21,8 +21,6 @@ class once.  Documents are shuffled once; everything else is small beside them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

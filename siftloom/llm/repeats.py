@@ -61,11 +61,6 @@ class Units(NamedTuple):
     gram: int
     cut: Callable[[np.ndarray, np.ndarray], Text]
 
-    def count(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the units of each packed string in ``data``, and its first unit."""
-        text = self.cut(data, offsets)
-        return text.start, text.first
-
 
 def bytes_of(data: np.ndarray, offsets: np.ndarray) -> Text:
     at = np.arange(len(data))

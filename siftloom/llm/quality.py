@@ -110,7 +110,8 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     needed = list(dict.fromkeys([*kept_columns, lang, source]))
     rows = measured(docs, text)
     rows = cut_lineage(rows.select(*needed, *[c for c in rows.columns if c.startswith(P)]))
-    limits = fences(rows, (lang, source))
+    # written, so the planner knows their size: a small table is broadcast and no text is shuffled
+    limits = cut_lineage(fences(rows, (lang, source)))
     within = " and ".join(f"{P}{m} <= {P}max_{m}" for m in SLACK)
     on = F.col(lang).eqNullSafe(F.col(P + "lang")) & F.col(source).eqNullSafe(F.col(P + "source"))
     return rows.join(limits, on, "left").withColumn(

@@ -4,6 +4,8 @@ Labelled page outcomes are counted per host and shrunk from the top down with
 beta-binomial priors: suffix -> registered domain -> host.  The prior of a level has the
 mean of the level above and a strength fitted by moments over that level's members, but
 never more than the pages that the mean itself rests on.  A host is blocked when the lower credible bound of its bad rate exceeds ``BLOCK_ABOVE``.
+A host of which no page is labelled is judged by that prior alone: mean and strength of its
+domain, else of its suffix, else of all pages.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no
 rule and is allowed; repeated rows get one verdict each; labels that are null or name no
@@ -70,7 +72,7 @@ def _levels(host: Column) -> tuple[Column, Column]:
 def _shrunk(rows: DataFrame, above: str, name: str) -> DataFrame:
     """Add rate and weight (in pages) of each member, from its n and bad and those of the level above."""
     m = F.col(f"rate_{above}")
-    between = F.pow(F.col("bad") / F.col("n") - m, 2)
+    between = F.pow(F.col("bad") / F.nullif(F.col("n"), F.lit(0)) - m, 2)
     fit = rows.where("n > 0").agg(
         F.sum(F.col("n") * between).alias("spread"), F.sum(m * (1 - m)).alias("noise"),
         F.sum(m * (1 - m) * F.col("n")).alias("full"))
@@ -84,15 +86,21 @@ def _shrunk(rows: DataFrame, above: str, name: str) -> DataFrame:
         f"weight_{name}": F.col("n") + F.col(f"s_{name}")})
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """Posterior of each host from ``outcomes`` (host, bad boolean): rate, lower bound, n, bad."""
-    known = outcomes.where("bad is not null and host <> ''")
-    hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+def reputation(outcomes: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Posterior of each host from ``outcomes`` (host, bad boolean): rate, lower bound, n, bad.
+
+    The hosts of ``seen`` (host) that have no outcome get a posterior too, with n = 0.
+    """
+    counted = outcomes.where("bad is not null").select("host", F.lit(1).alias("n"), F.col("bad").cast("long").alias("bad"))
+    if seen is not None:
+        counted = counted.unionByName(seen.select("host", F.lit(0).alias("n"), F.lit(0).cast("long").alias("bad")))
+    hosts = counted.where("host <> ''").groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domain, suffix = _levels(F.col("host"))
     hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    top = suffixes.agg(F.coalesce(F.sum("bad") / F.sum("n"), F.lit(DEFAULT_RATE)).alias("rate_all"), F.sum("n").alias("weight_all"))
+    pages = F.nullif(F.sum("n"), F.lit(0))  # null without any label
+    top = suffixes.agg(F.coalesce(F.sum("bad") / pages, F.lit(DEFAULT_RATE)).alias("rate_all"), pages.alias("weight_all"))
     suffixes = _shrunk(suffixes.join(F.broadcast(top)), "all", "suffix").select("suffix", "rate_suffix", "weight_suffix")
     domains = _shrunk(domains.join(suffixes, "suffix"), "suffix", "domain").select("domain", "rate_domain", "weight_domain")
     posterior = _shrunk(hosts.join(domains, "domain"), "domain", "host")
@@ -105,7 +113,7 @@ def url_verdicts(pages: DataFrame, outcomes: DataFrame, url: str = "url") -> Dat
     """``pages`` with host, path, rule and verdict; ``outcomes`` has (host, bad)."""
     rows = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     rows = rows.withColumn("_rule", longest_rule(F.col("host"), F.col("path")))
-    bad = reputation(outcomes).where(F.col("bound") > BLOCK_ABOVE).select(F.col("host").alias("_host"))
+    bad = reputation(outcomes, rows.select("host")).where(F.col("bound") > BLOCK_ABOVE).select(F.col("host").alias("_host"))
     rows = rows.join(bad, F.col("host") == F.col("_host"), "left")
     learned = F.when(F.col("_host").isNotNull(), "block").otherwise("allow")
     return rows.withColumns({

@@ -154,6 +154,48 @@ def test_reputation_and_edges(spark):
     assert {r.verdict for r in nothing.where("rule is null").collect()} == {"allow"}
 
 
+def brute_bounds(outcomes, hosts):
+    """Lower bounds of all hosts, level by level, in plain Python."""
+    count = {h: [0, 0] for h in [*hosts, *(h for h, _ in outcomes)]}
+    for host, bad in outcomes:
+        count[host][0] += 1
+        count[host][1] += bad
+    rate, weight = {"": sum(b for _, b in outcomes) / len(outcomes)}, {"": len(outcomes)}
+    for name, above in ((lambda h: h.split(".")[-1], lambda k: ""), (lambda h: ".".join(h.split(".")[-2:]), lambda k: k.split(".")[-1]),
+                        (lambda h: h, lambda k: ".".join(k.split(".")[-2:]))):
+        level = {}
+        for host, (n, bad) in count.items():
+            old = level.get(name(host), (0, 0))
+            level[name(host)] = (old[0] + n, old[1] + bad)
+        mean = {k: rate[above(k)] for k in level}
+        known = [(n, bad, mean[k]) for k, (n, bad) in level.items() if n]
+        noise, full = sum(m * (1 - m) for _, _, m in known), sum(m * (1 - m) * n for n, _, m in known)
+        over = (sum(n * (bad / n - m) ** 2 for n, bad, m in known) - noise) / (full - noise) if full > noise else 0
+        s = min(max(1 / over - 1, reputation.STRENGTH[0]), reputation.STRENGTH[1]) if over > 0 else reputation.STRENGTH[1]
+        own = {k: min(s, weight[above(k)]) for k in level}
+        rate = {k: (bad + own[k] * mean[k]) / (n + own[k]) for k, (n, bad) in level.items()}
+        weight = {k: n + own[k] for k, (n, _) in level.items()}
+    return {k: rate[k] - reputation.Z * (rate[k] * (1 - rate[k]) / (weight[k] + 1)) ** 0.5 for k in count}
+
+
+def test_hosts_without_labels(spark):
+    outcomes = [(f"h{i}.bad.io", i % 20 != 0) for i in range(60) for _ in range(50)]
+    outcomes += [(f"h{i}.fine{i % 7}.io", i % 30 == 0) for i in range(60) for _ in range(40)]
+    outcomes += [(f"h{i}.worst{i % 30}.zz", True) for i in range(60) for _ in range(40)]
+    hosts = ["new.bad.io", "new.fine1.io", "new.other.io", "a.never.zz", "www.unseen.qq", "h0.bad.io", "h1.bad.io"]
+    known = spark.createDataFrame(outcomes, "host string, bad boolean")
+    pages = spark.createDataFrame([(f"https://{h}/x",) for h in hosts for _ in range(3)] + [(None,)], "url string")
+    want = brute_bounds(outcomes, hosts)
+    got = {r.host: r for r in reputation.reputation(known, pages.select(reputation.host_of(pages.url).alias("host"))).collect()}
+    assert got.keys() == want.keys() and got["new.bad.io"].n == 0
+    assert all(abs(got[h].bound - want[h]) < 1e-9 for h in want)
+    rows = reputation.url_verdicts(pages, known).collect()
+    assert len(rows) == 3 * len(hosts) + 1
+    verdicts = {r.host: r.verdict for r in rows}
+    assert verdicts == {"": "allow", **{h: "block" if want[h] > reputation.BLOCK_ABOVE else "allow" for h in hosts}}
+    assert verdicts["new.bad.io"] == verdicts["a.never.zz"] == "block" and verdicts["new.fine1.io"] == verdicts["www.unseen.qq"] == "allow"
+
+
 def test_toxicity_held_out(spark):
     draw = random.Random(2)
     plain, bad = [f"w{i}" for i in range(400)], ["vile", "scum", "rotten"]

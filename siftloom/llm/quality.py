@@ -2,9 +2,14 @@
 
 Every document is measured once.  KLL sketches of the measures are aggregated per
 (language, source), merged upwards to the language and to the corpus, and turned into
-fences ``median + SPREAD * (q75 - q25) + slack``.  A group with fewer than ``MIN_GROUP``
-documents takes the fences of its language, and a small language those of the corpus.
-The fences (one row per group) are joined back and filter the measured documents.
+fences ``median + SPREAD * spread + slack``; word length has a lower fence too.  The spread
+is the smaller of ``median - q25`` and ``q75 - median``, so junk on one side does not widen
+it while it is less than half of a group, and is shrunk towards the spread of the language
+and that towards the corpus, with the weight of ``MIN_GROUP`` documents.  A group with fewer
+than ``MIN_GROUP`` documents takes the median of its language, and a small language that of
+the corpus.  The fences (one row per group) are joined back and filter the measured
+documents.  Counts behind a share may exceed the fence by ``ALLOWED``: one or two repeated
+lines are no sign of junk, however short the document.
 
 Defined results: a null or blank text has no words and fails the base rule; null
 languages and sources form groups of their own; repeated rows are judged one by one;
@@ -23,7 +28,12 @@ from siftloom.session import cut_lineage
 SPREAD = 6.0
 MIN_GROUP = 100
 #: Measure -> slack added to its fence: a group whose documents all agree has no spread.
-SLACK = {"symbols_per_word": 0.1, "dup_line_share": 0.34, "repeat_share": 0.45, "word_length": 2.0}
+SLACK = {"symbols_per_word": 0.1, "dup_line_share": 0.1, "repeat_share": 0.1, "word_length": 2.0}
+#: Share -> its count, the count it is a share of, and what the count may be above the fence
+#: (two lines; the words of a 15-word line and of its copy).
+ALLOWED = {"dup_line_share": ("n_dup_lines", "n_lines", 2), "repeat_share": ("n_repeat_words", "n_words", 30)}
+#: Measures of which too little is as odd as too much.
+LOWER = ("word_length",)
 #: Prefix of the columns added here.
 P = "_qr_"
 
@@ -66,7 +76,7 @@ _STAGES = (
         "word_length": f"{P}word_chars / greatest({P}n_words, 1L)",
     },
 )
-_SPENT = ("words", "lines", "mask", "windows", "found", "n_lines")
+_SPENT = ("words", "lines", "mask", "windows", "found")
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -77,7 +87,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fences(rows: DataFrame, keys: tuple[str, str]) -> DataFrame:
-    """One row per (language, source) with the upper fence of each measure.
+    """One row per (language, source) with the upper fence of each measure and the lower ones.
 
     ``rows`` are measured documents.  Only documents that pass the base rule count.
     """
@@ -94,9 +104,16 @@ def fences(rows: DataFrame, keys: tuple[str, str]) -> DataFrame:
     levels = groups.join(by_lang, F.col(P + "lang").eqNullSafe(F.col("_lang"))).join(F.broadcast(corpus))
     out = []
     for m, slack in SLACK.items():
-        sketch = F.expr(f"CASE WHEN n0 >= {MIN_GROUP} THEN {m}0 WHEN n1 >= {MIN_GROUP} THEN {m}1 ELSE {m}2 END")
-        low, mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5, 0.75))
-        out.append((mid + SPREAD * (high - low) + slack).alias(f"{P}max_{m}"))
+        spread, mid = F.lit(0.0), None
+        for level in (2, 1, 0):  # from the corpus down
+            low, middle, high = (F.kll_sketch_get_quantile_double(F.col(f"{m}{level}"), F.lit(q)) for q in (0.25, 0.5, 0.75))
+            own = F.least(middle - low, high - middle)
+            n, above = F.col(f"n{level}"), 0 if level == 2 else MIN_GROUP
+            spread = (n * own + above * spread) / (n + above)
+            mid = middle if mid is None else F.when(n >= MIN_GROUP, middle).otherwise(mid)
+        out.append((mid + SPREAD * spread + slack).alias(f"{P}max_{m}"))
+        if m in LOWER:
+            out.append((mid - SPREAD * spread - slack).alias(f"{P}min_{m}"))
     return levels.select(P + "lang", P + "source", *out)
 
 
@@ -112,7 +129,10 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     rows = cut_lineage(rows.select(*needed, *[c for c in rows.columns if c.startswith(P)]))
     # written, so the planner knows their size: a small table is broadcast and no text is shuffled
     limits = cut_lineage(fences(rows, (lang, source)))
-    within = " and ".join(f"{P}{m} <= {P}max_{m}" for m in SLACK)
+    within = " and ".join([
+        *[f"{P}{m} <= {P}max_{m}" for m in SLACK if m not in ALLOWED],
+        *[f"{P}{m} >= {P}min_{m}" for m in LOWER],
+        *[f"{P}{count} <= {P}max_{m} * {P}{of} + {more}" for m, (count, of, more) in ALLOWED.items()]])
     on = F.col(lang).eqNullSafe(F.col(P + "lang")) & F.col(source).eqNullSafe(F.col(P + "source"))
     return rows.join(limits, on, "left").withColumn(
         P + "kept", F.expr(f"not {P}base_failed and coalesce({within}, true)"))
@@ -128,5 +148,5 @@ def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     rows = judged(docs, keep=["doc_id"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    limits = [F.col(f"{P}max_{m}").alias(f"max_{m}") for m in SLACK]
+    limits = [*[F.col(f"{P}max_{m}").alias(f"max_{m}") for m in SLACK], *[F.col(f"{P}min_{m}").alias(f"min_{m}") for m in LOWER]]
     return rows.select("doc_id", *[F.col(P + c).alias(c) for c in names], *limits)

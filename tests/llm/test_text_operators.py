@@ -215,6 +215,40 @@ def test_quality_adapts_to_source_and_edge_cases(spark):
     assert [r._qr_n_repeat_words for r in got] == [9, 4, 0]
 
 
+def test_quality_fences_hold_with_a_third_of_junk(spark):
+    draw = random.Random(5)
+
+    def lines(n, size=10):
+        return [" ".join(f"word{draw.randrange(10**6)}" for _ in range(size)) for _ in range(n)]
+
+    def doc(kind):
+        own = lines(20)
+        if kind == "short":  # one repeated line, half the lines of a short text
+            own = lines(2, 30)
+            own.insert(1, "one line twice is no sign of junk")
+            own.append(own[1])
+        elif kind == "lines":  # 9 of 30 lines are copies, without three words in a row that repeat
+            own = [x for line in own[:10] for x in (line, "next page")] + own[10:]
+        elif kind == "repeats":  # the same phrase inside different lines
+            own = [f"{line} all that you need now" for line in own]
+        elif kind == "letters":
+            own = [" ".join(draw.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(10)) for _ in range(20)]
+        return "\n".join(own)
+
+    rows, kinds = [], {}
+    for source, junk in (("clean", []), ("copies", ["lines"]), ("phrases", ["repeats"]), ("codes", ["letters"]), ("refrains", ["repeats"] * 9)):
+        for i in range(300):
+            kind = junk[0] if junk and (i % 3 == 0 or len(junk) > 1) else "short" if i % 50 == 1 else "plain"
+            kinds[len(rows)] = (source, kind)
+            rows.append((len(rows), doc(kind), "en", source))
+    judged = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for key, (source, kind) in kinds.items():
+        r = judged[key]
+        assert not r._qr_base_failed
+        assert r._qr_kept == (kind in ("plain", "short") or source == "refrains"), (source, kind)  # a habit of the whole source stays
+    assert all(r._qr_max_repeat_share <= 0.2 and r._qr_max_dup_line_share <= 0.2 for k, r in judged.items() if kinds[k][0] != "refrains")
+
+
 def test_merkle_query(spark, documents):
     rows = {r.doc_id: r for r in QUERIES["op8_merkle_fingerprints"](spark, SF).collect()}
     ordered = sorted(documents)

@@ -1,4 +1,16 @@
 """All queries of this package."""
 
-from siftloom.llm import byte_bpe, merkle, near_dedup, packing, quality, reputation, substrings, suffixes, toxicity, warc  # noqa: F401  (register their queries)
+from siftloom.llm import (  # noqa: F401  (register their queries)
+    byte_bpe,
+    decontaminate,
+    merkle,
+    near_dedup,
+    packing,
+    quality,
+    reputation,
+    substrings,
+    suffixes,
+    toxicity,
+    warc,
+)
 from siftloom.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -63,11 +63,16 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of values[start:end] of each range; of ``size`` values it equals that of ``gram_hashes``."""
+    return run_hashes(values, starts, ends, _WORDS)
+
+
 def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
     """Hash of every ``size`` consecutive values (may reach over text borders)."""
     n = max(0, len(values) - size + 1)
     at = np.arange(n)
-    return run_hashes(values, at, at + size, _WORDS)
+    return span_hashes(values, at, at + size)
 
 
 class Words(NamedTuple):

@@ -12,5 +12,6 @@ from siftloom.llm import (  # noqa: F401  (register their queries)
     suffixes,
     toxicity,
     warc,
+    whitening,
 )
 from siftloom.llm.registry import ORACLES, QUERIES  # noqa: F401

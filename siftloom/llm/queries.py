@@ -8,6 +8,7 @@ from siftloom.llm import (  # noqa: F401  (register their queries)
     packing,
     quality,
     reputation,
+    structure,
     substrings,
     suffixes,
     toxicity,

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm.arrays import ragged, steps, strings, text_buffers
+from siftloom.llm.columns import free_name
 from siftloom.llm.registry import query, table
 from siftloom.llm.words import gram_hashes, lower_ascii, span_hashes, word_hashes, words_of
 from siftloom.operators.skew import attach_per_key, with_positions
@@ -257,9 +258,9 @@ def covered(spans: Column) -> Column:
 
 def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **of_items) -> DataFrame:
     """Rows of ``docs``, all columns, whose id has no row with a hit."""
-    hit = contamination(docs, items, key, text, **of_items).where("size(spans) > 0").select(F.col(key).alias("_hit")).distinct()
-    kept = docs.join(hit, docs[key].eqNullSafe(F.col("_hit")), "left_anti")
-    return kept
+    name = free_name(docs, "hit_id")
+    hit = contamination(docs.select(key, text), items, key, text, **of_items).where("size(spans) > 0").select(F.col(key).alias(name)).distinct()
+    return docs.join(hit, F.col(key).eqNullSafe(F.col(name)), "left_anti")
 
 
 @query("op13_benchmark_decontamination", f"""

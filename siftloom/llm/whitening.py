@@ -159,7 +159,8 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitening | None:
                     "k": pa.array([k]), "root": pa.array([root_of / (1 << (64 + scale))]), "explained": pa.array([(lo + hi) / (trace << (scale + 1))]),
                     "vector": pa.array([vector], pa.list_(pa.float64()))})
 
-    found = spark.range(1, count + 1, 1, count).mapInArrow(run, "k long, root double, explained double, vector array<double>").orderBy("k").collect()
+    found = spark.range(1, count + 1, 1, count).mapInArrow(run, "k long, root double, explained double, vector array<double>").collect()
+    found.sort(key=lambda r: r.k)
     return Whitening(n, total, [r.root for r in found], [r.explained for r in found], [r.vector for r in found])
 
 

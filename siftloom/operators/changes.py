@@ -6,14 +6,17 @@ plain files the new version is written next to the old one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom import rules
 from siftloom.functions import files as FN
 from siftloom.functions import urls
+from siftloom.operators.conflicts import filled, labels
 from siftloom.operators.dedup import allocate_file_ids, mark_duplicates
 from siftloom.operators.skew import join_present
 from siftloom.session import cut_lineage
@@ -109,74 +112,135 @@ def heal_file_ids(files: DataFrame) -> DataFrame:
 # --- inserts and upserts -----------------------------------------------------
 
 
-def match_files(incoming: DataFrame, files: DataFrame) -> DataFrame:
-    """Incoming rows with ``match_pk``: the catalog row of the same hash or key.
+#: Fields that a record may change in the file it matches.
+_RECORDED = ["run_pk", "source_id", "status", "storage_key", "metadata"]
 
-    The two conditions are two equality joins; if they disagree, the smaller key wins.
-    Rows without a hash or key are scattered by ``seq``.
+
+def _members(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of a batch and the catalog rows that share a hash or key with one of them.
+
+    Catalog rows come first in the replay, by ``file_pk``; rows of the batch by ``seq``.
     """
-    by_hash = (
-        files.where(F.coalesce("sha256", F.lit("")) != "")
-        .groupBy("sha256").agg(F.min("file_pk").alias("_by_hash"))
-    )
-    by_key = (
-        files.where(F.coalesce("storage_key", F.lit("")) != "")
-        .groupBy("storage_key").agg(F.min("file_pk").alias("_by_key"))
-    )
-    return (
-        join_present(join_present(incoming, by_hash, "sha256", "seq"), by_key, "storage_key", "seq")
-        .withColumn("match_pk", F.least("_by_hash", "_by_key"))
-        .drop("_by_hash", "_by_key")
-    )
+    shared = {}
+    for key in ("sha256", "storage_key"):
+        named = rows.select(filled(F.col(key)).alias(key)).where(F.col(key).isNotNull()).distinct()
+        shared[key] = files.join(named, key, "left_semi").select("file_pk", "sha256", *_RECORDED)
+    stored = shared["sha256"].unionByName(shared["storage_key"]).dropDuplicates(["file_pk"])
+    one = lambda df, new: df.select(
+        F.lit(new).alias("new"), F.lit(None).cast("string").alias("file_pk") if new else F.col("file_pk"),
+        F.col("seq").cast("long") if new else F.lit(None).cast("long").alias("seq"),
+        *[filled(F.col(c)).alias(c) for c in ("sha256", *_RECORDED)])
+    return one(stored, False).unionByName(one(rows, True))
+
+
+def _folded(members: DataFrame) -> DataFrame:
+    """Per component: whether one file takes all its rows, that file, and the fields it ends with.
+
+    That is so when all rows have the same hash, or all have the same key: each then finds
+    the first of them.  Everything here is aggregated before the shuffle, so a hash that a
+    third of all rows share is folded by all tasks.
+    """
+    same = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
+    first = F.min(F.struct("new", "file_pk", "seq", F.struct(*_RECORDED).alias("own")))
+    report = F.col("new") & (F.col("status") == "DUPLICATE")
+    applied = F.when(F.col("new") & ~report, F.col("seq"))
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), applied)).alias(f"last_{c}") for c in _RECORDED]
+    folded = members.groupBy("label").agg((same("sha256") | same("storage_key")).alias("simple"), first.alias("first"), F.count(applied).alias("applied"), *last)
+    fields = [F.coalesce(f"last_{c}", f"first.own.{c}").alias(c) for c in _RECORDED]
+    return folded.select("label", "simple", "applied", "first.new", "first.file_pk", "first.seq", *fields)
+
 
+_CHANGE = "new boolean, file_pk string, seq long, run_pk string, source_id string, status string, storage_key string, metadata string"
 
-def _inserted_once(fresh: DataFrame, fields: list[str]) -> DataFrame:
-    """New rows after the repeats among them: the first row of each, with the last row's ``fields``.
 
-    A row leads to the first row with its hash or its key; such pointers go backwards, so
-    they are followed until each names a row that is inserted.
+def replay_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record rows sorted by (label, new, file_pk, seq) one after the other.
+
+    Returns each stored file that changed and each new one.  Only the files of one
+    component are held, however many rows are recorded into them.
     """
-    def first(key: str) -> DataFrame:
-        named = fresh.where(F.coalesce(key, F.lit("")) != "")
-        return named.groupBy(key).agg(F.min("seq").alias(f"_first_{key}"))
-
-    pointed = join_present(join_present(fresh, first("sha256"), "sha256", "seq"), first("storage_key"), "storage_key", "seq")
-    leader = F.coalesce(F.least("_first_sha256", "_first_storage_key"), F.col("seq"))
-    chain = cut_lineage(pointed.select(F.col("seq").alias("_row"), leader.alias("_to")))
-    while chain.where("_row <> _to").join(chain.where("_row <> _to").select(F.col("_row").alias("_to")), "_to", "left_semi").take(1):
-        onward = chain.select(F.col("_row").alias("_to"), F.col("_to").alias("_next"))
-        chain = cut_lineage(chain.join(onward, "_to").select("_row", F.col("_next").alias("_to")))
-    rows = fresh.join(chain, F.col("seq") == F.col("_row")).drop("_row")
-    last = rows.groupBy("_to").agg(F.max_by(F.struct(*fields), "seq").alias("_last"))
-    own = rows.where(F.col("seq") == F.col("_to")).join(last, "_to")
-    return own.select(*[F.col(f"_last.{c}").alias(c) if c in fields else F.col(c) for c in fresh.columns])
+    label, files = None, []
+    by_hash: dict[str, int] = {}
+    by_key: dict[str, list[int]] = {}  # heap per key; entries whose file has another key by now are skipped
+
+    def flush() -> list[tuple]:
+        return [(f["new"], f["file_pk"], f["seq"], *(f[c] for c in _RECORDED)) for f in files if f["new"] or f["changed"]]
+
+    def add(row: dict) -> None:
+        files.append(row | {"changed": False})
+        if row["sha256"]:
+            by_hash.setdefault(row["sha256"], len(files) - 1)
+        if row["storage_key"]:
+            heapq.heappush(by_key.setdefault(row["storage_key"], []), len(files) - 1)
+
+    def found(row: dict) -> int | None:
+        hits = [by_hash[row["sha256"]]] if row["sha256"] in by_hash else []
+        holders = by_key.get(row["storage_key"], [])
+        while holders and files[holders[0]]["storage_key"] != row["storage_key"]:
+            heapq.heappop(holders)
+        return min(hits + holders[:1], default=None)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.bool_(), pa.string(), pa.int64(), *[pa.string()] * 5)
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["new", "file_pk", "seq", *_RECORDED])
+
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if row["label"] != label:
+                out += flush()
+                label, files, by_hash, by_key = row["label"], [], {}, {}
+            match = found(row) if row["new"] and row["status"] != "DUPLICATE" else None
+            if match is None:
+                add(row)
+                continue
+            file = files[match]
+            moved = row["storage_key"] and row["storage_key"] != file["storage_key"]
+            file.update({c: row[c] or file[c] for c in _RECORDED}, changed=True)
+            if moved:
+                heapq.heappush(by_key.setdefault(row["storage_key"], []), match)
+        yield table(out)
+    yield table(flush())
+
+
+def recorded(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored files that ``rows`` change and new files, with the fields they end with.
+
+    Rows affect each other only within a component of shared hashes and keys.  A component
+    with one hash, or one key, is folded by aggregation; any other is replayed in ``seq``
+    order, in a task that holds its files and streams its rows.
+    """
+    members = cut_lineage(labels(_members(files, rows), "sha256", "storage_key", "seq"))
+    folded = cut_lineage(_folded(members))
+    simple = folded.where("simple and (new or applied > 0)").select("new", "file_pk", "seq", *_RECORDED)
+    # other reports of a duplicate stay rows of their own
+    reports = members.where("new and status = 'DUPLICATE'").join(
+        folded.where("simple").select("label", F.col("seq").alias("_first")), "label").where("not (seq <=> _first)")
+    order = ["label", "new", "file_pk", "seq"]
+    tangled = folded.where("not simple").select("label")
+    replayed = members.join(tangled, "label", "left_semi").repartition("label").sortWithinPartitions(*order).mapInArrow(replay_records, _CHANGE)
+    return simple.unionByName(reports.select("new", "file_pk", "seq", *_RECORDED)).unionByName(replayed)
 
 
 def upsert_files(files: DataFrame, incoming: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """Next file table after recording ``incoming``.
-
-    A row that matches by hash or key updates run, source, status, key and
-    metadata of its match; of several such rows the last (by ``seq``) counts.
-    Others are inserted with new ids, and so are reports of a duplicate: the
-    stored original keeps its status.  A missing hash stays missing.  Rows of one batch
-    see each other in order: of new rows with one hash or key the first is inserted, and
-    the last gives the five fields.
+    """Next file table after recording the rows of ``incoming`` one after the other by ``seq``.
+
+    A row takes the file with its hash or its present key (of several the one of the least
+    ``file_pk``, then the earliest new one) and gives it run, source, status, key and
+    metadata; what the row lacks stays.  So a file may move to another key and free the old
+    one for later rows.  Rows without such a file are inserted with new ids, and so are
+    reports of a duplicate: the stored original keeps its status.  A missing hash stays
+    missing; a new file without a ``file_pk`` takes its id.  ``seq`` numbers the rows; null and empty hashes and keys match nothing.
     """
-    matched = match_files(incoming, files)
-    fields = ["run_pk", "source_id", "status", "storage_key", "metadata"]
-    is_update = F.col("match_pk").isNotNull() & (F.col("status") != "DUPLICATE")
-    updates = (
-        matched.where(is_update)
-        .groupBy(F.col("match_pk").alias("file_pk"))
-        .agg(F.max_by(F.struct(*fields), "seq").alias("_u"))
-    )
-    joined = files.join(updates, "file_pk", "left")
-    new = {f: F.coalesce(F.col(f"_u.{f}"), F.col(f)) for f in fields}
-    updated = _next(joined, new).select(*files.columns)
-    fresh = matched.where(~is_update).drop("match_pk")
-    report = F.coalesce(F.col("status") == "DUPLICATE", F.lit(False))
-    once = _inserted_once(fresh.where(~report), fields)
-    fresh = fresh.where(report).unionByName(once)
+    bare = (F.coalesce("sha256", F.lit("")) == "") & (F.coalesce("storage_key", F.lit("")) == "")
+    changes = cut_lineage(recorded(files, incoming.where(~bare)))
+    was = changes.where("not new").select("file_pk", F.struct(*_RECORDED).alias("_u"))
+    joined = files.join(was, "file_pk", "left")
+    updated = _next(joined, {c: F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)) for c in _RECORDED}).select(*files.columns)
+    made = changes.where("new").select(F.col("seq").alias("_seq"), F.struct(*_RECORDED).alias("_u"))
+    grown = incoming.join(made, incoming["seq"] == F.col("_seq"))
+    fresh = incoming.where(bare).unionByName(_next(grown, {c: F.col(f"_u.{c}") for c in _RECORDED}).select(*incoming.columns))
     numbered = allocate_file_ids(fresh.drop("file_id"), files, order or [F.col("seq")])
     ext = F.coalesce("extension", F.nullif(F.lower(urls.extension_of(F.col("file_name"))), F.lit("")))
     inserted = _next(
@@ -185,6 +249,7 @@ def upsert_files(files: DataFrame, incoming: DataFrame, order: list[Column] | No
             "original_filename": F.col("file_name"),
             "extension": ext,
             "canonical_filename": FN.canonical_filename(F.col("file_name"), F.col("file_id"), ext),
+            "file_pk": F.coalesce(F.col("file_pk"), F.col("file_id")) if "file_pk" in incoming.columns else F.col("file_id"),
         },
     )
     have = [F.col(c) if c in inserted.columns else F.lit(None).cast(files.schema[c].dataType).alias(c) for c in files.columns]

@@ -62,30 +62,34 @@ def _upsert_tables(spark, d):
     columns = ["file_pk", "file_id", "run_pk", "source_id", "file_name", "original_filename", "canonical_filename",
                "extension", "sha256", "storage_key", "status", "metadata"]
     catalog = base.where("doc_id % 2 = 0").select(*columns)
+    # a third asks for the key of the row before, some share a key or lack a hash, key, run or metadata
+    before = F.concat(F.lit("00_raw/web/"), "source_id", F.lit("/run_"), (F.col("doc_id") - 1) % 10, F.lit("/text/"), F.col("doc_id") - 1, F.lit(".txt"))
+    key = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("shared/"), (F.col("doc_id") % 13).cast("string"))).when(F.col("doc_id") % 17 == 0, None).when(
+        F.col("doc_id") % 3 == 0, before).otherwise(F.col("storage_key"))
     incoming = base.where("doc_id % 2 = 1").select(
-        F.col("doc_id").alias("seq"), "run_pk", "source_id", "file_name", "sha256", "extension",
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("00_raw/web/"), "source_id", F.lit("/run_"), (F.col("doc_id") - 1) % 10, F.lit("/text/"), F.col("doc_id") - 1, F.lit(".txt"))).otherwise(F.col("storage_key")).alias("storage_key"),
+        F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 5 != 0, F.col("run_pk")).alias("run_pk"), "source_id", "file_name",
+        F.when(F.col("doc_id") % 19 != 0, F.col("sha256")).alias("sha256"), "extension", key.alias("storage_key"),
         F.when(F.col("doc_id") % 7 == 0, "DUPLICATE").otherwise("UPLOADED").alias("status"),
-        F.concat(F.lit("new "), "doc_id").alias("metadata"),
-        F.concat(F.lit("doc-"), "doc_id").alias("file_pk"),
+        F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit("new "), "doc_id")).alias("metadata"),
     )
-    return catalog, incoming.drop("file_pk")
-
-
-@query("M2_record_upsert", with_tables("""WITH c AS (SELECT *, 'FAILED' AS status FROM text_files WHERE doc_id % 2 = 0),
-i AS (SELECT doc_id AS seq, sha256, CASE WHEN doc_id % 3 = 0 THEN '00_raw/web/' || source_id || '/run_' || ((doc_id - 1) % 10) || '/text/' || (doc_id - 1) || '.txt' ELSE storage_key END AS key,
-  CASE WHEN doc_id % 7 = 0 THEN 'DUPLICATE' ELSE 'UPLOADED' END AS status FROM text_files WHERE doc_id % 2 = 1),
-h AS (SELECT sha256, min(file_pk) AS pk FROM c GROUP BY sha256), k AS (SELECT storage_key, min(file_pk) AS pk FROM c GROUP BY storage_key),
-m AS (SELECT i.*, CASE WHEN h.pk IS NULL THEN k.pk WHEN k.pk IS NULL THEN h.pk ELSE least(h.pk, k.pk) END AS pk FROM i LEFT JOIN h ON i.sha256 = h.sha256 LEFT JOIN k ON i.key = k.storage_key),
-u AS (SELECT pk, max(seq) AS seq FROM m WHERE pk IS NOT NULL AND status <> 'DUPLICATE' GROUP BY pk),
-g AS (SELECT seq, seq AS last, status FROM m WHERE status = 'DUPLICATE' UNION ALL SELECT min(seq), max(seq), 'UPLOADED' FROM m WHERE pk IS NULL AND status <> 'DUPLICATE' GROUP BY sha256),
-f AS (SELECT last, status, row_number() OVER (ORDER BY seq) AS r FROM g),
+    return catalog, incoming
+
+
+# the list of files is carried from one incoming row to the next
+@query("M2_record_upsert", with_tables("""SELECT * FROM (WITH RECURSIVE c AS (SELECT * FROM text_files WHERE doc_id % 2 = 0),
+i AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id AS seq, CASE WHEN doc_id % 5 <> 0 THEN run_pk END AS run, CASE WHEN doc_id % 19 <> 0 THEN sha256 END AS sha,
+  CASE WHEN doc_id % 11 = 0 THEN 'shared/' || (doc_id % 13) WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN '00_raw/web/' || source_id || '/run_' || ((doc_id - 1) % 10) || '/text/' || (doc_id - 1) || '.txt' ELSE storage_key END AS key,
+  CASE WHEN doc_id % 7 = 0 THEN 'DUPLICATE' ELSE 'UPLOADED' END AS status, CASE WHEN doc_id % 9 <> 0 THEN 'new ' || doc_id END AS meta FROM text_files WHERE doc_id % 2 = 1),
+s AS (SELECT CAST(0 AS BIGINT) AS n, (SELECT list({'id': doc_id, 'seq': CAST(NULL AS BIGINT), 'sha': sha256, 'key': storage_key, 'run': run_pk, 'status': 'FAILED', 'meta': 'old'} ORDER BY file_pk) FROM c) AS files
+UNION ALL SELECT n, CASE WHEN hit IS NULL THEN list_append(files, {'id': CAST(NULL AS BIGINT), 'seq': seq, 'sha': sha, 'key': key, 'run': run, 'status': status, 'meta': meta})
+  ELSE files[1 : hit - 1] || [{'id': files[hit].id, 'seq': files[hit].seq, 'sha': files[hit].sha, 'key': coalesce(key, files[hit].key), 'run': coalesce(run, files[hit].run), 'status': status, 'meta': coalesce(meta, files[hit].meta)}] || files[hit + 1 :] END
+  FROM (SELECT i.*, s.files, CASE WHEN status <> 'DUPLICATE' THEN list_position(list_transform(files, lambda f: coalesce(f.sha = i.sha, false) OR coalesce(f.key = i.key, false)), true) END AS hit FROM s JOIN i ON i.n = s.n + 1)),
+e AS (SELECT unnest(files, recursive := true) FROM s WHERE n = (SELECT max(n) FROM i)),
 nxt AS (SELECT greatest(max(doc_id), count(*)) AS n FROM c)
-SELECT printf('RAW-%09d', c.doc_id) AS file_id, CASE WHEN u.seq IS NULL THEN 'FAILED' ELSE 'UPLOADED' END AS status, coalesce('new ' || u.seq, 'old') AS metadata FROM c LEFT JOIN u ON c.file_pk = u.pk
-UNION ALL SELECT printf('RAW-%09d', r + n), status, 'new ' || last FROM f, nxt""", "text_files"))
+SELECT printf('RAW-%09d', CASE WHEN id IS NOT NULL THEN id ELSE nxt.n + row_number() OVER (PARTITION BY id IS NULL ORDER BY seq) END) AS file_id, status, meta AS metadata, key AS storage_key, run AS run_pk FROM e, nxt)""", "text_files"))
 def m2(spark, d):
     catalog, incoming = _upsert_tables(spark, d)
-    return CH.upsert_files(catalog, incoming).select("file_id", "status", "metadata")
+    return CH.upsert_files(catalog, incoming).select("file_id", "status", "metadata", "storage_key", "run_pk")
 
 
 @query("M3_manual_upload", with_tables(f"""WITH u AS (SELECT *, row_number() OVER (ORDER BY file_pk) AS r, row_number() OVER (PARTITION BY sha256 ORDER BY file_pk) > 1 AS again FROM files WHERE line = 6), c AS (SELECT * FROM files WHERE line < 3),

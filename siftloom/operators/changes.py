@@ -211,7 +211,7 @@ def recorded(files: DataFrame, rows: DataFrame) -> DataFrame:
     with one hash, or one key, is folded by aggregation; any other is replayed in ``seq``
     order, in a task that holds its files and streams its rows.
     """
-    members = cut_lineage(labels(_members(files, rows), "sha256", "storage_key", "seq"))
+    members = cut_lineage(labels(cut_lineage(_members(files, rows)), "sha256", "storage_key", "seq"))
     folded = cut_lineage(_folded(members))
     simple = folded.where("simple and (new or applied > 0)").select("new", "file_pk", "seq", *_RECORDED)
     # other reports of a duplicate stay rows of their own

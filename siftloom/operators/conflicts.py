@@ -7,43 +7,69 @@ recorded one after the other.  ``labels`` cuts a batch into such components, and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.operators.skew import attach_per_key, join_present
 from siftloom.session import cut_lineage
 
+#: Edges that one task connects; more are connected in rounds.
+FEW_EDGES = 100_000
 
 def filled(value: Column) -> Column:
     """The value, null when it is empty."""
     return F.nullif(value, F.lit(""))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of ``edges`` (u, v): the least node it is connected to.
-
-    Each round hooks the neighbours of a node, and then the node itself, to the least of
-    them; the rounds grow with the logarithm of the longest path.
-    """
+def _star(links: DataFrame) -> DataFrame:
+    """Edges (u > v) after hooking the neighbours of each node, then the node, to the least of them."""
     def least(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
-    links = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    before = None
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = least(both).select("u", F.least("u", "m").alias("m"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = least(large)
+    small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hooked = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
+    return hooked.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of a few edges in one task, by union-find."""
+    parent: dict[str, str] = {}
+
+    def root(node: str) -> str:
+        while parent.setdefault(node, node) != node:
+            parent[node] = node = parent[parent[node]]
+        return node
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            low, high = sorted((root(u), root(v)))
+            parent[high] = low
+    nodes = list(parent)
+    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.string()), "label": pa.array([root(n) for n in nodes], pa.string())})
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """(node, label) of every node of ``edges`` (u, v): the least node it is connected to.
+
+    At most ``few`` edges are settled by one task.  More go through rounds of star steps,
+    which grow with the logarithm of the longest path and end when no node that others hook
+    to is hooked itself.
+    """
+    if edges.count() <= few:
+        return cut_lineage(edges.select("u", "v").coalesce(1).mapInArrow(_forest, "node string, label string"))
+    links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     while True:
-        state = links.agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("u", "v"), 16)).alias("h")).first()
-        if not state.n or (state.n, state.h) == before:
+        links = cut_lineage(_star(links))
+        several = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        if links.join(links.select(F.col("u").alias("v")), "v", "left_semi").select("u").unionByName(several).isEmpty():
             break
-        before = (state.n, state.h)
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = least(large)
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-                            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     named = links.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return named.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 

@@ -64,7 +64,9 @@ def test_random_batches_equal_a_replay(spark, seed, hashes, keys, n):
     assert upserted(spark, stored, rows) == replay(stored, rows)
 
 
-def test_components_of_a_chain_and_of_leaves(spark):
+@pytest.mark.parametrize("few", [CF.FEW_EDGES, 0])
+def test_components_of_a_chain_and_of_leaves(spark, monkeypatch, few):
+    monkeypatch.setattr(CF.components, "__defaults__", (few,))
     rows = [(i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(40)] + [(100 + i, "hub", f"leaf{i}") for i in range(5)]
     rows += [(200 + i, f"lone{i}", "one key") for i in range(3)] + [(300, None, "only b"), (301, "", ""), (302, "only a", None), (303, None, "leaf1")]
     df = spark.createDataFrame(rows, "seq long, a string, b string")

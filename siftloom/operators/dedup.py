@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions import files as FN
+from siftloom.operators.conflicts import first_claims
 from siftloom.operators.skew import attach_per_key, keep_first, with_positions, with_positions_per_key
 
 
@@ -34,16 +35,29 @@ def new_content(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
     return incoming.join(_stored(catalog, "sha256"), "sha256", "left_anti")
 
 
-def admitted(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
+def file_keys(files: DataFrame) -> list[Column]:
+    """The two keys that make a file known, as strings that cannot clash: its URL in its source, its content."""
+    url = F.nullif("source_url", F.lit(""))
+    return [F.concat(F.lit("u"), F.col("source_id"), F.lit("\0"), url), F.concat(F.lit("h"), F.nullif("sha256", F.lit("")))]
+
+
+def admitted(incoming: DataFrame, catalog: DataFrame, order: str | None = None) -> DataFrame:
     """Incoming rows that are new by URL and by content.
 
+    With ``order``, a column that numbers them, rows also see each other: a row is known
+    when an admitted row before it has its URL or its content.
     ``incoming`` is the small side: the catalog is cut to its keys before anything is made
     distinct.
     """
     pair = ["source_id", "source_url"]
     same_url = catalog.join(incoming.select(*pair).distinct(), pair, "left_semi")
     same_hash = catalog.join(incoming.select("sha256").distinct(), "sha256", "left_semi")
-    return new_content(new_urls(incoming, same_url), same_hash)
+    new = new_content(new_urls(incoming, same_url), same_hash)
+    if order is None:
+        return new
+    url, content = file_keys(new)
+    first = first_claims(new.select(order, url.alias("_url"), content.alias("_content")), ["_url", "_content"], order)
+    return new.join(first, order, "left_semi")
 
 
 def mark_duplicates(files: DataFrame) -> DataFrame:

@@ -115,11 +115,17 @@ def m11b(spark, d):
     return ST.attach_orphans(orphans.drop("text"), runs).select("file_pk", "run_pk")
 
 
-@query("T3_admitted_files", with_tables("""WITH c AS (SELECT * FROM text_files WHERE doc_id % 2 = 0)
-SELECT file_pk FROM text_files WHERE doc_id % 2 = 1 AND (source_id, source_url) NOT IN (SELECT (source_id, source_url) FROM c) AND sha256 NOT IN (SELECT sha256 FROM c)""", "text_files"))
+# keys claimed so far are carried from one incoming row to the next
+@query("T3_admitted_files", with_tables("""SELECT pk AS file_pk FROM (WITH RECURSIVE f AS (SELECT *, source_id || ' ' || CASE WHEN doc_id % 4 = 1 THEN 'https://shared/' || (doc_id % 37) ELSE source_url END AS url FROM text_files),
+c AS (SELECT * FROM f WHERE doc_id % 2 = 0),
+i AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, file_pk, url, sha256 FROM f WHERE doc_id % 2 = 1 AND url NOT IN (SELECT url FROM c) AND sha256 NOT IN (SELECT sha256 FROM c)),
+s AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS VARCHAR) AS pk
+UNION ALL SELECT i.n, CASE WHEN list_has_any(seen, [url, sha256]) THEN seen ELSE seen || [url, sha256] END, CASE WHEN NOT list_has_any(seen, [url, sha256]) THEN file_pk END FROM s JOIN i ON i.n = s.n + 1)
+SELECT pk FROM s WHERE pk IS NOT NULL)""", "text_files"))
 def t3(spark, d):
-    files = t.text_files(spark, d).withColumn("status", F.lit("UPLOADED"))
-    return DD.admitted(files.where("doc_id % 2 = 1"), files.where("doc_id % 2 = 0")).select("file_pk")
+    shared = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("https://shared/"), (F.col("doc_id") % 37).cast("string"))).otherwise(F.col("source_url"))
+    files = t.text_files(spark, d).withColumns({"status": F.lit("UPLOADED"), "source_url": shared})
+    return DD.admitted(files.where("doc_id % 2 = 1"), files.where("doc_id % 2 = 0"), "doc_id").select("file_pk")
 
 
 @query("S10_S11_written_lines", with_tables("SELECT run_pk AS run, source_id AS category, count(*) AS lines, sum(file_size) AS bytes FROM text_files GROUP BY ALL", "text_files"))

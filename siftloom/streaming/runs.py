@@ -5,16 +5,18 @@ Each stream shares its logic with a batch twin.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from siftloom import rules
-from siftloom.operators.dedup import admitted
+from siftloom.operators.conflicts import first_claims
+from siftloom.operators.dedup import file_keys
 from siftloom.operators.links import usable_pages, web_page_records
 from siftloom.operators.reports import run_counters
 from siftloom.session import cut_lineage
@@ -183,26 +185,79 @@ def start_counters(events: DataFrame, checkpoint: str, sink: Callable[[DataFrame
     )
 
 
+class KnownKeys:
+    """URLs and hashes of all files admitted so far, in folders that micro-batches prune.
+
+    Keys are dealt to ``parts`` by hash and sorted, so a batch reads the parts of its own
+    keys, and of these the row groups that may hold them.  Each batch adds a folder of its
+    own, replaced when the batch is replayed; every ``merge`` batches what came before is
+    merged into a new base.  The catalog is read once, into the first base.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, parts: int = 64, merge: int = 50) -> None:
+        self.spark, self.folder, self.parts, self.merge = spark, folder, parts, merge
+
+    def _keyed(self, files: DataFrame) -> DataFrame:
+        keys = files.select(F.explode(F.array_compact(F.array(*file_keys(files)))).alias("key")).distinct()
+        return keys.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(self.parts)).cast("int"))
+
+    def _write(self, keys: DataFrame, name: str) -> None:
+        keys.repartition(min(self.parts, 8), "part").sortWithinPartitions("part", "key").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/{name}")
+
+    def _written(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _read(self, base: int, until: int) -> DataFrame:
+        schema = "key string, part int"
+        names = [f"base={base}", *[f"batch={i}" for i in range(base, until)]]
+        return functools.reduce(DataFrame.unionByName, [
+            self.spark.read.schema(schema).parquet(f"{self.folder}/{n}") for n in names if self._written(n)])
+
+    def start(self, catalog: DataFrame) -> None:
+        """Take over the stored files, unless an earlier start has done so."""
+        if not self._written("base=0"):
+            self._write(self._keyed(catalog.where("status = 'UPLOADED'")), "base=0")
+
+    def unknown(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Rows without a known key before a batch."""
+        base = batch_id // self.merge * self.merge
+        if base and not self._written(f"base={base}"):
+            self._write(self._read(base - self.merge, base), f"base={base}")
+        wanted = cut_lineage(self._keyed(rows))
+        touched = [r.part for r in wanted.select("part").distinct().collect()]  # at most ``parts``
+        known = self._read(base, batch_id).where(F.col("part").isin(touched)).join(wanted, ["part", "key"], "left_semi").select("key").distinct()
+        known = cut_lineage(known)
+        for key in file_keys(rows):
+            rows = rows.withColumn("_key", key).join(known, F.col("_key") == F.col("key"), "left_anti").drop("_key")
+        return rows
+
+    def add(self, rows: DataFrame, batch_id: int) -> None:
+        self._write(self._keyed(rows), f"batch={batch_id}")
+
+
 def start_known_file_skip(
-    incoming: DataFrame, read_catalog: Callable[[], DataFrame], out: str, checkpoint: str,
-    delay: str | None = None,
+    incoming: DataFrame, read_catalog: Callable[[], DataFrame], out: str, checkpoint: str, order: str, merge: int = 50,
 ):
-    """Write rows whose URL and content the catalog does not have yet.
+    """Write the rows that a replay by ``order`` admits: no file before them has their URL or content.
 
-    ``incoming`` needs a ``ts`` column when ``delay`` is given: repeats that arrive
-    within it are dropped by the stream itself, older ones by the catalog joins.
-    A replayed batch overwrites its own folder.
+    That holds against the stored files, earlier batches and earlier rows of a batch alike.
+    A row's two keys decide about each other (a refused row claims neither), so no single
+    grouping key of a stateful operator can hold the state; ``KnownKeys`` does.  ``order``
+    numbers the rows.  Folders of a replayed batch are replaced, so a restart changes nothing.
     """
-    stream = incoming
-    if delay:
-        stream = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["sha256"])
+    keys = KnownKeys(incoming.sparkSession, f"{checkpoint}-keys", merge=merge)
+    keys.start(read_catalog())
 
     def admit(batch: DataFrame, batch_id: int) -> None:
-        admitted(batch, read_catalog()).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return (
-        stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(admit).start()
-    )
+        new = cut_lineage(keys.unknown(batch, batch_id))
+        url, content = file_keys(new)
+        first = first_claims(new.select(order, url.alias("_url"), content.alias("_content")), ["_url", "_content"], order)
+        taken = cut_lineage(new.join(first, order, "left_semi"))
+        keys.add(taken, batch_id)
+        taken.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return incoming.writeStream.option("checkpointLocation", checkpoint).foreachBatch(admit).start()
 
 
 def start_page_ingestion(pages: DataFrame, out: str, checkpoint: str):

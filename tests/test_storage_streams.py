@@ -1,11 +1,13 @@
 import io
 import json
 import os
+import random
 import zipfile
 
 from pyspark.sql import functions as F
 
 from siftloom.functions.media import stt_records
+from siftloom.operators import dedup as DD
 from siftloom.operators import reports as RP
 from siftloom.sources import sinks as SN
 from siftloom.sources import storage as ST
@@ -184,16 +186,30 @@ def test_state_stream_equals_batch(spark, folder):
 
 
 def test_known_files_are_skipped(spark, folder):
-    rows = [(f"u{i}", f"h{i % 8}", i) for i in range(12)]
-    df = spark.createDataFrame(rows, "source_url string, sha256 string, n int").withColumns(
-        {"source_id": F.lit("s"), "ts": F.expr("timestamp_seconds(1700000000 + n)")})
-    catalog = spark.createDataFrame([("s", "u1", "zz", "UPLOADED"), ("s", "x", "h2", "UPLOADED"), ("s", "u3", "h3", "FAILED")],
-                                    "source_id string, source_url string, sha256 string, status string")
-    q = RN.start_known_file_skip(stream_of(spark, df, folder, "k"), lambda: catalog, folder + "/out", folder + "/cp", delay="1 hour")
-    q.processAllAvailable()
-    q.stop()
-    hashes = sorted(r.sha256 for r in spark.read.parquet(folder + "/out").collect())
-    assert len(hashes) == len(set(hashes)) and "h2" not in hashes and {"h0", "h3", "h4", "h5", "h6", "h7"} <= set(hashes)
+    """Files of any batch, repeats included, are admitted as by a replay; a restart goes on."""
+    draw = random.Random(12)
+    rows = [(i, "s", draw.choice(["", None, *[f"u{k}" for k in range(90)]]), draw.choice(["", None, *[f"h{k}" for k in range(90)]])) for i in range(90)]
+    stored = [("s", "u1", "zz", "UPLOADED"), ("s", "x", "h2", "UPLOADED"), ("s", "u3", "h3", "FAILED"), ("other", "u4", None, "UPLOADED")]
+    catalog = spark.createDataFrame(stored, "source_id string, source_url string, sha256 string, status string")
+    want, urls, hashes = [], {"u1"}, {"zz", "h2"}
+    for i, _, url, sha in rows:
+        if url not in urls and sha not in hashes:
+            want.append(i)
+            urls.update({url} - {None, ""})
+            hashes.update({sha} - {None, ""})
+    schema = "n long, source_id string, source_url string, sha256 string"
+    for start in range(0, 90, 15):
+        spark.createDataFrame(rows[start: start + 15], schema).coalesce(1).write.mode("append").parquet(folder + "/in")
+        if start in (15, 45, 75):  # two files are there at each start, one per batch
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+            q = RN.start_known_file_skip(stream, lambda: catalog, folder + "/out", folder + "/cp", "n", merge=2)
+            q.processAllAvailable()
+            q.stop()
+    out = spark.read.parquet(folder + "/out")
+    assert out.select("batch").distinct().count() == 6
+    assert sorted(r.n for r in out.collect()) == want
+    files = spark.createDataFrame(rows, schema)
+    assert sorted(r.n for r in DD.admitted(files, catalog, "n").collect()) == want
 
 
 def test_page_ingestion_and_logs(spark, folder):

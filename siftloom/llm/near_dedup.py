@@ -16,10 +16,15 @@ blocks.
 
 Links make components; the least id of each is kept.
 
+Shingles are compared by 64-bit hashes of word hashes that mix all bytes; that two sets are
+equal is decided on their sizes and on three sums, one of them over a second, independent
+hash of every shingle.
+
 Defined results: a null or blank text has an empty set and is linked with nothing; a text
 with fewer words than a shingle has its whole word sequence as one shingle; rows with a
-null id are linked with nothing and kept; rows that share an id are one node; an empty
-table gives no rows; the query reads no other columns, the filter keeps them.
+null id are linked with nothing and kept; rows that share an id are linked, whatever their
+texts; an empty table gives no rows; the query reads no other columns, the filter keeps
+them, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm.arrays import ragged, release, steps, text_buffers
+from siftloom.llm.columns import apart
 from siftloom.llm.components import components
 from siftloom.llm.registry import query, table
 from siftloom.llm.words import blanks, gram_hashes, lower_ascii, mix, run_hashes, word_hashes, words_of
@@ -45,6 +51,9 @@ PERCENT = 80
 BATCH, MISS = 40, 1e-6
 #: Bytes of text in one vectorised step.
 CHUNK = 512 << 10
+#: Key of a set: equal sets make one class.  Seed of the second hash.
+SET = ("h1", "h2", "h3", "n")
+SECOND = 0x5EED
 #: Members of a gathering that one task compares with one another, and member rows per task.
 BLOCK = 2000
 TASK_ROWS = 4000
@@ -55,43 +64,58 @@ def _multipliers() -> np.ndarray:
     return np.random.default_rng(20240229).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, one text after the other, and each text's first."""
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Distinct shingle hashes of each text, one text after the other, each text's first, and second hashes."""
     data = lower_ascii(data)
     words = words_of(data, offsets, blanks())
-    h = word_hashes(data, words)
     n = np.diff(words.first)
     row = np.repeat(np.arange(len(n)), n)
-    grams = gram_hashes(h, width)
-    ok = row[: len(grams)] == row[width - 1:] if len(grams) else np.zeros(0, bool)
     short = np.flatnonzero((n > 0) & (n < width))
-    # the length keeps a short sequence apart from every full shingle
-    whole = mix(run_hashes(h, words.first[short], words.first[short + 1]) ^ n[short].astype(np.uint64))
-    h = np.concatenate([grams[ok], whole])
-    row = np.concatenate([row[: len(grams)][ok], short])
+
+    def hashed(seed: int) -> np.ndarray:
+        h = word_hashes(data, words, seed)
+        grams = gram_hashes(h, width)
+        # the length keeps a short sequence apart from every full shingle
+        whole = mix(run_hashes(h, words.first[short], words.first[short + 1]) ^ n[short].astype(np.uint64))
+        return np.concatenate([grams[row[: len(grams)] == row[width - 1:]] if len(grams) else grams, whole])
+
+    h, again = hashed(0), hashed(SECOND) if second else None
+    count = max(0, len(row) - width + 1)
+    row = np.concatenate([row[:count][row[:count] == row[width - 1:]] if count else row[:0], short])
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
+    again = again[order] if second else None
     if len(h):
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
         h, row = h[new], row[new]
-    return h, np.searchsorted(row, np.arange(len(n) + 1))
+        again = again[new] if second else None
+    return h, np.searchsorted(row, np.arange(len(n) + 1)), again
+
+
+def _set_hashes(h: np.ndarray, again: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Three sums over each set: of the hashes, of the mixed hashes (by bits) and of the second hashes."""
+    full = np.flatnonzero(np.diff(first))
+    out = np.zeros((3, len(first) - 1), np.uint64)
+    if len(full):
+        cut = first[full]
+        out[0, full] = np.add.reduceat(h, cut)
+        out[1, full] = np.bitwise_xor.reduceat(mix(h), cut)
+        out[2, full] = np.add.reduceat(mix(again), cut)
+    return [pa.array(x.view(np.int64)) for x in out]
 
 
 def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Per row: id, n (set size), h1 and h2 (hash of the set), keys (of the bands) and sig (a byte per hash)."""
+    """Per row: id, n (set size), h1 to h3 (hashes of the set), keys (of the bands) and sig (a byte per hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, text, CHUNK):
-                h, first = shingles(*text_buffers(batch.column(text)), width)
+                h, first, again = shingles(*text_buffers(batch.column(text)), width, True)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
                 cut = first[full]
-                h1, h2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
                 sig = np.zeros((ROWS * BANDS, len(full)), np.uint32)
                 if len(full):
-                    h1[full] = np.add.reduceat(h, cut)
-                    h2[full] = np.bitwise_xor.reduceat(mix(h), cut)
                     for k, a in enumerate(_multipliers()):
                         sig[k] = np.minimum.reduceat(((h * a) >> np.uint64(32)).astype(np.uint32), cut)
                 keys = np.zeros((len(full), BANDS), np.uint64)
@@ -105,25 +129,26 @@ def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 low = np.ascontiguousarray(sig.T.astype(np.uint8))
                 ends = np.concatenate([[0], np.cumsum(used)])
                 yield pa.RecordBatch.from_pydict({
-                    "id": batch.column(key), "n": pa.array(n), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64)),
+                    "id": batch.column(key), "n": pa.array(n), **dict(zip(SET, _set_hashes(h, again, first), strict=False)),
                     "keys": pa.ListArray.from_arrays(pa.array((ends * BANDS).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64))),
                     "sig": pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * ROWS * BANDS).astype(np.int32)), pa.py_buffer(low)])})
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(
-        run, "id long, n long, h1 long, h2 long, keys array<long>, sig binary")
+        run, "id long, n long, h1 long, h2 long, h3 long, keys array<long>, sig binary")
 
 
 def sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Per row: id and its set as an array of shingle hashes."""
+    """Per row: the key of its set and the set as an array of shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, text, CHUNK):
-                h, first = shingles(*text_buffers(batch.column(text)), width)
+                h, first, again = shingles(*text_buffers(batch.column(text)), width, True)
                 yield pa.RecordBatch.from_pydict({
-                    "id": batch.column(key), "set": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))})
+                    **dict(zip(SET, [*_set_hashes(h, again, first), pa.array(np.diff(first))], strict=True)),
+                    "set": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))})
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "id long, set array<long>")
+    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "h1 long, h2 long, h3 long, n long, set array<long>")
 
 
 @functools.cache
@@ -243,15 +268,17 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     """Per row of ``docs``: id, n_shingles and component_id."""
     rows = cut_lineage(signed(docs, key, text, width))
     nodes = rows.where("n > 0 and id is not null")
-    classes = cut_lineage(nodes.groupBy("h1", "h2", "n").agg(
-        F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.count("*").alias("copies")))
-    signatures = classes.select("id", "n", "sig")
+    # numbered before it is written, so a class keeps its number
+    classes = cut_lineage(nodes.groupBy(*SET).agg(
+        F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()))
+    signatures = classes.select("id", "sig")
     bands = classes.select("id", F.explode("keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
     members = cut_lineage(bands.join(buckets, "key"))
-    candidates = members.select("id").distinct()
-    # the full sets of candidates only; every other text is left where it is
-    full = cut_lineage(sets(docs.join(candidates, F.col(key) == F.col("id"), "left_semi"), key, text, width).dropDuplicates(["id"]))
+    candidates = classes.select("id", "least", *SET).join(members.select("id").distinct(), "id", "left_semi")
+    # the full sets of candidates only, one for each class; every other text is left where it is
+    named = docs.join(candidates.select(F.col("least").alias("_least")).distinct(), F.col(key) == F.col("_least"), "left_semi")
+    full = cut_lineage(sets(named, key, text, width).groupBy(*SET).agg(F.first("set").alias("set")).join(candidates.drop("least"), list(SET)).select("id", "n", "set"))
 
     gathered = members.select("leader", "id").distinct()
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -263,22 +290,30 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     links = (crowd.join(signatures, "id").join(full, "id")
              .withColumn("_t", F.pmod(F.xxhash64("leader", "b1", "b2"), F.lit(tasks)))
              .groupBy("_t").applyInArrow(_links, "x long, y long"))
-    final = components(links)
-
-    settled = classes.select("h1", "h2", "n", "id").join(final, "id", "left").select(
-        F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("n").alias("_n"), F.coalesce("component", "id").alias("_c"))
-    on = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n"))
-    placed_rows = rows.select("id", "n", "h1", "h2").join(settled, on, "left")
+    # rows that share an id link the classes of their texts
+    per_class = F.struct(*SET)
+    shared = nodes.groupBy("id").agg(F.min(per_class).alias("a"), F.max(per_class).alias("z")).where("a <> z").select("id")
+    both = nodes.join(shared, "id", "left_semi").select(F.col("id").alias("doc"), *SET).distinct().join(classes.select("id", *SET), list(SET))
+    same = both.join(both.groupBy("doc").agg(F.min("id").alias("y")), "doc").select(F.col("id").alias("x"), "y")
+    final = components(links.unionByName(same))
+
+    whole = classes.select("id", "least", *SET).join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lowest = whole.groupBy("component").agg(F.min("least").alias("_c"))
+    settled = whole.join(lowest, "component").select(*[F.col(c).alias(f"_{c}") for c in SET], "_c")
+    on = [F.col(c) == F.col(f"_{c}") for c in SET]
+    placed_rows = rows.select("id", *SET).join(settled, on, "left")
     mine = F.when(F.col("id").isNotNull(), F.coalesce("_c", "id"))
     return placed_rows.select("id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """One document of each component, with its own columns; rows with a null id all stay."""
+    docs, names, back = apart(docs)
+    key, text = names[key], names[text]
     found = clusters(docs.select(key, text), key, text, width)
     kept = found.where("id = component_id").select("id").distinct()
     one = docs.join(kept, F.col(key) == F.col("id"), "left_semi").dropDuplicates([key])
-    return one.unionByName(docs.where(F.col(key).isNull()))
+    return back(one.unionByName(docs.where(F.col(key).isNull())))
 
 
 @query("op9_minhash_dedup")

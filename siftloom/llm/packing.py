@@ -43,13 +43,15 @@ _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 class WordBpe:
     """Encoder of one tokenizer file with lower-casing, white-space-dropping words.
 
-    Special tokens' strings are ordinary text.
+    Texts that hold the string of an added token, which the library matches before
+    anything else, are left to the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.spell = byte_table()
         self.memo = Memo(self._encode)
         self.table = character_classes().copy()
@@ -70,8 +72,17 @@ class WordBpe:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the index of each text's first id."""
-        texts = pa.array([self.normal(t or "") for t in column.to_pylist()], pa.string())
-        return encode_texts(*text_buffers(texts), False, self.memo, self.table)
+        whole = [t or "" for t in column.to_pylist()]
+        special = [i for i, t in enumerate(whole) if any(a in t.lower() for a in self.added)]
+        taken = {i: self.library.encode(whole[i], add_special_tokens=False).ids for i in special}
+        texts = pa.array(["" if i in taken else self.normal(t) for i, t in enumerate(whole)], pa.string())
+        ids, first = encode_texts(*text_buffers(texts), False, self.memo, self.table)
+        if taken:
+            sizes = np.diff(first)
+            ids = np.insert(ids, np.repeat(first[special], [len(taken[i]) for i in special]), [x for i in special for x in taken[i]])
+            sizes[special] = [len(taken[i]) for i in special]
+            first = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, first
 
 
 @functools.cache

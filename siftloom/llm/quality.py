@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftloom.llm.columns import apart
 from siftloom.llm.registry import query, table
 from siftloom.session import cut_lineage
 
@@ -42,14 +43,12 @@ _BODY = "coalesce({text}, '')"
 _WORDS = rf"filter(split(translate({_BODY}, '\t\n\u000b\u000c\r', '     '), ' '), w -> w != '')"
 _LINES = rf"filter(split({_BODY}, '\n'), l -> translate(l, {_SPACE}, '') != '')"
 
-# Each stage is a projection of its own, so nothing is computed twice.  A 3-word window
-# travels as one long, the upper bits of its hash followed by its position: after sorting,
-# equal windows are neighbours and the lower bits name them.
+# Each stage is a projection of its own, so nothing is computed twice.  A 3-word window is
+# the hash of its words and its position: after sorting, equal windows are neighbours.
 _STAGES = (
     {"words": f"transform({_WORDS}, w -> xxhash64(w))", "lines": _LINES},
     {
         "n_words": f"cast(size({P}words) as bigint)",
-        "mask": f"shiftleft(1L, cast(ceil(log2(size({P}words) + 2)) as int)) - 1L",
         "word_chars": f"cast(length(translate({_BODY}, {_SPACE}, '')) as bigint)",
         "n_symbols": f"cast(length({_BODY}) - length(translate({_BODY}, '#*$%&|<>', '')) as bigint)",
         "n_lines": f"cast(size({P}lines) as bigint)",
@@ -57,12 +56,12 @@ _STAGES = (
     },
     {
         "windows": f"""sort_array(transform(slice({P}words, 3, greatest(size({P}words), 1)), (w, i) ->
-            (xxhash64({P}words[i], {P}words[i + 1], w) & ~{P}mask) | cast(i as bigint)))""",
+            struct(xxhash64({P}words[i], {P}words[i + 1], w) as h, cast(i as bigint) as i)))""",
     },
     {
         "found": f"""sort_array(transform(filter({P}windows, (x, i) ->
-            (i > 0 and (x & ~{P}mask) = (get({P}windows, i - 1) & ~{P}mask))
-            or (i + 1 < size({P}windows) and (x & ~{P}mask) = (get({P}windows, i + 1) & ~{P}mask))), x -> x & {P}mask))""",
+            (i > 0 and x.h = get({P}windows, i - 1).h)
+            or (i + 1 < size({P}windows) and x.h = get({P}windows, i + 1).h)), x -> x.i))""",
     },
     {
         "n_repeat_words": f"""aggregate(transform({P}found, (x, j) ->
@@ -76,7 +75,7 @@ _STAGES = (
         "word_length": f"{P}word_chars / greatest({P}n_words, 1L)",
     },
 )
-_SPENT = ("words", "lines", "mask", "windows", "found")
+_SPENT = ("words", "lines", "windows", "found")
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -140,7 +139,8 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judged(docs, text, lang, source).where(P + "kept").select(*[f"`{c}`" for c in docs.columns])
+    docs, names, back = apart(docs)
+    return back(judged(docs, names[text], names[lang], names[source]).where(P + "kept"))
 
 
 @query("op5_quality_rules")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm.arrays import ragged
+from siftloom.llm.columns import apart
 from siftloom.llm.registry import query, table
 from siftloom.llm.overlaps import repeated
 from siftloom.llm.repeats import BYTES, Units, group_count, merged_runs
@@ -253,6 +254,8 @@ def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     All columns and rows stay; ``length`` (if it is a column) gets the characters left.  A
     character of which only some bytes are covered is cut whole.
     """
+    docs, own, back = apart(docs)
+    key, text, length = own[key], own[text], own.get(length)
     names = docs.columns
     docs = docs.withColumn(text, F.coalesce(text, F.lit("")))
 
@@ -269,7 +272,7 @@ def dedup_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", length
         return pa.table(out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return repeated(docs, BYTES, group_suffixes, key, text, group_count(docs, text), names, schema, make)
+    return back(repeated(docs, BYTES, group_suffixes, key, text, group_count(docs, text), names, schema, make))
 
 
 @query("op10_suffix_array_dedup")

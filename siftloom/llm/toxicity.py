@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.llm.arrays import steps, text_buffers
+from siftloom.llm.columns import apart
 from siftloom.llm.registry import query, table
 from siftloom.llm.words import lower_ascii, mix, non_letters, run_hashes, word_hashes, words_of
 from siftloom.session import cut_lineage
@@ -191,10 +192,12 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     return docs.mapInArrow(run, f"{own}, _tox_severity double, _tox_p double, _tox_grade int")
 
 
-def toxicity_filter(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def toxicity_filter(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", flag: str = "toxic") -> DataFrame:
     """The documents that are not toxic, with their own columns."""
-    scored = score(docs, fit(docs, labels, key, text), text)
-    return scored.where(F.col("_tox_p") <= 0.5).select(*[f"`{c}`" for c in docs.columns])
+    docs, names, back = apart(docs)
+    labels = labels.select(F.col(key).alias(names[key]), F.col(flag).alias("flag"))
+    scored = score(docs, fit(docs, labels, names[key], names[text], "flag"), names[text])
+    return back(scored.where(F.col("_tox_p") <= 0.5))
 
 
 @query("op1_toxicity")

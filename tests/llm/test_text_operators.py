@@ -278,7 +278,6 @@ def test_packing_query(spark, documents):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     ids = {key: [*library.encode(text, add_special_tokens=False).ids, 2] for key, text in documents}
     rows = QUERIES["op6_packing"](spark, SF).collect()
     for r in rows:

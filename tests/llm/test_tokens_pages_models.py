@@ -65,7 +65,6 @@ def _library():
 
     if "word" not in _CACHE:
         _CACHE["word"] = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-        _CACHE["word"].encode_special_tokens = True
     return _CACHE["word"]
 
 

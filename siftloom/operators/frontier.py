@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftloom.functions import urls
+from siftloom.operators.patterns import pattern_matches
 from siftloom.operators.skew import attach_per_key, with_positions
 from siftloom.session import cut_lineage
 
@@ -49,14 +50,9 @@ def filter_allowed_hosts(
 
 
 def matching_patterns(rows: DataFrame, patterns: DataFrame, url: str = "url") -> DataFrame:
-    """Rows whose URL matches any pattern of the table.
-
-    The distinct patterns become one alternation, computed by the plan itself; an empty
-    table makes it NULL and selects nothing.
-    """
-    one = F.concat(F.lit("(?:"), F.col("pattern"), F.lit(")"))
-    every = patterns.agg(F.array_join(F.array_sort(F.collect_set(one)), "|").alias("p"))
-    return rows.where(F.rlike(F.col(url), F.nullif(every.scalar(), F.lit(""))))
+    """Rows whose URL matches any pattern of the table."""
+    hit = pattern_matches(rows, patterns, url).select(F.col("url").alias("_url")).distinct()
+    return rows.join(hit, F.col(url) == F.col("_url"), "left_semi")
 
 
 # --- robots ------------------------------------------------------------------

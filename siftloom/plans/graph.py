@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftloom.operators import frontier as FR
+from siftloom.operators import patterns as PT
 from siftloom.plans.registry import query
 from siftloom.plans.tables import read
 
@@ -30,6 +31,24 @@ def d8(spark, d):
     return FR.matching_patterns(read(spark, d, "pages"), patterns).select("page_id")
 
 
+_LISTS = """inc AS (SELECT CASE c_custkey % 5 WHEN 0 THEN '/(en|fr)/[0-9]*' || c_custkey || '([/?#.]|$)' WHEN 1 THEN '/de/' || (c_custkey % 97) || '\\d?$|/es/' || (c_custkey % 53)
+    WHEN 2 THEN 'example\\.(com|org)/.*' || (c_custkey % 31) || '[05]' WHEN 3 THEN '^http://no-such-host-' || c_custkey ELSE '[13579]{2}' || (c_custkey % 7) || '$' END AS p FROM customer WHERE c_custkey % 2 = 0),
+exc AS (SELECT '/' || (c_custkey % 40) || '([?].*)?$' AS p FROM customer WHERE c_custkey % 2 = 1 AND c_custkey < 30)"""
+
+
+@query("D8_patterns_matched", f"""WITH {_LISTS}, i AS (SELECT page_id, min(p) AS included_by FROM pages JOIN (SELECT DISTINCT p FROM inc) ON regexp_matches(url, p) GROUP BY page_id),
+e AS (SELECT page_id, min(p) AS excluded_by FROM pages JOIN (SELECT DISTINCT p FROM exc) ON regexp_matches(url, p) GROUP BY page_id)
+SELECT page_id, included_by, excluded_by, included_by IS NOT NULL AND excluded_by IS NULL AS passes FROM pages LEFT JOIN i USING (page_id) LEFT JOIN e USING (page_id)""")
+def d8_lists(spark, d):
+    key = "cast(c_custkey as string)"
+    c = read(spark, d, "customer")
+    include = c.where("c_custkey % 2 = 0").select(F.expr(f"""CASE c_custkey % 5 WHEN 0 THEN concat('/(en|fr)/[0-9]*', {key}, '([/?#.]|$)')
+        WHEN 1 THEN concat('/de/', c_custkey % 97, r'\d?$|/es/', c_custkey % 53) WHEN 2 THEN concat(r'example\.(com|org)/.*', c_custkey % 31, '[05]')
+        WHEN 3 THEN concat('^http://no-such-host-', {key}) ELSE concat('[13579]{{2}}', c_custkey % 7, '$') END""").alias("pattern"))
+    exclude = c.where("c_custkey % 2 = 1 AND c_custkey < 30").select(F.expr("concat('/', c_custkey % 40, '([?].*)?$')").alias("pattern"))
+    return PT.filter_by_patterns(read(spark, d, "pages"), include, exclude).select("page_id", "included_by", "excluded_by", "passes")
+
+
 # robots files: one per host, written by a rule on the smallest page id of the host
 BODY = """CASE k % 4 WHEN 0 THEN 'User-agent: *' || chr(10) || 'Disallow: /en/' || chr(10) || 'Allow: /' || chr(10) || chr(10) || 'Sitemap: https://' || host || '/map.xml'
   WHEN 1 THEN '# c' || chr(10) || 'User-agent: badbot' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || 'User-agent: *' || chr(10) || 'Allow: /en/4' || chr(10) || 'Disallow: /en/' || chr(10) || 'Disallow: /fr'

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftloom.functions import urls
 from siftloom.operators.patterns import pattern_matches
 from siftloom.operators.skew import attach_per_key, with_positions
-from siftloom.session import cut_lineage
+from siftloom.session import write_bucketed
 
 
 def hosts_matching(hosts: DataFrame, domains: DataFrame, both_ways: bool = True) -> DataFrame:
@@ -212,6 +212,13 @@ def _leading(rows: DataFrame, order: Sequence[str], count: int) -> DataFrame:
     return with_positions(rows, [F.col(c) for c in order], "_at_").where(F.col("_at_") <= count).drop("_at_")
 
 
+def next_pages(edges: DataFrame, pages: DataFrame, depth: int) -> DataFrame:
+    """Distinct page targets of the pages at ``depth`` that are not among ``pages``."""
+    last = pages.where(F.col("depth") == depth).select(F.col("url").alias("src"))
+    found = edges.where(~F.col("is_file")).join(last, "src", "left_semi").select(F.col("dst").alias("url")).distinct()
+    return found.join(pages.select("url"), "url", "left_anti")
+
+
 def expand_frontier(
     links: DataFrame,
     start: DataFrame,
@@ -225,36 +232,30 @@ def expand_frontier(
 ) -> tuple[DataFrame, DataFrame]:
     """Breadth-first walk of a link table: (pages: url, depth; files: url, depth, page_url).
 
-    No URL is taken twice and files do not recurse.  Each round is one join of the
-    frontier with the edges and one anti join with the pages seen so far.  A round's
-    result is written to the shared folder, so the next plan reads files and lost
-    executors do not restart the walk.  Without ``max_depth`` the walk ends when a round finds
-    nothing new.  Page and file budgets are filled in URL order within a round, by positions
-    that many tasks number.
+    No URL is taken twice and files do not recurse.  Edges are written once, bucketed by
+    their source, and the pages taken so far bucketed by URL, a partition per depth.  So a
+    round reads the pages of the last depth and the edges that leave them bucket by bucket;
+    only the targets found are shuffled, and they meet the pages seen before bucket by bucket
+    again.  Lost executors read files and do not restart the walk.  Without ``max_depth`` the
+    walk ends when a round finds nothing new.  Page and file budgets are filled in URL order
+    within a round, by positions that many tasks number.
     """
-    edges = cut_lineage(prepare_edges(links, domains, include, exclude, extensions))
+    spark = links.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = spark.table(write_bucketed(prepare_edges(links, domains, include, exclude, extensions), "src", buckets))
     first = start.select(urls.normalize_url(F.col("url")).alias("url")).where("url IS NOT NULL").distinct()
     if max_pages is not None:
         first = _leading(first, ["url"], max_pages)
-    frontier = cut_lineage(first.withColumn("depth", F.lit(0)))
-    pages = frontier
-    taken = frontier.count() if max_pages is not None else 0
+    seen = write_bucketed(first.withColumn("depth", F.lit(0)), "url", buckets, partition="depth")
     for depth in itertools.count() if max_depth is None else range(max_depth):
-        step = (
-            edges.where(~F.col("is_file"))
-            .join(frontier.select(F.col("url").alias("src")), "src", "left_semi")
-            .select(F.col("dst").alias("url"))
-            .distinct()
-            .join(pages.select("url"), "url", "left_anti")
-        )
+        pages = spark.table(seen)
+        step = next_pages(edges, pages, depth)
         if max_pages is not None:
-            step = _leading(step, ["url"], max_pages - taken)
-        frontier = cut_lineage(step.withColumn("depth", F.lit(depth + 1)))
-        size = frontier.count()
-        if size == 0:
+            step = _leading(step, ["url"], max_pages - pages.count())
+        write_bucketed(step.withColumn("depth", F.lit(depth + 1)), "url", buckets, seen, "depth")
+        if spark.table(seen).where(F.col("depth") == depth + 1).isEmpty():
             break
-        taken += size
-        pages = pages.unionByName(frontier)
+    pages = spark.table(seen)
     reached = pages if max_depth is None else pages.where(F.col("depth") < max_depth)
     sources = reached.select(F.col("url").alias("src"), "depth")
     files = (

@@ -63,14 +63,17 @@ def _local_folder() -> str:
     return folder
 
 
-#: Folders written by ``cut_lineage`` and not removed yet.
+#: Folders written by ``cut_lineage`` and ``write_bucketed`` and not removed yet, and the tables over some of them.
 _WRITTEN: list[str] = []
+_TABLES: list[str] = []
 
 
 def remove_intermediate(spark: SparkSession) -> int:
     """Delete what ``cut_lineage`` wrote; call it when results that read it are stored."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     count = 0
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
@@ -89,3 +92,19 @@ def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
     df.write.parquet(path, compression=compression)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_bucketed(df: DataFrame, key: str, buckets: int, table: str | None = None, partition: str | None = None) -> str:
+    """Write ``df`` to a table in the shared folder, bucketed and sorted by ``key``; append if ``table`` is named.
+
+    Joins on the key then read the buckets as they are, without a shuffle.
+    """
+    spark = df.sparkSession
+    name = table or f"siftloom_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    writer = df.repartition(buckets, key).write.format("parquet").mode("append").bucketBy(buckets, key).sortBy(key).option("path", path)
+    (writer.partitionBy(partition) if partition else writer).saveAsTable(name)
+    if table is None:
+        _WRITTEN.append(path)
+        _TABLES.append(name)
+    return name

@@ -114,3 +114,18 @@ def test_rows_without_a_key_match_nothing(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (4, "b")], "n int, k string")
     lookup = spark.createDataFrame([("a", 10), ("", 20)], "k string, v int")
     assert {r.n: r.v for r in SK.join_present(rows, lookup, "k", "n").collect()} == {1: 10, 2: None, 3: None, 4: None}
+
+
+def test_a_round_of_the_walk_shuffles_only_its_targets(spark):
+    links = spark.createDataFrame([(f"https://a.test/{i}", f"https://a.test/{i * 7 % 50}") for i in range(50)], "page_url string, url string")
+    pages, files = FR.expand_frontier(links, spark.createDataFrame([("https://a.test/1",)], "url string"), max_depth=3)
+    assert files.count() == 0 and sorted(r.depth for r in pages.collect()) == [0, 1, 2, 3]
+    edges = spark.table(SE.write_bucketed(FR.prepare_edges(links), "src", 8))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = FR.next_pages(edges, pages, 1)._jdf.queryExecution().sparkPlan().toString()
+        executed = FR.next_pages(edges, pages, 1)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Join") == 2 and executed.count("Exchange hashpartitioning(") == 1

@@ -208,20 +208,18 @@ RICH = """'<html lang="ckb"><head><meta property="og:title" content=" Vol &amp;
  || '<form action="/form"><input type="image" src="/i.png"></form><iframe src="https://v.example.com/e' || page_id || '"></iframe>'
  || '<img src="/p' || page_id || '.jpg" srcset="/p1.jpg 1x, /p2.jpg 2x" data-src="/lazy.png"><div style="background-image:url(' || chr(39) || '/bg' || page_id || '.png' || chr(39) || ')"></div>'
  || '<main><p>First line.</p><p>First line.</p><p>Second line of page ' || page_id || '</p></main></body></html>'"""
-SITE = "'https://site' || (page_id % 50) || '.example.com/dir/page.html'"
-
-
 def rich(spark, d):
-    """Every page's own article after the added markup.
-
-    Articles hold text, headings and emphasis only, so the added links and resources
-    are the expected ones whatever the text around them.
-    """
-    article = F.regexp_extract("html", "(?s)<article.*</article>", 0)
-    return read(spark, d, "pages").select("page_id", F.expr(SITE).alias("url"), F.concat(F.expr(RICH), article).alias("html"))
+    """Every page, whole and under its own URL, with the added markup after it."""
+    return read(spark, d, "pages").select("page_id", "url", F.concat("html", F.expr(RICH)).alias("html"))
 
 
-ORIGIN = "'https://site' || (page_id % 50) || '.example.com'"
+ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
+#: Folder of a page's URL, where references without a slash start.
+FOLDER = f"({ORIGIN} || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^(.*/)', 1) END)"
+#: The page's own anchors; they stand before its first heading.
+ANCHOR = """'(?is)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'"""
+OWN_SQL = f"""own AS (SELECT page_id, {ORIGIN} || h[i] AS url, t[i] AS text, i FROM (SELECT page_id, url, unnest(range(1, len(h) + 1)) AS i, h, t
+  FROM (SELECT page_id, url, regexp_extract_all(html, {ANCHOR}, 1) AS h, regexp_extract_all(html, {ANCHOR}, 2) AS t FROM pages)))"""
 
 
 def _per_page(*values: str) -> str:
@@ -229,7 +227,12 @@ def _per_page(*values: str) -> str:
     return f"SELECT DISTINCT page_id, unnest([{', '.join(values)}]) AS url FROM pages"
 
 
-@query("X1_html_metadata", """SELECT page_id, 'Vol & ' || page_id AS title, 'Writer ' || (page_id % 7) AS author, 'About ' || page_id AS description, 'ckb' AS language FROM pages""")
+def _with_own(*values: str) -> str:
+    """The same, and the page's own links."""
+    return f"WITH {OWN_SQL} {_per_page(*values)} UNION SELECT page_id, url FROM own"
+
+
+@query("X1_html_metadata", """SELECT page_id, 'Vol & ' || page_id AS title, 'Writer ' || (page_id % 7) AS author, 'About ' || page_id AS description, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language FROM pages""")
 def x1(spark, d):
     return rich(spark, d).select("page_id", H.html_metadata(F.col("html")).alias("m")).select("page_id", "m.*")
 
@@ -273,11 +276,12 @@ def x4(spark, d):
     return LK.page_links(read(spark, d, "pages")).select("page_id", "url", "text")
 
 
-@query("X4_link_context", f"""SELECT page_id, url, kind, text, heading, accordion_group, best_name FROM (
+@query("X4_link_context", f"""WITH {OWN_SQL} SELECT page_id, arg_min(url, i) AS url, 'anchor' AS kind, arg_min(text, i) AS text, '' AS heading, '' AS accordion_group, CASE WHEN length(arg_min(text, i)) > 2 THEN arg_min(text, i) ELSE 'Vol & ' || page_id END AS best_name FROM own GROUP BY page_id, own.url
+UNION ALL SELECT page_id, url, kind, text, heading, accordion_group, best_name FROM (
   SELECT page_id, unnest([
     {{'url': {ORIGIN} || '/one.html', 'kind': 'anchor', 'text': 'One ' || page_id, 'heading': 'Top <' || page_id || '>', 'accordion_group': '', 'best_name': 'One ' || page_id}},
     {{'url': {ORIGIN} || '/two' || page_id || '.pdf', 'kind': 'anchor', 'text': '.', 'heading': 'Sub', 'accordion_group': '', 'best_name': 'T2'}},
-    {{'url': {ORIGIN} || '/dir/three.zip?v=' || page_id, 'kind': 'anchor', 'text': 'x', 'heading': 'Sub', 'accordion_group': 'Group A', 'best_name': 'Sub'}},
+    {{'url': {FOLDER} || 'three.zip?v=' || page_id, 'kind': 'anchor', 'text': 'x', 'heading': 'Sub', 'accordion_group': 'Group A', 'best_name': 'Sub'}},
     {{'url': {ORIGIN} || '/data' || page_id, 'kind': 'attribute', 'text': 'Data link', 'heading': '', 'accordion_group': '', 'best_name': 'Data link'}},
     {{'url': {ORIGIN} || '/form', 'kind': 'form', 'text': '', 'heading': '', 'accordion_group': '', 'best_name': ''}},
     {{'url': 'https://v.example.com/e' || page_id, 'kind': 'frame', 'text': '', 'heading': '', 'accordion_group': '', 'best_name': ''}}], recursive := true) FROM pages)""")
@@ -289,7 +293,7 @@ RESOURCES = [
     f"{ORIGIN} || '/m/' || page_id || '.jpg'", f"{ORIGIN} || '/feed' || page_id || '.xml'",
     "'https://cdn.example.com/r' || page_id || '.parquet'", "'https://usrfiles.com/ugd/w' || page_id || '.pdf'",
     "'https://books.example.com/b' || page_id", "'https://usrfiles.com/ugd/j' || page_id || '.pdf'",
-    f"{ORIGIN} || '/dir/rel' || page_id || '.epub'", f"{ORIGIN} || '/i.png'", "'https://v.example.com/e' || page_id",
+    f"{FOLDER} || 'rel' || page_id || '.epub'", f"{ORIGIN} || '/i.png'", "'https://v.example.com/e' || page_id",
     f"{ORIGIN} || '/p' || page_id || '.jpg'", f"{ORIGIN} || '/p1.jpg'", f"{ORIGIN} || '/p2.jpg'", f"{ORIGIN} || '/lazy.png'",
     f"{ORIGIN} || '/bg' || page_id || '.png'",
 ]
@@ -300,16 +304,31 @@ def x5(spark, d):
     return LK.resource_urls(rich(spark, d))
 
 
-@query("X6_srcset_split", _per_page("'/a' || page_id || '.jpg'", "'/b.jpg'"))
+_HREFS = f"h AS (SELECT page_id, regexp_extract_all(html, {ANCHOR}, 1) AS h, regexp_extract_all(html, {ANCHOR}, 2) AS t FROM pages)"
+
+
+def _own_anchors(spark, d):
+    """Targets and texts of a page's anchors as arrays."""
+    pattern = F.lit(r"""(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>""")
+    return read(spark, d, "pages").select("page_id", F.regexp_extract_all("html", pattern, 1).alias("h"), F.regexp_extract_all("html", pattern, 2).alias("t"))
+
+
+@query("X6_srcset_split", f"""WITH {_HREFS}, e AS (SELECT page_id, unnest(h) AS target FROM h), c AS (SELECT page_id, unnest(string_split(target || '.jpg', ',')) AS url FROM e)
+SELECT DISTINCT page_id, trim(url) AS url FROM c WHERE trim(url) <> ''""")
 def x6(spark, d):
-    value = F.expr("' /a' || page_id || '.jpg 1x, data:xx, /b.jpg 640w'")
-    return read(spark, d, "pages").select("page_id", F.explode(H.srcset_urls(value)).alias("url"))
+    # a set of sources made of the page's own targets; a comma in a target parts it
+    value = F.array_join(F.transform("h", lambda h: F.concat(F.lit(" "), h, F.lit(".jpg 2x"))), ",")
+    value = F.concat(value, F.lit(", data:xx"))
+    return _own_anchors(spark, d).select("page_id", F.explode(H.srcset_urls(value)).alias("url")).distinct()
 
 
-@query("X7_style_urls", _per_page("'/bg' || page_id || '.png'", "'x y.png'"))
+@query("X7_style_urls", f"""WITH {_HREFS}, e AS (SELECT page_id, unnest(h) AS target, generate_subscripts(h, 1) AS i FROM h)
+SELECT DISTINCT page_id, CASE WHEN i % 2 = 1 THEN target || '.png' ELSE 'x ' || substring(target, 2) END AS url FROM e""")
 def x7(spark, d):
-    value = F.expr("""'a:url("/bg' || page_id || '.png"); b:URL(x y.png); c:url(data:zz)'""")
-    return read(spark, d, "pages").select("page_id", F.explode(H.style_urls(value)).alias("url"))
+    # the page's own targets, quoted and bare by turns
+    rule = lambda h, i: F.when(i % 2 == 0, F.concat(F.lit('a:url("'), h, F.lit('.png");'))).otherwise(F.concat(F.lit("b:URL(x "), F.substring(h, F.lit(2), F.length(h)), F.lit("); c:url(data:zz);")))
+    value = F.array_join(F.transform("h", rule), " ")
+    return _own_anchors(spark, d).select("page_id", F.explode(H.style_urls(value)).alias("url")).distinct()
 
 
 @query("X8_inline_script_urls", _per_page("'https://cdn.example.com/r' || page_id || '.parquet'"))
@@ -318,16 +337,16 @@ def x8(spark, d):
     return bodies.select("page_id", F.explode(H.inline_urls(F.col("body"))).alias("url")).distinct()
 
 
-@query("X9_json_urls", _per_page("'https://books.example.com/b' || page_id", "'https://usrfiles.com/ugd/j' || page_id || '.pdf'", f"{ORIGIN} || '/dir/rel' || page_id || '.epub'"))
+@query("X9_json_urls", _per_page("'https://books.example.com/b' || page_id", "'https://usrfiles.com/ugd/j' || page_id || '.pdf'", f"{FOLDER} || 'rel' || page_id || '.epub'"))
 def x9(spark, d):
     bodies = rich(spark, d).select("page_id", "url", F.explode(H.script_bodies(F.col("html"))).alias("body"))
     return bodies.select("page_id", F.explode(H.json_urls(F.col("body"), F.col("url"))).alias("url")).distinct()
 
 
-@query("X10_interactive_links", _per_page(
-    f"{ORIGIN} || '/one.html'", f"{ORIGIN} || '/two' || page_id || '.pdf'", f"{ORIGIN} || '/dir/three.zip?v=' || page_id",
+@query("X10_interactive_links", _with_own(
+    f"{ORIGIN} || '/one.html'", f"{ORIGIN} || '/two' || page_id || '.pdf'", f"{FOLDER} || 'three.zip?v=' || page_id",
     f"{ORIGIN} || '/data' || page_id", f"{ORIGIN} || '/btn' || page_id", f"{ORIGIN} || '/click' || page_id",
-    f"{ORIGIN} || '/form'", "'https://v.example.com/e' || page_id"))
+    f"{ORIGIN} || '/form'", "'https://v.example.com/e' || page_id").replace("SELECT page_id, url FROM own", "SELECT page_id, array_to_string([CASE WHEN c > '~' THEN url_encode(c) ELSE c END for c in string_split(url, '')], '') FROM own"))
 def x10(spark, d):
     return LK.interactive_links(rich(spark, d))
 
@@ -388,7 +407,7 @@ def x14b(spark, d):
 
 
 DOWNLOADS_SQL = f"""SELECT page_id, unnest([{{'url': {ORIGIN} || '/two' || page_id || '.pdf', 'title': 'T2', 'accordion_group': '', 'position': 1}},
-  {{'url': {ORIGIN} || '/dir/three.zip?v=' || page_id, 'title': 'Sub', 'accordion_group': 'Group A', 'position': 2}}], recursive := true) FROM pages"""
+  {{'url': {FOLDER} || 'three.zip?v=' || page_id, 'title': 'Sub', 'accordion_group': 'Group A', 'position': 2}}], recursive := true) FROM pages"""
 
 
 @query("X15_A10_page_downloads", DOWNLOADS_SQL)
@@ -415,8 +434,8 @@ def w8(spark, d):
     return LK.nearest_heading(t).select("page_id", "pos", "nearest_heading")
 
 
-@query("M13_link_union", _per_page(*RESOURCES, f"{ORIGIN} || '/one.html'", f"{ORIGIN} || '/two' || page_id || '.pdf'",
-                                   f"{ORIGIN} || '/dir/three.zip?v=' || page_id", f"{ORIGIN} || '/data' || page_id", f"{ORIGIN} || '/form'"))
+@query("M13_link_union", _with_own(*RESOURCES, f"{ORIGIN} || '/one.html'", f"{ORIGIN} || '/two' || page_id || '.pdf'",
+                                   f"{FOLDER} || 'three.zip?v=' || page_id", f"{ORIGIN} || '/data' || page_id", f"{ORIGIN} || '/form'"))
 def m13(spark, d):
     return LK.link_union(rich(spark, d))
 

@@ -12,10 +12,12 @@ from siftloom.functions import files as FN
 from siftloom.functions import html as H
 from siftloom.operators import catalog as CT
 from siftloom.operators import dedup as DD
+from siftloom.operators import indexes as IX
 from siftloom.operators import integrity as IG
 from siftloom.plans import tables as t
 from siftloom.plans.registry import query
 from siftloom.plans.tables import read, sql_pick, with_tables
+from siftloom.session import scratch_folder
 
 
 @query("S1_catalog_scan", with_tables("SELECT source_id, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes FROM files WHERE status = 'UPLOADED' AND created_at >= TIMESTAMP '1998-01-01' GROUP BY source_id", "files"))
@@ -384,6 +386,14 @@ def d12(spark, d):
     return CT.reconcile(t.files(spark, d), _objects(spark, d)).select("key", "catalog_rows", "state")
 
 
+@query("D12_differences", with_tables(f"WITH {_OBJ} SELECT key, CASE WHEN state = 'missing' THEN 'missing' ELSE 'new' END AS state FROM j WHERE state <> 'synced'", "files"))
+def d12b(spark, d):
+    catalog, storage = scratch_folder(spark), scratch_folder(spark)
+    IX.write_key_index(t.files(spark, d), "storage_key", catalog)
+    IX.write_key_index(_objects(spark, d), "key", storage)
+    return IX.reconcile_indexes(spark, catalog, storage)
+
+
 @query("A20_reconciliation_summary", with_tables(f"WITH {_OBJ} SELECT CAST(coalesce(sum(catalog_rows) FILTER (state = 'synced'), 0) + count(*) FILTER (state = 'new') AS BIGINT) AS synced, CAST(coalesce(sum(catalog_rows) FILTER (state = 'missing'), 0) AS BIGINT) AS missing, count(*) FILTER (state = 'new') AS indexed_new, CAST(sum(catalog_rows) + count(*) FILTER (state = 'new') AS BIGINT) AS total_checked FROM j", "files"))
 def a20(spark, d):
     return CT.reconciliation_summary(CT.reconcile(t.files(spark, d), _objects(spark, d)))
@@ -444,6 +454,18 @@ def f3b(spark, d):
     return CT.filter_files(t.files(spark, d), CT.FileFilter(category="images", search="REPORT 12", reference_search=True)).select("file_pk")
 
 
+@query("F3_indexed_search", with_tables("""WITH f AS (SELECT file_pk, CASE WHEN line = 2 AND part % 3 = 0 THEN 'Memo 12' || part ELSE file_name END AS file_name, original_filename, source_url FROM files)
+SELECT file_pk AS pk FROM f WHERE contains(lower(file_name), 'o 12') OR contains(lower(coalesce(original_filename, '')), 'o 12') OR contains(lower(source_url), 'o 12')""", "files"))
+def f3c(spark, d):
+    # all files, then a batch of renamed ones
+    folder, files = scratch_folder(spark), t.files(spark, d)
+    columns = ["file_name", "original_filename", "source_url"]
+    IX.write_postings(files, "file_pk", columns, folder, "0")
+    renamed = files.where("line = 2 AND part % 3 = 0").withColumn("file_name", F.concat(F.lit("Memo 12"), "part"))
+    IX.write_postings(renamed, "file_pk", columns, folder, "1")
+    return IX.search_postings(spark, folder, " O 12")
+
+
 @query("F4_run_filter", with_tables("SELECT run_pk FROM runs WHERE collector_id = 'col-3' AND status = 'COMPLETED' AND approval_status = 'PENDING'", "runs"))
 def f4(spark, d):
     return CT.filter_runs(t.runs(spark, d), collector_id="col-3", status="COMPLETED", approval_status="PENDING").select("run_pk")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftloom.operators import catalog as CT
+from siftloom.operators import indexes as IX
 from siftloom.operators import reports as RP
 from siftloom.plans import tables as t
 from siftloom.plans.registry import query
@@ -112,6 +113,21 @@ def l3(spark, d):
     return RP.top_counts(RP.extension_counts(t.files(spark, d)), 4)
 
 
+_RUN_VALUES = "v AS (SELECT source_id, extension AS value FROM files WHERE extension IS NOT NULL)"
+
+
+# few distinct values: the merged sketches are exact
+@query("A17_L3_merged_counts", with_tables(f"""WITH {_RUN_VALUES}, c AS (SELECT source_id, value, count(*) AS n FROM v GROUP BY ALL),
+s AS (SELECT source_id, CAST(sum(n) AS BIGINT) AS n, count(*) AS d, list(n ORDER BY n DESC)[1:3] AS top FROM c GROUP BY source_id)
+SELECT source_id, n, d AS distinct_values, array_to_string(top, ',') AS top_counts FROM s""", "files"))
+def a17c(spark, d):
+    by_run = t.files(spark, d).withColumn("unit", F.struct("source_id", "run_pk"))
+    sketches = IX.sketch_counts(by_run, "unit", F.col("extension")).select("unit.source_id", "n", "top", "distinct")
+    merged = IX.merged_counts(sketches, ["source_id"], 3)
+    counts = F.transform("top", lambda x: x["count"].cast("string"))
+    return merged.select("source_id", "n", F.col("distinct").alias("distinct_values"), F.array_join(counts, ",").alias("top_counts"))
+
+
 def _timeline(spark, d):
     counters = RP.run_counters(t.run_events(spark, d)).withColumnRenamed("run_id", "run_pk").drop("pages_crawled")
     runs = t.runs(spark, d).join(counters, "run_pk", "left").na.fill(0)

@@ -254,10 +254,12 @@ def x31b(spark, d):
     return _topics(t.scripted(spark, d), rules.TOPIC_KEYWORDS)
 
 
-@query("X31_keywords_found", "SELECT doc_id, array_to_string([w for w in ['the', 'tion', 'ing', 'and'] if contains(text, w)], ',') AS found FROM documents")
+@query("X31_keywords_found", " UNION ALL ".join(
+    f"SELECT doc_id, '{name}' AS category, array_to_string([w for w in {[*first, *second]} if contains(text, w)], ',') AS found FROM documents"
+    for name, (first, second) in LATIN_TOPICS.items()))
 def x31c(spark, d):
-    s = read(spark, d, "documents").select("doc_id", T.topic_scores(F.col("text"), LATIN_TOPICS).alias("s"))
-    return s.select("doc_id", F.array_join(F.col("s")[0]["found"], ",").alias("found"))
+    s = read(spark, d, "documents").select("doc_id", F.explode(T.topic_scores(F.col("text"), LATIN_TOPICS)).alias("s"))
+    return s.select("doc_id", "s.category", F.array_join("s.found", ",").alias("found"))
 
 
 def _structured(spark, d):

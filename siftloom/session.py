@@ -63,7 +63,7 @@ def _local_folder() -> str:
     return folder
 
 
-#: Folders written by ``cut_lineage`` and ``write_bucketed`` and not removed yet, and the tables over some of them.
+#: Folders of ``scratch_folder``, ``cut_lineage`` and ``write_bucketed`` not removed yet, and the tables over some of them.
 _WRITTEN: list[str] = []
 _TABLES: list[str] = []
 
@@ -81,6 +81,13 @@ def remove_intermediate(spark: SparkSession) -> int:
     return count
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted with the other intermediate data."""
+    path = f"{shared_folder(spark)}/siftloom-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 

@@ -90,7 +90,7 @@ st AS (SELECT run_id, 0 AS n, 'PENDING' AS status FROM (SELECT DISTINCT run_id F
 
 @query("W9_T2_run_states", with_tables(f"WITH RECURSIVE {_FOLD} SELECT run_id, status, n AS moves FROM st QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC) = 1", "status_events").replace("WITH status_events", "WITH RECURSIVE status_events").replace(", RECURSIVE ", ", "))
 def w9(spark, d):
-    return RN.final_status(t.status_events(spark, d), block=4)
+    return RN.final_status(t.status_events(spark, d))
 
 
 @query("W9_one_run", with_tables(f"WITH RECURSIVE {_FOLD.replace('PARTITION BY run_id ', '').replace('SELECT run_id, move', "SELECT 'all' AS run_id, move")} SELECT run_id, status, n AS moves FROM st ORDER BY n DESC LIMIT 1", "status_events").replace("WITH status_events", "WITH RECURSIVE status_events").replace(", RECURSIVE ", ", "))

@@ -19,6 +19,7 @@ from siftloom.operators.conflicts import first_claims
 from siftloom.operators.dedup import file_keys
 from siftloom.operators.links import usable_pages, web_page_records
 from siftloom.operators.reports import run_counters
+from siftloom.operators.skew import attach_per_key, with_positions_per_key
 from siftloom.session import cut_lineage
 
 #: states a progress report may not overwrite
@@ -76,38 +77,41 @@ def final_status(
 ) -> DataFrame:
     """(run_id, status, moves) after folding every move of a run in event order.
 
-    A move is a map from states to states, and maps compose, so a run is folded in
-    blocks of at most ``block`` moves: blocks in parallel, then blocks of blocks,
-    until one is left.  The longest run is never folded in one group.
+    A move is a map from states to states.  Some moves lead to one state from every other
+    (a worker's COMPLETED), so nothing before a run's last such move matters: it is found by
+    a map-side maximum, and only the moves from there on are written and composed.  Runs
+    that still have more than ``block`` moves are composed in blocks, then blocks of blocks,
+    so the longest run is never folded in one group.
     """
-    numbered = _number_moves(events.select("run_id", "event_id", "ts", _transition(F.col("move"), protected).alias("f")))
-    level = numbered.groupBy("run_id", F.floor((F.col("n") - 1) / block).alias("at")).agg(
-        _compose("n", "f").alias("f"), F.count("*").alias("moves")
-    )
-    level = cut_lineage(level)
-    # each round divides the longest run by ``block``, until every run is one row
-    while (level.agg(F.max("at").alias("last")).first().last or 0) > 0:
-        level = cut_lineage(
-            level.groupBy("run_id", F.floor(F.col("at") / block).alias("at")).agg(
-                _compose("at", "f").alias("f"), F.sum("moves").alias("moves")
-            )
-        )
+    moves = events.select("run_id", "event_id", "ts", _transition(F.col("move"), protected).alias("f"))
+    at = F.struct("ts", "event_id")
+    constant = F.col("f") == F.repeat(F.substring("f", 1, 1), F.lit(len(_STATES)))
+    runs = moves.groupBy("run_id").agg(F.max(F.when(constant, at)).alias("last"), F.count("*").alias("_n"))
+    since = attach_per_key(moves, runs, ["run_id"], ["event_id"]).where(F.col("last").isNull() | (at >= F.col("last")))
+    since = cut_lineage(since.select("run_id", "ts", "event_id", "f"))
+    long = since.groupBy("run_id").agg(F.count("*").alias("n")).where(F.col("n") > block).select("run_id")
+    folded = since.join(long, "run_id", "left_anti").groupBy("run_id").agg(_compose(at, "f").alias("f"))
+    if not long.isEmpty():
+        folded = folded.unionByName(_folded_in_blocks(since.join(long, "run_id", "left_semi"), block))
     first = _STATES.index(start) + 1
     state = F.substring("f", first, 1).cast("int") + 1
-    return level.select(
-        "run_id", F.element_at(F.array(*[F.lit(s) for s in _STATES]), state).alias("status"), "moves"
-    )
-
+    named = folded.select("run_id", F.element_at(F.array(*[F.lit(s) for s in _STATES]), state).alias("status"))
+    return named.join(runs.select("run_id", F.col("_n").alias("moves")), "run_id")
 
-def _number_moves(moves: DataFrame) -> DataFrame:
-    from siftloom.operators.skew import with_positions_per_key
 
-    return with_positions_per_key(moves, ["run_id"], [F.col("ts"), F.col("event_id")], "n")
+def _folded_in_blocks(moves: DataFrame, block: int) -> DataFrame:
+    """(run_id, f): the composition of each run's moves, block by block."""
+    numbered = with_positions_per_key(moves, ["run_id"], [F.col("ts"), F.col("event_id")], "n")
+    level = cut_lineage(numbered.groupBy("run_id", F.floor((F.col("n") - 1) / block).alias("at")).agg(_compose(F.col("n"), "f").alias("f")))
+    # each round divides the longest run by ``block``, until every run is one row
+    while (level.agg(F.max("at").alias("last")).first().last or 0) > 0:
+        level = cut_lineage(level.groupBy("run_id", F.floor(F.col("at") / block).alias("at")).agg(_compose(F.col("at"), "f").alias("f")))
+    return level.select("run_id", "f")
 
 
-def _compose(order: str, name: str) -> Column:
+def _compose(order: Column, name: str) -> Column:
     """Composition of the maps of a group, first to last."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(name).alias("f"))))
+    ordered = F.array_sort(F.collect_list(F.struct(order.alias("at"), F.col(name).alias("f"))))
     identity = "".join(str(i) for i in range(len(_STATES)))
 
     def then(acc: Column, step: Column) -> Column:
@@ -122,7 +126,12 @@ def _compose(order: str, name: str) -> Column:
 
 
 class RunStateMachine(StatefulProcessor):
-    """Keeps the status of one run; emits one row per move, refused moves included."""
+    """Keeps the status of one run; emits one row per move, refused moves included.
+
+    Moves wait in a list until the watermark has passed them and are then made in event
+    order, so the outcome does not depend on how the moves fell into batches.  What waits is
+    a run's moves within the watermark's delay; they leave in chunks.
+    """
 
     #: answers of one yielded frame
     chunk = 50_000
@@ -132,22 +141,40 @@ class RunStateMachine(StatefulProcessor):
         self.start = start
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.status = handle.getValueState("status", "status string")
+        self.waiting = handle.getListState("waiting", "ts long, event_id long, move string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = set(self.handle.listTimers())
+        for frame in rows:
+            # the last microsecond counts: a timer fires once the watermark is past the moves of its millisecond
+            micros = frame["ts"].astype("datetime64[us]").astype("int64")
+            self.waiting.appendList(list(zip(micros.tolist(), frame["event_id"].astype(int).tolist(), frame["move"].tolist())))
+            for due in set((micros // 1000 + 1).tolist()) - known:
+                self.handle.registerTimer(due)
+                known.add(due)
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get())
+        due = [m for m in waiting if m[0] < until]
+        rest = waiting[len(due):]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
         current = self.status.get()[0] if self.status.exists() else self.start
-        # the order inside the batch is by time: only ids, times and moves of a run are
-        # held to be sorted, the answers leave in chunks
-        batch = pd.concat([frame[["ts", "event_id", "move"]] for frame in rows]).sort_values(["ts", "event_id"])
-        for start in range(0, len(batch), self.chunk):
+        for at in range(0, len(due), self.chunk):
             out = []
-            part = batch.iloc[start: start + self.chunk]
-            for event_id, move in zip(part["event_id"], part["move"]):
+            for _, event_id, move in due[at: at + self.chunk]:
                 before = current
                 current, accepted = next_status(current, move, self.protected)
-                out.append((key[0], int(event_id), move, before, current, accepted))
+                out.append((key[0], event_id, move, before, current, accepted))
             yield pd.DataFrame(out, columns=["run_id", "event_id", "move", "before", "status", "accepted"])
-        self.status.update((current,))
+        if due:
+            self.status.update((current,))
 
     def close(self) -> None:
         pass
@@ -156,11 +183,15 @@ class RunStateMachine(StatefulProcessor):
 STATE_SCHEMA = "run_id string, event_id long, move string, before string, status string, accepted boolean"
 
 
-def run_states(events: DataFrame, protected: Sequence[str] = PROTECTED) -> DataFrame:
-    """Stream of state changes.  Needs the RocksDB state store of the session."""
-    return events.groupBy("run_id").transformWithStateInPandas(
+def run_states(events: DataFrame, delay: str = "1 hour", protected: Sequence[str] = PROTECTED) -> DataFrame:
+    """Stream of state changes of ``events`` (run_id, event_id, ts, move), each when the watermark passes it.
+
+    Moves may arrive out of order by up to ``delay``; later ones are dropped.  Needs the
+    RocksDB state store of the session.
+    """
+    return events.withWatermark("ts", delay).groupBy("run_id").transformWithStateInPandas(
         statefulProcessor=RunStateMachine(protected), outputStructType=STATE_SCHEMA,
-        outputMode="Update", timeMode="None",
+        outputMode="Append", timeMode="EventTime",
     )
 
 

@@ -4,6 +4,7 @@ import os
 import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftloom.functions.media import stt_records
@@ -165,24 +166,31 @@ def test_counters_stream_equals_batch(spark, folder):
     assert latest == {r.run_id: tuple(r) for r in RP.run_counters(events).collect()}
 
 
-def test_state_stream_equals_batch(spark, folder):
-    moves = ["RUNNING", "PAUSED", "RESUME", "CANCEL_REQUESTED", "COMPLETED", "RUNNING", "PAUSED"]
-    rows = [(i, f"r{i % 2}", i, moves[i % 7]) for i in range(30)]
-    df = spark.createDataFrame(rows, "event_id long, run_id string, ts long, move string")
-    # batches arrive in event order: one file per ten events
+@pytest.mark.parametrize("split", ["event_id % 3", "event_id DIV 20", "2 - event_id DIV 20", "0"])
+def test_run_states_do_not_depend_on_batches(spark, folder, split):
+    """Moves in any order and any batches end like the batch twin, with the same answers in event order."""
+    draw = random.Random(9)
+    moves = ["RUNNING", "PAUSED", "RESUME", "CANCEL_REQUESTED", "COMPLETED", "FORCE_CANCEL"]
+    rows = [(f"r{i % 4}", i, i // 3 * 700 + i % 2, draw.choice(moves)) for i in range(60)]
+    df = spark.createDataFrame(rows, "run_id string, event_id long, ms long, move string").selectExpr(
+        "run_id", "event_id", "timestamp_millis(1700000000000 + ms) AS ts", "move")
     for part in range(3):
-        df.where(f"event_id DIV 10 = {part}").coalesce(1).write.mode("append").parquet(folder + "/s")
+        df.where(f"{split} = {part}").coalesce(1).write.mode("append").parquet(folder + "/s")
+    # a later move of another run takes the watermark past all of them
+    spark.sql("SELECT 'z' AS run_id, 99L AS event_id, timestamp_millis(1800000000000) AS ts, 'RUNNING' AS move").coalesce(1).write.mode("append").parquet(folder + "/s")
     seen = []
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/s")
-    q = (RN.run_states(stream).writeStream.outputMode("update").option("checkpointLocation", folder + "/cp")
+    q = (RN.run_states(stream).writeStream.outputMode("append").option("checkpointLocation", folder + "/cp")
          .foreachBatch(lambda b, _: seen.extend(b.collect())).start())
     q.processAllAvailable()
     q.stop()
-    last = {}
-    for r in sorted(seen, key=lambda r: r.event_id):
-        last[r.run_id] = r.status
-    assert len(seen) == 30 and last == {r.run_id: r.status for r in RN.final_status(df).collect()}
-    assert any(not r.accepted for r in seen)
+    want, current = [], {}
+    for run, event_id, _, move in sorted(rows, key=lambda r: (r[2], r[1])):
+        before = current.get(run, "PENDING")
+        current[run], accepted = RN.next_status(before, move)
+        want.append((run, event_id, move, before, current[run], accepted))
+    assert sorted(map(tuple, seen)) == sorted(want)
+    assert current == {r.run_id: r.status for r in RN.final_status(df).collect()}
 
 
 def test_known_files_are_skipped(spark, folder):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftloom import rules
 from siftloom.functions import files as FN
 from siftloom.functions import urls
-from siftloom.operators.skew import attach_dimension, top_per_group
+from siftloom.operators.skew import attach_dimension, attach_per_key, top_per_group
 
 # --- filters -----------------------------------------------------------------
 
@@ -197,17 +197,12 @@ def latest_errors(errors: DataFrame, k: int = 50) -> DataFrame:
 
 
 def run_list(runs: DataFrame, collectors: DataFrame, sources: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """Runs with the names of their collector, source and people.
-
-    Dimensions join by key; whether one is broadcast is decided from its size.
-    """
-    out = runs.join(
-        collectors.select("collector_id", F.col("name").alias("collector_name"), F.col("type").alias("collector_type")),
-        "collector_id", "left",
-    ).join(
-        sources.select("source_id", F.col("name").alias("source_name"), F.col("slug").alias("source_slug")),
-        "source_id", "left",
-    )
+    """Runs with the names of their collector, source and people; a collector or source
+    with very many runs is met by broadcast."""
+    named = collectors.select("collector_id", F.col("name").alias("collector_name"), F.col("type").alias("collector_type"))
+    out = attach_dimension(runs, named, "collector_id", "run_pk")
+    named = sources.select("source_id", F.col("name").alias("source_name"), F.col("slug").alias("source_slug"))
+    out = attach_dimension(out, named, "source_id", "run_pk")
     if users is not None:
         for role in ("created_by", "approved_by"):
             people = users.select(F.col("user_id").alias(role), F.col("name").alias(f"{role}_name"))
@@ -252,12 +247,14 @@ def key_map(table: DataFrame, pk: str, *names: str) -> DataFrame:
 
 
 def resolve_keys(rows: DataFrame, column: str, table: DataFrame, pk: str, *names: str) -> DataFrame:
-    """Rows with ``pk`` found by any of the keys of ``table``, whatever the case."""
-    return (
-        rows.withColumn("lookup", F.lower(F.trim(column)))
-        .join(key_map(table, pk, *names), "lookup", "left")
-        .drop("lookup")
-    )
+    """Rows with ``pk`` found by any of the keys of ``table``, whatever the case.
+
+    A key that very many rows ask for is met by broadcast.
+    """
+    asked = rows.withColumn("lookup", F.lower(F.trim(column)))
+    counts = asked.groupBy("lookup").agg(F.count("*").alias("_n"))
+    spread = [c for c, kind in rows.dtypes if not kind.startswith("map")]
+    return attach_per_key(asked, key_map(table, pk, *names).join(counts, "lookup"), ["lookup"], spread).drop("lookup")
 
 
 def with_category(files: DataFrame, policy: str = "worker") -> DataFrame:

@@ -46,7 +46,10 @@ def filter_allowed_hosts(
     ok = hosts_matching(hosts, domains)
     if cdns is not None:
         ok = ok.union(hosts_matching(hosts, cdns, both_ways=False)).distinct()
-    return hosted.join(ok, "host", "left_semi").select(*rows.columns)
+    counts = hosted.groupBy("host").agg(F.count("*").alias("_n"))
+    listed = ok.join(counts, "host").withColumn("_ok", F.lit(True))
+    # a host with very many rows is met by broadcast
+    return attach_per_key(hosted, listed, ["host"], [url]).where("_ok").select(*rows.columns)
 
 
 def matching_patterns(rows: DataFrame, patterns: DataFrame, url: str = "url") -> DataFrame:

@@ -107,11 +107,6 @@ def run_manifest(events: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def manifest_json(manifests: DataFrame) -> DataFrame:
-    """(run_id, value): manifests as JSON text, NULL members left out."""
-    return manifests.select("run_id", F.to_json(F.struct(*manifests.columns)).alias("value"))
-
-
 def errors_by_code(errors: DataFrame) -> DataFrame:
     return errors.groupBy("run_pk", "error_code").agg(F.count("*").alias("errors"))
 

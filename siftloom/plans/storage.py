@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from siftloom import rules
@@ -15,7 +13,8 @@ from siftloom.plans import tables as t
 from siftloom.plans.registry import query
 from siftloom.plans.tables import read, with_tables
 from siftloom.plans.web import QUALITY_SQL
-from siftloom.session import shared_folder
+from siftloom.session import scratch_folder
+from siftloom.sources import schemas
 from siftloom.sources import sinks as SK
 from siftloom.sources import storage as ST
 
@@ -130,13 +129,51 @@ def t3(spark, d):
 
 @query("S10_S11_written_lines", with_tables("SELECT run_pk AS run, source_id AS category, count(*) AS lines, sum(file_size) AS bytes FROM text_files GROUP BY ALL", "text_files"))
 def s10(spark, d):
-    out = f"{shared_folder(spark)}/siftloom-sink-{uuid.uuid4().hex}"
+    out = scratch_folder(spark)
     files = t.text_files(spark, d).select("run_pk", "file_pk", "file_size", F.col("source_id").alias("category"))
     SK.write_metadata(files, out)
     back = spark.read.schema("run string, category string, file_pk string, file_size long").json(f"{out}/categories")
     return back.groupBy("run", "category").agg(F.count("*").alias("lines"), F.sum("file_size").alias("bytes"))
 
 
+@query("S1_catalog_read", with_tables("SELECT source_id, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes, count(DISTINCT extension) AS kinds FROM files WHERE status = 'FAILED' GROUP BY source_id", "files"))
+def s1_read(spark, d):
+    root, files = scratch_folder(spark), t.files(spark, d)
+    files.select(*[c for c in files.columns if c in schemas.FILES]).write.parquet(f"{root}/files")
+    back = ST.read_catalog(spark, root, "files").where("status = 'FAILED'")
+    return back.groupBy("source_id").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.countDistinct("extension").alias("kinds"))
+
+
+@query("S4_storage_tree", """SELECT 'source=' || source || '/part=' || (doc_id % 4) AS folder, 'content' AS kind, CAST(sum(strlen(text) + 1) AS BIGINT) AS size,
+  sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY source, doc_id % 4""")
+def s4(spark, d):
+    out = scratch_folder(spark)
+    docs = read(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 4).alias("part"), F.col("text").alias("value"))
+    docs.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").drop("doc_id").write.partitionBy("source", "part").text(out)
+    found = ST.read_storage(spark, f"{out}").where(F.col("key").endswith(".txt"))
+    return found.select(F.regexp_extract("key", "(source=[^/]*/part=[^/]*)/", 1).alias("folder"), "kind", "size", "sha256")
+
+
+@query("S12_written_records", f"WITH {QUALITY_SQL} SELECT regexp_extract(regexp_extract(url, '://([^/?#:]+)', 1), '([^.]+\\.[^.]+)$', 1) AS domain, count(*) AS records, CAST(sum(words) AS BIGINT) AS words FROM q GROUP BY ALL")
+def s12(spark, d):
+    out = scratch_folder(spark)
+    records = SK.record_keys(LK.web_page_records(read(spark, d, "pages")), F.lit("00_raw/web/run"))
+    SK.write_records(records.select("title", "source_domain", "word_count", "record_sha", "storage_key"), out)
+    back = spark.read.schema("title string, word_count long, record_sha string, storage_key string, domain string").json(f"{out}/data/web_content")
+    sound = F.col("storage_key").startswith("00_raw/web/run/data/web_content/") & F.contains("storage_key", F.substring("record_sha", 1, 8))
+    return back.where(sound).groupBy("domain").agg(F.count("*").alias("records"), F.sum("word_count").alias("words"))
+
+
+@query("S13_speech_datasets", with_tables("""SELECT medium_id, count(*) AS segments, md5('Source: ' || min(title) || chr(10) || 'URL: ' || min(source_url) || chr(10) || chr(10)
+  || string_agg('[' || printf('%.1f', start_s) || 's - ' || printf('%.1f', end_s) || 's] ' || coalesce(speaker, 'Speaker') || ': ' || transcript, chr(10) ORDER BY chunk_index) || chr(10)) AS transcript FROM segments GROUP BY medium_id""", "segments"))
+def s13(spark, d):
+    out = scratch_folder(spark)
+    SK.write_speech_datasets(t.segments(spark, d), out)
+    stt = spark.read.schema("chunk_id string, medium_id string").json(f"{out}/stt").groupBy("medium_id").agg(F.count("*").alias("segments"))
+    text = spark.read.text(f"{out}/transcript", wholetext=True)
+    return stt.join(text.select("medium_id", F.md5("value").alias("transcript")), "medium_id")
+
+
 @query("T4_ingested_pages", f"WITH {QUALITY_SQL} SELECT page_id, regexp_extract(pages.url, '^([^#]*)', 1) AS canonical_url FROM q JOIN pages USING (page_id) WHERE reason = 'accepted'")
 def t4(spark, d):
     return LK.usable_pages(LK.web_page_records(read(spark, d, "pages"))).select("page_id", "canonical_url")

@@ -76,11 +76,16 @@ def write_records(records: DataFrame, out: str, fmt: str = "json") -> None:
 
 
 def write_speech_datasets(segments: DataFrame, out: str) -> None:
-    """STT and TTS JSON lines and the transcript text of every medium."""
+    """STT and TTS JSON lines and the transcript text of every medium.
+
+    The folder of a medium's transcript holds its parts in one sorted file, which is cut
+    after ``FILE_ROWS`` parts: read in the order of their names, the files are the text.
+    """
     stt = media.stt_records(segments)
     _by_folder(stt.drop("chunk_index"), "medium_id").json(f"{out}/stt")
     media.tts_records(stt).write.mode("overwrite").json(f"{out}/tts")
     parts = media.transcript_parts(stt)
     header = F.concat(F.lit("Source: "), "title", F.lit("\nURL: "), "source_url", F.lit("\n\n"))
     text = parts.withColumn("value", F.when(F.col("part_no") == 0, F.concat(header, "text")).otherwise(F.col("text")))
-    _by_folder(text.select("value", "medium_id", "part_no"), "medium_id", "part_no").text(f"{out}/transcript")
+    placed = text.repartition("medium_id").sortWithinPartitions("medium_id", "part_no").select("value", "medium_id")
+    placed.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("medium_id").text(f"{out}/transcript")

@@ -6,6 +6,7 @@ import io
 import os
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -170,17 +171,21 @@ def _docx_text(archive: zipfile.ZipFile) -> tuple[str, str | None]:
     return text, title
 
 
-def _read_archive(extension: str, content: bytes, chars: int | None) -> tuple[str | None, str | None]:
+def _read_archive(extension: str, content: bytes, chars: int | None) -> tuple[str | None, str | None, str | None]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             text, title = (_epub_text if extension == ".epub" else _docx_text)(archive)
-    except Exception:  # damaged or foreign archives yield nothing, as any unreadable file
-        return None, None
-    return text[:chars], (title or "").strip() or None
+    except (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError) as e:
+        return None, None, f"BAD_ARCHIVE: {e}"
+    except (ElementTree.ParseError, KeyError, AttributeError) as e:
+        return None, None, f"BAD_CONTENT: {e}"
+    except (NotImplementedError, RuntimeError) as e:  # an unknown compression, or encrypted
+        return None, None, f"UNSUPPORTED_ARCHIVE: {e}"
+    return text[:chars], (title or "").strip() or None, None
 
 
 def archive_texts(objects: DataFrame, chars: int | None = None) -> DataFrame:
-    """(key, text, title) of EPUB and DOCX objects (key, content).
+    """(key, text, title, error) of EPUB and DOCX objects (key, content).
 
     Unpacking is a codec step that no column function covers; it runs per Arrow
     batch inside the scan's own tasks, on these file types only.
@@ -188,21 +193,21 @@ def archive_texts(objects: DataFrame, chars: int | None = None) -> DataFrame:
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = [_read_archive(e, c, chars) for e, c in zip(batch["ext"], batch["content"])]
-            yield pd.DataFrame(
-                {"key": batch["key"], "text": [p[0] for p in pairs], "title": [p[1] for p in pairs]}
-            )
+            found = [_read_archive(e, c, chars) for e, c in zip(batch["ext"], batch["content"])]
+            columns = {name: [f[i] for f in found] for i, name in enumerate(("text", "title", "error"))}
+            yield pd.DataFrame({"key": batch["key"], **columns}, dtype=object)
 
     ext = F.lower(urls.extension_of(F.col("key")))
     wanted = objects.select("key", "content", ext.alias("ext")).where(F.col("ext").isin(".epub", ".docx"))
-    return wanted.mapInPandas(unpack, "key string, text string, title string")
+    return wanted.mapInPandas(unpack, "key string, text string, title string, error string")
 
 
 def extract_texts(objects: DataFrame, chars: int | None = None) -> DataFrame:
-    """(key, text, title) of text files, EPUBs and DOCX files."""
+    """(key, text, title, error) of text files, EPUBs and DOCX files."""
     ext = F.lower(urls.extension_of(F.col("key")))
     plain = objects.where(ext.isin(TEXT_EXTENSIONS)).select(
-        "key", plain_text(F.col("content"), chars).alias("text"), F.lit(None).cast("string").alias("title")
+        "key", plain_text(F.col("content"), chars).alias("text"), F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast("string").alias("error"),
     )
     return plain.unionByName(archive_texts(objects, chars))
 

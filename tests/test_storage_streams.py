@@ -65,7 +65,9 @@ def test_storage_scan_and_texts(spark, folder):
     objects = tree(spark, folder)
     kinds = {r.key.rsplit("/", 1)[1]: (r.kind, r.size) for r in objects.collect()}
     assert kinds["manifest.json"][0] == "manifest" and kinds["metadata.jsonl"][0] == "metadata" and kinds["t.txt"] == ("content", 10)
-    texts = {r.key.rsplit("/", 1)[1]: (r.text, r.title) for r in ST.extract_texts(objects.where("kind = 'content'")).collect()}
+    found = ST.extract_texts(objects.where("kind = 'content'")).collect()
+    texts = {r.key.rsplit("/", 1)[1]: (r.text, r.title) for r in found}
+    assert {r.key.rsplit("/", 1)[1]: r.error.split(":")[0] for r in found if r.error} == {"bad.docx": "BAD_ARCHIVE"}
     assert texts["t.txt"][0] == "café  ok" and texts["b.epub"] == (" Chapter  one  ".replace("  one  ", "  one  "), "My Book")
     assert texts["d.docx"] == ("Hello there", "Doc") and texts["bad.docx"] == (None, None)
 

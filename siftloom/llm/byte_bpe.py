@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,8 +54,9 @@ class ByteBpe:
         vocab = {spelled[token]: rank for token, rank in ranks.items()}
         self.library = Tokenizer(models.BPE(vocab, merges, ignore_merges=True))
         self.spell = as_text
-        by_id = {rank: token for token, rank in ranks.items()}
-        tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        # decoding goes back from the library's tokens through the byte table
+        back = {c: b for b, c in enumerate(as_text)}
+        tokens = [bytes([back[c] for c in self.library.id_to_token(i) or ""]) for i in range(max(ranks.values()) + 1)]
         self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.first = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
@@ -131,28 +133,32 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
 
 
 def digests(df: DataFrame, ranks_path: str, key: str, text: str = "text") -> DataFrame:
-    """Per row: number of ids, digest of the decimal ids, and of the bytes decoded from the ids.
+    """Per row: number of ids, digests of the decimal ids and of the bytes decoded from them, CRC-32 of their offsets.
 
-    The ids of a step are encoded, hashed and decoded where they are, and not sent on.
+    The ids of a step are encoded, hashed and decoded where they are, and not sent on.  The
+    CRC is over all starts, then all ends, as little-endian 32-bit integers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path)
         for whole in batches:
             for batch in steps(whole, text, TOKEN_BYTES):
-                ids, first = bpe.encode(*text_buffers(batch.column(text)))
+                data, offsets = text_buffers(batch.column(text))
+                ids, first = bpe.encode(data, offsets)
+                starts, ends = (x.astype("<i4") for x in bpe.spans(data, offsets, ids, first))
                 back = bpe.decode(ids)
                 edges = np.concatenate([[0], np.cumsum(bpe.size[ids])])[first]
                 written = bpe.decimal[ids]
-                rows = range(len(first) - 1)
+                cuts = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_pydict({
                     key: batch.column(key), "n_tokens": pa.array(np.diff(first)),
-                    "ids_sha256": pa.array([hashlib.sha256(" ".join(written[first[i]: first[i + 1]].tolist()).encode()).hexdigest() for i in rows], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(back[edges[i]: edges[i + 1]]).hexdigest() for i in rows], pa.string()),
+                    "ids_sha256": pa.array([hashlib.sha256(" ".join(written[a:z].tolist()).encode()).hexdigest() for a, z in cuts], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(back[edges[i]: edges[i + 1]]).hexdigest() for i in range(len(cuts))], pa.string()),
+                    "offsets_crc32": pa.array([zlib.crc32(ends[a:z].tobytes(), zlib.crc32(starts[a:z].tobytes())) for a, z in cuts], pa.int64()),
                 })
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_crc32 long")
 
 
 @query("op3_byte_bpe")

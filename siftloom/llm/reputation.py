@@ -127,22 +127,22 @@ _NUMBER = r"/([0-9]{1,18})(?:\.html|/)?$"
 _SQL = f"""WITH p AS (SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS r FROM pages),
 h AS (SELECT page_id, coalesce(translate(regexp_extract(r, '^([^/?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}'), '') AS host,
   coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
-o AS (SELECT host, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
-  FROM h JOIN labels ON labels.doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(\\.html|/)?$', 1), '') AS BIGINT)
-  WHERE quality IS NOT NULL AND toxic IS NOT NULL AND host <> '' GROUP BY host),
-hs AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM o),
+g AS (SELECT host, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(\\.html|/)?$', 1), '') AS BIGINT) AS number FROM h WHERE host <> ''),
+o AS (SELECT host, count(doc_id) AS n, coalesce(sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN doc_id IS NOT NULL THEN 0 END), 0) AS bad
+  FROM g LEFT JOIN (SELECT * FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL) ON doc_id = number GROUP BY host),
+hs AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM o),
 ds AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hs GROUP BY ALL),
 ss AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM ds GROUP BY ALL),
-s1 AS (SELECT *, (SELECT coalesce(sum(bad) / sum(n), {DEFAULT_RATE}) FROM ss) AS m, (SELECT sum(n) FROM ss) AS w FROM ss),
-f1 AS (SELECT (sum(n * (bad / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * n) - sum(m * (1 - m)), 0) AS v FROM s1),
+s1 AS (SELECT *, (SELECT coalesce(sum(bad) / nullif(sum(n), 0), {DEFAULT_RATE}) FROM ss) AS m, (SELECT nullif(sum(n), 0) FROM ss) AS w FROM ss),
+f1 AS (SELECT (sum(n * (bad / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * n) - sum(m * (1 - m)), 0) AS v FROM s1 WHERE n > 0),
 k1 AS (SELECT coalesce(CASE WHEN v > 0 THEN least(greatest(1 / v - 1, {STRENGTH[0]}), {STRENGTH[1]}) END, {STRENGTH[1]}) AS s FROM f1),
 r1 AS (SELECT suffix, (bad + least(s, w) * m) / (n + least(s, w)) AS m, n + least(s, w) AS w FROM s1, k1),
 s2 AS (SELECT ds.*, m, w FROM ds JOIN r1 USING (suffix)),
-f2 AS (SELECT (sum(n * (bad / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * n) - sum(m * (1 - m)), 0) AS v FROM s2),
+f2 AS (SELECT (sum(n * (bad / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * n) - sum(m * (1 - m)), 0) AS v FROM s2 WHERE n > 0),
 k2 AS (SELECT coalesce(CASE WHEN v > 0 THEN least(greatest(1 / v - 1, {STRENGTH[0]}), {STRENGTH[1]}) END, {STRENGTH[1]}) AS s FROM f2),
 r2 AS (SELECT domain, (bad + least(s, w) * m) / (n + least(s, w)) AS m, n + least(s, w) AS w FROM s2, k2),
 s3 AS (SELECT hs.*, m, w FROM hs JOIN r2 USING (domain)),
-f3 AS (SELECT (sum(n * (bad / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * n) - sum(m * (1 - m)), 0) AS v FROM s3),
+f3 AS (SELECT (sum(n * (bad / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * n) - sum(m * (1 - m)), 0) AS v FROM s3 WHERE n > 0),
 k3 AS (SELECT coalesce(CASE WHEN v > 0 THEN least(greatest(1 / v - 1, {STRENGTH[0]}), {STRENGTH[1]}) END, {STRENGTH[1]}) AS s FROM f3),
 r3 AS (SELECT host, (bad + least(s, w) * m) / (n + least(s, w)) AS rate, n + least(s, w) AS w FROM s3, k3),
 b AS (SELECT host AS bad_host FROM r3 WHERE rate - {Z} * sqrt(rate * (1 - rate) / (w + 1)) > {BLOCK_ABOVE}),

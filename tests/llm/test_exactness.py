@@ -1,10 +1,14 @@
 """Cases that hashes and shared ids could get wrong, added tokens, and clashing columns."""
 
 import random
+import zlib
 
+import duckdb
+import numpy as np
 import pytest
 
-from siftloom.llm import near_dedup, packing, quality, suffixes, toxicity
+from siftloom.llm import byte_bpe, near_dedup, packing, quality, suffixes, toxicity
+from siftloom.llm.queries import ORACLES, QUERIES
 
 WORDS = "one two three four five six seven"
 
@@ -86,3 +90,35 @@ def test_filters_keep_columns_of_any_name(spark, clashing):
     out = suffixes.dedup_texts(clashing)
     assert rows_kept(clashing, out) == [0, 1, 2, 3, 4, 5, 6]
     assert {r.doc_id: (len(r.text), r.n_chars) for r in out.collect()}[6] == (0, 0)
+
+
+def test_offsets_and_decoding_of_the_query(spark):
+    """The query's offsets are those of ``encode``; its bytes come back through the reversed byte table."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    spans = {r.doc_id: r for r in byte_bpe.encode(docs, path).collect()}
+    for r in QUERIES["op3_byte_bpe"](spark, "/root/testdata/sf0.001").collect():
+        own = spans[r.doc_id]
+        packed = b"".join(x.to_bytes(4, "little") for x in [*own.starts, *own.ends])
+        assert r.offsets_crc32 == zlib.crc32(packed) and r.n_tokens == len(own.ids)
+    bpe = byte_bpe.codec(path)
+    table = {c: b for b, c in enumerate(byte_bpe.byte_table())}
+    for i in (0, 255, 256, 1000, 50_000, 50_255):
+        assert bpe.decode(np.array([i])).tobytes() == bytes(table[c] for c in bpe.library.id_to_token(i))
+
+
+def test_reputation_of_hosts_without_labels_in_both_engines(spark, folder):
+    pages = [(i, f"https://h{i % 3}.bad.org/{i}") for i in range(300)] + [(i, f"https://h{i % 3}.good.com/{i}") for i in range(300, 600)]
+    pages += [(900, "https://new.bad.org/x"), (901, "https://new.good.com/y"), (902, None), (903, "no scheme"), (904, "https://alone.zz/q")]
+    labels = [(i, 0 if i < 300 and i % 10 else 1, 0) for i in range(600)] + [(900, None, 1)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    got = QUERIES["op7_url_reputation"](spark, folder).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["op7_url_reputation"]).fetchall())
+    verdicts = {r.page_id: r.verdict for r in got}
+    assert (verdicts[900], verdicts[901], verdicts[0], verdicts[300]) == ("block", "allow", "block", "allow")

@@ -1,11 +1,16 @@
 """Merkle-tree fingerprints of documents (DataFrame functions only).
 
-A text is a tree of four levels: pieces (up to ``PIECE`` characters of a line), paragraphs
-(lines), sections and the root.  A section ends after a paragraph whose digest ends in a
-digit below 4, so an inserted paragraph moves no other section's border.  A parent's
-digest is the SHA-256 of its children's digests in order, so equal roots mean equal texts
-and unequal branches lead to the edit.  Likeness of two trees is the share of common
-pieces (twice the digests that both have, over the distinct digests of each).
+A text is a tree of four levels: pieces, paragraphs (lines), sections and the root.  A line
+is cut into pieces after the first border character (``BORDERS``) from its ``PIECE``-th
+character on, so the cuts follow the text and fall into step again after an edit.  A section
+ends after a paragraph whose digest ends in a digit below 4, so an inserted paragraph moves no
+other section's border.  A piece's digest is the first half of the SHA-256 of its characters;
+every other digest is the SHA-256 of its children's digests in order.  So equal texts have
+equal roots, and unequal branches lead to the edit.
+
+Likeness descends from equal branches: pieces below a paragraph that both trees have are
+common; below the paragraphs that differ, pieces are compared.  It is twice the common
+pieces over the pieces of both, each counted once per paragraph digest.
 
 Defined results: a null text is the empty text; the empty text has one empty paragraph;
 two texts without any piece are alike (1); repeated rows and equal ids are ordered by
@@ -21,25 +26,31 @@ from pyspark.sql import functions as F
 from siftloom.llm.registry import query, table
 from siftloom.operators.skew import with_positions
 
-PIECE = 32
+#: Characters of a piece before its border is looked for, and at most.
+PIECE, LONGEST = 24, 256
+#: Characters that end a piece: the blank and letters and digits whose code is a multiple of 8.
+BORDERS = " 08HPXhpx"
 #: Documents per bucket of neighbours.
 BUCKET = 2000
 
 
-def pieces(text: Column) -> Column:
-    """Digests (64-bit) of the pieces of a text, in order."""
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(r"[^\n]{1,%d}" % PIECE), F.lit(0)), lambda p: F.xxhash64(p))
+def paragraphs(text: Column) -> Column:
+    """array<struct<digest, pieces>> of the lines of a text, with the digests of their pieces."""
+    cut = F.lit(rf"[^\n]{{{PIECE - 1},{LONGEST - 1}}}?[{BORDERS}]|[^\n]{{1,{LONGEST}}}")
+    pieces = F.transform(F.split(text, "\n"), lambda line: F.transform(
+        F.regexp_extract_all(line, cut, F.lit(0)), lambda piece: F.substring(F.sha2(piece, 256), 1, 32)))
+    return F.transform(pieces, lambda p: F.struct(F.sha2(F.array_join(p, " "), 256).alias("digest"), p.alias("pieces")))
 
 
-def paragraphs(text: Column) -> Column:
-    """Digest of each line: over its characters, which its pieces partition."""
-    return F.transform(F.split(text, "\n"), lambda line: F.sha2(line, 256))
+def leaves(paragraphs_: Column) -> Column:
+    """array<struct<paragraph, piece>>: every piece under the digest of its paragraph."""
+    return F.flatten(F.transform(paragraphs_, lambda p: F.transform(
+        p["pieces"], lambda x: F.struct(p["digest"].alias("paragraph"), x.alias("piece")))))
 
 
-def sections(leaves: Column) -> Column:
-    """Digests of the sections over paragraph digests."""
-    joined = F.array_join(leaves, " ")
+def sections(paragraphs_: Column) -> Column:
+    """Digests of the sections over the paragraphs' digests."""
+    joined = F.array_join(paragraphs_["digest"], " ")
     # a digest that ends in 0-3 closes a section
     marked = F.regexp_replace(joined, "([0-9a-f]{63}[0-3]) ", "$1\n")
     return F.transform(F.split(marked, "\n"), lambda s: F.sha2(s, 256))
@@ -50,17 +61,20 @@ def root(sections_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Common pieces of two trees: twice the distinct pieces of both over the sum of each."""
+    """Common pieces of two trees, given as leaves: twice their number over that of both."""
     each = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
-    return F.when(each == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(a, b)) / each)
+    equal = F.size(F.array_intersect(a, b))
+    # what hangs below paragraphs that only one tree has
+    differing = F.size(F.array_intersect(F.array_except(a, b)["piece"], F.array_except(b, a)["piece"]))
+    return F.when(each == 0, F.lit(1.0)).otherwise(2 * (equal + differing) / each)
 
 
 def fingerprint(text: Column) -> Column:
     return root(sections(paragraphs(text)))
 
 
-def edited_sections(a: Column, b: Column) -> Column:
-    """Section digests of tree ``a`` that tree ``b`` lacks: where the texts differ."""
+def edited_branches(a: Column, b: Column) -> Column:
+    """Digests (of sections or of paragraphs) of tree ``a`` that tree ``b`` lacks: where the texts differ."""
     return F.array_except(a, b)
 
 
@@ -94,13 +108,15 @@ def op8(spark, sf_dir):
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(
         F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    for name in ("text", "edited"):
-        rows = rows.withColumn(f"sections_{name}", sections(paragraphs(F.col(name))))
     for name in ("text", "edited", "next_text"):
-        rows = rows.withColumn(f"pieces_{name}", pieces(F.col(name)))
-    own = F.col("pieces_text")
+        rows = rows.withColumn(f"tree_{name}", paragraphs(F.col(name)))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[f"tree_{n}" for n in ("text", "edited", "next_text")])
+    rows = rows.withColumns({f"sections_{n}": sections(F.col(f"tree_{n}")) for n in ("text", "edited")})
+    rows = rows.withColumns({f"leaves_{n}": leaves(F.col(f"tree_{n}")) for n in ("text", "edited", "next_text")})
+    own = F.col("leaves_text")
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "doc_id", "n_chars", "edited_sha256",
         root(F.col("sections_text")).alias("fingerprint"), root(F.col("sections_edited")).alias("edited_fingerprint"),
-        likeness(own, F.col("pieces_edited")).alias("near_edited"), likeness(own, F.col("pieces_next_text")).alias("near_next"),
-        F.size(edited_sections(F.col("sections_edited"), F.col("sections_text"))).alias("n_edited_sections"))
+        likeness(own, F.col("leaves_edited")).alias("near_edited"), likeness(own, F.col("leaves_next_text")).alias("near_next"),
+        F.size(edited_branches(F.col("sections_edited"), F.col("sections_text"))).alias("n_edited_sections"),
+        F.size(edited_branches(F.col("tree_edited")["digest"], F.col("tree_text")["digest"])).alias("n_edited_paragraphs"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftloom.llm import merkle, near_dedup, overlaps, packing, quality, repeats, substrings, suffixes
 from siftloom.llm.queries import QUERIES
@@ -249,18 +250,65 @@ def test_quality_fences_hold_with_a_third_of_junk(spark):
     assert all(r._qr_max_repeat_share <= 0.2 and r._qr_max_dup_line_share <= 0.2 for k, r in judged.items() if kinds[k][0] != "refrains")
 
 
-def test_merkle_query(spark, documents):
-    rows = {r.doc_id: r for r in QUERIES["op8_merkle_fingerprints"](spark, SF).collect()}
-    ordered = sorted(documents)
+def tree(text):
+    """(paragraphs as (digest, pieces), section digests, root) of a text."""
+    cut = re.compile(r"[^\n]{23,255}?[ 08HPXhpx]|[^\n]{1,256}")
+    lines = [[sha(p)[:32] for p in cut.findall(line)] for line in (text or "").split("\n")]
+    paras = [(sha(" ".join(pieces)), pieces) for pieces in lines]
+    groups, open_group = [], []
+    for digest, _ in paras:
+        open_group.append(digest)
+        if digest[-1] in "0123":
+            groups.append(open_group)
+            open_group = []
+    groups += [open_group] if open_group else []
+    digests = [sha(" ".join(g)) for g in groups]
+    return paras, digests, sha(" ".join(digests))
+
+
+def alike(a, b):
+    """Likeness by walking down: whole paragraphs of both count, pieces of the others are compared."""
+    x, y = dict(tree(a)[0]), dict(tree(b)[0])
+    total = sum(len(set(p)) for p in x.values()) + sum(len(set(p)) for p in y.values())
+    equal = sum(len(set(p)) for d, p in x.items() if d in y)
+    below = {q for d, p in x.items() if d not in y for q in p} & {q for d, p in y.items() if d not in x for q in p}
+    return 2 * (equal + len(below)) / total if total else 1.0
+
+
+def check_trees(rows, documents):
+    by_id = {r.doc_id: r for r in rows}
+    ordered = sorted((k, t or "") for k, t in documents)
     for i, (key, text) in enumerate(ordered):
         following, half = ordered[(i + 1) % len(ordered)][1], len(text) // 2
-        r = rows[key]
-        assert r.n_chars == len(text) and r.edited_sha256 == sha(text[: len(text) - half] + following[:half])
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
-    by_text = {}
-    for key, text in ordered:
-        by_text.setdefault(text, set()).add(rows[key].fingerprint)
-    assert all(len(v) == 1 for v in by_text.values()) and len({next(iter(v)) for v in by_text.values()}) == len(by_text)
+        edited = text[: len(text) - half] + following[:half]
+        r = by_id[key]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), sha(edited), tree(text)[2], tree(edited)[2])
+        assert abs(r.near_edited - alike(text, edited)) < 1e-12 and abs(r.near_next - alike(text, following)) < 1e-12
+        assert r.n_edited_sections == len(set(tree(edited)[1]) - set(tree(text)[1]))
+        assert r.n_edited_paragraphs == len({d for d, _ in tree(edited)[0]} - {d for d, _ in tree(text)[0]})
+
+
+def test_merkle_query(spark, documents):
+    rows = QUERIES["op8_merkle_fingerprints"](spark, SF).collect()
+    check_trees(rows, documents)
+    prints = {r.doc_id: r.fingerprint for r in rows}
+    texts = dict(documents)
+    assert len(set(prints.values())) == len(set(texts.values()))
+
+
+def test_merkle_of_odd_texts(spark, folder):
+    docs = [(1, None), (2, ""), (3, "\n\n"), (4, "é" * 1000 + "\nx"), (5, "word " * 60_000), (6, "a\n" * 500), (7, None), (8, "last h line")]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS _place", "'x' AS next_text").write.parquet(f"{folder}/documents.parquet")
+    check_trees(QUERIES["op8_merkle_fingerprints"](spark, folder).collect(), docs)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{folder}/none/documents.parquet")
+    assert QUERIES["op8_merkle_fingerprints"](spark, f"{folder}/none").collect() == []
+
+
+def test_an_insertion_leaves_most_of_a_long_line_alike(spark):
+    line = " ".join(f"word{i * i % 977}" for i in range(300))
+    rows = spark.createDataFrame([(line, "X" + line), (line, line[:700] + line[705:])], "a string, b string")
+    leaf = lambda c: merkle.leaves(merkle.paragraphs(F.col(c)))
+    assert all(r.v > 0.9 for r in rows.select(merkle.likeness(leaf("a"), leaf("b")).alias("v")).collect())
 
 
 def test_merkle_buckets_and_edges(spark, monkeypatch):

@@ -4,8 +4,10 @@ A capture is three records: the response (or a revisit of an equal payload), the
 and a metadata record, the last two naming the first in ``WARC-Concurrent-To``.  Spark's
 text writer writes the archives (gzip), a record a line whose separator is the end of the
 record; they are read as binary files and cut by ``Content-Length``, so payloads may hold
-anything.  A file is one task's work: writers bound it by rows and by partition size.
-Record ids are derived from the capture, so a lost task writes the same ids again.
+anything.  A file is one task's work: captures are written by size class, and a class's files
+hold so many records that ``FILE_BYTES`` bounds each of them (a larger capture has a file of
+its own); readers unpack a file piece by piece and hold one record at a time.  Record ids are
+derived from the capture, so a lost task writes the same ids again.
 
 Defined results: a null payload is empty; payloads under ``SMALL`` bytes are never
 revisits; of rows that share the smallest id all are responses; a null id is larger than
@@ -16,9 +18,8 @@ gives no records and no rows; extra columns are not read.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,17 +27,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftloom.llm.registry import query, table
-from siftloom.session import cut_lineage, shared_folder
+from siftloom.operators.skew import attach_per_key
+from siftloom.session import cut_lineage, scratch_folder
 
 #: Payloads below this size are always stored.
 SMALL = 100
-#: Rows per archive file, at most.
-FILE_ROWS = 20_000
+#: Bytes of records in an archive file before compression, and the bounds of the size classes of payloads.
+FILE_BYTES = 256 << 20
+CLASSES = (16 << 10, 256 << 10, 4 << 20, 64 << 20)
+#: Bytes that the records of a capture take besides their payload and four times its URL, at most.
+HEADERS = 8 << 10
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 #: Bytes of records in a batch that the reader sends on.
 BATCH_BYTES = 8 << 20
+#: Bytes that are unpacked at a time.
+PIECE_BYTES = 1 << 20
+#: Captures of one payload, or revisits of one capture, from which it is met by broadcast.
+HOT = 10_000
 
 
 def _header(name: str, value: Column) -> Column:
@@ -68,12 +77,19 @@ def with_revisits(captures: DataFrame) -> DataFrame:
     large = captures.where(F.col("bytes") >= SMALL)
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id"))
     firsts = (large.groupBy(F.col("digest").alias("_digest")).agg(first.alias("_first"), F.count("*").alias("_n"))
-              .where("_n > 1").drop("_n"))
+              .where("_n > 1"))
     key = F.when(F.col("bytes") >= SMALL, F.col("digest")).otherwise(F.col("record_id"))
-    joined = captures.withColumn("_key", key).join(firsts, F.col("_key") == F.col("_digest"), "left")
+    # a payload that very many captures share is met by broadcast
+    joined = attach_per_key(captures.withColumn("_key", key), firsts.withColumnRenamed("_digest", "_key"), ["_key"], ["record_id"], hot_rows=HOT)
     tie = F.col("page_id").eqNullSafe(F.col("_first.page_id"))
     again = F.col("_first").isNotNull() & ~tie
-    return joined.withColumn("refers_to", F.when(again, F.col("_first.record_id"))).drop("_key", "_digest", "_first")
+    return joined.withColumn("refers_to", F.when(again, F.col("_first.record_id"))).drop("_key", "_first")
+
+
+def _size_class(payload_bytes: Column, url: Column) -> Column:
+    """Number of bounds that a capture's records exceed; a URL stands in them four times."""
+    size = payload_bytes + 4 * F.coalesce(F.octet_length(url), F.lit(0))
+    return sum(((size > bound).cast("int") for bound in CLASSES), F.lit(0))
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
@@ -99,8 +115,12 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     request = _record(F.lit("request"), _identifier("request", *named), F.col("url"), "application/http; msgtype=request", asked, [with_it])
     metadata = _record(F.lit("metadata"), _identifier("metadata", *named), F.col("url"), "application/warc-fields",
                        _header("page-id", F.col("page_id").cast("string")), [with_it])
-    (rows.select(F.explode(F.array(answer, request, metadata)).alias("value"))
-     .write.option("lineSep", CRLF).option("maxRecordsPerFile", FILE_ROWS).option("compression", "gzip").text(path))
+    there = pages.select(_size_class(F.octet_length(body), F.col(url)).alias("k")).distinct().collect()  # one row per class
+    rows = rows.withColumn("_class", _size_class(F.col("bytes"), F.col("url")))
+    for k in sorted(r.k for r in there) or [0]:
+        most = max(3, 3 * (FILE_BYTES // (CLASSES[k] + HEADERS))) if k < len(CLASSES) else 3
+        (rows.where(F.col("_class") == k).select(F.explode(F.array(answer, request, metadata)).alias("value"))
+         .write.mode("append").option("lineSep", CRLF).option("maxRecordsPerFile", most).option("compression", "gzip").text(path))
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -108,18 +128,68 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k}
 
 
+def _unpacked(content: memoryview | bytes) -> Iterator[bytes]:
+    """Pieces of a file's bytes; gzip files, of one member or many, are unpacked on the way."""
+    if bytes(content[:2]) != b"\x1f\x8b":
+        yield bytes(content)
+        return
+    rest = content
+    while len(rest):
+        member = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        while not member.eof:
+            piece = member.decompress(rest, PIECE_BYTES)
+            rest = member.unconsumed_tail if not member.eof else member.unused_data
+            if piece:
+                yield piece
+            elif not member.eof and not len(rest):
+                raise ValueError("the gzip file ends early")
+
+
+class _Reader:
+    """Reads bytes of an iterator of pieces."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at = pieces, b"", 0
+
+    def _more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is None:
+            return False
+        self.held, self.at = self.held[self.at:] + piece, 0
+        return True
+
+    def until(self, mark: bytes) -> bytes:
+        """Bytes before ``mark``, which is read too; empty at the end of the file."""
+        start = self.at
+        while (end := self.held.find(mark, start)) < 0:
+            start = max(0, len(self.held) - self.at - len(mark))
+            if not self._more():
+                if self.held[self.at:]:
+                    raise ValueError("no WARC record: the file ends inside it")
+                return b""
+        out, self.at = self.held[self.at: end], end + len(mark)
+        return out
+
+    def take(self, size: int) -> bytes:
+        parts, missing = [], size
+        while missing:
+            part = self.held[self.at: self.at + missing]
+            parts.append(part)
+            missing, self.at = missing - len(part), self.at + len(part)
+            if missing and not self._more():
+                raise ValueError("no WARC record: the file ends inside it")
+        return b"".join(parts)
+
+
 def parse(content: memoryview | bytes) -> Iterator[dict]:
-    """Records of one archive file; ValueError where the file is no WARC."""
-    content, at = bytes(content), 0
-    if content.startswith(b"\x1f\x8b"):
-        content = gzip.decompress(content)
-    while at < len(content):
-        if not content.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        end = content.index(b"\r\n\r\n", at)
-        head = _fields(content[at: end])
-        block = content[end + 4: end + 4 + int(head["content-length"])]
-        at = end + 4 + int(head["content-length"]) + 4
+    """Records of one archive file, one at a time; ValueError where the file is no WARC."""
+    source = _Reader(_unpacked(content))
+    while top := source.until(b"\r\n\r\n"):
+        if not top.startswith(b"WARC/"):
+            raise ValueError("no WARC record where one should start")
+        head = _fields(top)
+        block = source.take(int(head["content-length"]))
+        source.take(4)
         kind = head["warc-type"]
         out = {"record_id": head["warc-record-id"], "record_type": kind, "concurrent_to": head.get("warc-concurrent-to"),
                "refers_to": head.get("warc-refers-to"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"),
@@ -188,7 +258,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 @query("op2_warc_captures")
 def op2(spark, sf_dir):
-    path = f"{shared_folder(spark)}/siftloom-warc-{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     captures = assemble(read(spark, path, payload=False)).select(
         "capture_id", "copies", F.col("metadata.fields")["page-id"].cast("long").alias("page_id"), F.col("answer.payload_bytes").alias("payload_bytes"),
@@ -199,6 +269,8 @@ def op2(spark, sf_dir):
     rows = captures.select("*", each.alias("_")).drop("_")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     stored = rows.where("_target is null").withColumn("refers_to", F.lit(None).cast("long")).select(*names)
-    origin = captures.where("record_type = 'response'").select(F.col("capture_id").alias("_id"), F.col("page_id").alias("refers_to"))
-    again = rows.where("_target is not null").join(origin, F.col("_target") == F.col("_id"), "left").select(*names)
+    origin = captures.where("record_type = 'response'").select(F.col("capture_id").alias("_target"), F.col("page_id").alias("refers_to"))
+    asked = rows.where("_target is not null")
+    counted = origin.join(asked.groupBy("_target").agg(F.count("*").alias("_n")), "_target")
+    again = attach_per_key(asked.drop("refers_to"), counted, ["_target"], ["capture_id"], hot_rows=HOT).select(*names)
     return stored.unionByName(again)

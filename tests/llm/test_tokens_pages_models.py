@@ -1,6 +1,7 @@
 """Tokenizer round trips, archives, URL verdicts and the toxicity model."""
 
 import base64
+import gzip
 import hashlib
 import random
 
@@ -127,6 +128,34 @@ def test_warc_payloads_and_empty_table(spark, folder):
         list(warc.parse(b"something else"))
 
 
+def test_warc_files_are_bounded_by_bytes(spark, folder, monkeypatch):
+    """Small, middle and large payloads go to files of their own bounds and come back whole."""
+    monkeypatch.setattr(warc, "CLASSES", (100, 5_000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 60_000)
+    monkeypatch.setattr(warc, "PIECE_BYTES", 700)
+    rows = [(i, f"http://h/{i}", chr(97 + i % 26) * (i * 37 % 90)) for i in range(60)] + [(100 + i, "http://m", f"{i}" * 900) for i in range(40)]
+    rows += [(200 + i, "http://l", f"{i}" + "z" * 70_000) for i in range(3)]
+    got = captures(spark, rows, folder)
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted((k, len(h)) for k, _, h in rows)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(pages.coalesce(1), f"{folder}/archive")
+    sizes = [sum(len(x["payload"] or b"") for x in warc.parse(r.content)) for r in spark.read.format("binaryFile").load(f"{folder}/archive/part-*").collect()]
+    # no more payload in a file than the bound, but for the single captures above it
+    assert len(sizes) >= 6 and sorted(sizes)[-4] <= 60_000 and sorted(sizes)[-3:] == [70_001] * 3
+
+
+def test_warc_members_and_broken_files():
+    record = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <x>\r\nContent-Length: 8\r\n\r\na: b\r\nc:\r\n\r\n"
+    plain = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <y>\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    for body in (record + plain, gzip.compress(record) + gzip.compress(plain), gzip.compress(record + plain)):
+        first, second = warc.parse(body)
+        assert first["fields"] == {"a": "b", "c": ""} and (second["payload"], second["http"]) == (b"", {})
+    for broken in (record[:-9], gzip.compress(record)[:-20], b"WARC/1.1\r\nno end", b"HTTP/1.1\r\n\r\n"):
+        with pytest.raises(ValueError, match="no WARC|gzip"):
+            list(warc.parse(broken))
+    assert list(warc.parse(b"")) == []
+
+
 def test_url_verdicts(spark):
     con = duckdb.connect()
     for name in ("pages", "labels"):

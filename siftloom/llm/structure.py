@@ -233,7 +233,7 @@ def conversation_key(conv: Column) -> Column:
 
 class Repair(NamedTuple):
     summary: DataFrame  # conv, gaps, blank, duplicate, truncated, illegal, cost, audit
-    rows: DataFrame  # conv, chunk, seq (order), edit, position, role, text of the repaired rows
+    rows: DataFrame  # conv, chunk, parted (into several chunks), seq (order), edit, position, role, text of the repaired rows
 
 
 def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> Repair:
@@ -300,7 +300,7 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     end = F.get("f", F.col("at"))["to"]
     tail = F.when(F.col("node") == F.floor((F.col("n") - 1) / CHUNK), F.when(end == SYSTEM, "II").when(end == USER, "I")).otherwise("")
     done = traced.join(entered, ["_c", "node"]).join(counts.select("_c", "n"), "_c").select(
-        "_c", "node", F.col("at").alias("state"), F.concat(F.get("audits", F.col("at")), F.coalesce(tail, F.lit(""))).alias("audit"))
+        "_c", "node", (F.col("n") > CHUNK).alias("parted"), F.col("at").alias("state"), F.concat(F.get("audits", F.col("at")), F.coalesce(tail, F.lit(""))).alias("audit"))
     done = cut_lineage(done)
 
     text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "audit"))), lambda x: x["audit"]), "")
@@ -313,18 +313,18 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for c, node, state, audit in zip(*(batch.column(x).to_pylist() for x in ("_c", "node", "state", "audit")), strict=True):
-                out += [(c, node, seq, edit, None if row is None else node * CHUNK + row + 1, new)
+            for c, node, parted, state, audit in zip(*(batch.column(x).to_pylist() for x in ("_c", "node", "parted", "state", "audit")), strict=True):
+                out += [(c, node, parted, seq, edit, None if row is None else node * CHUNK + row + 1, new)
                         for seq, (edit, row, new) in enumerate(roles(audit, state))]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_c", "chunk", "seq", "edit", "position", "new"])
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_c", "chunk", "parted", "seq", "edit", "position", "new"])
 
-    listed = done.mapInArrow(lines, "_c string, chunk long, seq int, edit string, position long, new string")
+    listed = done.mapInArrow(lines, "_c string, chunk long, parted boolean, seq int, edit string, position long, new string")
     texts = source.where(F.col("text").rlike(f"[^{BLANKS}]")).groupBy("_c", "role", F.unhex(F.sha2("text", 256)).alias("sha")).agg(F.first("text").alias("text"))
     stay = (listed.where("edit <> 'I'").join(marked.select("_c", "position", "role", "sha"), ["_c", "position"])
-            .join(texts, ["_c", "role", "sha"]).select("_c", "chunk", "seq", "edit", "position", F.coalesce("new", "role").alias("role"), "text"))
-    added = listed.where("edit = 'I'").select("_c", "chunk", "seq", "edit", "position", F.col("new").alias("role"), F.lit("").alias("text"))
+            .join(texts, ["_c", "role", "sha"]).select("_c", "chunk", "parted", "seq", "edit", "position", F.coalesce("new", "role").alias("role"), "text"))
+    added = listed.where("edit = 'I'").select("_c", "chunk", "parted", "seq", "edit", "position", F.col("new").alias("role"), F.lit("").alias("text"))
     return Repair(summary, stay.unionByName(added))
 
 
@@ -338,12 +338,14 @@ def _functions(to: np.ndarray, cost: np.ndarray) -> pa.Array:
 def digests(rows: DataFrame) -> DataFrame:
     """(_c, sha256) of the ``role:text`` lines of repaired rows, joined by newlines.
 
-    A digest is sequential by definition.  Lines are packed by chunk first, and a sorted
-    stream of chunks is hashed, so a task holds one chunk of a conversation at a time.
+    A digest is sequential by definition.  Lines are packed by chunk; a conversation of one
+    chunk is hashed there, and of the others a sorted stream of chunks is, so a task holds one
+    chunk of a conversation at a time.
     """
     line = F.concat("role", F.lit(":"), "text")
-    packed = rows.groupBy("_c", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("l")).select(
-        "_c", "chunk", F.array_join("l.line", "\n").alias("lines"))
+    packed = rows.groupBy("_c", "chunk", "parted").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("l")).select(
+        "_c", "chunk", "parted", F.array_join("l.line", "\n").alias("lines"))
+    packed = cut_lineage(packed.select("_c", "chunk", "parted", F.when(F.col("parted"), F.col("lines")).alias("lines"), F.when(~F.col("parted"), F.sha2("lines", 256)).alias("sha256")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, state = None, None
@@ -362,7 +364,8 @@ def digests(rows: DataFrame) -> DataFrame:
         if name is not None:
             yield pa.RecordBatch.from_pydict({"_c": [name], "sha256": [state.hexdigest()]})
 
-    return packed.repartition("_c").sortWithinPartitions("_c", "chunk").mapInArrow(run, "_c string, sha256 string")
+    streamed = packed.where("parted").select("_c", "chunk", "lines").repartition("_c").sortWithinPartitions("_c", "chunk").mapInArrow(run, "_c string, sha256 string")
+    return packed.where("not parted").select("_c", "sha256").unionByName(streamed)
 
 
 def damaged(rows: DataFrame) -> DataFrame:

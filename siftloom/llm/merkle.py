@@ -43,9 +43,12 @@ def paragraphs(text: Column) -> Column:
 
 
 def leaves(paragraphs_: Column) -> Column:
-    """array<struct<paragraph, piece>>: every piece under the digest of its paragraph."""
+    """Every piece under its paragraph: array of the first half of the paragraph's digest and the piece's digest.
+
+    They are strings, since sets of structs are compared pair by pair.
+    """
     return F.flatten(F.transform(paragraphs_, lambda p: F.transform(
-        p["pieces"], lambda x: F.struct(p["digest"].alias("paragraph"), x.alias("piece")))))
+        p["pieces"], lambda x: F.concat(F.substring(p["digest"], 1, 32), x))))
 
 
 def sections(paragraphs_: Column) -> Column:
@@ -65,7 +68,8 @@ def likeness(a: Column, b: Column) -> Column:
     each = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
     equal = F.size(F.array_intersect(a, b))
     # what hangs below paragraphs that only one tree has
-    differing = F.size(F.array_intersect(F.array_except(a, b)["piece"], F.array_except(b, a)["piece"]))
+    pieces = lambda rest: F.transform(rest, lambda x: F.substring(x, 33, 32))
+    differing = F.size(F.array_intersect(pieces(F.array_except(a, b)), pieces(F.array_except(b, a))))
     return F.when(each == 0, F.lit(1.0)).otherwise(2 * (equal + differing) / each)
 
 

@@ -42,7 +42,7 @@ SELECT page_id, included_by, excluded_by, included_by IS NOT NULL AND excluded_b
 def d8_lists(spark, d):
     key = "cast(c_custkey as string)"
     c = read(spark, d, "customer")
-    include = c.where("c_custkey % 2 = 0").select(F.expr(f"""CASE c_custkey % 5 WHEN 0 THEN concat('/(en|fr)/[0-9]*', {key}, '([/?#.]|$)')
+    include = c.where("c_custkey % 2 = 0").select(F.expr(rf"""CASE c_custkey % 5 WHEN 0 THEN concat('/(en|fr)/[0-9]*', {key}, '([/?#.]|$)')
         WHEN 1 THEN concat('/de/', c_custkey % 97, r'\d?$|/es/', c_custkey % 53) WHEN 2 THEN concat(r'example\.(com|org)/.*', c_custkey % 31, '[05]')
         WHEN 3 THEN concat('^http://no-such-host-', {key}) ELSE concat('[13579]{{2}}', c_custkey % 7, '$') END""").alias("pattern"))
     exclude = c.where("c_custkey % 2 = 1 AND c_custkey < 30").select(F.expr("concat('/', c_custkey % 40, '([?].*)?$')").alias("pattern"))

@@ -8,7 +8,7 @@ window over it also starts in a document with a smaller id.
 Defined results: a null or blank text has no words; texts under 50 words have no window;
 windows within one document, or in rows with the same id, do not count against each
 other; a null id counts as the largest; repeated rows are judged one by one; an empty
-table gives no rows; the query reads no other columns, the filter keeps them.
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from siftloom.llm import byte_bpe, near_dedup, packing, quality, suffixes, toxicity
+from siftloom.llm import byte_bpe, near_dedup, packing, quality, substrings, suffixes, toxicity
 from siftloom.llm.queries import ORACLES, QUERIES
 
 WORDS = "one two three four five six seven"
@@ -122,3 +122,20 @@ def test_reputation_of_hosts_without_labels_in_both_engines(spark, folder):
     assert sorted(map(tuple, got)) == sorted(con.execute(ORACLES["op7_url_reputation"]).fetchall())
     verdicts = {r.page_id: r.verdict for r in got}
     assert (verdicts[900], verdicts[901], verdicts[0], verdicts[300]) == ("block", "allow", "block", "allow")
+
+
+def test_repeated_passages_in_long_texts_null_ids_and_empty_tables(spark):
+    draw = random.Random(21)
+    passage = " ".join(f"p{draw.randrange(10**6)}" for _ in range(60))
+    long = " ".join(f"q{i}" for i in range(150_000))
+    rows = [(None, passage), (3, f"{passage} own words"), (5, f"{long} {passage} {long}"), (6, "short"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "coalesce(text, '') AS text", "1 AS _g", "2 AS blob")
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substrings.dedup_digests(docs).collect()}
+    # the null id counts as the largest, so its passage goes
+    assert got == {(None, 60): 60, (3, 62): 0, (5, 300_060): 60, (6, 1): 0, (None, 0): 0}
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffixes.dedup_digests(docs).collect()}
+    assert got[(None, len(passage))] == len(passage) and got[(3, len(passage) + 10)] == 0 and got[(6, 5)] == 0
+    # between the blanks beside it nothing else repeats in another document
+    assert len(passage) <= got[(5, 2 * len(long) + len(passage) + 2)] <= len(passage) + 2
+    for dedup in (substrings.dedup_digests, suffixes.dedup_digests):
+        assert dedup(docs.limit(0)).collect() == []

@@ -7,6 +7,11 @@ the grams it asks for.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from siftloom.functions import files as FN
 TOP_BITS, LEAF_BITS = 6, 10
 #: Partitions of a posting table.
 LIST_PARTS = 64
+#: Rows of a unit as bits of their number, units of a block, and bytes of values that one list may come from.
+UNIT_BITS, BLOCK_UNITS, PIECE_BYTES = 4, 4096, 32 << 20
 
 
 # --- reconciliation by digests -------------------------------------------------
@@ -93,52 +100,117 @@ def reconcile_indexes(spark: SparkSession, catalog: str, storage: str) -> DataFr
 # --- search by posting lists ------------------------------------------------------
 
 
-def grams(text: Column) -> Column:
-    """Distinct runs of three characters of a lower-cased text."""
-    low = F.lower(text)
-    starts = F.sequence(F.lit(1), F.length(low) - 2)
-    return F.when(F.length(low) >= 3, F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(3))))).otherwise(
-        F.array().cast("array<string>"))
+def gram_codes(text: str) -> np.ndarray:
+    """Code of each run of three characters: 40 bits, which two runs may share."""
+    return _codes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64))
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    bits = (points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:]
+    return ((bits * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)).astype(np.int64)
 
 
 def _part(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(LIST_PARTS)).cast("int")
 
 
+_LISTS = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("units", pa.list_(pa.int16()))])
+
+
+def _block_lists(block: int, ids: list[np.ndarray], values: list[pa.Array]) -> pa.RecordBatch:
+    """Posting lists of rows of one block: the units of each gram, ascending."""
+    parts, units = [], []
+    for some, lists in zip(ids, values, strict=True):
+        owner = np.repeat((some >> UNIT_BITS) & (BLOCK_UNITS - 1), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        texts = [v.decode("utf-8", "replace") for v in lists.flatten().cast(pa.binary()).to_pylist()]
+        parts += texts
+        units.append(np.repeat(owner, [len(x) for x in texts]) if texts else owner[:0])
+    text = "".join(parts)
+    inside = np.ones(max(len(text) - 2, 0), bool)
+    ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
+    for back in (1, 2):  # runs that begin in one value and end in the next
+        cut = ends[(ends >= back) & (ends - back < len(inside))] - back
+        inside[cut] = False
+    codes, unit = gram_codes(text)[inside] if len(inside) else np.empty(0, np.int64), np.concatenate(units)[: len(inside)][inside]
+    pairs = np.sort((codes << 12) | unit)  # 40 bits of gram, 12 of unit
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
+    gram = pairs >> 12
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, np.int64)
+    offsets = pa.array(np.r_[first, len(gram)].astype(np.int32))
+    listed = pa.ListArray.from_arrays(offsets, pa.array((pairs & (BLOCK_UNITS - 1)).astype(np.int16)))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block)), pa.array(gram[first]), listed], schema=_LISTS)
+
+
+def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, gram, units) of rows (id, values) that come by id; a block in several pieces gives several lists."""
+    block, ids, values, held = None, [], [], 0
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        blocks = numbers >> (UNIT_BITS + 12)
+        starts = np.r_[0, np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, len(blocks)] if len(blocks) else np.zeros(1, int)
+        for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if ids and (blocks[start] != block or held > PIECE_BYTES):
+                yield _block_lists(block, ids, values)
+                ids, values, held = [], [], 0
+            some = batch.column(1).slice(start, end - start)
+            block, ids, values, held = int(blocks[start]), [*ids, numbers[start:end]], [*values, some], held + some.nbytes
+    if ids:
+        yield _block_lists(block, ids, values)
+
+
 def write_postings(rows: DataFrame, pk: str, columns: list[str], folder: str, batch: str = "0") -> None:
     """Add the posting lists of ``rows`` to an index; a batch that is written again is replaced.
 
-    The index keeps (gram, pk) partitioned by gram, and the indexed values by row, so a
-    candidate is verified without the catalog.  A later batch may hold a row again: its
-    values replace the earlier ones (batches are compared as text).
+    The index keeps the indexed values by row, numbered, so a candidate is verified without
+    the catalog, and lists partitioned by gram.  A list names units of 16 neighbouring rows
+    within a block of 65,536: a gram that many rows share, as the start of a URL, costs
+    little, and only a block's lists are shuffled, never a row per gram.  A later batch may
+    hold a row again: its values replace the earlier ones (batches are compared as text).
     """
+    spark = rows.sparkSession
     values = F.array_distinct(F.array_compact(F.array(*[F.lower(F.col(c)) for c in columns])))
-    kept = rows.select(F.col(pk).alias("pk"), values.alias("values"))
-    kept.write.mode("overwrite").parquet(f"{folder}/values/batch={batch}")
-    lists = kept.select("pk", F.explode(F.array_distinct(F.flatten(F.transform("values", grams)))).alias("gram")).withColumn("part", _part(F.col("gram")))
-    (lists.repartition("part", F.pmod(F.xxhash64("pk"), F.lit(4))).sortWithinPartitions("part", "gram")
+    kept = rows.select(F.col(pk).alias("pk"), values.alias("values"), F.monotonically_increasing_id().alias("id"))
+    block = F.shiftright("id", UNIT_BITS + 12).alias("block")
+    kept.select("pk", "values", "id", block).write.mode("overwrite").parquet(f"{folder}/values/batch={batch}")
+    # the written numbers are read again, so lists and values agree
+    written = spark.read.schema("id long, values array<string>").parquet(f"{folder}/values/batch={batch}")
+    lists = written.select("id", "values").mapInArrow(posting_lists, "block long, gram long, units array<short>").withColumn("part", _part(F.col("gram")))
+    (lists.repartition("part", F.pmod(F.xxhash64("block"), F.lit(4))).sortWithinPartitions("part", "gram")
      .write.mode("overwrite").partitionBy("part").parquet(f"{folder}/lists/batch={batch}"))
 
 
 def search_postings(spark: SparkSession, folder: str, search: str) -> DataFrame:
     """Keys of the rows of which an indexed value contains ``search``, whatever the case.
 
-    A row must stand in the lists of all grams of the search text; the rows that do are
-    verified on their values.  Searches of less than three characters have no gram and read
-    the values.
+    A unit must stand in the lists of all grams of the search text; the rows of units that do
+    are verified on their values.  Searches of less than three characters have no gram and
+    read the values.
     """
     text = search.strip().lower()
-    # of a row in several batches the last one counts
-    latest = spark.read.schema("pk string, values array<string>, batch string").parquet(f"{folder}/values")
-    wanted = sorted({text[i: i + 3] for i in range(len(text) - 2)})
+    values = spark.read.schema("pk string, values array<string>, id long, block long, batch string").parquet(f"{folder}/values")
+    wanted = sorted(set(gram_codes(text).tolist())) if len(text) > 2 else []
+    rows = values
     if wanted:
-        lists = spark.read.schema("pk string, gram string, batch string, part int").parquet(f"{folder}/lists")
-        parts = [r.p for r in spark.createDataFrame([(g,) for g in wanted], "g string").select(_part(F.col("g")).alias("p")).distinct().collect()]
-        hits = lists.where(F.col("part").isin(parts) & F.col("gram").isin(wanted)).select("pk", "gram", "batch").distinct()
-        hits = hits.groupBy("pk", "batch").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("pk").distinct()
-        latest = latest.join(hits, "pk", "left_semi")
-    newest = latest.groupBy("pk").agg(F.max_by("values", "batch").alias("values"))
-    return newest.where(F.exists("values", lambda v: F.contains(v, F.lit(text)))).select("pk")
+        lists = spark.read.schema("block long, gram long, units array<short>, batch string, part int").parquet(f"{folder}/lists")
+        parts = [r.p for r in spark.createDataFrame([(g,) for g in wanted], "g long").select(_part(F.col("g")).alias("p")).distinct().collect()]
+        named = lists.where(F.col("part").isin(parts) & F.col("gram").isin(wanted))
+        # all lists of a block, at most 4,096 units each, meet in one group
+        grams = named.groupBy("batch", "block", "gram").agg(F.flatten(F.collect_list("units")).alias("units"))
+        blocks = grams.groupBy("batch", "block").agg(F.collect_list("units").alias("all")).where(F.size("all") == len(wanted))
+        common = F.reduce(F.slice("all", 2, len(wanted)), F.array_distinct(F.col("all")[0]), F.array_intersect)
+        hits = blocks.select("batch", "block", common.alias("units")).where("size(units) > 0")
+        # at most a bit for each unit, 2 bytes for each listed one: an eighth of a byte for each row
+        unit = F.shiftright("id", UNIT_BITS).bitwiseAND(BLOCK_UNITS - 1).cast("short")
+        rows = values.join(F.broadcast(hits), ["batch", "block"]).where(F.array_contains("units", unit))
+    found = rows.where(F.exists("values", lambda v: F.contains(v, F.lit(text)))).select("pk", "batch")
+    # of a row in several batches the last one counts
+    batches = sorted(r.batch for r in values.select("batch").distinct().collect())
+    if len(batches) < 2:
+        return found.select("pk").distinct()
+    later = values.where(F.col("batch") > batches[0]).select("pk", F.col("batch").alias("later"))
+    last = found.groupBy("pk").agg(F.max("batch").alias("batch"))
+    newest = later.groupBy("pk").agg(F.max("later").alias("later"))
+    return last.join(newest, "pk", "left").where("later is null or later = batch").select("pk")
 
 
 # --- mergeable top-k and distinct counts ---------------------------------------------

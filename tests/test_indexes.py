@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftloom.operators import indexes as IX
@@ -50,6 +51,33 @@ def test_search_finds_what_a_scan_finds(spark, folder):
     assert "PartitionFilters: [part" in plan or "part" in plan.split("PartitionFilters")[1]
 
 
+def test_lists_of_shared_grams_stay_small(spark, folder):
+    names = [f"Report {i} - file of the archive" for i in range(4000)]
+    rows = spark.createDataFrame([(f"p{i}", n) for i, n in enumerate(names)], "pk string, name string").repartition(2)
+    IX.write_postings(rows, "pk", ["name"], folder)
+    listed = spark.read.parquet(f"{folder}/lists")
+    by_row = sum(len({n[i: i + 3] for i in range(len(n) - 2)}) for n in names)
+    assert listed.select(F.sum(F.size("units")).alias("n")).first().n < by_row / 5
+    for search in ("report 12", "t 77", "archive", "3999 -", "xreport"):
+        assert {r.pk for r in IX.search_postings(spark, folder, search).collect()} == {f"p{i}" for i, n in enumerate(names) if search in n.lower()}
+
+
+def test_lists_name_units_of_blocks_in_pieces():
+    def of(rows):
+        ids, values = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.list_(pa.string()))], ["id", "values"])
+
+    block = 1 << 16
+    batches = [of([(0, ["abc", "", "b"]), (1, []), (15, ["Äbcd"])]), of([(16, ["xabc"]), (block, ["abc"]), (block + 40, ["ab", "cab"])])]
+    got = {}
+    for batch in IX.posting_lists(iter(batches)):
+        for row in batch.to_pylist():
+            got.setdefault((row["block"], row["gram"]), []).extend(row["units"])
+    code = lambda gram: IX.gram_codes(gram)[0].item()
+    assert got == {(0, code("abc")): [0, 1], (0, code("Äbc")): [0], (0, code("bcd")): [0], (0, code("xab")): [1],
+                   (1, code("abc")): [0], (1, code("cab")): [2]}
+
+
 def test_merged_sketches_stay_within_their_bounds(spark):
     draw = random.Random(7)
     values = [(i % 20, f"v{min(int(draw.expovariate(1 / 300)), 20_000)}" if i % 3 else f"rare{i}") for i in range(60_000)]

@@ -2,7 +2,8 @@
 
 A regular expression that matches a text needs certain runs of plain characters in it.  One
 gram of up to ``GRAM`` characters of such a run, the one that the fewest URLs hold, stands
-for each alternative of a pattern.  URLs meet patterns by equality on these grams, and only
+for each alternative of a pattern; numbers and names fit it whole, so that many patterns
+that differ in them do not all meet the same URLs.  URLs meet patterns by equality on these grams, and only
 pairs that meet are matched.  Patterns without a required character (``\\d+``) are matched
 against every URL; they come to it as one array.
 """
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from siftloom.session import cut_lineage
 
-GRAM = 3
+#: Characters of a gram at most; runs of fewer than ``SHORT`` serve only where no longer one is there.
+GRAM, SHORT = 8, 3
 
 
 def _closing(pattern: str, at: int) -> int:
@@ -104,8 +106,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pattern in batch.column("pattern").to_pylist():
             branches = required_literals(pattern)
             grams = [{run[i: i + GRAM] for run in runs for i in range(max(1, len(run) - GRAM + 1))} for runs in branches]
-            # short runs serve only where no full one is there
-            grams = [{g for g in some if len(g) == max(map(len, some))} for some in grams]
+            grams = [{g for g in some if len(g) >= min(SHORT, max(map(len, some)))} for some in grams]
             if not all(grams):
                 out.append((pattern, 0, None))
             else:
@@ -125,9 +126,11 @@ def pattern_matches(rows: DataFrame, patterns: DataFrame, url: str = "url") -> D
 
     URLs are looked up once each, whatever rows share them.
     """
-    named = patterns.where("pattern is not null").select("pattern").distinct()
+    # short rows, long work: dealt out by number, and by a hash, so that the exchange of distinct() does not do for it
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = patterns.where("pattern is not null").select("pattern").distinct().repartition(parts, F.xxhash64("pattern"))
     grams = cut_lineage(named.mapInArrow(_grams, "pattern string, branch int, gram string"))
-    every = cut_lineage(rows.where(F.col(url).isNotNull()).select(F.col(url).alias("url")).distinct())
+    every = cut_lineage(rows.where(F.col(url).isNotNull()).select(F.col(url).alias("url")).distinct().repartition(parts, F.xxhash64("url")))
     sizes = [r.n for r in grams.where("gram is not null").select(F.length("gram").alias("n")).distinct().collect()]  # GRAM rows at most
     bare = grams.where("gram is null").agg(F.sort_array(F.collect_set("pattern")).alias("p"))
     found = every.withColumn("_bare", bare.scalar()).select("url", F.explode("_bare").alias("pattern")).where(F.rlike("url", F.col("pattern")))

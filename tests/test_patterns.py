@@ -3,6 +3,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from siftloom.operators import patterns as PT
 
 
@@ -17,6 +19,26 @@ def test_required_literals():
         assert found(p) == [[]]
 
 
+def test_grams_take_numbers_whole():
+    batch = pa.RecordBatch.from_pydict({"pattern": [r"/(en|fr)/[0-9]*123456([/?#.]|$)", "/de/12", "ab", "archive/2024"]})
+    got = {}
+    for row in next(iter(PT._grams([batch]))).to_pylist():
+        got.setdefault(row["pattern"], set()).add(row["gram"])
+    # three digits of a number would make all numbers that share them meet the same URLs
+    assert list(got.values()) == [{"123456"}, {"/de/12"}, {"ab"}, {"archive/", "rchive/2", "chive/20", "hive/202", "ive/2024"}]
+
+
+def test_looked_up_rows_are_dealt_out(spark):
+    rows = spark.createDataFrame([(f"https://a.test/{i}",) for i in range(200)], "url string")
+    seen = []
+    cut, PT.cut_lineage = PT.cut_lineage, lambda df: seen.append(df.rdd.getNumPartitions()) or cut(df)
+    try:
+        assert PT.pattern_matches(rows, spark.createDataFrame([("/17$",)], "pattern string")).count() == 1
+    finally:
+        PT.cut_lineage = cut
+    assert seen[:2] == [8, 8]
+
+
 def brute(urls, patterns):
     compiled = [(p, re.compile(p)) for p in patterns]
     return sorted((u, p) for u in set(urls) for p, c in compiled if c.search(u))

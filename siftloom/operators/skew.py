@@ -11,6 +11,8 @@ from siftloom.session import cut_lineage
 
 #: Rows that one task numbers.
 TASK_ROWS = 1_000_000
+#: Keys that ``without`` broadcasts at most.
+FEW_KEYS = 500_000
 #: Hottest keys that are resolved by broadcast instead of by shuffle, and bytes of the
 #: values of one such key: together they bound the broadcast.
 HOT_KEYS = 1000
@@ -77,6 +79,23 @@ def join_present(rows: DataFrame, lookup: DataFrame, key: str, spread: str) -> D
     return rows.withColumn("_salted", salted).join(other, F.col("_salted") == F.col("_present"), "left").drop("_salted", "_present")
 
 
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is not one of ``keys``; null keys stay.
+
+    Short keys compress so well that adaptive execution, which goes by compressed bytes,
+    joins partitions of many millions of rows.  So the exchange has a partition for each
+    ``TASK_ROWS`` rows at least, which bounds what a task sorts; few keys are broadcast.
+    """
+    names = keys.select(key).distinct()
+    # counted without their text where the tables are files
+    if keys.count() <= FEW_KEYS:
+        return rows.join(F.broadcast(names), key, "left_anti")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+    # an anti join would be moved below the exchange; an outer one reads its partitions as they are
+    marked = rows.repartition(parts, key).join(names.withColumn("_gone", F.lit(True)), key, "left")
+    return marked.where("_gone is null").select(*rows.columns)
+
+
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread: Column | None = None,
     rank: str | None = None, salts: int = 64,

@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions.conformance import violations
+from siftloom.operators.skew import without
 
 
 def missing_parents(child: DataFrame, key: str, pk: str, parent: DataFrame, relation: str) -> DataFrame:
     """Child rows whose parent does not exist: (relation, child_key, parent_key)."""
-    orphans = child.where(F.col(key).isNotNull()).join(
-        parent.select(F.col(key)).distinct(), key, "left_anti"
-    )
+    orphans = without(child.select(key, pk).where(F.col(key).isNotNull()), parent, key)
     return orphans.select(
         F.lit(relation).alias("relation"), F.col(pk).alias("child_key"), F.col(key).alias("parent_key")
     )

@@ -18,9 +18,16 @@ def key_category(key: Column, run_folder: Column) -> Column:
     ).otherwise(folder)
 
 
-#: Tasks that share a folder, and rows of one file.
+#: Tasks that share a folder, rows of one file, and folders that one task writes.
 SPREAD = 8
 FILE_ROWS = 1_000_000
+TASK_FOLDERS = 2000
+
+
+def _tasks(rows: DataFrame, key: str) -> int:
+    """Tasks for a folder per ``key``: a file costs the same however small, and adaptive execution counts bytes only."""
+    folders = rows.agg(F.approx_count_distinct(key)).collect()[0][0]
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-folders // TASK_FOLDERS))
 
 
 def _by_folder(rows: DataFrame, *keys: str):
@@ -76,16 +83,19 @@ def write_records(records: DataFrame, out: str, fmt: str = "json") -> None:
 
 
 def write_speech_datasets(segments: DataFrame, out: str) -> None:
-    """STT and TTS JSON lines and the transcript text of every medium.
+    """STT and TTS JSON lines, and the transcript text of every medium.
 
-    The folder of a medium's transcript holds its parts in one sorted file, which is cut
-    after ``FILE_ROWS`` parts: read in the order of their names, the files are the text.
+    The lines name their medium, so they need no folder per medium, and are written by the
+    tasks that read them.  The folder of a medium's transcript holds its parts in one sorted
+    file, which is cut after ``FILE_ROWS`` parts: read in the order of their names, the files
+    are the text.
     """
     stt = media.stt_records(segments)
-    _by_folder(stt.drop("chunk_index"), "medium_id").json(f"{out}/stt")
-    media.tts_records(stt).write.mode("overwrite").json(f"{out}/tts")
+    lines = lambda df: df.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS)
+    lines(stt.drop("chunk_index")).json(f"{out}/stt")
+    lines(media.tts_records(stt)).json(f"{out}/tts")
     parts = media.transcript_parts(stt)
     header = F.concat(F.lit("Source: "), "title", F.lit("\nURL: "), "source_url", F.lit("\n\n"))
     text = parts.withColumn("value", F.when(F.col("part_no") == 0, F.concat(header, "text")).otherwise(F.col("text")))
-    placed = text.repartition("medium_id").sortWithinPartitions("medium_id", "part_no").select("value", "medium_id")
-    placed.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("medium_id").text(f"{out}/transcript")
+    placed = text.repartition(_tasks(segments, "medium_id"), "medium_id").sortWithinPartitions("medium_id", "part_no").select("value", "medium_id")
+    lines(placed).partitionBy("medium_id").text(f"{out}/transcript")

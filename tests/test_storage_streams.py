@@ -2,6 +2,7 @@ import io
 import json
 import os
 import random
+import re
 import zipfile
 
 import pytest
@@ -145,6 +146,24 @@ def test_speech_datasets(spark, folder):
     assert text.startswith("Source: Talk\nURL: u\n\n[0.0s - 30.0s] Speaker: line 0\n[30.0s") and spark.read.json(folder + "/tts").count() == 3
 
 
+def test_speech_datasets_of_many_media(spark, folder, monkeypatch):
+    """Files of lines go by tasks, not by media; transcripts are dealt to tasks by their number, not by their bytes."""
+    df = spark.range(600).select(
+        F.expr("'m' || id DIV 2").alias("medium_id"), F.expr("CAST(id % 2 AS int)").alias("chunk_index"), F.expr("id % 2 * 30D").alias("start_s"), F.expr("id % 2 * 30D + 30").alias("end_s"),
+        F.expr("'line ' || id").alias("transcript"), F.lit("a").alias("speaker"), F.lit("ku").alias("language"), F.lit("/t/a.mp3").alias("audio_file"), F.expr("'talk ' || id DIV 2").alias("title"), F.lit("u").alias("source_url")).repartition(4)
+    SN.write_speech_datasets(df, folder)
+    parts = lambda top: [os.path.join(d, n) for d, _, names in os.walk(f"{folder}/{top}") for n in names if n.startswith("part-")]
+    assert len(parts("stt")) == 4 and len(parts("tts")) == 4 and len(parts("transcript")) == 300
+    stt = spark.read.json(f"{folder}/stt").select("medium_id", "transcript")
+    assert sorted(map(tuple, stt.collect())) == sorted((f"m{i // 2}", f"line {i}") for i in range(600))
+    text = {r.medium_id: r.value for r in spark.read.text(f"{folder}/transcript", wholetext=True).collect()}
+    assert text == {f"m{i}": f"Source: talk {i}\nURL: u\n\n[0.0s - 30.0s] a: line {2 * i}\n[30.0s - 60.0s] a: line {2 * i + 1}\n" for i in range(300)}
+    # the first number of a file's name is that of its task
+    assert len({re.search(r"part-(\d+)", p)[1] for p in parts("transcript")}) == 8
+    monkeypatch.setattr(SN, "TASK_FOLDERS", 10)
+    assert SN._tasks(df, "medium_id") > 25
+
+
 # --- streams and their batch twins -------------------------------------------
 
 

@@ -320,21 +320,27 @@ def page_downloads(pages: DataFrame) -> DataFrame:
     )
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with columns that are computed once, whoever reads them: filters and projections do not repeat a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def web_page_records(pages: DataFrame) -> DataFrame:
     """``web_page.v2`` records: one narrow plan from HTML to record.
 
-    Text and metadata are computed once per row and reused by the later members.
+    Text, metadata and verdict are computed once per row and reused by the later members
+    and by filters on the records.
     """
     html = F.col("html")
-    staged = pages.select(
-        "page_id", "url", "html", H.html_metadata(html).alias("meta"),
-        H.page_text(html).alias("body_text"), H.headings(html).alias("headings"),
+    staged = _once(
+        pages.select("page_id", "url", "html"),
+        meta=H.html_metadata(html), body_text=H.page_text(html), headings=H.headings(html),
     )
     text, title = F.col("body_text"), F.col("meta.title")
+    staged = _once(staged, quality=H.page_quality(text, title, F.size("headings")))
     staged = staged.withColumns(
         {
             "host_parts": urls.split_host(F.col("url")),
-            "quality": H.page_quality(text, title, F.size("headings")),
             "content_fingerprint": H.content_fingerprint(title, text, F.col("headings")),
             "downloadable_files": _downloadables(F.col("url"), title, html),
         }

@@ -49,7 +49,8 @@ def attach_per_key(
         F.col("_hot").isNull() & F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull(),
         F.lit(0).cast("long"),
     ).otherwise(F.xxhash64(*spread).bitwiseOR(F.lit(1).cast("long")))
-    cold = lookup.select(
+    # the count, which always fits, keeps both reads of the look-up alike, so it is computed once
+    cold = lookup.where(F.coalesce(F.col(count), F.lit(0)) >= 0).select(
         *[F.col(k).alias(f"_c_{k}") for k in keys],
         F.lit(0).cast("long").alias("_c_salt"),
         F.struct(*values).alias("_cold"),

@@ -38,3 +38,14 @@ def test_deleted_runs_in_partitions_of_bounded_rows(spark, monkeypatch):
     want = sorted(f"f{i}" for i in range(5000) if i % 300 >= 200 or i % 300 % 9 == 0)
     assert sorted(r.file_pk for r in out["files"].collect()) == want
     assert out["files"].rdd.getNumPartitions() == 10
+
+
+def test_lookup_of_attached_keys_is_computed_once(spark):
+    """Hot and cold keys come from one aggregation, whose exchange the second read takes over."""
+    from siftloom.operators.dedup import mark_duplicates
+
+    files = spark.range(1000).selectExpr("concat('f', id) AS file_pk", "concat('h', id % 300) AS sha256", "timestamp_seconds(id) AS created_at").repartition(4)
+    marked = mark_duplicates(files).select("file_pk", "first_pk", "is_duplicate")
+    assert {r.file_pk: (r.first_pk, r.is_duplicate) for r in marked.collect()} == {f"f{i}": (f"f{i % 300}", i >= 300) for i in range(1000)}
+    marked.collect()
+    assert "ReusedExchange" in marked._jdf.queryExecution().executedPlan().toString()

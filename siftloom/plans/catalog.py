@@ -329,9 +329,10 @@ def w2b(spark, d):
 
 @query("W4_file_id_allocation", with_tables("SELECT file_pk, printf('RAW-%09d', row_number() OVER (ORDER BY created_at, file_pk) + (SELECT greatest(count(*), max(l_partkey)) FROM lineitem WHERE l_linenumber > 4)) AS file_id FROM files WHERE line <= 4", "files"))
 def w4(spark, d):
-    f = t.files(spark, d)
+    # numbering sorts and writes whole rows, so they are cut to what is asked for
+    f = t.files(spark, d).select("file_pk", "created_at", "part", "line")
     catalog = f.where("line > 4").withColumn("file_id", FN.format_file_id(F.col("part")))
-    return DD.allocate_file_ids(f.where("line <= 4"), catalog, [F.col("created_at"), F.col("file_pk")]).select("file_pk", "file_id")
+    return DD.allocate_file_ids(f.where("line <= 4").select("file_pk", "created_at"), catalog, [F.col("created_at"), F.col("file_pk")]).select("file_pk", "file_id")
 
 
 @query("W5_run_sequence", with_tables("""WITH old AS (SELECT strftime(started_at, '%Y-%m-%d') AS day, max(n) AS last FROM runs WHERE n % 3 = 0 GROUP BY day), new AS (SELECT *, strftime(started_at, '%Y-%m-%d') AS day FROM runs WHERE n % 3 <> 0)

@@ -159,7 +159,7 @@ def a18(spark, d):
 SELECT file_pk, printf('RAW-%09d', part) AS file_id FROM f WHERE NOT bad UNION ALL SELECT file_pk, printf('RAW-%09d', row_number() OVER (ORDER BY created_at, file_pk) + n) FROM f, n WHERE bad""", "files"))
 def m9(spark, d):
     bad = (F.col("line") == 2) & (F.col("part") % 5 == 0)
-    f = t.files(spark, d).withColumn("file_id", F.when(bad, F.lit("RAW-UNKNOWN")).otherwise(FN.format_file_id(F.col("part"))))
+    f = t.files(spark, d).select("file_pk", "created_at", F.when(bad, F.lit("RAW-UNKNOWN")).otherwise(FN.format_file_id(F.col("part"))).alias("file_id"))
     return CH.heal_file_ids(f).select("file_pk", "file_id")
 
 

@@ -58,16 +58,16 @@ def sanitize_filename(name: Column, max_length: int = 150) -> Column:
 
 def sanitize_catalog_name(name: Column, max_length: int = 200) -> Column:
     """Catalog form: no '..', blanks to '_', unsafe runs to '_', ends trimmed."""
-    # names of letters, digits and single separators need no rewriting
-    plain = rf"(?U)^[\p{{L}}\p{{N}}](?:[._-]?[\p{{L}}\p{{N}}])*+$"
+    # one pass: blanks and unsafe characters to '_', runs of them and of separators to one '_';
+    # blanks at the ends become separators, which are trimmed
+    joined = rf"(?U)[\s_{UNSAFE[1:-1]}-]{{2,}}|[\s{UNSAFE[1:-1]}]"
 
     def clean(n: Column) -> Column:
-        text = strip(F.regexp_replace(n, r"\.\.+", "."))
-        text = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", "_"), UNSAFE + "+", "_")
-        text = F.regexp_replace(F.regexp_replace(text, r"[_-]{2,}", "_"), r"^[._-]+|[._-]+$", "")
+        text = F.when(F.contains(n, F.lit("..")), F.regexp_replace(n, r"\.\.+", ".")).otherwise(n)
+        text = F.btrim(F.regexp_replace(text, joined, "_"), F.lit("._-"))
         return urls.let(text, lambda t: F.when(t == "", "file").otherwise(F.substring(t, 1, max_length)))
 
-    return urls.let(name, lambda n: F.when((F.length(n) <= max_length) & n.rlike(plain), n).otherwise(clean(n)))
+    return urls.let(name, clean)
 
 
 def canonical_filename(original: Column, file_id: Column, extension: Column) -> Column:

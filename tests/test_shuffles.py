@@ -43,3 +43,9 @@ def test_preview_names_only_the_rows_it_shows(spark):
     assert [(r.file_pk, r.new_name, r.is_duplicate) for r in out.collect()] == [(str(i), f"{i}-RAW-{i:09}.pdf", i > 0) for i in range(3)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "new_name" not in plan[plan.index("Sort ["):]
+
+
+def test_catalog_names_end_without_a_newline(spark, one):
+    from siftloom.functions import files as FN
+
+    assert one(FN.sanitize_catalog_name(F.col("n")), n="a9\n") == "a9"

@@ -520,3 +520,16 @@ def storage_key_parts(key: Column) -> Column:
 
 def clean_key(key: Column) -> Column:
     return F.regexp_replace(key, r"^[/\\]+", "")
+
+
+_TEXT = "=" * 33
+
+
+def packed_hash(value: Column) -> Column:
+    """A hash as bytes for shuffles: 64 lower-case hex digits as 32 bytes, other text as more than that."""
+    return F.when(value.rlike(r"\A[0-9a-f]{64}\z"), F.unhex(value)).otherwise(F.encode(F.concat(F.lit(_TEXT), value), "UTF-8"))
+
+
+def unpacked_hash(packed: Column) -> Column:
+    return F.when(F.octet_length(packed) == 32, F.lower(F.hex(packed))).otherwise(
+        F.substring(F.decode(packed, "UTF-8"), len(_TEXT) + 1, 1 << 30))

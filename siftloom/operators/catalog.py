@@ -276,36 +276,39 @@ def reconcile(files: DataFrame, objects: DataFrame) -> DataFrame:
     """Presence of every key on both sides: in_catalog, in_storage and a state.
 
     States: synced, missing (row without object), new (object without row),
-    known_content (object under a new key whose hash the catalog has).
+    known_content (object under a new key whose hash the catalog has).  Keys are compared
+    without leading slashes; an object that is listed twice counts once.
+
+    Rows and objects meet in one shuffle by key.  Only objects without a row are then looked
+    up by hash; both branches read the same exchange.
     """
-    rows = (
-        files.where("storage_key IS NOT NULL")
-        .groupBy(FN.clean_key(F.col("storage_key")).alias("key"))
-        .agg(F.count("*").alias("catalog_rows"))
-    )
-    found = objects.select(FN.clean_key(F.col("key")).alias("key"), F.lower("sha256").alias("sha256"), "size")
-    hashes = (
+    none = F.lit(None)
+    rows = files.where("storage_key IS NOT NULL").select(
+        FN.clean_key(F.col("storage_key")).alias("key"), F.lit(1).alias("_rows"), F.lit(False).alias("_stored"),
+        none.cast("binary").alias("_hash"), none.cast(objects.schema["size"].dataType).alias("size"))
+    listed = objects.select(
+        FN.clean_key(F.col("key")).alias("key"), F.lit(0).alias("_rows"), F.lit(True).alias("_stored"),
+        FN.packed_hash(F.lower("sha256")).alias("_hash"), "size")
+    both = rows.unionByName(listed).repartition("key").groupBy("key").agg(
+        F.sum("_rows").alias("catalog_rows"), F.max("_stored").alias("in_storage"), F.max("_hash").alias("_hash"),
+        F.max_by("size", F.struct("_stored", "_hash")).alias("size"))
+
+    def stated(df: DataFrame, state: Column) -> DataFrame:
+        return df.select(
+            "key", (F.col("catalog_rows") > 0).alias("in_catalog"), "in_storage", "catalog_rows",
+            FN.unpacked_hash(F.col("_hash")).alias("sha256"), "size", state.alias("state"))
+
+    # conditions that always hold keep the columns of both reads alike, so rows are shuffled once
+    placed = both.where((F.col("catalog_rows") > 0) & (F.coalesce(F.length("_hash"), F.lit(0)) >= 0))
+    loose = both.where("catalog_rows = 0 and in_storage")
+    known = (
         files.where(F.coalesce("sha256", F.lit("")) != "")
-        .select(F.lower("sha256").alias("sha256"))
+        .select(FN.packed_hash(F.lower("sha256")).alias("_known"))
         .distinct()
-        .withColumn("known_hash", F.lit(True))
-    )
-    found = found.join(hashes, "sha256", "left").withColumn("in_storage", F.lit(True))
-    both = rows.join(found, "key", "full_outer")
-    in_catalog, in_storage = F.col("catalog_rows").isNotNull(), F.coalesce("in_storage", F.lit(False))
-    return both.select(
-        "key",
-        in_catalog.alias("in_catalog"),
-        in_storage.alias("in_storage"),
-        F.coalesce("catalog_rows", F.lit(0)).alias("catalog_rows"),
-        "sha256",
-        "size",
-        F.when(in_catalog & in_storage, "synced")
-        .when(in_catalog, "missing")
-        .when(F.coalesce("known_hash", F.lit(False)), "known_content")
-        .otherwise("new")
-        .alias("state"),
     )
+    met = loose.join(known, F.col("_hash") == F.col("_known"), "left")
+    return stated(placed, F.when(F.col("in_storage"), "synced").otherwise("missing")).unionByName(
+        stated(met, F.when(F.col("_known").isNotNull(), "known_content").otherwise("new")))
 
 
 def reconciliation_summary(state: DataFrame, restored_runs: int | Column = 0) -> DataFrame:

@@ -367,14 +367,14 @@ def d6(spark, d):
 
 
 def _objects(spark, d):
-    """Objects for two thirds of the files, and some objects without a row."""
+    """Objects for two thirds of the files, and some objects without a row; a listing may name one twice."""
     f = t.files(spark, d)
     stored = f.where("part % 3 <> 0").select(F.col("storage_key").alias("key"), "sha256", F.col("file_size").alias("size"))
     loose = f.where("part % 5 = 0").select(
         F.concat(F.lit("/loose/"), "file_pk").alias("key"),
         F.when(F.col("line") > 3, F.col("sha256")).otherwise(F.sha2("file_pk", 256)).alias("sha256"), F.col("file_size").alias("size"),
     )
-    return stored.unionByName(loose).dropDuplicates(["key"])
+    return stored.unionByName(loose)
 
 
 _OBJ = """o AS (SELECT DISTINCT storage_key AS key, CAST(NULL AS VARCHAR) AS sha FROM files WHERE part % 3 <> 0 UNION ALL SELECT DISTINCT 'loose/' || file_pk, CASE WHEN line > 3 THEN sha256 ELSE sha256(file_pk) END FROM files WHERE part % 5 = 0),

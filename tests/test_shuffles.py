@@ -26,6 +26,22 @@ def test_numbered_rows_hold_only_what_is_asked_for(spark, monkeypatch):
 FILES = "file_pk string, file_id string, file_name string, original_filename string, extension string, sha256 string, storage_key string, created_at int"
 
 
+def test_reconciled_rows_are_shuffled_once(spark):
+    hash_of = lambda c: c * 64
+    files = spark.createDataFrame([(f"f{i}", None, None, None, None, h, k, i) for i, (h, k) in enumerate(
+        [(hash_of("A"), "/a"), (hash_of("b"), "b"), ("odd", "b"), (None, "c"), (hash_of("d"), None)])], FILES)
+    objects = spark.createDataFrame([("a", hash_of("a"), 1), ("a", hash_of("a"), 1), ("/x", hash_of("a"), 2), ("y", "ODD", 3), ("z", None, 4), (r"\w", hash_of("e"), 5)], "key string, sha256 string, size long")
+    out = CT.reconcile(files, objects)
+    got = {r.key: (r.in_catalog, r.in_storage, r.catalog_rows, r.sha256, r.size, r.state) for r in out.collect()}
+    assert got == {
+        "a": (True, True, 1, hash_of("a"), 1, "synced"), "b": (True, False, 2, None, None, "missing"), "c": (True, False, 1, None, None, "missing"),
+        "x": (False, True, 0, hash_of("a"), 2, "known_content"), "y": (False, True, 0, "odd", 3, "known_content"),
+        "z": (False, True, 0, None, 4, "new"), "w": (False, True, 0, hash_of("e"), 5, "new")}
+    assert out.count() == len(got)
+    assert "ReusedExchange" in plan_of(out.select("key", "catalog_rows", "state"))
+    assert "ReusedExchange" in plan_of(CT.reconciliation_summary(out))
+
+
 def test_processing_summary_shuffles_no_files(spark):
     files = spark.createDataFrame([
         ("1", "RAW-000000001", "a.pdf", "a.pdf", ".pdf", "x", None, 1), ("2", "RAW-000000002", "b-RAW-000000002.pdf", None, ".pdf", "x", None, 2),

@@ -42,9 +42,10 @@ def write_key_index(rows: DataFrame, key: str, folder: str) -> None:
     their order, so each task digests its rows and only digests are shuffled.
     """
     top, leaf = _range(F.col("key"))
-    keys = (rows.where(F.col(key).isNotNull()).groupBy(FN.clean_key(F.col(key)).alias("key"))
-            .agg(F.count("*").alias("rows")).withColumn("top", top).withColumn("leaf", leaf))
-    keys.repartition("top").sortWithinPartitions("top", "leaf").write.mode("overwrite").partitionBy("top").parquet(f"{folder}/keys")
+    # a key decides about its range, so keys are counted where the ranges meet: one shuffle
+    ranged = rows.where(F.col(key).isNotNull()).select(FN.clean_key(F.col(key)).alias("key")).withColumns({"top": top, "leaf": leaf})
+    keys = ranged.repartition("top").groupBy("top", "leaf", "key").agg(F.count("*").alias("rows")).select("key", "rows", "top", "leaf")
+    keys.sortWithinPartitions("top", "leaf").write.mode("overwrite").partitionBy("top").parquet(f"{folder}/keys")
     spark = rows.sparkSession
     written = spark.read.schema("key string, rows long, leaf int, top int").parquet(f"{folder}/keys")
     digests = written.groupBy("top", "leaf").agg(F.count("*").alias("n"), *_sums())
@@ -90,7 +91,7 @@ def reconcile_indexes(spark: SparkSession, catalog: str, storage: str) -> DataFr
     def rows(folder: str) -> DataFrame:
         table = spark.read.schema("key string, rows long, leaf int, top int").parquet(f"{folder}/keys")
         narrow = F.col("leaf").isin(wanted) if len(wanted) <= 1000 else F.lit(True)
-        return table.where(F.col("top").isin(tops) & narrow).join(leaves, ["top", "leaf"], "left_semi").select("key", F.lit(True).alias("there"))
+        return table.where(F.col("top").isin(tops) & narrow).join(F.broadcast(leaves), ["top", "leaf"], "left_semi").select("key", F.lit(True).alias("there"))
 
     a, b = rows(catalog).withColumnRenamed("there", "in_catalog"), rows(storage).withColumnRenamed("there", "in_storage")
     both = a.join(b, "key", "full_outer").where("in_catalog is null or in_storage is null")

@@ -42,6 +42,20 @@ def test_reconciled_rows_are_shuffled_once(spark):
     assert "ReusedExchange" in plan_of(CT.reconciliation_summary(out))
 
 
+def test_ranges_of_keys_are_shuffled_once(spark, folder, monkeypatch):
+    from siftloom.operators import indexes as IX
+
+    keys = spark.createDataFrame([("/a",), ("a",), ("b",), (None,)], "storage_key string")
+    plans = []
+    real = IX.F.broadcast
+    monkeypatch.setattr(IX.F, "broadcast", lambda df: plans.append(df) or real(df))
+    for side in "ab":
+        IX.write_key_index(keys, "storage_key", f"{folder}/{side}")
+    rows = spark.read.parquet(f"{folder}/a/keys").select("key", "rows")
+    assert sorted(tuple(r) for r in rows.collect()) == [("a", 2), ("b", 1)]
+    assert IX.reconcile_indexes(spark, f"{folder}/a", f"{folder}/b").collect() == [] and len(plans) == 2
+
+
 def test_processing_summary_shuffles_no_files(spark):
     files = spark.createDataFrame([
         ("1", "RAW-000000001", "a.pdf", "a.pdf", ".pdf", "x", None, 1), ("2", "RAW-000000002", "b-RAW-000000002.pdf", None, ".pdf", "x", None, 2),

@@ -13,6 +13,8 @@ from siftloom.session import cut_lineage
 TASK_ROWS = 1_000_000
 #: Keys that ``without`` broadcasts at most.
 FEW_KEYS = 500_000
+#: Words of 64 bits that mark keys by their hash, at most; 16 bits for a key up to there.
+MARK_WORDS = 1 << 20
 #: Hottest keys that are resolved by broadcast instead of by shuffle, and bytes of the
 #: values of one such key: together they bound the broadcast.
 HOT_KEYS = 1000
@@ -80,17 +82,30 @@ def join_present(rows: DataFrame, lookup: DataFrame, key: str, spread: str) -> D
     return rows.withColumn("_salted", salted).join(other, F.col("_salted") == F.col("_present"), "left").drop("_salted", "_present")
 
 
-def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def without(rows: DataFrame, keys: DataFrame, key: str, few_rows: bool = False) -> DataFrame:
     """Rows whose ``key`` is not one of ``keys``; null keys stay.
 
+    With ``few_rows``, where few rows are expected to go, only rows whose hash is marked as
+    that of some key are shuffled and compared; the marks broadcast are bounded.
+
     Short keys compress so well that adaptive execution, which goes by compressed bytes,
     joins partitions of many millions of rows.  So the exchange has a partition for each
     ``TASK_ROWS`` rows at least, which bounds what a task sorts; few keys are broadcast.
     """
     names = keys.select(key).distinct()
     # counted without their text where the tables are files
-    if keys.count() <= FEW_KEYS:
+    count = keys.count()
+    if count <= FEW_KEYS:
         return rows.join(F.broadcast(names), key, "left_anti")
+    if few_rows:
+        words = min(MARK_WORDS, count // 4 + 1)
+        place = F.pmod(F.xxhash64(key), F.lit(words * 64))
+        marks = keys.where(F.col(key).isNotNull()).groupBy(F.floor(place / 64).alias("_word")).agg(
+            F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), {words * 64}) % 64 as int))")).alias("_bits"))
+        met = rows.join(F.broadcast(marks), F.floor(place / 64) == F.col("_word"), "left")
+        hit = F.coalesce(F.getbit("_bits", (place % 64).cast("int")) == 1, F.lit(False))
+        sure = met.where(~hit).select(*rows.columns)
+        return sure.unionByName(without(met.where(hit).select(*rows.columns), keys, key))
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
     # an anti join would be moved below the exchange; an outer one reads its partitions as they are
     marked = rows.repartition(parts, key).join(names.withColumn("_gone", F.lit(True)), key, "left")

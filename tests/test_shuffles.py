@@ -79,3 +79,18 @@ def test_catalog_names_end_without_a_newline(spark, one):
     from siftloom.functions import files as FN
 
     assert one(FN.sanitize_catalog_name(F.col("n")), n="a9\n") == "a9"
+
+
+def test_few_rows_are_compared_with_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(SK, "FEW_KEYS", 10)
+    rows = spark.createDataFrame([(i, None if i % 11 == 0 else f"k{i % 5000}") for i in range(20_000)], "n int, k string")
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(0, 5000, 10)] + [(None,), ("k10",)], "k string")
+    want = [i for i in range(20_000) if i % 11 == 0 or i % 5000 % 10]
+    for words in (1 << 20, 1):
+        monkeypatch.setattr(SK, "MARK_WORDS", words)
+        seen = []
+        real = SK.without
+        monkeypatch.setattr(SK, "without", lambda r, *a, **b: seen.append(r) or real(r, *a, **b))
+        assert sorted(r.n for r in real(rows, keys, "k", few_rows=True).collect()) == want
+        assert (seen[-1].count() < 5000) == (words > 1)
+        monkeypatch.setattr(SK, "without", real)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siftloom.functions import files as FN
 from siftloom.functions import urls
-from siftloom.operators.skew import attach_per_key, top_per_group
+from siftloom.operators.skew import attach_per_key, top_per_group, without
+from siftloom.session import cut_lineage
 
 # --- totals ------------------------------------------------------------------
 
@@ -272,19 +273,35 @@ def category_groups(files: DataFrame) -> DataFrame:
     )
 
 
-def run_timeline(runs: DataFrame, errors: DataFrame) -> DataFrame:
+def counted_errors(errors: DataFrame) -> DataFrame:
+    return errors.groupBy("run_pk").agg(F.count("*").alias("reported_errors"))
+
+
+def errors_of_runs(errors: DataFrame, keys: DataFrame) -> DataFrame:
+    """Errors whose run is one of ``keys``.
+
+    Only the runs that errors name are looked up, in partitions bounded by rows.  Errors
+    stay where they are but for those of runs that do not exist, or are marked like one.
+    """
+    named = errors.where("run_pk is not null")
+    lost = cut_lineage(without(counted_errors(named).select("run_pk"), keys, "run_pk"))
+    return without(named, lost, "run_pk", few_rows=True)
+
+
+def run_timeline(runs: DataFrame, errors: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Text events of each run: derived from its counters, plus one line per error.
 
     ``runs``: run_pk, run_id, source_name, source_slug, collector_type, status, times
-    and counters.  ``seq`` orders the lines of a run; lines are not gathered.
+    and counters; ``reported_errors`` is counted if absent.  ``keys`` holds the same runs'
+    run_pk and saves computing ``runs`` twice.  ``seq`` orders the lines of a run; lines
+    are not gathered.
     """
     n = lambda c: F.format_number(F.coalesce(c, F.lit(0)), 0)
     say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     zone = F.when(F.col("collector_type") == "TELEGRAM", "telegram").otherwise("web")
     live = F.col("status").isin("RUNNING", "PENDING", "CANCEL_REQUESTED")
-    counted = errors.groupBy("run_pk").agg(F.count("*").alias("_errors"))
-    staged = runs.join(counted, "run_pk", "left")
-    has_errors = F.coalesce("_errors", F.lit(0)) > 0
+    staged = runs if "reported_errors" in runs.columns else runs.join(counted_errors(errors), "run_pk", "left")
+    has_errors = F.coalesce("reported_errors", F.lit(0)) > 0
 
     def event(seq: int, time: str, level, text: Column, when: Column | None = None) -> Column:
         row = F.struct(
@@ -304,8 +321,9 @@ def run_timeline(runs: DataFrame, errors: DataFrame) -> DataFrame:
         event(9, "completed_at", F.when(F.col("status") == "COMPLETED", "SUCCESS").otherwise("STATUS"), say("[JOB_TERMINATED] Run status finalized to ", F.col("status")), ~live),
         event(9, "completed_at", "INFO", say("[LIVE_TAIL] Listening for active worker callbacks"), live),
     )
-    derived = staged.select("run_pk", F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("run_pk", "e.*")
-    reported = errors.join(runs.select("run_pk").distinct(), "run_pk", "left_semi").select(
+    # a higher-order filter would have every text built outside compiled code
+    derived = staged.select("run_pk", F.explode(events).alias("e")).where("e is not null").select("run_pk", "e.*")
+    reported = errors_of_runs(errors, runs if keys is None else keys).select(
         "run_pk", F.lit(8).alias("seq"), F.col("created_at").alias("at"), F.lit("ERROR").alias("level"),
         say("[WORKER_ERROR] ", F.coalesce("error_code", F.lit("Exception")), ": ", F.col("message")).alias("message"),
     )

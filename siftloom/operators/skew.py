@@ -90,7 +90,7 @@ def without(rows: DataFrame, keys: DataFrame, key: str, few_rows: bool = False)
 
     Short keys compress so well that adaptive execution, which goes by compressed bytes,
     joins partitions of many millions of rows.  So the exchange has a partition for each
-    ``TASK_ROWS`` rows at least, which bounds what a task sorts; few keys are broadcast.
+    ``TASK_ROWS`` rows or keys at least, which bounds what a task sorts; few keys are broadcast.
     """
     names = keys.select(key).distinct()
     # counted without their text where the tables are files
@@ -106,7 +106,7 @@ def without(rows: DataFrame, keys: DataFrame, key: str, few_rows: bool = False)
         hit = F.coalesce(F.getbit("_bits", (place % 64).cast("int")) == 1, F.lit(False))
         sure = met.where(~hit).select(*rows.columns)
         return sure.unionByName(without(met.where(hit).select(*rows.columns), keys, key))
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(rows.count(), count) // TASK_ROWS))
     # an anti join would be moved below the exchange; an outer one reads its partitions as they are
     marked = rows.repartition(parts, key).join(names.withColumn("_gone", F.lit(True)), key, "left")
     return marked.where("_gone is null").select(*rows.columns)

@@ -130,9 +130,11 @@ def a17c(spark, d):
 
 def _timeline(spark, d):
     counters = RP.run_counters(t.run_events(spark, d)).withColumnRenamed("run_id", "run_pk").drop("pages_crawled")
-    runs = t.runs(spark, d).join(counters, "run_pk", "left").na.fill(0)
+    keys, errors = t.runs(spark, d), t.errors(spark, d)
+    # both joins by run before the names, so on one exchange
+    runs = keys.join(counters, "run_pk", "left").join(RP.counted_errors(errors), "run_pk", "left").na.fill(0)
     runs = CT.run_list(runs, t.collectors(spark, d), t.sources(spark, d))
-    return RP.run_timeline(runs, t.errors(spark, d))
+    return RP.run_timeline(runs, errors, keys)
 
 
 @query("A22_run_timeline", with_tables(f"""WITH k AS ({_COUNT}), e AS (SELECT run_pk, count(*) AS n FROM errors GROUP BY run_pk),

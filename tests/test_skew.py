@@ -1,5 +1,7 @@
 """Anti joins whose partitions are bounded by rows."""
 
+from pyspark.sql import functions as F
+
 from siftloom.operators import changes as CH
 from siftloom.operators import integrity as IG
 from siftloom.operators import skew as SK
@@ -49,3 +51,30 @@ def test_lookup_of_attached_keys_is_computed_once(spark):
     assert {r.file_pk: (r.first_pk, r.is_duplicate) for r in marked.collect()} == {f"f{i}": (f"f{i % 300}", i >= 300) for i in range(1000)}
     marked.collect()
     assert "ReusedExchange" in marked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_errors_of_a_timeline_in_partitions_of_bounded_rows(spark, monkeypatch):
+    """Errors stay where they are; the runs they name meet the other runs in bounded partitions."""
+    from siftloom.operators import reports as RP
+
+    bounded(monkeypatch, 100)
+    frame, parts = type(spark.range(0)), []
+    real = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, n, *cols: parts.append((n, df.columns)) or real(df, n, *cols))
+    runs = spark.createDataFrame(
+        [(f"r{i}", f"id{i}", "A", "a", "WEB", "COMPLETED" if i % 2 else "RUNNING", i % 3, 0, 0, 0, 5) for i in range(2000)],
+        "run_pk string, run_id string, source_name string, source_slug string, collector_type string, status string, "
+        "pages_crawled long, files_found long, files_downloaded long, files_duplicate long, files_failed long",
+    ).withColumns({c: F.lit(None).cast("timestamp") for c in ("started_at", "completed_at")})
+    named = [f"r{i % 30}" for i in range(300)] + ["gone", "gone", None]
+    errors = spark.createDataFrame([(f"e{i}", r, None if i == 0 else "X", f"m{i}", None) for i, r in enumerate(named)], "error_id string, run_pk string, error_code string, message string, created_at timestamp")
+    line = RP.run_timeline(runs, errors)
+    assert parts == [(20, ["run_pk"])]
+    got = line.collect()
+    assert sorted((r.run_pk, r.message) for r in got if r.seq == 8) == sorted(
+        (r, f"[WORKER_ERROR] {'X' if i else 'Exception'}: m{i}") for i, r in enumerate(named[:300]))
+    assert sorted(r.run_pk for r in got if r.seq == 7) == sorted(f"r{i}" for i in range(30, 2000))
+    for seq, n in ((1, 2000), (2, 2000), (3, 1333), (4, 0), (5, 0), (6, 0), (9, 2000)):
+        assert sum(r.seq == seq for r in got) == n
+    counted = runs.join(RP.counted_errors(errors), "run_pk", "left")
+    assert sorted(map(tuple, RP.run_timeline(counted, errors, runs.select("run_pk")).drop("at").collect())) == sorted(map(tuple, line.drop("at").collect()))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftloom import rules
-from siftloom.functions.text import class_count, strip
+from siftloom.functions.text import beyond_ascii, class_count, strip
 from siftloom.functions.urls import let
 
 SCRIPTS = {
@@ -20,13 +20,18 @@ SCRIPTS = {
 def script_profile(text: Column) -> Column:
     """struct of script ratios and the dominant script of the trimmed text."""
 
-    def ratios(clean: Column) -> Column:
-        total = F.greatest(F.length(clean), F.lit(1))
+    def ratios(x: Column) -> Column:
+        total = F.greatest(F.length(x["clean"]), F.lit(1))
+        # Latin alone has letters within ASCII
+        part = lambda name: x["clean"] if name == "latin" else x["beyond"]
         return F.struct(
-            clean.alias("clean"),
-            *[(class_count(clean, c) / total).alias(name) for name, c in SCRIPTS.items()],
+            x["clean"].alias("clean"),
+            *[(class_count(part(name), c) / total).alias(name) for name, c in SCRIPTS.items()],
         )
 
+    def parts(clean: Column) -> Column:
+        return F.struct(clean.alias("clean"), beyond_ascii(clean).alias("beyond"))
+
     def dominant(x: Column) -> Column:
         script = F.when(x["clean"] == "", "unknown")
         for name in SCRIPTS:
@@ -34,7 +39,7 @@ def script_profile(text: Column) -> Column:
         script = script.when((x["arabic"] > 0.1) & (x["latin"] > 0.1), "mixed").otherwise("unknown")
         return F.struct(*[x[n].alias(f"{n}_ratio") for n in SCRIPTS], script.alias("script"))
 
-    return let(let(strip(F.coalesce(text, F.lit(""))), ratios), dominant)
+    return let(let(let(strip(F.coalesce(text, F.lit(""))), parts), ratios), dominant)
 
 
 def kurdish_letter_class(strict: bool = False) -> str:
@@ -65,11 +70,11 @@ def detect_language(
     """
     guess = F.lit(None).cast("string") if guess is None else guess
     facts = F.struct(
-        strip(F.coalesce(text, F.lit(""))).alias("clean"), profile["script"].alias("script"),
+        F.coalesce(text, F.lit("")).alias("text"), profile["script"].alias("script"),
         profile["arabic_ratio"].alias("arabic"), guess.alias("guess"),
     )
     kurdish = kurdish_letter_class(strict_alphabet)
-    return let(facts, lambda x: _language(x["clean"], x["script"], x["arabic"], x["guess"], kurdish))
+    return let(facts, lambda x: _language(x["text"], x["script"], x["arabic"], x["guess"], kurdish))
 
 
 def refined_language(profile: Column, guess: Column) -> Column:
@@ -81,7 +86,7 @@ def refined_language(profile: Column, guess: Column) -> Column:
     return let(facts, lambda x: _language(F.lit("-"), x["script"], x["arabic"], x["guess"], kurdish_letter_class()))
 
 
-def _language(clean: Column, script: Column, arabic: Column, guess: Column, kurdish: str) -> Column:
+def _language(text: Column, script: Column, arabic: Column, guess: Column, kurdish: str) -> Column:
     known = guess.isin(list(rules.LANGUAGE_NAMES))
 
     def verdict(code, confidence, name, rtl) -> Column:
@@ -99,8 +104,8 @@ def _language(clean: Column, script: Column, arabic: Column, guess: Column, kurd
     arabic_side = (script == "arabic") | (arabic > 0.2)
     boosted = F.when(guess.isin("ar", "ckb", "fa", "ur") & (arabic > 0.3), 0.85).otherwise(0.75)
     return (
-        F.when(clean == "", verdict("unknown", 0.0, "unknown", False))
-        .when(arabic_side & clean.rlike(kurdish), verdict("ckb", 0.85, "arabic", True))
+        F.when(~text.rlike(r"(?U)\S"), verdict("unknown", 0.0, "unknown", False))
+        .when(arabic_side & text.rlike(kurdish), verdict("ckb", 0.85, "arabic", True))
         .when(arabic_side & known, verdict(guess, boosted, "arabic", True))
         .when(arabic_side, verdict("ar", 0.7, "arabic", True))
         .when((script == "latin") & known, verdict(guess, 0.8, "latin", False))

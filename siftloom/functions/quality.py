@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,16 +17,14 @@ UNPRINTABLE_CLASS = r"[\p{C}\p{Z}&&[^ \n\r\t]]"
 
 def mojibake_ratio(text: Column) -> Column:
     """Share of characters that speak of a wrong encoding, at most 1."""
-    # every pattern holds one of these characters, so clean text stops at one scan
-    suspect = r"[\x{c2}\x{c3}\x{e0}-\x{ff}\x{fffd}\x00-\x08\x0B\x0C\x0E-\x1F]"
 
     def ratio(t: Column) -> Column:
         bad = class_count(t, r"[\x{e0}-\x{ff}\x{fffd}\x00-\x08\x0B\x0C\x0E-\x1F]")
         for pattern in rules.MOJIBAKE_PATTERNS:
-            bad = bad + F.regexp_count(t, F.lit(pattern))
-        return F.when(
-            t.rlike(suspect), F.least(F.lit(1.0), bad / F.greatest(F.length(t), F.lit(1)))
-        ).otherwise(0.0)
+            # a pattern is counted only where the text holds its first character
+            first = re.sub(r"^\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), pattern)[0]
+            bad = bad + F.when(t.contains(first), F.regexp_count(t, F.lit(pattern))).otherwise(0)
+        return F.least(F.lit(1.0), bad / F.greatest(F.length(t), F.lit(1)))
 
     return let(F.coalesce(text, F.lit("")), ratio)
 

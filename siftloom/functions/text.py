@@ -10,12 +10,20 @@ SPACE = r"(?U)\s+"
 
 def collapse(text: Column) -> Column:
     """Whitespace runs to one blank, ends trimmed."""
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    # a single blank, which most runs are, is left alone
+    return F.trim(F.regexp_replace(text, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    # the end is looked for from the end, not behind every run of white space
+    return F.regexp_extract(text, r"(?Us)^\s*+(.*\S)", 1)
+
+
+def beyond_ascii(text: Column) -> Column:
+    """The characters that are not ASCII, in order."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lit("")).otherwise(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
 
 
 def word_count(text: Column) -> Column:
@@ -33,11 +41,11 @@ def occurrences(text: Column, needle: Column) -> Column:
     return F.when(
         F.contains(text, needle),
         (
-            (F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)
+            (F.octet_length(text) - F.octet_length(F.replace(text, needle, F.lit("")))) / F.octet_length(needle)
         ).cast("long"),
     ).otherwise(F.lit(0).cast("long"))
 
 
 def class_count(text: Column, char_class: str) -> Column:
-    """Characters of a regular-expression class."""
-    return F.length(text) - F.length(F.regexp_replace(text, char_class, ""))
+    """Characters of a regular-expression class, removed run by run."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{char_class}+", ""))

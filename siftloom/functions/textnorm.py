@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import unicodedata
 
 import pandas as pd
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from siftloom import rules
-from siftloom.functions.text import strip
+from siftloom.functions.text import beyond_ascii, strip
+from siftloom.functions.urls import let
 
 #: Characters that every normal form leaves alone, alone or next to each other:
 #: ASCII, precomposed Latin-1 letters, Arabic-script letters and digits, Cyrillic
@@ -32,12 +35,16 @@ def _normal_form(form: str):
 
 def unicode_form(text: Column, form: str = "NFKC") -> Column:
     """Unicode normal form; only rows that may change are sent to Python."""
-    changed = _normal_form(form)(F.when(~text.rlike(STABLE), text))
+    changed = _normal_form(form)(F.when(~beyond_ascii(text).rlike(STABLE), text))
     return F.coalesce(changed, text)
 
 
 def map_kurdish_letters(text: Column) -> Column:
-    return F.translate(text, rules.ARABIC_FORMS, rules.KURDISH_FORMS)
+    def mapped(t: Column) -> Column:
+        held = functools.reduce(operator.or_, (t.contains(letter) for letter in rules.ARABIC_FORMS))
+        return F.when(held, F.translate(t, rules.ARABIC_FORMS, rules.KURDISH_FORMS)).otherwise(t)
+
+    return let(text, mapped)
 
 
 def normalize_text(text: Column) -> Column:

@@ -1,13 +1,16 @@
 import re
+import time
 import unicodedata
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftloom import rules
 from siftloom.functions import files as FN
 from siftloom.functions import language as L
 from siftloom.functions import quality as Q
+from siftloom.functions import text as X
 from siftloom.functions import textnorm as N
 from siftloom.functions import topics as T
 from siftloom.functions.text import paragraphs
@@ -173,3 +176,46 @@ def test_language_guesses_are_counted_in_the_reading_task(spark, monkeypatch):
     assert {r.doc_id: (r.guess, -r.total) for r in guessed.collect()} == {i: guess(t) for i, (_, t) in texts.items()}
     for df in (guessed, D.document_languages(docs, trained)):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+ODD_TEXTS = [
+    None, "", " ", "\n  \t", "a", "  a b\n\n c\t ", " x　y\u0085", "a   b c  d", "\x00\x01 ctl\x0b\x1f",
+    "\U0001d518\U0001f600 \U0001f600  z ", "﻿ bom ", "Ünïcödé ÃŸ Ã© Â° â€™ â€\" Ã\u0080\u0081 ��� q", "âê ÿ",
+    "سڵاو ێ latin", "العربية فقط يك", "كيىےہ", "привет мир", "नमस्ते", "ﬁ ﷺ Å é", "in 1999, 2024x 1300\n", "aaaa the thethe", "\x7f\u0080",
+]
+
+
+def test_text_helpers_on_odd_texts(spark):
+    """Each helper equals its plain form, whatever the characters."""
+    t = F.col("t")
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    count = lambda c, k: F.length(c) - F.length(F.regexp_replace(c, k, ""))
+    full = F.coalesce(t, F.lit(""))
+    bad = count(full, r"[\x{e0}-\x{ff}\x{fffd}\x00-\x08\x0B\x0C\x0E-\x1F]")
+    for pattern in rules.MOJIBAKE_PATTERNS:
+        bad = bad + F.regexp_count(full, F.lit(pattern))
+    pairs = [
+        (X.strip(t), strip(t)), (X.collapse(t), F.trim(F.regexp_replace(t, r"(?U)\s+", " "))),
+        (X.beyond_ascii(t), F.regexp_replace(t, r"[\x00-\x7F]", "")), (Q.printable_ratio(t), F.when(F.length(full) == 0, 0.0).otherwise(
+            (F.length(full) - count(full, Q.UNPRINTABLE_CLASS)) / F.greatest(F.length(full), F.lit(1)))),
+        (Q.mojibake_ratio(t), F.least(F.lit(1.0), bad / F.greatest(F.length(full), F.lit(1)))),
+        (T.year_tags(t), T.year_tags(strip(t))), (N.map_kurdish_letters(t), F.translate(t, rules.ARABIC_FORMS, rules.KURDISH_FORMS)),
+        *[(X.occurrences(full, F.lit(w)), F.regexp_count(full, F.lit(w)).cast("long")) for w in ("the", "a", "aa", "é", "ÃŸ", "\U0001f600")],
+        *[(L.script_profile(t)[f"{n}_ratio"], count(strip(full), c) / F.greatest(F.length(strip(full)), F.lit(1))) for n, c in L.SCRIPTS.items()],
+    ]
+    frame = spark.createDataFrame([(x,) for x in ODD_TEXTS], "t string")
+    row = frame.select("t", F.array(*[F.to_json(F.struct(a.alias("x"))) for a, _ in pairs]).alias("a"), F.array(*[F.to_json(F.struct(b.alias("x"))) for _, b in pairs]).alias("b"))
+    for r in row.collect():
+        assert r.a == r.b, r.t
+    forms = str.maketrans(rules.ARABIC_FORMS, rules.KURDISH_FORMS)
+    for r in frame.select("t", N.normalize_text(t).alias("n"), L.detect_language(t, L.script_profile(t))["language"].alias("l")).collect():
+        assert r.n == unicodedata.normalize("NFKC", r.t or "").translate(forms)
+        assert (r.l == "unknown") >= (not (r.t or "").strip())
+
+
+def test_long_blanks_inside_a_text_are_passed_once(spark):
+    """The end of a text is not looked for behind every blank of a run."""
+    wide = spark.createDataFrame([(" a" + " " * 300_000 + "b\n",)], "t string")
+    start = time.time()
+    assert wide.select(F.length(X.strip(F.col("t"))).alias("n")).first().n == 300_002
+    assert time.time() - start < 10
